@@ -8,6 +8,7 @@ and at the end of a very long message.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -188,19 +189,22 @@ def _restart(piece: Column, pos: Column, end: Column, overlap: int) -> Column:
     return F.when((end - overlap > pos) & (at > 0), end - overlap + at).otherwise(end)
 
 
+@lru_cache(maxsize=32)
 def chunk_pieces(
-    text: Column,
+    text: str,
     chunk_size: int = CHUNK_SIZE,
     overlap: int = 0,
     use_tokens: bool = True,
     tokens: Callable[[Column], Column] = default_tokens,
 ) -> Column:
-    """Chunks of a stripped text before small ones are merged.
+    """Chunks of the stripped text in column ``text`` before small ones are merged.
 
     Returns ``array<struct<s,e,text>>``: offsets of the raw slice and its
     stripped text; blank slices are left out. ``tokens`` maps a text column to a
-    token count and must be a Spark expression.
+    token count and must be a Spark expression. The expression is large, so it
+    is built once per set of arguments.
     """
+    text = F.col(text)
     size = int(chunk_size)
     shorter = int(size * RETRY_SIZE)
 
@@ -223,33 +227,44 @@ def chunk_pieces(
                 lambda body: emit(total, kept(pos, total, body)),
             )
 
-        def within_budget(pos: Column, end: Column, raw: Column, body: Column) -> Column:
-            whole = found(pos, end, raw, body)
-            if not use_tokens:
-                return whole
-            over = (
-                (body != "")
-                & (end - pos > RETRY_MIN_SPAN)
-                & (tokens(body) > token_limit(body, size))
-            )
-
-            def retry(cut: Column) -> Column:
-                less = let(
-                    _slice(blocks, pos, cut),
-                    lambda r: let(strip(r), lambda b: F.when(b != "", found(pos, cut, r, b))),
+        def attempt(pos: Column) -> Callable[[Column, Column], Column]:
+            def best(acc: Column, target: Column) -> Column:
+                def offer(end: Column, raw: Column, body: Column) -> Column:
+                    fits = F.lit(True)
+                    if use_tokens:
+                        fits = (
+                            (body == "")
+                            | (end - pos <= RETRY_MIN_SPAN)
+                            | (tokens(body) <= token_limit(body, size))
+                        )
+                    new = F.struct(
+                        end.alias("end"), raw.alias("raw"), body.alias("body"), fits.alias("fits")
+                    )
+                    # the first try is always taken, the shorter one only if it keeps enough
+                    good = acc["end"].isNull() | ((end > pos + RETRY_MIN_KEPT) & (body != ""))
+                    return F.when(good, new).otherwise(acc)
+
+                tried = let(
+                    _boundary(src, pos, pos + target),
+                    lambda end: let(
+                        _slice(blocks, pos, end),
+                        lambda raw: let(strip(raw), lambda body: offer(end, raw, body)),
+                    ),
                 )
-                return F.coalesce(F.when(cut > pos + RETRY_MIN_KEPT, less), whole)
+                return F.when(acc["fits"], acc).otherwise(tried)
 
-            again = let(_boundary(src, pos, pos + shorter), retry)
-            return F.when(over, again).otherwise(whole)
+            return best
 
         def step(pos: Column, _: Column) -> Column:
-            taken = let(
-                _boundary(src, pos, pos + size),
-                lambda end: let(
-                    _slice(blocks, pos, end),
-                    lambda raw: let(strip(raw), lambda body: within_budget(pos, end, raw, body)),
-                ),
+            targets = F.array(*[F.lit(n) for n in ([size, shorter] if use_tokens else [size])])
+            none = F.struct(
+                F.lit(None).cast("int").alias("end"),
+                F.lit("").alias("raw"),
+                F.lit("").alias("body"),
+                F.lit(False).alias("fits"),
+            )
+            taken = F.aggregate(
+                targets, none, attempt(pos), lambda t: found(pos, t["end"], t["raw"], t["body"])
             )
             return F.when(pos + size >= total, last_piece(pos)).otherwise(taken)
 

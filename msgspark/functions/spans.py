@@ -29,38 +29,37 @@ LIST_ITEM = (
 )
 
 
-def _found(text: Column, pattern: str) -> Column:
+def _parts(text: Column, pattern: str) -> Column:
+    return F.struct(
+        F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+    )
+
+
+def _offsets(parts: Column) -> Column:
     """Offsets of all matches: running lengths over the gaps and the matches."""
 
-    def offsets(parts: Column) -> Column:
-        def step(pos: Column, i: Column) -> Column:
-            start = pos + F.length(F.get(parts["gaps"], i))
-            end = start + F.length(F.get(parts["hits"], i))
-            span = F.struct(start.alias("s"), end.alias("e"))
-            return let(span, lambda x: emit(x["e"], F.array(x)))
-
-        return fold_emit(F.size(parts["hits"]), F.lit(0), SPAN, step)["out"]
-
-    return let(
-        F.struct(
-            F.split(text, pattern, -1).alias("gaps"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
-        ),
-        offsets,
-    )
+    def step(pos: Column, i: Column) -> Column:
+        start = pos + F.length(F.get(parts["gaps"], i))
+        end = start + F.length(F.get(parts["hits"], i))
+        span = F.struct(start.alias("s"), end.alias("e"))
+        return let(span, lambda x: emit(x["e"], F.array(x)))
+
+    return fold_emit(F.size(parts["hits"]), F.lit(0), SPAN, step)["out"]
 
 
 def find_spans(text: Column) -> Column:
     """All protected spans of a text, unmerged, ordered by start."""
-    none = empty_array(SPAN)
+    # a cheap look for the marker characters first; most texts have none
     kinds = [
-        (text.contains("```"), FENCED_CODE),
+        (text.contains("`"), FENCED_CODE),
         (text.contains("`"), INLINE_CODE),
         (text.contains("http"), LINK),
         (text.rlike(LIST_ITEM), LIST_ITEM),
     ]
-    found = [F.when(likely, _found(text, pattern)).otherwise(none) for likely, pattern in kinds]
-    return F.array_sort(F.concat(*found))
+    found = [F.when(likely, _parts(text, pattern)) for likely, pattern in kinds]
+    some = F.filter(F.array(*found), lambda x: x.isNotNull())
+    return F.array_sort(F.flatten(F.transform(some, _offsets)))
 
 
 def merge_spans(spans: Column) -> Column:

@@ -38,7 +38,7 @@ def with_pieces(
     return (
         df.filter(~is_blank(F.col(text)))
         .withColumn("_clean", strip(F.col(text)))
-        .withColumn(out, chunk_pieces(F.col("_clean"), chunk_size, overlap, use_tokens, tokens))
+        .withColumn(out, chunk_pieces("_clean", chunk_size, overlap, use_tokens, tokens))
         .drop("_clean")
     )
 
@@ -123,7 +123,10 @@ def span_rows(messages: DataFrame, merged: bool = True) -> DataFrame:
 
 
 def merge_span_rows(spans: DataFrame) -> DataFrame:
-    """Merge span rows ``id, start_pos, end_pos`` per message where they overlap or touch."""
+    """Merge span rows ``id, start_pos, end_pos`` per message where they overlap or touch.
+
+    The spans of one message are bounded by its own text, so they fit in one row.
+    """
     pair = F.struct(F.col("start_pos").cast("int").alias("s"), F.col("end_pos").cast("int").alias("e"))
     listed = spans.groupBy("id").agg(F.array_sort(F.collect_list(pair)).alias("_all"))
     merged = listed.select("id", merge_spans(F.col("_all")).alias("_m"))
