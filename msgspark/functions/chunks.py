@@ -13,12 +13,12 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .folds import emit, empty_array, fold_emit, let
+from .folds import Push, empty_array, fold_emit, let, walk_emit
 from .spans import SPAN, protected_spans
 from .text import cjk_count, cjk_share, strip
 
 PIECE = "struct<s:int,e:int,text:string>"
-TEXT_BLOCK = 4096
+TEXT_BLOCK = 1024
 
 # Default sizes of the data model.
 CHUNK_SIZE = 600
@@ -208,6 +208,15 @@ def chunk_pieces(
     size = int(chunk_size)
     shorter = int(size * RETRY_SIZE)
 
+    def surely_fits(body: Column) -> Column:
+        # A CJK character takes three bytes, so the byte count bounds the default
+        # estimate; most texts pass here and skip the exact count.
+        if tokens is not default_tokens:
+            return F.lit(False)
+        n = F.length(body)
+        most = F.ceil(n / 4 + 0.75 * (F.octet_length(body) - n) / 2)
+        return most <= int(size * TOKENS_PER_CHAR)
+
     def piece(s: Column, e: Column, body: Column) -> Column:
         return F.struct(s.alias("s"), e.alias("e"), body.alias("text"))
 
@@ -217,14 +226,14 @@ def chunk_pieces(
     def long_text(src: Column) -> Column:
         blocks, spans, total = src["blocks"], src["spans"], src["total"]
 
-        def found(pos: Column, end: Column, raw: Column, body: Column) -> Column:
+        def found(pos: Column, end: Column, raw: Column, body: Column, push: Push) -> Column:
             restart = F.when(end >= total, end).otherwise(_restart(raw, pos, end, overlap))
-            return emit(restart, kept(pos, end, body))
+            return push(restart, kept(pos, end, body))
 
-        def last_piece(pos: Column) -> Column:
+        def last_piece(pos: Column, push: Push) -> Column:
             return let(
                 strip(_slice(blocks, pos, total)),
-                lambda body: emit(total, kept(pos, total, body)),
+                lambda body: push(total, kept(pos, total, body)),
             )
 
         def attempt(pos: Column) -> Callable[[Column, Column], Column]:
@@ -235,6 +244,7 @@ def chunk_pieces(
                         fits = (
                             (body == "")
                             | (end - pos <= RETRY_MIN_SPAN)
+                            | surely_fits(body)
                             | (tokens(body) <= token_limit(body, size))
                         )
                     new = F.struct(
@@ -255,7 +265,7 @@ def chunk_pieces(
 
             return best
 
-        def step(pos: Column, _: Column) -> Column:
+        def step(pos: Column, push: Push) -> Column:
             targets = F.array(*[F.lit(n) for n in ([size, shorter] if use_tokens else [size])])
             none = F.struct(
                 F.lit(None).cast("int").alias("end"),
@@ -264,11 +274,11 @@ def chunk_pieces(
                 F.lit(False).alias("fits"),
             )
             taken = F.aggregate(
-                targets, none, attempt(pos), lambda t: found(pos, t["end"], t["raw"], t["body"])
+                targets, none, attempt(pos), lambda t: found(pos, t["end"], t["raw"], t["body"], push)
             )
-            return F.when(pos + size >= total, last_piece(pos)).otherwise(taken)
+            return F.when(pos + size >= total, last_piece(pos, push)).otherwise(taken)
 
-        return fold_emit(total, F.lit(0), PIECE, step, done=lambda pos: pos >= total)["out"]
+        return walk_emit(total, PIECE, step)
 
     def with_plain(x: Column) -> Column:
         # no protected part and no stand-in character: windows need no mask
@@ -291,11 +301,11 @@ def merge_small(
     """Join chunks below ``min_chunk`` characters to a neighbour, left to right."""
     limit = int(chunk_size * MERGE_GROWTH)
 
-    def step(cur: Column, i: Column) -> Column:
+    def step(cur: Column, i: Column, push: Push) -> Column:
         nxt = F.get(texts, i + 1)
         small = F.least(F.length(cur), F.length(nxt)) < min_chunk
         joins = small & (F.length(cur) + F.length(nxt) + 1 <= limit)
-        return emit(
+        return push(
             F.when(joins, F.concat(cur, F.lit(" "), nxt)).otherwise(nxt),
             F.when(joins, empty_array("string")).otherwise(F.array(cur)),
         )

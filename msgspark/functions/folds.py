@@ -1,8 +1,8 @@
 """Ordered folds over one row, written with Spark's higher-order functions.
 
-A plain ``aggregate`` that appends to an array copies the array on every step,
-so a very long message would cost quadratic time. ``fold_emit`` appends to a
-short inner array and joins it to the long one once per block.
+``aggregate`` copies its accumulator on every step, so a fold that gathers a long
+array pays for its whole length each time. The folds here gather into a short
+array first and join it to the long one once per block.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 64
+BLOCK = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,48 +29,74 @@ def empty_array(ddl: str) -> Column:
     return F.expr(f"cast(array() as array<{ddl}>)")
 
 
-def emit(state: Column, new: Column) -> Column:
-    """Result of one fold step: the next state and the elements to append."""
-    return F.struct(state.alias("st"), new.alias("new"))
+Push = Callable[[Column, Column], Column]
+Step = Callable[[Column, Column, Push], Column]
 
 
-def fold_emit(
-    steps: Column,
-    state: Column,
+def _push(acc: Column) -> Push:
+    return lambda state, new: F.struct(
+        state.alias("st"), F.concat(acc["out"], new).alias("out")
+    )
+
+
+def _join(acc: Column) -> Callable[[Column], Column]:
+    return lambda r: F.struct(r["st"].alias("st"), F.concat(acc["out"], r["out"]).alias("out"))
+
+
+def fold_emit(steps: Column, state: Column, emits: str, step: Step, block: int = BLOCK) -> Column:
+    """Run ``step(state, i, push)`` for ``i`` in ``0 .. steps-1`` and gather what it emits.
+
+    A step ends in ``push(next_state, array)`` whose array (DDL element type
+    ``emits``) is appended. Returns ``struct<st, out>``.
+    """
+    nothing = empty_array(emits)
+
+    def one(acc: Column, i: Column) -> Column:
+        return step(acc["st"], i, _push(acc))
+
+    def many(acc: Column, b: Column) -> Column:
+        indices = F.sequence(b * block, F.least(b * block + (block - 1), steps - 1))
+        empty = F.struct(acc["st"].alias("st"), nothing.alias("out"))
+        return F.aggregate(indices, empty, one, _join(acc))
+
+    start = F.struct(state.alias("st"), nothing.alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((steps - 1) / block).cast("int"))
+    return F.when(steps < 1, start).otherwise(F.aggregate(blocks, start, many))
+
+
+def walk_emit(
+    length: Column,
     emits: str,
-    step: Callable[[Column, Column], Column],
-    done: Callable[[Column], Column] | None = None,
+    step: Callable[[Column, Push], Column],
+    levels: int = 3,
     block: int = BLOCK,
 ) -> Column:
-    """Run ``step(state, i)`` for ``i`` in ``0 .. steps-1`` and gather what it emits.
+    """Run ``step(pos, push)`` from position 0 until ``pos >= length``; gather what it emits.
 
-    ``step`` returns ``emit(next_state, array)`` whose array (DDL element type
-    ``emits``) is appended. Returns ``struct<st, out>``. Steps after
-    ``done(state)`` do nothing.
+    Every step must move at least one position on. The text is walked in ranges
+    of ``block ** levels`` positions, so the steps a range may need are known and
+    the idle ones touch only the few elements of that range.
     """
     nothing = empty_array(emits)
+    width = block**levels
 
-    def one(acc: Column, i: Column) -> Column:
-        moved = let(
-            step(acc["st"], i),
-            lambda r: F.struct(r["st"].alias("st"), F.concat(acc["out"], r["new"]).alias("out")),
-        )
-        return F.when(done(acc["st"]), acc).otherwise(moved) if done else moved
+    def idle(limit: Column, moved: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+        return lambda acc, _: F.when(acc["st"] >= limit, acc).otherwise(moved(acc))
 
-    def many(acc: Column, b: Column) -> Column:
-        first = b * block
-        last = F.least(first + (block - 1), steps - 1)
-        inner = F.aggregate(
-            F.sequence(first, last),
+    def level(n: int, limit: Column) -> Callable[[Column], Column]:
+        if n == 0:
+            return lambda acc: step(acc["st"], _push(acc))
+        return lambda acc: F.aggregate(
+            F.array(*[F.lit(0)] * block),
             F.struct(acc["st"].alias("st"), nothing.alias("out")),
-            one,
-        )
-        moved = let(
-            inner,
-            lambda r: F.struct(r["st"].alias("st"), F.concat(acc["out"], r["out"]).alias("out")),
+            idle(limit, level(n - 1, limit)),
+            _join(acc),
         )
-        return F.when(done(acc["st"]), acc).otherwise(moved) if done else moved
 
-    start = F.struct(state.alias("st"), nothing.alias("out"))
-    blocks = F.sequence(F.lit(0), ((steps - 1) / block).cast("int"))
-    return F.when(steps < 1, start).otherwise(F.aggregate(blocks, start, many))
+    def ranges(acc: Column, r: Column) -> Column:
+        limit = F.least((r + 1) * width, length)
+        return F.when(acc["st"] >= limit, acc).otherwise(level(levels, limit)(acc))
+
+    start = F.struct(F.lit(0).alias("st"), nothing.alias("out"))
+    all_ranges = F.sequence(F.lit(0), F.floor((length - 1) / width).cast("int"))
+    return F.aggregate(all_ranges, start, ranges, lambda r: r["out"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .folds import emit, empty_array, fold_emit, let
+from .folds import Push, empty_array, fold_emit, let
 
 SPAN = "struct<s:int,e:int>"
 
@@ -39,11 +39,11 @@ def _parts(text: Column, pattern: str) -> Column:
 def _offsets(parts: Column) -> Column:
     """Offsets of all matches: running lengths over the gaps and the matches."""
 
-    def step(pos: Column, i: Column) -> Column:
+    def step(pos: Column, i: Column, push: Push) -> Column:
         start = pos + F.length(F.get(parts["gaps"], i))
         end = start + F.length(F.get(parts["hits"], i))
         span = F.struct(start.alias("s"), end.alias("e"))
-        return let(span, lambda x: emit(x["e"], F.array(x)))
+        return let(span, lambda x: push(x["e"], F.array(x)))
 
     return fold_emit(F.size(parts["hits"]), F.lit(0), SPAN, step)["out"]
 
@@ -59,18 +59,18 @@ def find_spans(text: Column) -> Column:
     ]
     found = [F.when(likely, _parts(text, pattern)) for likely, pattern in kinds]
     some = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.array_sort(F.flatten(F.transform(some, _offsets)))
+    return F.sort_array(F.flatten(F.transform(some, _offsets)))
 
 
 def merge_spans(spans: Column) -> Column:
     """Merge ordered spans that overlap or touch."""
 
-    def step(cur: Column, i: Column) -> Column:
+    def step(cur: Column, i: Column, push: Push) -> Column:
         nxt = F.get(spans, i + 1)
         joins = nxt["s"] <= cur["e"]
         grown = F.struct(cur["s"].alias("s"), F.greatest(cur["e"], nxt["e"]).alias("e"))
         fresh = F.struct(nxt["s"].alias("s"), nxt["e"].alias("e"))
-        return emit(
+        return push(
             F.when(joins, grown).otherwise(fresh),
             F.when(joins, empty_array(SPAN)).otherwise(F.array(cur)),
         )

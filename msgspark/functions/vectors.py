@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from .folds import let
 
 DIM = 1536
-TERM_SPLIT = (
-    r"[^\p{L}\p{N}]+"
-    r"|(?<=[぀-ヿ㐀-鿿])|(?=[぀-ヿ㐀-鿿])"
-)
+WORD_SPLIT = r"[^\p{L}\p{N}]+"
+CJK = r"[぀-ヿ㐀-鿿]"
+CJK_SPLIT = rf"{WORD_SPLIT}|(?<={CJK})|(?={CJK})"
 SPARSE = "struct<buckets:array<int>,weights:array<double>>"
 
 
@@ -33,7 +32,10 @@ def score(distance: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Lower-case words and single CJK characters, in order."""
-    words = F.split(F.lower(text), TERM_SPLIT, -1)
+    lower = F.lower(text)
+    words = F.when(text.rlike(CJK), F.split(lower, CJK_SPLIT, -1)).otherwise(
+        F.split(lower, WORD_SPLIT, -1)
+    )
     return F.filter(words, lambda w: w != "")
 
 
@@ -75,4 +77,4 @@ def term_vector(text: Column, dim: int = DIM) -> Column:
 
     hashed = F.transform(terms(text), lambda w: term_bucket(w, dim))
     empty = F.expr(f"cast(named_struct('buckets', array(), 'weights', array()) as {SPARSE})")
-    return F.coalesce(let(F.array_sort(hashed), runs), empty)
+    return F.coalesce(let(F.sort_array(hashed), runs), empty)

@@ -40,7 +40,7 @@ PLACE = "chat"
 
 
 def _in_order(*fields: Column) -> Column:
-    return F.array_sort(F.collect_list(F.struct("rank", *fields)))
+    return F.sort_array(F.collect_list(F.struct("rank", *fields)))
 
 
 def _bullets(urls: Column) -> Column:
@@ -69,7 +69,7 @@ def context_blocks(hits: DataFrame) -> DataFrame:
 def citations(hits: DataFrame) -> DataFrame:
     """Source block per question: distinct sorted permalinks, ``''`` if there are none."""
     urls = hits.groupBy("query_id").agg(
-        F.array_sort(F.collect_set(F.when(is_set(F.col("permalink")), F.col("permalink")))).alias("_u")
+        F.sort_array(F.collect_set(F.when(is_set(F.col("permalink")), F.col("permalink")))).alias("_u")
     )
     block = F.when(F.size("_u") > 0, F.concat(F.lit(SOURCES), _bullets(F.col("_u")))).otherwise("")
     return urls.select("query_id", block.alias("citations"))
@@ -117,7 +117,7 @@ def prompt_table(
     found = hits.groupBy("query_id").agg(
         F.max("score").alias("_top"),
         _in_order(_context_line().alias("line")).alias("_l"),
-        F.array_sort(F.collect_set(F.when(is_set(F.col("permalink")), F.col("permalink")))).alias("_u"),
+        F.sort_array(F.collect_set(F.when(is_set(F.col("permalink")), F.col("permalink")))).alias("_u"),
     )
     ready = questions.select("query_id", "text").join(
         found.filter(F.col("_top") >= min_similarity), "query_id"

@@ -128,7 +128,7 @@ def merge_span_rows(spans: DataFrame) -> DataFrame:
     The spans of one message are bounded by its own text, so they fit in one row.
     """
     pair = F.struct(F.col("start_pos").cast("int").alias("s"), F.col("end_pos").cast("int").alias("e"))
-    listed = spans.groupBy("id").agg(F.array_sort(F.collect_list(pair)).alias("_all"))
+    listed = spans.groupBy("id").agg(F.sort_array(F.collect_list(pair)).alias("_all"))
     merged = listed.select("id", merge_spans(F.col("_all")).alias("_m"))
     rows = merged.select("id", F.posexplode_outer("_m").alias("span_index", "_p"))
     return rows.select(

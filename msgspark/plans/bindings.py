@@ -72,14 +72,14 @@ class Tables:
     def marked(self) -> DataFrame:
         """Documents with a link in the middle of the text."""
         pages = self.table("pages").select(F.col("page_id").alias("doc_id"), "url")
-        joined = self.table("documents").join(pages, "doc_id")
+        joined = self.table("documents", spread_by="doc_id").join(pages, "doc_id")
         text = F.concat("text", F.lit(" see "), "url", F.lit(" "), "text")
         return document_messages(joined.withColumn("text", text))
 
     def bulleted(self) -> DataFrame:
         """Documents between two list lines; the first holds code and links."""
         pages = self.table("pages").select(F.col("page_id").alias("doc_id"), "url")
-        joined = self.table("documents").join(pages, "doc_id")
+        joined = self.table("documents", spread_by="doc_id").join(pages, "doc_id")
         text = F.concat(
             F.lit("- see `"), "url", F.lit("` or "), "url", F.lit("\n"), "text", F.lit("\n1. done")
         )
@@ -132,7 +132,7 @@ class Tables:
         """One question per label: the mean of its vectors."""
         rows = self.table("embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
         means = rows.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-        listed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("_m"))
+        listed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "mean"))).alias("_m"))
         return listed.select(
             F.col("label").cast("bigint").alias("query_id"), F.col("_m.mean").alias("embedding")
         )
