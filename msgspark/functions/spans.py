@@ -21,11 +21,9 @@ FENCED_CODE = r"(?s)```.*?```"
 INLINE_CODE = r"`[^`\n]+`"
 LINK = r"(?U)https?://[^\s\x1c-\x1f<>\[\]()]+|<https?://[^>|]+(?:\|[^>]+)?>"
 LIST_ITEM = (
-    r"(?Umd)"
-    rf"^{_S}*[-*•・‣⁃]{_S}*.+$|"
-    rf"^{_S}*[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]{_S}*.+$|"
-    rf"^{_S}*[０-９]+[.．、]{_S}*.+$|"
-    rf"^{_S}*[0-9]+[.．、]{_S}*.+$"
+    rf"(?Umd)^{_S}*"
+    r"(?:[-*•・‣⁃]|[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]|[０-９]+[.．、]|[0-9]+[.．、])"
+    rf"{_S}*.+$"
 )
 
 

@@ -50,5 +50,8 @@ def cjk_share(text: Column) -> Column:
 
 
 def message_time(ts: Column) -> Column:
-    """Epoch-seconds string to a timestamp, exact to the microsecond (never through double)."""
-    return F.timestamp_micros((ts.cast("decimal(16,6)") * 1000000).cast("bigint"))
+    """Epoch-seconds string to a timestamp, exact to the microsecond (never through double).
+
+    Null when it is not a number.
+    """
+    return F.timestamp_micros((ts.try_cast("decimal(16,6)") * 1000000).cast("bigint"))

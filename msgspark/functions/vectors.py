@@ -9,7 +9,7 @@ from .folds import let
 
 DIM = 1536
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
-CJK = r"[぀-ヿ㐀-鿿]"
+CJK = r"[぀-ヿ㐀-\u9fff]"
 CJK_SPLIT = rf"{WORD_SPLIT}|(?<={CJK})|(?={CJK})"
 SPARSE = "struct<buckets:array<int>,weights:array<double>>"
 

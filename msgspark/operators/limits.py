@@ -35,7 +35,7 @@ def top_n_per_key(
 
 def newest_first(ts: str = "ts", key: str = "ts") -> list[Column]:
     """Newest message first; equal times by ``key``."""
-    return [F.col(ts).cast("decimal(16,6)").desc_nulls_last(), F.col(key).asc()]
+    return [F.col(ts).try_cast("decimal(16,6)").desc_nulls_last(), F.col(key).asc()]
 
 
 def cap_per_channel(messages: DataFrame, limit: int, key: str = "id") -> DataFrame:

@@ -21,12 +21,15 @@ from pyspark.sql import types as T
 
 from ..functions import topk as kernel
 from ..functions.vectors import DIM
+from ..sources.storage import stored
+from .embedding import hashed_embeddings
 from .limits import top_n_per_key
 
 TOP_K = 5
 MAX_QUESTION_BYTES = 64 << 20
 SPLIT_ROWS = 200_000
 BLOCK_QUESTIONS = 4096
+TRAIN_ROWS = 1_000_000
 
 
 class _Form:
@@ -182,11 +185,13 @@ def top_k_text(
 ) -> DataFrame:
     """Text questions against text chunks over hashed term vectors.
 
-    ``chunks`` needs ``id, text``, ``questions`` needs ``query_id, text``.
+    ``chunks`` needs ``id`` and ``text``, or the ``buckets`` and ``weights`` an index
+    already holds; ``questions`` needs ``query_id, text``.
     """
-    from .embedding import hashed_embeddings
-
-    corpus = hashed_embeddings(chunks.select("id", "text"), dim).drop("text")
+    if "buckets" in chunks.columns:
+        corpus = chunks.select("id", "buckets", "weights")
+    else:
+        corpus = hashed_embeddings(chunks.select("id", "text"), dim).drop("text")
     asked = hashed_embeddings(questions.select("query_id", "text"), dim).drop("text")
     return top_k(corpus, asked, k, dim, positive=True, **limits)
 
@@ -194,17 +199,27 @@ def top_k_text(
 def with_chunk_fields(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add text, channel name and permalink of the hit chunks.
 
-    The hits are few and carry the join key, so the chunk side is reduced to them
-    before anything wide is moved.
+    The hits are written first: read back, their true size is known, so Spark
+    broadcasts them while they are small and the chunk side is only scanned.
     """
+    few = stored(hits, "hits")
     fields = chunks.select("id", "text", "channel_name", "permalink")
-    return hits.join(fields, "id").select(
+    return fields.join(few, "id").select(
         "query_id", "rank", "id", "text", "channel_name", "permalink", "score"
     )
 
 
-def fit_cells(corpus: DataFrame, cells: int, seed: int = 42) -> DataFrame:
-    """Cell centres of a dense corpus: ``cell, embedding``."""
+def fit_cells(
+    corpus: DataFrame, cells: int, seed: int = 42, train_rows: int = TRAIN_ROWS
+) -> DataFrame:
+    """Cell centres of a dense corpus: ``id, embedding``.
+
+    The centres of a large corpus are learned from about ``train_rows`` rows of
+    it; every row is still placed in a cell and searched.
+    """
+    total = corpus.count()
+    if total > train_rows:
+        corpus = corpus.sample(fraction=train_rows / total, seed=seed)
     vectors = corpus.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     model = KMeans(k=cells, seed=seed, featuresCol="v", distanceMeasure="cosine").fit(vectors)
     rows = [(str(n), [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())]
@@ -216,7 +231,7 @@ def top_k_cells(
     queries: DataFrame,
     k: int = TOP_K,
     cells: int = 16,
-    probes: int = 4,
+    probes: int = 8,
     seed: int = 42,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
@@ -229,7 +244,10 @@ def top_k_cells(
     rows = corpus.select(F.col("id").alias("query_id"), "embedding")
     # every row looks for its own cell the way a question looks for a row
     home = _nearest_centres(rows, centres, 1)
-    placed = home.select(F.col("query_id").alias("id"), "embedding", F.col("cells")[0].alias("cell"))
+    placed = stored(
+        home.select(F.col("query_id").alias("id"), "embedding", F.col("cells")[0].alias("cell")),
+        "cells",
+    )
     sizes = placed.groupBy("cell").agg(
         F.ceil(F.count("*") / split_rows).cast("int").alias("splits")
     )
