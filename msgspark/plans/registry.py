@@ -28,7 +28,7 @@ from .bindings import (
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-CAP = 20  # per-channel cap of the capped queries
+CAP = 20  # per-channel cap of the two limit queries
 DIM = 256  # buckets of the embedding queries
 
 
@@ -45,7 +45,7 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
 
 @query
 def history_scan_query(t: Tables) -> DataFrame:
-    return history_scan(t.posts(), roster_scan(t.roster()), limit=CAP)
+    return history_scan(t.posts(), roster_scan(t.roster()))
 
 
 @query
@@ -150,7 +150,7 @@ def unindexed_channels(t: Tables) -> DataFrame:
 
 @query
 def backfill_messages(t: Tables) -> DataFrame:
-    rows = ingest.backfill_messages(t.posts(), t.roster(), t.known_posts(), limit=CAP)
+    rows = ingest.backfill_messages(t.posts(), t.roster(), t.known_posts())
     return rows.select("id", "channel_name", "text")
 
 
@@ -442,7 +442,7 @@ def _event_roster(t: Tables) -> DataFrame:
 @query
 def catchup_summary(t: Tables) -> DataFrame:
     roster = _event_roster(t)
-    found = ingest.catchup_messages(t.events(), roster, t.events_cutoff(), CAP, "event_time")
+    found = ingest.catchup_messages(t.events(), roster, t.events_cutoff(), time_column="event_time")
     found = stored(found, "recent")
     return reports.catchup_summary(
         roster_scan(roster, only_joined=True), found, ingest.index_documents(found)
@@ -462,7 +462,7 @@ def catchup_index(t: Tables) -> DataFrame:
 
 @query
 def backfill_index(t: Tables) -> DataFrame:
-    found = ingest.backfill_messages(t.posts(), t.roster(), t.known_posts(), limit=CAP)
+    found = ingest.backfill_messages(t.posts(), t.roster(), t.known_posts())
     return ingest.index_documents(found)
 
 
