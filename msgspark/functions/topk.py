@@ -47,6 +47,7 @@ class Best:
         self.k = k
         self.positive = positive
         self.rows: list[list[tuple[float, str]]] = [[] for _ in questions]
+        self.floor = np.full(len(questions), -np.inf)  # score of the k-th row so far
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
@@ -56,23 +57,23 @@ class Best:
             scores = np.round(raw, DIGITS)
             if self.positive:
                 scores[raw <= 0] = -np.inf
-            if len(ids) > self.k:
-                edge = -np.partition(-scores, self.k - 1, axis=0)[self.k - 1]
-            else:
-                edge = np.full(scores.shape[1], -np.inf)
-            for j in range(scores.shape[1]):
-                self._merge(first + j, ids, scores[:, j], edge[j])
-
-    def _merge(self, question: int, ids: np.ndarray, scores: np.ndarray, edge: float) -> None:
-        best = self.rows[question]
-        if len(best) == self.k:
-            edge = max(edge, -best[-1][0])
-        rows = np.flatnonzero((scores >= edge) & (scores > -np.inf))
-        if len(rows) == 0:
-            return
+            top = scores.max(axis=0)
+            # after a few batches most questions have nothing to gain from a batch
+            gains = (top >= self.floor[first : first + QUESTIONS]) & (top > -np.inf)
+            for j in np.flatnonzero(gains):
+                self._merge(first + j, ids, scores[:, j])
+
+    def _merge(self, question: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        floor = self.floor[question]
+        if len(ids) > self.k:
+            floor = max(floor, -np.partition(-scores, self.k - 1)[self.k - 1])
+        rows = np.flatnonzero((scores >= floor) & (scores > -np.inf))
         rows = rows[np.argsort(-scores[rows], kind="stable")][: self.k]
-        merged = best + [(-float(scores[r]), str(ids[r])) for r in rows]
-        self.rows[question] = sorted(merged)[: self.k]
+        found = [(-float(scores[r]), str(ids[r])) for r in rows]
+        best = sorted(self.rows[question] + found)[: self.k]
+        self.rows[question] = best
+        if len(best) == self.k:
+            self.floor[question] = -best[-1][0]
 
     def table(self, query_ids: list, schema: pa.Schema) -> pa.RecordBatch:
         hits = [(q, i, -s) for q, row in zip(query_ids, self.rows) for s, i in row]

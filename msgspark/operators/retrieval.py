@@ -27,8 +27,7 @@ from .limits import top_n_per_key
 
 TOP_K = 5
 MAX_QUESTION_BYTES = 64 << 20
-SPLIT_ROWS = 200_000
-BLOCK_QUESTIONS = 4096
+MAX_SPLIT_BYTES = 256 << 20
 TRAIN_ROWS = 1_000_000
 
 
@@ -149,6 +148,15 @@ def _rank(hits: DataFrame, k: int) -> DataFrame:
     return best.select("query_id", "rank", "id", "score")
 
 
+def _rows_in(limit_bytes: int, width: int) -> int:
+    return max(1, limit_bytes // (8 * max(1, width)))
+
+
+def _width(vectors: DataFrame) -> int:
+    first = vectors.select(F.size("embedding")).first()
+    return first[0] if first else 1
+
+
 def top_k(
     corpus: DataFrame,
     queries: DataFrame,
@@ -156,8 +164,8 @@ def top_k(
     dim: int | None = None,
     positive: bool = False,
     max_question_bytes: int = MAX_QUESTION_BYTES,
-    split_rows: int = SPLIT_ROWS,
-    block_questions: int = BLOCK_QUESTIONS,
+    split_rows: int | None = None,
+    block_questions: int | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest corpus rows per question: ``query_id, rank, id, score``.
 
@@ -167,16 +175,21 @@ def top_k(
     """
     form = _Form(dim)
     questions = queries.select("query_id", *form.columns)
-    width = dim
-    if width is None:
-        first = questions.select(F.size("embedding")).first()
-        width = first[0] if first else 1
-    fits = max(0, max_question_bytes // (8 * max(1, width)))
+    width = dim or _width(questions)
+    fits = max_question_bytes // (8 * max(1, width))
     rows = questions.limit(fits + 1).collect() if fits else []
     if fits and len(rows) <= fits:
         hits = _scan(corpus, questions, rows, form, k, positive)
     else:
-        hits = _grid(corpus, questions, form, k, positive, split_rows, block_questions)
+        hits = _grid(
+            corpus,
+            questions,
+            form,
+            k,
+            positive,
+            split_rows or _rows_in(MAX_SPLIT_BYTES, width),
+            block_questions or _rows_in(MAX_QUESTION_BYTES, width),
+        )
     return _rank(hits, k)
 
 
@@ -233,13 +246,14 @@ def top_k_cells(
     cells: int = 16,
     probes: int = 8,
     seed: int = 42,
-    split_rows: int = SPLIT_ROWS,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """Approximate nearest rows: search only the ``probes`` cells nearest to a question.
 
     Within those cells the search is exact. A large cell is cut into splits of
     about ``split_rows`` rows, so a hot cell does not become one group.
     """
+    split_rows = split_rows or _rows_in(MAX_SPLIT_BYTES, _width(queries))
     centres = fit_cells(corpus, cells, seed)
     rows = corpus.select(F.col("id").alias("query_id"), "embedding")
     # every row looks for its own cell the way a question looks for a row

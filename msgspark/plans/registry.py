@@ -198,6 +198,11 @@ def chunk_marked(t: Tables) -> DataFrame:
     return chunking.chunk_boundaries(t.marked())
 
 
+@query
+def chunk_bulleted(t: Tables) -> DataFrame:
+    return chunking.chunk_documents(t.bulleted(), overlap=ingest.INDEX_OVERLAP).select("id", "text")
+
+
 @query
 def cjk_share(t: Tables) -> DataFrame:
     return chunking.script_share(t.documents())
