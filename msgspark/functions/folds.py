@@ -87,7 +87,7 @@ def walk_emit(
         if n == 0:
             return lambda acc: step(acc["st"], _push(acc))
         return lambda acc: F.aggregate(
-            F.array(*[F.lit(0)] * block),
+            F.expr(f"sequence(1, {block})"),
             F.struct(acc["st"].alias("st"), nothing.alias("out")),
             idle(limit, level(n - 1, limit)),
             _join(acc),

@@ -34,7 +34,9 @@ class Tables:
         return conversation_messages(self.table("conversations"))
 
     def events(self) -> DataFrame:
-        us = F.unix_micros(F.to_timestamp("ts"))
+        us = F.expr(
+            "timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', cast(ts AS timestamp_ntz))"
+        )
         ts = F.format_string("%d.%06d", F.expr("_us div 1000000"), F.expr("_us % 1000000"))
         return self.table("events").withColumn("_us", us).select(
             F.col("event_type").alias("channel"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,15 +94,25 @@ def recent_scan(
     """Messages since ``cutoff``: cap the raw rows of every channel, then drop bots and blanks.
 
     With ``time_column`` the cutoff is a plain comparison that reaches the file
-    scan; otherwise the time is taken from ``ts``. No permalink is looked up.
+    scan; otherwise the time is taken from ``ts``. No permalink is looked up. A
+    cutoff without time zone is UTC.
     """
-    time = F.col(time_column) if time_column else message_time(F.col("ts"))
-    page = raw.filter(time >= F.lit(cutoff))
+    page = raw.filter(_since(raw, cutoff, time_column))
     if limit:
         page = cap_per_channel(page, limit, "ts")
     return normalize_messages(drop_blank(drop_bots(page)), roster)
 
 
+def _since(raw: DataFrame, cutoff: dt.datetime, time_column: str | None) -> Column:
+    utc = cutoff.replace(tzinfo=cutoff.tzinfo or dt.timezone.utc)
+    if time_column is None:
+        return message_time(F.col("ts")) >= F.lit(utc)
+    if isinstance(raw.schema[time_column].dataType, T.TimestampNTZType):
+        plain = utc.astimezone(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+        return F.col(time_column) >= F.expr(f"timestamp_ntz '{plain}'")
+    return F.col(time_column) >= F.lit(utc)
+
+
 def roster_scan(roster: DataFrame, only_joined: bool = False) -> DataFrame:
     """Channels that are not archived, optionally only the joined ones."""
     rows = roster.filter(~F.coalesce("is_archived", F.lit(False))).select(

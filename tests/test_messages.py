@@ -138,6 +138,21 @@ def test_recent_cutoff_reaches_the_scan(spark, sf_dir):
     assert "WindowGroupLimit" in text
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_recent_does_not_depend_on_the_session_zone(spark, raw, sf_dir, zone):
+    import check_oracles
+
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        con = check_oracles.database(sf_dir)
+        assert check_oracles.compare(spark, con, "recent_scan", sf_dir)[0] == "ok"
+        exact = dt.datetime(2024, 4, 5, 19, 34, 38, 901200)
+        page = recent_scan(raw.filter("channel = 'C1'"), exact)
+        assert texts(page) == ["hello", "no user"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_name_lookup_broadcasts_a_small_roster(raw, roster):
     plan = lookups.with_channel_names(raw, roster)
     plan.collect()
