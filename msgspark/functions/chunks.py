@@ -18,7 +18,8 @@ from .spans import SPAN, protected_spans
 from .text import cjk_count, cjk_share, strip
 
 PIECE = "struct<s:int,e:int,text:string>"
-TEXT_BLOCK = 1024
+BLOCK_BITS = 10
+TEXT_BLOCK = 1 << BLOCK_BITS
 
 # Default sizes of the data model.
 CHUNK_SIZE = 600
@@ -70,8 +71,8 @@ def _blocks(text: Column) -> Column:
 
 def _slice(blocks: Column, start: Column, end: Column) -> Column:
     """Characters ``start .. end-1``; ``end`` may lie past the end of the text."""
-    first = F.floor(start / TEXT_BLOCK).cast("int")
-    last = F.floor((end - 1) / TEXT_BLOCK).cast("int")
+    first = F.shiftright(start, BLOCK_BITS)
+    last = F.shiftright(end - 1, BLOCK_BITS)
     # a slice shorter than a block lies in one block or two neighbours
     near = F.when(first == last, F.get(blocks, first)).otherwise(
         F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
@@ -124,7 +125,7 @@ def _pick(masked: Column, width: Column) -> Column:
     Strong breaks (paragraph, sentence) in the last half win, rightmost first;
     then a newline, a space, a CJK comma there; then any space; then the width.
     """
-    half = F.floor(width * 0.5).cast("int")
+    half = F.shiftright(width, 1)
 
     def strong(tail: Column) -> Column:
         def kind(i: Column) -> Column:
@@ -132,7 +133,7 @@ def _pick(masked: Column, width: Column) -> Column:
             behind = F.substring(tail, i, F.lit(1))
             return half + i + (
                 F.when(ahead == "\n\n", 2)
-                .when(behind.isin(".", "!", "?", _STOP) & ahead.rlike("^[ \n]"), 1)
+                .when(behind.isin(".", "!", "?", _STOP) & (ahead.startswith(" ") | ahead.startswith("\n")), 1)
                 .otherwise(0)
             )
 
