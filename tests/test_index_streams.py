@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+from types import SimpleNamespace
 
 import pytest
 
@@ -62,6 +64,18 @@ def test_shared_folder_is_the_session_one(spark):
     assert kept.inputFiles()[0].replace("file://", "").startswith(shared_folder(spark))
 
 
+def test_shared_folder_without_a_setting():
+    def session(master):
+        conf = SimpleNamespace(get=lambda key, default=None: default)
+        context = SimpleNamespace(master=master, applicationId="app-test")
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    local = shared_folder(session("local[2]"))
+    assert os.path.isdir(local) and shared_folder(session("local[2]")) == local
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077"))
+
+
 @pytest.mark.parametrize("parts", [1, 3, 7])
 def test_live_index_equals_batch_for_any_split(spark, sf_dir, tmp_path, parts):
     feed_dir, path, state = (str(tmp_path / n) for n in ("feed", "log", "state"))
