@@ -33,3 +33,37 @@ SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, least.component_id,
        d.doc_id = least.component_id AS kept
 FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
+
+ORACLES["op3_exact_dedup"] = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS size,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents),
+g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY size DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY norm) AS group_size
+  FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+"""
+
+ORACLES["op2_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+starts AS (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS p FROM l),
+windows AS (
+  SELECT doc_id, p, row_number() OVER (
+    PARTITION BY array_to_string(ls[p:p + 2], chr(10)) ORDER BY doc_id, p) AS nth
+  FROM starts),
+covered AS (
+  SELECT DISTINCT doc_id, p + k AS i FROM windows, (VALUES (0), (1), (2)) AS t(k) WHERE nth > 1),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
+marked AS (
+  SELECT n.doc_id, n.line, n.i, c.i IS NOT NULL AS gone,
+         c.i IS NOT NULL AND b.i IS NULL AS opens
+  FROM lines n LEFT JOIN covered c ON c.doc_id = n.doc_id AND c.i = n.i
+  LEFT JOIN covered b ON b.doc_id = n.doc_id AND b.i = n.i - 1)
+SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_removed,
+       sum(opens::INT)::BIGINT AS n_spans,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), ''))
+         AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
