@@ -75,6 +75,11 @@ def _short(coordinates: np.ndarray) -> np.ndarray:
 
 def _agreement(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Number of equal coordinates of every left row with all right rows, a row at a time."""
+    if len(right) <= 128:
+        for a in range(0, len(left), 32):
+            counts = (left[a : a + 32, None, :] == right[None]).sum(axis=2)
+            yield from enumerate(counts, a)
+        return
     columns = np.ascontiguousarray(right.T)
     for x in range(len(left)):
         count = np.zeros(len(right), dtype=np.uint16)
