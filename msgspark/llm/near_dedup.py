@@ -236,7 +236,6 @@ def near_duplicates(
         .applyInArrow(_plausible(least), _PAIR)
     )
     hoods = components(edges, scratch)
-    sizes = table.join(classes.select("class", "doc_id"), ["class", "doc_id"], "left_semi")
     member = hoods.select(F.col("node").alias("class"), "root").join(
         classes.select(F.col("class"), F.col("doc_id").alias("rep")), "class"
     )
@@ -251,10 +250,11 @@ def near_duplicates(
         )
     )
     member = scratch.write(_blocks(member, ["root"], weight, "blocks"), "members")
+    # merged at every size, so that small runs show the plan and the growth of large ones
     texts = source.join(
-        member.select("rep", "class").distinct(), F.col("doc_id").eqNullSafe(F.col("rep"))
+        member.select("rep", "class").distinct().hint("merge"),
+        F.col("doc_id").eqNullSafe(F.col("rep")),
     ).select("class", "text")
-    del sizes
     links = (
         texts.join(member.drop("rep"), "class")
         .groupBy("root", "first", "second")
