@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .quality import fit, with_quality
 from .suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +68,23 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+def quality_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels to learn from; the others are held out."""
+    return table(spark, folder, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit(docs, quality_labels(spark, folder))
+    return with_quality(docs, model).select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
