@@ -11,8 +11,14 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .pieces import decode, encode
 from .quality import fit, with_quality
 from .suffix_dedup import remove_repeats
+from .token_counts import token_counts
+from .vocabulary import Vocabulary
+
+#: The vocabulary of the token queries; any model file of that library will do.
+VOCABULARY_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +74,26 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), Vocabulary.load(VOCABULARY_PATH))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = Vocabulary.load(VOCABULARY_PATH)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    second = F.get("alternatives", F.lit(0))
+    return decode(encode(docs, vocabulary), vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "score",
+        (F.col("score") - second["score"]).alias("loss_of_second"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def quality_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Labels to learn from; the others are held out."""
     return table(spark, folder, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
