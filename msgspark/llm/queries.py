@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
@@ -74,6 +75,19 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = language.fit(docs.where(part != 0))
+    return language.identify(docs, model).select(
+        "doc_id",
+        F.coalesce(part == 0, F.lit(False)).alias("held_out"),
+        F.col("lang").alias("lang_pred"),
+        "score",
+    )
+
+
 @query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), Vocabulary.load(VOCABULARY_PATH))
