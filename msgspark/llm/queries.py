@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .page_text import main_text
 from .pieces import decode, encode
 from .quality import fit, with_quality
 from .suffix_dedup import remove_repeats
@@ -125,6 +126,11 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
