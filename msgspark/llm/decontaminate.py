@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from .arrays import LOWER, U, mix, slices, span_hashes, utf8, word_spans
 
@@ -22,14 +24,11 @@ PART_BYTES = 1 << 20
 WORD = np.zeros(256, dtype=bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-_SCHEMA = pa.schema([
-    ("doc_id", pa.int64()), ("tag", pa.int64()), ("n_words", pa.int64()),
-    ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("spans", pa.list_(_SPAN)),
+_FOUND = pa.schema([
+    ("__tag", pa.int64()), ("n_words", pa.int64()), ("__hits", pa.list_(pa.int32())),
+    ("items", pa.list_(pa.int64())), ("spans", pa.list_(_SPAN)),
 ])
-_KIND = (
-    "doc_id long, tag long, n_words long, hits array<int>, items array<long>, "
-    "spans array<struct<start:long,stop:long>>"
-)
+_OUT = ("n_words", "n_hit", "items", "spans", "contaminated")
 
 
 class Automaton:
@@ -171,7 +170,7 @@ def _part(items: tuple[tuple[int, str], ...], window: int) -> Part:
 
 
 def _scan(items: tuple[tuple[int, str], ...], window: int, everything: bool):
-    """Hit words and items of every document, or only of those that have some."""
+    """Adds hit words and items to every document, or only to those that have some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _part(items, window)
@@ -193,17 +192,16 @@ def _scan(items: tuple[tuple[int, str], ...], window: int, everything: bool):
                     cut = stop
             marked = np.cumsum(hit[:-1]) > 0
             raw, rows = data.tobytes(), []
-            names = batch.column(0).to_pylist()
-            for i in range(batch.num_rows) if everything else sorted(found):
+            chosen = list(range(batch.num_rows)) if everything else sorted(found)
+            for i in chosen:
                 a, b = bounds[i], bounds[i + 1]
                 own = np.flatnonzero(marked[a:b]) if i in found else np.empty(0, np.int64)
                 opens = own[np.diff(own, prepend=-2) > 1]
                 closes = own[np.diff(own, append=b - a + 1) > 1]
                 rows.append({
-                    "doc_id": names[i],
-                    "tag": zlib.crc32(raw[offsets[i] : offsets[i + 1]]),
+                    "__tag": zlib.crc32(raw[offsets[i] : offsets[i + 1]]),
                     "n_words": int(b - a),
-                    "hits": own.tolist(),
+                    "__hits": own.tolist(),
                     "items": sorted(found.get(i, ())),
                     "spans": [
                         {"start": x, "stop": y}
@@ -215,7 +213,11 @@ def _scan(items: tuple[tuple[int, str], ...], window: int, everything: bool):
                     ],
                 })
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+                kept = batch if everything else batch.take(pa.array(chosen))
+                new = pa.RecordBatch.from_pylist(rows, schema=_FOUND)
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, *new.columns], names=[*kept.schema.names, *new.schema.names]
+                )
 
     return run
 
@@ -228,24 +230,25 @@ def contamination(
     one_in: int = ONE_IN,
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Benchmark words in every document.
+    """All columns of ``docs`` and the benchmark words in every document.
 
-    Returns (doc_id, n_words, n_hit, items, spans, contaminated): the number of words
-    and of words inside an occurrence of an item's window, the item_ids with occurring
-    windows, the byte ranges of the hit words (runs joined; empty when the items were
-    read in several parts), and n_hit > 0 and ``one_in`` * n_hit >= n_words.
+    n_words and n_hit are the numbers of words and of words inside an occurrence of an
+    item's window, items the item_ids with occurring windows, spans the byte ranges of
+    the hit words (runs joined; null when the items were read in several parts) and
+    contaminated means n_hit > 0 and ``one_in`` * n_hit >= n_words. Input columns of
+    these names are replaced.
 
     A window is ``window`` consecutive words of an item, or the whole of an item that
     has fewer; an item or text that is null or has no words has no windows and no hits.
-    Repeated items add nothing, repeated documents get a row each. Other columns are
-    ignored, rows of a null item_id too.
+    Repeated items add nothing, repeated documents get a row each; rows of a null
+    item_id are ignored.
 
     The items travel to the tasks; their size is checked and parts of ``part_bytes``
     are read one after the other, so a task never holds more than one part. Documents
-    are read where they lie and nothing of them is shuffled (with several parts, the
-    positions of hit words).
+    are read where they lie and nothing is shuffled; only with several parts, the
+    further findings are joined to the documents.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.drop(*_OUT, "__tag", "__hits")
     items = items.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("long").alias("item_id"), "text"
     )
@@ -255,35 +258,33 @@ def contamination(
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).distinct().collect()
         own = tuple(sorted((r.item_id, r.text) for r in rows))
-        found.append(docs.mapInArrow(_scan(own, window, k == 0), _KIND))
-    out = found[0].withColumn("n_hit", F.size("hits").cast("long"))
-    if parts > 1:
-        out = _joined(found)
-    return out.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        "items",
-        "spans",
-        ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        frame = docs if k == 0 else docs.select("doc_id", "text")
+        kind = T.StructType([*frame.schema.fields, *from_arrow_schema(_FOUND).fields])
+        found.append(frame.mapInArrow(_scan(own, window, k == 0), kind))
+    out = found[0] if parts == 1 else _joined(found)
+    out = out.withColumn("n_hit", F.size("__hits").cast("long")).withColumn(
+        "contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))
     )
+    return out.select(*docs.columns, *_OUT)
 
 
 def _joined(found: list[DataFrame]) -> DataFrame:
-    """The parts' findings by document; the first part has a row for each document row."""
-    rows = found[0].withColumn("row", F.lit(1))
-    for other in found[1:]:
-        rows = rows.unionByName(other.withColumn("row", F.lit(0)))
-    both = rows.groupBy("doc_id", "tag", "n_words").agg(
-        F.sum("row").cast("int").alias("rows"),
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    """The findings of the further parts put to those of the first, which has every row."""
+    more = found[1]
+    for other in found[2:]:
+        more = more.unionByName(other)
+    more = more.groupBy(F.col("doc_id").alias("__of"), F.col("__tag").alias("__as")).agg(
+        F.flatten(F.collect_list("__hits")).alias("__more"),
+        F.flatten(F.collect_list("items")).alias("__others"),
     )
-    return both.select(
-        "doc_id",
-        "n_words",
-        F.size("hits").cast("long").alias("n_hit"),
-        "items",
-        F.array().cast("array<struct<start:long,stop:long>>").alias("spans"),
-        F.explode(F.sequence(F.lit(1), "rows")),
+    both = found[0].join(
+        more,
+        F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__tag") == F.col("__as")),
+        "left",
     )
+    union = lambda a, b: F.array_union(a, F.coalesce(b, F.array().cast("array<long>")))
+    return both.withColumns({
+        "__hits": union(F.col("__hits").cast("array<long>"), F.col("__more").cast("array<long>")),
+        "items": F.array_sort(union(F.col("items"), F.col("__others"))),
+        "spans": F.lit(None).cast("array<struct<start:long,stop:long>>"),
+    })

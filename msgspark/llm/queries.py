@@ -64,7 +64,9 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = contamination(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    )
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
         "doc_id",
