@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..sources.messages import read_table
 
 BOT_USER = "UBOT"
+# Session setting: partitions to deal the documents out to, for a table that is one
+# file of one row group. Unset, the files' own splits are used.
+SPREAD = "msgspark.documents.partitions"
+# Pieces of the composed texts.
+LINK = "https://pages.example.org/item?id="
+CJK = "漢字の文章です、"
 
 
 class Tables:
@@ -19,8 +25,15 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def table(self, name: str, spread_by: str | None = None) -> DataFrame:
-        return read_table(self.spark, f"{self.folder}/{name}.parquet", spread_by=spread_by)
+    def table(self, name: str) -> DataFrame:
+        return read_table(self.spark, f"{self.folder}/{name}.parquet")
+
+    def texts(self) -> DataFrame:
+        parts = self.spark.conf.get(SPREAD, None)
+        path = f"{self.folder}/documents.parquet"
+        if parts:
+            return read_table(self.spark, path, spread_by="doc_id", parts=int(parts))
+        return read_table(self.spark, path)
 
     def feed(self, name: str) -> DataFrame:
         """The same table as a stream of files."""
@@ -68,24 +81,28 @@ class Tables:
     # normalised messages
 
     def documents(self) -> DataFrame:
-        docs = self.table("documents", spread_by="doc_id")
-        return document_messages(docs)
+        return document_messages(self.texts())
 
     def marked(self) -> DataFrame:
-        """Documents with a link in the middle of the text."""
-        pages = self.table("pages").select(F.col("page_id").alias("doc_id"), "url")
-        joined = self.table("documents", spread_by="doc_id").join(pages, "doc_id")
-        text = F.concat("text", F.lit(" see "), "url", F.lit(" "), "text")
-        return document_messages(joined.withColumn("text", text))
+        """Every document with a link in the middle of the text."""
+        url = F.concat(F.lit(LINK), "doc_id")
+        text = F.concat("text", F.lit(" see "), url, F.lit(" "), "text")
+        return document_messages(self.texts().withColumn("text", text))
 
     def bulleted(self) -> DataFrame:
-        """Documents between two list lines; the first holds code and links."""
-        pages = self.table("pages").select(F.col("page_id").alias("doc_id"), "url")
-        joined = self.table("documents", spread_by="doc_id").join(pages, "doc_id")
+        """Every document between two list lines; code, a link and fenced code around it."""
+        url = F.concat(F.lit(LINK), "doc_id")
+        fenced = F.concat(F.lit("\n```\nrun "), url, F.lit("\n```\n"))
         text = F.concat(
-            F.lit("- see `"), "url", F.lit("` or "), "url", F.lit("\n"), "text", F.lit("\n1. done")
+            F.lit("- see `"), url, F.lit("` or "), url, F.lit("\n"), "text", fenced, F.lit("1. done")
         )
-        return document_messages(joined.withColumn("text", text))
+        return document_messages(self.texts().withColumn("text", text))
+
+    def mixed_script(self) -> DataFrame:
+        """Every document with CJK sentences in it: few in some, over a third in others."""
+        said = F.concat(F.lit("。"), F.repeat(F.lit(CJK), F.pmod("doc_id", F.lit(8)).cast("int")))
+        text = F.regexp_replace("text", r"\. ", F.concat(F.lit(". "), said, F.lit(" ")))
+        return document_messages(self.texts().withColumn("text", text))
 
     # dimensions
 

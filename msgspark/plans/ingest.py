@@ -12,13 +12,7 @@ from ..functions.chunks import CHUNK_SIZE, default_tokens
 from ..operators.chunking import chunk_documents
 from ..operators.lookups import messages_of, unindexed_channels
 from ..operators.normalize import normalize_messages
-from ..sources.messages import (
-    HISTORY_LIMIT,
-    RECENT_LIMIT,
-    history_scan,
-    recent_scan,
-    roster_scan,
-)
+from ..sources.messages import history_scan, recent_scan, roster_scan
 
 # Fixed value: overlap of the index jobs; the chunker itself defaults to none.
 INDEX_OVERLAP = 100
@@ -49,10 +43,10 @@ def catchup_messages(
     raw: DataFrame,
     roster: DataFrame,
     cutoff: dt.datetime,
-    limit: int = RECENT_LIMIT,
+    limit: int | None = None,
     time_column: str | None = None,
 ) -> DataFrame:
-    """Recent messages of the joined channels, all channels in one scan."""
+    """Recent messages of the joined channels, all channels in one scan; no cap unless asked."""
     joined = roster_scan(roster, only_joined=True)
     return recent_scan(messages_of(raw, joined), cutoff, roster, limit, time_column)
 
@@ -62,9 +56,9 @@ def backfill_messages(
     roster: DataFrame,
     indexed: DataFrame,
     links: DataFrame | None = None,
-    limit: int = HISTORY_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """History of the joined channels the index does not know yet."""
+    """History of the joined channels the index does not know yet; no cap unless asked."""
     new = unindexed_channels(roster_scan(roster, only_joined=True), indexed)
     return history_scan(messages_of(raw, new), roster, links, limit)
 

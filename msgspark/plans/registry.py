@@ -205,12 +205,25 @@ def chunk_bulleted(t: Tables) -> DataFrame:
 
 @query
 def cjk_share(t: Tables) -> DataFrame:
-    return chunking.script_share(t.documents())
+    return chunking.script_share(t.mixed_script())
 
 
 @query
 def token_budget(t: Tables) -> DataFrame:
-    return chunking.token_budget(chunking.chunk_documents(t.documents()))
+    """Budget of chunks that were cut without it, so that some are over."""
+    cut = chunking.chunk_documents(t.mixed_script(), use_tokens=False)
+    return chunking.token_budget(cut)
+
+
+@query
+def token_retry(t: Tables) -> DataFrame:
+    return chunking.chunk_boundaries(t.mixed_script())
+
+
+@query
+def chunk_mixed(t: Tables) -> DataFrame:
+    rows = chunking.chunk_documents(t.mixed_script(), overlap=ingest.INDEX_OVERLAP)
+    return rows.select("id", "text")
 
 
 @query
@@ -415,10 +428,10 @@ def ingest_summary(t: Tables) -> DataFrame:
 
 @query
 def channel_outcomes(t: Tables) -> DataFrame:
-    """Archived channels are reported as failed; posts of one region are indexed."""
+    """Archived channels are reported as failed; the posts of all channels are indexed."""
     roster = t.roster()
     failed = roster.filter("is_archived").select(F.col("id").alias("channel"))
-    posts = normalize.normalize_messages(t.known_posts(), roster)
+    posts = normalize.normalize_messages(t.posts(), roster)
     return reports.channel_outcomes(roster, posts, ingest.index_documents(posts), failed)
 
 

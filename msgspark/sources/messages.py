@@ -14,11 +14,6 @@ from ..operators.limits import cap_per_channel
 from ..operators.normalize import normalize_messages
 from ..schemas import LINK, RAW_MESSAGE, ROSTER
 
-# Default caps of the two scans.
-HISTORY_LIMIT = 1000
-RECENT_LIMIT = 500
-RECENT_HOURS = 24
-
 
 def read_table(
     spark: SparkSession,
@@ -26,20 +21,20 @@ def read_table(
     schema: T.StructType | None = None,
     fmt: str = "parquet",
     spread_by: str | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Read files with a declared schema (Parquet may supply its own).
 
-    ``spread_by`` names a column to repartition by when the files give fewer
-    splits than the session has task slots; a large input is never shuffled.
+    ``spread_by`` names a column to repartition by, for a job that knows its files
+    give too few splits; ``parts`` is the number of partitions then (the session's
+    shuffle partitions if not given).
     """
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
     if spread_by is not None:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots, spread_by)
+        df = df.repartition(parts, spread_by) if parts else df.repartition(spread_by)
     return df
 
 
@@ -76,9 +71,9 @@ def history_scan(
     raw: DataFrame,
     roster: DataFrame | None = None,
     links: DataFrame | None = None,
-    limit: int | None = HISTORY_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Channel history: drop blank texts, keep bots, then cap every channel."""
+    """Channel history: drop blank texts, keep bots; ``limit`` caps every channel after that."""
     kept = drop_blank(raw)
     capped = cap_per_channel(kept, limit, "ts") if limit else kept
     return normalize_messages(capped, roster, links, bots=True, trim_text=False)
@@ -88,10 +83,12 @@ def recent_scan(
     raw: DataFrame,
     cutoff: dt.datetime,
     roster: DataFrame | None = None,
-    limit: int | None = RECENT_LIMIT,
+    limit: int | None = None,
     time_column: str | None = None,
 ) -> DataFrame:
-    """Messages since ``cutoff``: cap the raw rows of every channel, then drop bots and blanks.
+    """Messages since ``cutoff`` without bots and blanks.
+
+    ``limit`` caps the raw rows of every channel first, so dropped rows count too.
 
     With ``time_column`` the cutoff is a plain comparison that reaches the file
     scan; otherwise the time is taken from ``ts``. No permalink is looked up. A
