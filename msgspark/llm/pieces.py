@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heappop, heappush, nsmallest
-from itertools import chain
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
-from .vocabulary import SPACE, Remembered, Vocabulary, marked
+from .arrays import packed, ragged, slices
+from .lattices import Lexicon
+from .vocabulary import SPACE, Vocabulary, marked
 
 N_BEST = 3
+SLICE = 2 << 20
 _EDIT = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])
 _ALTERNATIVE = pa.struct([("score", pa.float64()), ("edits", pa.list_(_EDIT))])
 _COLUMNS = {
@@ -78,51 +80,63 @@ def _ids(vocabulary: Vocabulary, part: str, link) -> list[int]:
     return ids
 
 
-def _combined(found: list[list[tuple[float, list[int]]]], most: int) -> list[tuple[float, dict[int, int]]]:
-    """The next ``most`` segmentations of the whole text after the best one.
-
-    Each is (loss, {part: which of its segmentations}), others being the best. Only
-    the ``most`` parts with the least loss of their second choice can matter.
-    """
-    close = nsmallest(
-        most, ((f[0][0] - f[1][0], k) for k, f in enumerate(found) if len(f) > 1)
-    )
-    places = [k for _, k in close]
-    out, agenda, seen = [], [(0.0, (0,) * len(places))], set()
+def _combined(loss: float, found: list[list[tuple[float, list[int]]]], most: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The next ``most`` choices among the segmentations of several parts, the best left out."""
+    out, agenda, seen = [], [(loss, (0,) * len(found))], set()
     while agenda and len(out) <= most:
         loss, choice = heappop(agenda)
-        out.append((loss, {k: c for k, c in zip(places, choice, strict=True) if c}))
-        for p, k in enumerate(places):
-            c = choice[p] + 1
-            if c < len(found[k]):
-                other = (*choice[:p], c, *choice[p + 1 :])
+        out.append((loss, choice))
+        for p, c in enumerate(choice):
+            if c + 1 < len(found[p]):
+                other = (*choice[:p], c + 1, *choice[p + 1 :])
                 if other not in seen:
                     seen.add(other)
-                    step = found[k][c - 1][0] - found[k][c][0]
-                    heappush(agenda, (loss + step, other))
+                    heappush(agenda, (loss + found[p][c][0] - found[p][c + 1][0], other))
     return out[1:]
 
 
-def encode_text(vocabulary: Vocabulary, known: dict, text: str | None, most: int) -> dict:
-    parts = vocabulary.parts(marked(text))
-    found = list(map(known.__getitem__, parts))
-    score = sum(f[0][0] for f in found)
-    ids = np.fromiter(chain.from_iterable(f[0][1] for f in found), dtype=np.int32)
-    alternatives = []
-    others = _combined(found, most - 1) if most > 1 else []
-    if others:
-        at = np.cumsum([0, *(len(f[0][1]) for f in found)])
-        alternatives = [
-            {
-                "score": score - loss,
+def encode_texts(
+    lexicon: Lexicon, texts: list[str | None], most: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
+    """ids end to end, bounds, scores and alternatives of the texts.
+
+    Every part is scored once. Only the ``most`` - 1 parts of a text that lose least by
+    their second choice can differ in its next best segmentations, so the search runs
+    for those alone.
+    """
+    codes = lexicon.read([lexicon.vocabulary.parts(marked(text)) for text in texts])
+    names: list[str] | None = None
+    flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
+    counts = np.diff(lexicon.bounds)[flat] if len(flat) else flat
+    ids = lexicon.flat[ragged(lexicon.bounds[:-1][flat], counts)] if len(flat) else np.empty(0, np.int32)
+    cuts = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    scores, alternatives = np.zeros(len(texts)), []
+    for i, own in enumerate(codes):
+        scores[i] = lexicon.score[own].sum()
+        alternatives.append([])
+        if most < 2 or not len(own):
+            continue
+        loss = lexicon.loss[own]
+        near = np.argpartition(loss, most - 2)[: most - 1] if len(loss) >= most else np.arange(len(loss))
+        near = np.sort(near[np.isfinite(loss[near])])
+        found = []
+        for k in own[near].tolist():
+            if k not in lexicon.known:
+                names = names or list(lexicon.index)
+                lexicon.known[k] = n_best(lexicon.vocabulary, names[k], most)
+            found.append(lexicon.known[k])
+        begin = at[cuts[i] + near] - at[cuts[i]]
+        for lost, choice in _combined(0.0, found, most - 1):
+            alternatives[i].append({
+                "score": float(scores[i] - lost),
                 "edits": [
-                    {"at": int(at[k]), "size": len(found[k][0][1]), "ids": found[k][c][1]}
-                    for k, c in sorted(choice.items())
+                    {"at": int(b), "size": len(f[0][1]), "ids": f[c][1]}
+                    for b, f, c in zip(begin, found, choice, strict=True)
+                    if c
                 ],
-            }
-            for loss, choice in others
-        ]
-    return {"ids": ids, "score": score, "alternatives": alternatives}
+            })
+    return ids, at[cuts], scores, alternatives
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, most: int = N_BEST) -> DataFrame:
@@ -139,26 +153,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, most: int = N_BEST) -> Da
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Remembered(lambda part: n_best(vocabulary, part, most))
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                rows = [encode_text(vocabulary, known, t, most) for t in texts]
-                sizes = np.array([len(r["ids"]) for r in rows])
-                ids = pa.ListArray.from_arrays(
-                    np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32),
-                    np.concatenate([r["ids"] for r in rows]),
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns,
-                        ids,
-                        pa.array([float(r["score"]) for r in rows], pa.float64()),
-                        pa.array([r["alternatives"] for r in rows], pa.list_(_ALTERNATIVE)),
-                    ],
-                    names=[*part.schema.names, *_COLUMNS],
-                )
+        lexicon = Lexicon(vocabulary, most > 1)
+        for part, _, _ in slices(packed(batches, "text", SLICE), "text", SLICE):
+            texts = part.column(part.schema.get_field_index("text")).to_pylist()
+            ids, bounds, scores, alternatives = encode_texts(lexicon, texts, most)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *part.columns,
+                    pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids)),
+                    pa.array(scores),
+                    pa.array(alternatives, pa.list_(_ALTERNATIVE)),
+                ],
+                names=[*part.schema.names, *_COLUMNS],
+            )
 
     return docs.mapInArrow(run, schema)
 

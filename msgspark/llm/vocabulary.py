@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import ahocorasick
@@ -13,10 +13,10 @@ SPACE = "▁"
 #: Fixed value of the tokenizer: what an unknown character costs below the least score.
 UNKNOWN_PENALTY = 10.0
 #: Distinct parts that a task remembers before it starts afresh.
-MOST_REMEMBERED = 400_000
+MOST_REMEMBERED = 300_000
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Vocabulary:
     """Pieces with scores; ids are positions. Bytes stand in for unknown characters.
 
@@ -31,7 +31,6 @@ class Vocabulary:
     scores: tuple[float, ...]
     normal: frozenset[int]
     byte_ids: tuple[int, ...]
-    _made: dict = field(default_factory=dict, compare=False, repr=False)
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -56,7 +55,6 @@ class Vocabulary:
     def __setstate__(self, state):
         for name, value in zip(("pieces", "scores", "normal", "byte_ids"), state, strict=True):
             object.__setattr__(self, name, value)
-        object.__setattr__(self, "_made", {})
 
     @cached_property
     def matches(self) -> ahocorasick.Automaton:

@@ -6,9 +6,10 @@ from frames import ODD, docs
 from pyspark.sql import functions as F
 
 from msgspark.llm import pieces
+from msgspark.llm.lattices import Lexicon, Segments
 from msgspark.llm.pieces import decode, encode, n_best
 from msgspark.llm.queries import VOCABULARY_PATH
-from msgspark.llm.token_counts import token_counts
+from msgspark.llm.token_counts import count_pieces, token_counts
 from msgspark.llm.vocabulary import Vocabulary, marked
 
 ROWS = ODD + [
@@ -61,14 +62,13 @@ def test_same_pieces_as_the_library(spark, library, sf_dir):
 def test_next_best_scores_are_those_of_the_library(library):
     model, vocabulary = library
     for text in ("hello world", "Déjà vu 123", "the rapid", "a", "internationalisation of things"):
-        known = pieces.Remembered(lambda part: n_best(vocabulary, part, 4))
-        made = pieces.encode_text(vocabulary, known, text, 4)
-        mine = [made["ids"].tolist(), *(apply(made["ids"], a["edits"]) for a in made["alternatives"])]
+        ids, _, total, others = pieces.encode_texts(Lexicon(vocabulary, True), [text], 4)
+        mine = [ids.tolist(), *(apply(ids, a["edits"]) for a in others[0])]
         score = lambda ids: sum(vocabulary.scores[i] for i in ids)
         theirs = model.nbest_encode_as_ids(text, 4)
         assert [score(x) for x in mine] == [score(x) for x in theirs]
         assert len(set(map(tuple, mine))) == len(mine)
-        assert [made["score"], *(a["score"] for a in made["alternatives"])] == [score(x) for x in mine]
+        assert [total[0], *(a["score"] for a in others[0])] == [score(x) for x in mine]
 
 
 def test_search_finds_the_best_of_all_segmentations():
@@ -91,7 +91,12 @@ def test_search_finds_the_best_of_all_segmentations():
 
         walk(0, 0.0, [])
         got = n_best(vocabulary, text, 4)
-        assert [s for s, _ in got] == sorted((s for s, _ in found), reverse=True)[:4]
+        ranked = sorted((s for s, _ in found), reverse=True)
+        assert [s for s, _ in got] == ranked[:4]
+        whole = Segments(vocabulary, [text])
+        assert whole.score[0] == ranked[0]
+        assert whole.loss[0] == (ranked[0] - ranked[1] if len(ranked) > 1 else float("inf"))
+        assert count_pieces(vocabulary, text)[0] == len(whole.flat)
         assert all((s, ids) in found for s, ids in got)
 
 
