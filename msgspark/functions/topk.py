@@ -40,28 +40,39 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """Best ``k`` rows per question: higher rounded score first, then smaller id."""
+    """Best ``k`` rows per question: higher rounded score first, then smaller id.
 
-    def __init__(self, questions: np.ndarray, k: int, positive: bool):
+    ``wanted`` names the cells of each question; rows of other cells are no hits.
+    """
+
+    def __init__(self, questions: np.ndarray, k: int, wanted: list[frozenset[str]] | None = None):
         self.questions = questions
         self.k = k
-        self.positive = positive
+        self.by_cell: dict[str, np.ndarray] | None = None
+        if wanted is not None:
+            names = sorted(set().union(*wanted))
+            self.by_cell = {c: np.array([c in w for w in wanted]) for c in names}
         self.rows: list[list[tuple[float, str]]] = [[] for _ in questions]
         self.floor = np.full(len(questions), -np.inf)  # score of the k-th row so far
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray | None = None) -> None:
+        if self.by_cell is not None and cells is not None:
+            for cell in np.unique(cells):
+                if cell in self.by_cell:
+                    own = cells == cell
+                    self._add(ids[own], vectors[own], np.flatnonzero(self.by_cell[cell]))
+            return
+        self._add(ids, vectors, np.arange(len(self.questions)))
+
+    def _add(self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
-        for first in range(0, len(self.questions), QUESTIONS):
-            raw = vectors @ self.questions[first : first + QUESTIONS].T
-            scores = np.round(raw, DIGITS)
-            if self.positive:
-                scores[raw <= 0] = -np.inf
-            top = scores.max(axis=0)
+        for first in range(0, len(asked), QUESTIONS):
+            own = asked[first : first + QUESTIONS]
+            scores = np.round(vectors @ self.questions[own].T, DIGITS) + 0.0
             # after a few batches most questions have nothing to gain from a batch
-            gains = (top >= self.floor[first : first + QUESTIONS]) & (top > -np.inf)
-            for j in np.flatnonzero(gains):
-                self._merge(first + j, ids, scores[:, j])
+            for j in np.flatnonzero(scores.max(axis=0) >= self.floor[own]):
+                self._merge(own[j], ids, scores[:, j])
 
     def _merge(self, question: int, ids: np.ndarray, scores: np.ndarray) -> None:
         floor = self.floor[question]

@@ -67,10 +67,11 @@ def embed_missing(
 
     ``existing`` holds ``id``, ``text_hash`` (md5 of the text) and the ``vector``
     columns that ``embed`` adds. Decided row by row, not by the first row.
+    Of several vectors for one id and text any one is used.
     Output: the columns of ``df``, the vector columns and ``reused``.
     """
     keyed = df.withColumn("text_hash", F.md5("text"))
-    known = existing.select("id", "text_hash", *vector)
+    known = existing.select("id", "text_hash", *vector).dropDuplicates(["id", "text_hash"])
     kept = keyed.join(known, ["id", "text_hash"]).withColumn("reused", F.lit(True))
     todo = keyed.join(known.select("id", "text_hash"), ["id", "text_hash"], "left_anti")
     made = embed(todo).withColumn("reused", F.lit(False))

@@ -1,61 +1,137 @@
-"""The chunk index: an append-only log of chunk rows, merged when read.
+"""The chunk index: a log of chunk rows with their vectors, merged when read.
 
-A write only appends rows with a sequence number, so batch jobs and streams use
-the same sink and a replay changes nothing. Readers see the newest row per id.
-The sequence is supplied by the job, never read from a clock.
+Layout: ``path/generation=G/writer=W/batch=B``. Every writer has folders of its own, a
+batch is written whole and a replay overwrites it, so batch jobs and any number of
+streams share one index. A reset or a compaction starts the next generation and never
+touches the files that readers may hold.
+
+The newest row of an id wins: by the version of its message (its time, or that of its
+edit), then the sequence number of the job, then the batch. None is read from a clock.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import INDEX_ROW
+from ..schemas import CHUNK, INDEX_LOG, INDEX_ROW
+from ..sources.storage import stored
+from .embedding import embed_missing, hashed_embeddings
 
+DATA = [f.name for f in CHUNK.fields]
+VECTOR = ["text_hash", "buckets", "weights"]
 FIELDS = [f.name for f in INDEX_ROW.fields]
-DATA = [n for n in FIELDS if n != "seq"]
+PLACE = ["version", "seq", "batch", "writer"]
+
+
+def _place() -> Column:
+    return F.struct(*PLACE)
+
+
+def with_vectors(chunks: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Add ``text_hash``, ``buckets``, ``weights`` and ``reused``.
+
+    ``existing`` index rows lend their vector to the same id and text; only the rest is embedded.
+    """
+    if existing is None:
+        made = hashed_embeddings(chunks.withColumn("text_hash", F.md5("text")))
+        return made.withColumn("reused", F.lit(False))
+    kept = existing.select("id", *VECTOR).dropDuplicates(["id"])
+    made = embed_missing(chunks, kept, hashed_embeddings, ["buckets", "weights"])
+    return made.withColumn("text_hash", F.md5("text"))
 
 
 def as_log(chunks: DataFrame, seq: int) -> DataFrame:
-    """Chunk rows stamped with the sequence number of their write."""
-    return chunks.withColumn("seq", F.lit(seq).cast("bigint")).select(*FIELDS)
+    """Index rows of one write: one per id, stamped with version and sequence number.
+
+    ``version`` is a column of ``chunks`` or else the message time; text without one
+    counts as older than all.
+    """
+    if "buckets" not in chunks.columns:
+        chunks = with_vectors(chunks)
+    version = F.col("version") if "version" in chunks.columns else F.col("ts")
+    rows = chunks.withColumn(
+        "version", F.coalesce(version.try_cast("decimal(16,6)"), F.lit(-1).cast("decimal(16,6)"))
+    ).withColumn("seq", F.lit(seq).cast("bigint"))
+    rest = [F.col(c).asc_nulls_last() for c in DATA if c != "id"]
+    newest = Window.partitionBy("id").orderBy(F.col("version").desc(), *rest)
+    rows = rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1)
+    return rows.select(*FIELDS)
+
 
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(folder)]
+    return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"generation=(\d+)", n)))
 
-def append(chunks: DataFrame, path: str, seq: int) -> None:
-    as_log(chunks, seq).write.mode("append").parquet(path)
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_generations(spark, path))
+
+
+def _write(rows: DataFrame, path: str, generation: int, writer: str, batch: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/generation={generation}/writer={writer}/batch={batch}")
+
+
+def append(chunks: DataFrame, path: str, seq: int, writer: str = "batch", batch: int | None = None) -> None:
+    """Write chunk rows into the current generation; the same writer and batch replays.
+
+    A batch job has its sequence number for the batch.
+    """
+    spark = chunks.sparkSession
+    generation = max(_generations(spark, path), default=0)
+    _write(as_log(chunks, seq), path, generation, writer, seq if batch is None else batch)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(INDEX_ROW).parquet(path)
+    """Rows of all writers of the current generation."""
+    generation = max(_generations(spark, path), default=0)
+    reader = spark.read.schema(INDEX_LOG).option("basePath", f"{path}/generation={generation}")
+    return reader.parquet(f"{path}/generation={generation}")
 
 
 def latest(log: DataFrame, keep_known_permalink: bool = False) -> DataFrame:
-    """Newest row per chunk id.
+    """Newest row per chunk id, with its vector.
 
-    Rank 1 is cut before the shuffle, so an id that was written many times sends
-    one row per task. ``keep_known_permalink`` carries an older permalink over a
+    Winners are found on ids and places alone. The rows that lost are written first, so
+    their size is known: while they are few they are broadcast and the log with its
+    texts is only scanned. ``keep_known_permalink`` carries an older permalink over a
     newer empty one.
     """
-    rest = [F.col(c).asc_nulls_last() for c in DATA if c != "id"]
-    newest = Window.partitionBy("id").orderBy(F.col("seq").desc(), *rest)
-    top = log.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1).drop("_n")
+    keys = log.select("id", *PLACE)
+    best = keys.groupBy("id").agg(F.count("*").alias("_n"), F.max(_place()).alias("_best"))
+    lost = keys.join(best.filter("_n > 1"), "id").filter(_place() < F.col("_best"))
+    top = log.join(stored(lost.select("id", *PLACE), "lost"), ["id", *PLACE], "left_anti")
     if not keep_known_permalink:
-        return top.select(*DATA)
+        return top.select(*DATA, *VECTOR)
     known = log.filter(F.col("permalink") != "").groupBy(F.col("id").alias("_kid")).agg(
-        F.max_by("permalink", "seq").alias("_url")
+        F.max_by("permalink", _place()).alias("_url")
     )
     joined = top.join(known, top["id"] == known["_kid"], "left")
     url = F.when(F.col("permalink") == "", F.coalesce("_url", F.lit(""))).otherwise(F.col("permalink"))
-    return joined.withColumn("permalink", url).select(*DATA)
+    return joined.withColumn("permalink", url).select(*DATA, *VECTOR)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    return latest(read_log(spark, path))
 
 
 def upsert(index: DataFrame, updates: DataFrame, replace_document: bool = False) -> DataFrame:
-    """Index with ``updates`` (distinct ids) inserted or replacing rows of the same id.
+    """Index with ``updates`` inserted or replacing rows of the same id.
 
-    The index side keeps its rows by an anti join on the key alone; it is not
-    ranked or rewritten row by row. ``replace_document`` also drops the old
-    chunks of every updated message, so a shorter message leaves none behind.
+    Of several updates of one id the greatest text counts. The index side keeps its
+    rows by an anti join on the key alone; it is not ranked or rewritten row by row.
+    ``replace_document`` also drops the old chunks of every updated message, so a
+    shorter message leaves none behind.
     """
+    rest = [F.col(c).desc_nulls_last() for c in ("text", *(c for c in DATA if c not in ("id", "text")))]
+    one = Window.partitionBy("id").orderBy(*rest)
+    updates = updates.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
     if replace_document:
         doc = F.regexp_replace("id", "-chunk-[0-9]+$", "")
         changed = updates.select(doc.alias("_doc")).distinct()
@@ -65,16 +141,28 @@ def upsert(index: DataFrame, updates: DataFrame, replace_document: bool = False)
     return kept.select(*DATA).unionByName(updates.select(*DATA))
 
 
-def compact(log: DataFrame, path: str) -> None:
-    """Write the merged log to a new folder, to be read in place of the old one."""
-    latest(log).withColumn("seq", F.lit(0).cast("bigint")).select(*FIELDS).write.mode(
-        "errorifexists"
-    ).parquet(path)
+def compact(spark: SparkSession, path: str) -> None:
+    """Start a generation that holds the merged log as one base; writers pause meanwhile."""
+    generations = _generations(spark, path)
+    log = read_log(spark, path)
+    keys = log.select("id", *PLACE)
+    best = keys.groupBy("id").agg(F.max(_place()).alias("_best"))
+    won = best.select("id", *(F.col(f"_best.{c}").alias(c) for c in PLACE))
+    rows = log.join(won, ["id", *PLACE], "left_semi").select(*FIELDS)
+    _write(rows, path, max(generations) + 1, "base", 0)
 
 
 def reset(spark: SparkSession, path: str) -> None:
-    """Leave an empty index with the index schema at ``path``."""
-    spark.createDataFrame([], INDEX_ROW).write.mode("overwrite").parquet(path)
+    """Start an empty generation."""
+    generation = max(_generations(spark, path), default=0) + 1
+    _write(spark.createDataFrame([], INDEX_ROW), path, generation, "none", 0)
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Remove the generations before the current one, once no reader holds them."""
+    for generation in _generations(spark, path)[:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={generation}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def size(chunks: DataFrame) -> DataFrame:

@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ingest_summary(messages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Messages, chunks and oversize chunks per channel; the row without channel is the total.
+def ingest_summary(messages: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """Messages, chunks and longest chunk per channel; the row without channel is the total.
 
-    The total is summed from the channel rows, so each input is read once.
+    ``chunks`` are those of the job, ``index_chunks`` counts the whole ``index`` after it
+    by channel. Totals are summed from the channel rows, so each input is read once.
     """
+    held = index.groupBy(F.col("channel").alias("_i")).agg(F.count("*").alias("_held"))
     said = messages.groupBy("channel").agg(F.count("*").alias("messages"))
     cut = chunks.groupBy(F.col("channel").alias("_c")).agg(
         F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest")
     )
-    per = said.join(cut, said["channel"] == cut["_c"], "left").select(
-        "channel",
-        "messages",
+    per = said.join(cut, said["channel"] == cut["_c"], "left")
+    per = per.join(held, per["channel"] == held["_i"], "full_outer").select(
+        F.coalesce("channel", "_i").alias("channel"),
+        F.coalesce("messages", F.lit(0)).alias("messages"),
+        F.coalesce("_held", F.lit(0)).alias("index_chunks"),
         F.coalesce("chunks", F.lit(0)).alias("chunks"),
         F.coalesce("longest", F.lit(0)).cast("bigint").alias("longest_chunk"),
     )
@@ -26,6 +30,7 @@ def ingest_summary(messages: DataFrame, chunks: DataFrame) -> DataFrame:
         F.sum("messages").alias("messages"),
         F.sum("chunks").alias("chunks"),
         F.max("longest_chunk").alias("longest_chunk"),
+        F.sum("index_chunks").alias("index_chunks"),
     )
 
 
@@ -71,8 +76,11 @@ def dry_run_listing(roster: DataFrame) -> DataFrame:
     return roster.select("id", line.alias("line"))
 
 
-def catchup_summary(roster: DataFrame, messages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Channels checked, messages found and chunks written by a catch-up."""
+def catchup_summary(
+    roster: DataFrame, messages: DataFrame, chunks: DataFrame, index: DataFrame
+) -> DataFrame:
+    """Channels checked, messages found, chunks written by a catch-up, and chunks of the whole index."""
+    held = index.agg(F.count("*").alias("chunks"))
     checked = roster.agg(F.count("*").alias("channels"))
     found = messages.agg(F.count("*").alias("messages"))
     cut = chunks.agg(F.count("*").alias("chunks"))
@@ -80,5 +88,9 @@ def catchup_summary(roster: DataFrame, messages: DataFrame, chunks: DataFrame) -
         checked.select(F.lit("channels").alias("metric"), F.col("channels").alias("value")),
         found.select(F.lit("messages").alias("metric"), F.col("messages").alias("value")),
         cut.select(F.lit("chunks").alias("metric"), F.col("chunks").alias("value")),
+        held.select(F.lit("index_chunks").alias("metric"), F.col("chunks").alias("value")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -1,20 +1,17 @@
 """Top-k retrieval by cosine for a table of questions.
 
-The corpus is scanned once and never shuffled whole: every task keeps the best k
-rows per question and only those are ranked across tasks. The question side is
-shipped to the tasks while it fits ``max_question_bytes``; a larger one is cut
-into blocks that meet splits of the corpus in bounded groups.
+One plan for every size: the questions are dealt into blocks of bounded size, and for
+each block the corpus is scanned once where it lies. A task keeps the best k rows per
+question of the block; only those winners are shuffled and ranked. Nothing of the
+corpus is replicated or shuffled, and the driver passes on one block at a time.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +23,8 @@ from .embedding import hashed_embeddings
 from .limits import top_n_per_key
 
 TOP_K = 5
-MAX_QUESTION_BYTES = 64 << 20
-MAX_SPLIT_BYTES = 256 << 20
-TRAIN_ROWS = 1_000_000
+# Bytes of question vectors (as float64) that one block holds.
+BLOCK_BYTES = 32 << 20
 
 
 class _Form:
@@ -84,62 +80,54 @@ def _feed(best: kernel.Best, form: _Form, batch: pa.RecordBatch | pa.Table) -> N
     for first in range(0, batch.num_rows, kernel.ROWS):
         part = batch.slice(first, kernel.ROWS)
         ids = part.column(part.schema.get_field_index("id")).to_pylist()
-        best.add(np.array(ids, dtype=object), form.matrix(part))
+        at = part.schema.get_field_index("cell")
+        cells = np.array(part.column(at).to_pylist(), dtype=object) if at >= 0 else None
+        best.add(np.array(ids, dtype=object), form.matrix(part), cells)
 
 
 def _scan(
-    corpus: DataFrame, queries: DataFrame, rows: list, form: _Form, k: int, positive: bool
+    corpus: DataFrame, queries: DataFrame, rows: list, form: _Form, k: int, cells: bool = False
 ) -> DataFrame:
-    """Local winners of every task against questions that fit in memory."""
+    """Local winners of every task against one block of questions.
+
+    With ``cells`` a question (``cells``) meets only the rows of its cells (``cell``).
+    """
     questions = (
         [r["query_id"] for r in rows],
         form.matrix_of_rows(rows) if rows else np.zeros((0, 1)),
+        [frozenset(r["cells"]) for r in rows] if cells else None,
     )
     shared = corpus.sparkSession.sparkContext.broadcast(questions)
     schema = _arrow(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        best = kernel.Best(matrix, k, positive)
+        query_ids, matrix, wanted = shared.value
+        best = kernel.Best(matrix, k, wanted)
         for batch in batches:
             if len(query_ids):
                 _feed(best, form, batch)
         yield best.table(query_ids, schema)
 
-    return corpus.select("id", *form.columns).mapInArrow(run, _hit_schema(queries))
-
-
-def _meet(
-    corpus: DataFrame, queries: DataFrame, keys: list[str], form: _Form, k: int, positive: bool
-) -> DataFrame:
-    """Winners of every group of corpus rows and questions that share ``keys``."""
-    schema = _arrow(queries)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        query_ids = right.column("query_id").to_pylist()
-        if not query_ids or left.num_rows == 0:
-            return schema.empty_table()
-        best = kernel.Best(form.matrix(right), k, positive)
-        _feed(best, form, left)
-        return pa.Table.from_batches([best.table(query_ids, schema)], schema=schema)
-
-    left = corpus.select(*keys, "id", *form.columns).groupBy(*keys)
-    right = queries.select(*keys, "query_id", *form.columns).groupBy(*keys)
-    return left.cogroup(right).applyInArrow(run, _hit_schema(queries))
+    columns = ["id", *form.columns, *(["cell"] if cells else [])]
+    return corpus.select(*columns).mapInArrow(run, _hit_schema(queries))
 
 
-def _grid(
-    corpus: DataFrame, queries: DataFrame, form: _Form, k: int, positive: bool,
-    split_rows: int, block_questions: int,
+def _search(
+    corpus: DataFrame, questions: DataFrame, form: _Form, k: int, width: int, block_bytes: int,
+    cells: bool = False,
 ) -> DataFrame:
-    """Exact search for a question table of any size, in groups of bounded size."""
-    splits = max(1, math.ceil(corpus.count() / split_rows))
-    blocks = max(1, math.ceil(queries.count() / block_questions))
-    left = corpus.withColumn("_split", F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int"))
-    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    right = right.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    return _meet(left, right, ["_split", "_block"], form, k, positive)
+    """Winners of all blocks of questions; a block's winners are kept before the next starts."""
+    most = max(1, block_bytes // (8 * max(1, width)))
+    blocks = -(-questions.count() // most) or 1
+    found = []
+    for n in range(blocks):
+        own = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        hits = _scan(corpus, questions, own.collect(), form, k, cells)
+        found.append(hits if blocks == 1 else stored(hits, "winners"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return _rank(out, k)
 
 
 def _rank(hits: DataFrame, k: int) -> DataFrame:
@@ -148,10 +136,6 @@ def _rank(hits: DataFrame, k: int) -> DataFrame:
     return best.select("query_id", "rank", "id", "score")
 
 
-def _rows_in(limit_bytes: int, width: int) -> int:
-    return max(1, limit_bytes // (8 * max(1, width)))
-
-
 def _width(vectors: DataFrame) -> int:
     first = vectors.select(F.size("embedding")).first()
     return first[0] if first else 1
@@ -162,35 +146,18 @@ def top_k(
     queries: DataFrame,
     k: int = TOP_K,
     dim: int | None = None,
-    positive: bool = False,
-    max_question_bytes: int = MAX_QUESTION_BYTES,
-    split_rows: int | None = None,
-    block_questions: int | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact ``k`` nearest corpus rows per question: ``query_id, rank, id, score``.
 
     Dense vectors sit in ``embedding`` (``dim=None``), sparse ones in ``buckets``
     and ``weights``. Scores are rounded to six decimals and equal scores ordered
-    by id; ``positive`` leaves out rows that share nothing with the question.
+    by id. Every question gets k rows where the corpus has as many, whatever the
+    scores: a vector without length scores 0.
     """
     form = _Form(dim)
     questions = queries.select("query_id", *form.columns)
-    width = dim or _width(questions)
-    fits = max_question_bytes // (8 * max(1, width))
-    rows = questions.limit(fits + 1).collect() if fits else []
-    if fits and len(rows) <= fits:
-        hits = _scan(corpus, questions, rows, form, k, positive)
-    else:
-        hits = _grid(
-            corpus,
-            questions,
-            form,
-            k,
-            positive,
-            split_rows or _rows_in(MAX_SPLIT_BYTES, width),
-            block_questions or _rows_in(MAX_QUESTION_BYTES, width),
-        )
-    return _rank(hits, k)
+    return _search(corpus, questions, form, k, dim or _width(questions), block_bytes)
 
 
 def top_k_text(
@@ -206,7 +173,7 @@ def top_k_text(
     else:
         corpus = hashed_embeddings(chunks.select("id", "text"), dim).drop("text")
     asked = hashed_embeddings(questions.select("query_id", "text"), dim).drop("text")
-    return top_k(corpus, asked, k, dim, positive=True, **limits)
+    return top_k(corpus, asked, k, dim, **limits)
 
 
 def with_chunk_fields(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -222,66 +189,13 @@ def with_chunk_fields(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def fit_cells(
-    corpus: DataFrame, cells: int, seed: int = 42, train_rows: int = TRAIN_ROWS
-) -> DataFrame:
-    """Cell centres of a dense corpus: ``id, embedding``.
-
-    The centres of a large corpus are learned from about ``train_rows`` rows of
-    it; every row is still placed in a cell and searched.
-    """
-    total = corpus.count()
-    if total > train_rows:
-        corpus = corpus.sample(fraction=train_rows / total, seed=seed)
-    vectors = corpus.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model = KMeans(k=cells, seed=seed, featuresCol="v", distanceMeasure="cosine").fit(vectors)
-    rows = [(str(n), [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())]
-    return corpus.sparkSession.createDataFrame(rows, "id string, embedding array<double>")
-
-
-def top_k_cells(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int = TOP_K,
-    cells: int = 16,
-    probes: int = 8,
-    seed: int = 42,
-    split_rows: int | None = None,
-) -> DataFrame:
-    """Approximate nearest rows: search only the ``probes`` cells nearest to a question.
-
-    Within those cells the search is exact. A large cell is cut into splits of
-    about ``split_rows`` rows, so a hot cell does not become one group.
-    """
-    split_rows = split_rows or _rows_in(MAX_SPLIT_BYTES, _width(queries))
-    centres = fit_cells(corpus, cells, seed)
-    rows = corpus.select(F.col("id").alias("query_id"), "embedding")
-    # every row looks for its own cell the way a question looks for a row
-    home = _nearest_centres(rows, centres, 1)
-    placed = stored(
-        home.select(F.col("query_id").alias("id"), "embedding", F.col("cells")[0].alias("cell")),
-        "cells",
-    )
-    sizes = placed.groupBy("cell").agg(
-        F.ceil(F.count("*") / split_rows).cast("int").alias("splits")
-    )
-    left = placed.join(sizes, "cell").withColumn(
-        "_split", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")
-    )
-    wanted = _nearest_centres(queries.select("query_id", "embedding"), centres, probes)
-    right = wanted.select("query_id", "embedding", F.explode("cells").alias("cell")).join(
-        sizes, "cell"
-    )
-    right = right.withColumn("_split", F.explode(F.expr("sequence(0, splits - 1)")))
-    return _rank(_meet(left, right, ["cell", "_split"], _Form(None), k, False), k)
-
-
-def _nearest_centres(rows: DataFrame, centres: DataFrame, n: int) -> DataFrame:
-    """Add ``cells``: the ``n`` nearest centres of each row, nearest first.
+def place_in_cells(rows: DataFrame, centres: DataFrame, n: int = 1) -> DataFrame:
+    """Add ``cells``: the ``n`` nearest centres of each row, nearest first (ties by id).
 
-    The centres are few by construction (their number is an argument).
+    ``centres`` (``id, embedding``) are few by design, one per topic or label say, and
+    bound the size of what travels to the tasks. Done once when rows are indexed.
     """
-    found = centres.collect()
+    found = centres.orderBy("id").collect()
     names = np.array([r["id"] for r in found])
     matrix = kernel.unit(np.array([r["embedding"] for r in found], dtype=np.float64))
     form = _Form(None)
@@ -297,3 +211,27 @@ def _nearest_centres(rows: DataFrame, centres: DataFrame, n: int) -> DataFrame:
 
     schema = T.StructType(rows.schema.fields + [T.StructField("cells", T.ArrayType(T.StringType()))])
     return rows.mapInArrow(run, schema)
+
+
+def cell_index(corpus: DataFrame, centres: DataFrame) -> DataFrame:
+    """Corpus rows ``id, embedding`` with the ``cell`` they belong to."""
+    placed = place_in_cells(corpus.select("id", "embedding"), centres)
+    return placed.select("id", "embedding", F.col("cells")[0].alias("cell"))
+
+
+def top_k_cells(
+    index: DataFrame,
+    centres: DataFrame,
+    queries: DataFrame,
+    k: int = TOP_K,
+    probes: int = 2,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Approximate nearest rows: a question meets only the ``probes`` cells nearest to it.
+
+    ``index`` is what ``cell_index`` made. Within those cells the search is exact; a
+    question whose cells hold fewer than k rows gets fewer. The centres are given, so
+    no training and no sample of the corpus is needed.
+    """
+    asked = place_in_cells(queries.select("query_id", "embedding"), centres, probes)
+    return _search(index, asked, _Form(None), k, _width(queries), block_bytes, cells=True)

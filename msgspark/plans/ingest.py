@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunks import CHUNK_SIZE, default_tokens
+from ..operators import index
 from ..operators.chunking import chunk_documents
 from ..operators.lookups import messages_of, unindexed_channels
 from ..operators.normalize import normalize_messages
 from ..sources.messages import history_scan, recent_scan, roster_scan
+from ..sources.storage import stored
 
 # Fixed value: overlap of the index jobs; the chunker itself defaults to none.
 INDEX_OVERLAP = 100
@@ -63,8 +65,38 @@ def backfill_messages(
     return history_scan(messages_of(raw, new), roster, links, limit)
 
 
-def ingest_metrics(messages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Messages and chunks of one index job."""
-    said = messages.agg(F.count("*").alias("value")).select(F.lit("messages").alias("metric"), "value")
-    cut = chunks.agg(F.count("*").alias("value")).select(F.lit("chunks").alias("metric"), "value")
-    return said.unionByName(cut)
+def run_index(
+    messages: DataFrame,
+    path: str,
+    seq: int,
+    writer: str = "batch",
+    chunk_size: int = CHUNK_SIZE,
+    overlap: int = INDEX_OVERLAP,
+) -> DataFrame:
+    """Cut, embed and append normalised messages to the index at ``path``.
+
+    Only chunks whose id and text the index does not hold yet are embedded. Returns
+    the metrics of the job: messages, chunks written, how many of them were embedded,
+    and the chunks of the whole index afterwards.
+    """
+    spark = messages.sparkSession
+    known = index.current(spark, path) if index.exists(spark, path) else None
+    rows = index_documents(messages, chunk_size, overlap)
+    made = stored(index.with_vectors(rows, known), "made")
+    index.append(made, path, seq, writer)
+    return ingest_metrics(messages, made, index.current(spark, path))
+
+
+def ingest_metrics(messages: DataFrame, written: DataFrame, whole: DataFrame) -> DataFrame:
+    """Counts of one index job and of the index after it: ``metric, value``."""
+    parts = [
+        messages.agg(F.count("*").alias("value")).select(F.lit("messages").alias("metric"), "value"),
+        written.agg(F.count("*").alias("value")).select(F.lit("chunks").alias("metric"), "value"),
+        written.filter("not reused").agg(F.count("*").alias("value"))
+        .select(F.lit("embedded").alias("metric"), "value"),
+        whole.agg(F.count("*").alias("value")).select(F.lit("index_chunks").alias("metric"), "value"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

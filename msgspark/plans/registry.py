@@ -7,13 +7,14 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_mentions
 from ..operators import answers, chunking, embedding, filters, index, limits, lookups
 from ..operators import normalize, reports, retrieval
-from ..sources.messages import history_scan, recent_scan, roster_scan
+from ..schemas import RAW_MESSAGE
+from ..sources.messages import history_scan, recent_scan, roster_scan, stream_messages
 from ..sources.storage import fresh_path, stored
 from ..streaming import jobs
 from . import ingest
@@ -243,10 +244,11 @@ def chunk_documents(t: Tables) -> DataFrame:
 
 def hash_model(texts: list[str]) -> np.ndarray:
     """Example of a user-supplied model: hashed term frequencies in numpy."""
+    words = [re.findall(r"[^\W_]+", text.lower()) for text in texts]
+    rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    buckets = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % DIM for w in words for x in w]
     out = np.zeros((len(texts), DIM))
-    for row, text in zip(out, texts):
-        for word in re.findall(r"[^\W_]+", text.lower()):
-            row[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % DIM] += 1
+    np.add.at(out, (rows, np.array(buckets, dtype=np.int64)), 1)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -276,7 +278,7 @@ def embed_missing(t: Tables) -> DataFrame:
     english = docs.filter(F.col("user") == "en").withColumn("text_hash", F.md5("text"))
     existing = embed(english).select("id", "text_hash", "buckets", "weights")
     rows = embedding.embed_missing(docs.select("id", "text"), existing, embed, ["buckets", "weights"])
-    return rows.select("id", "reused", F.size("buckets").alias("terms"))
+    return rows.select("id", "reused", vector_text().alias("vector"))
 
 
 @query
@@ -285,21 +287,46 @@ def topk_dense(t: Tables) -> DataFrame:
 
 
 @query
-def topk_dense_grid(t: Tables) -> DataFrame:
-    return retrieval.top_k(
-        t.vectors(), t.centroids(), max_question_bytes=0, split_rows=100, block_questions=4
-    )
+def topk_dense_blocks(t: Tables) -> DataFrame:
+    """Four questions to a block, so that the corpus is scanned several times."""
+    return retrieval.top_k(t.vectors(), t.centroids(), block_bytes=4 * 64 * 8)
 
 
 @query
 def topk_approx(t: Tables) -> DataFrame:
-    return retrieval.top_k_cells(t.vectors(), t.centroids())
+    """Cells around the label means; a question searches the two nearest of them."""
+    centres = t.centroids().select(F.col("query_id").cast("string").alias("id"), "embedding")
+    centres = stored(centres, "centres")
+    placed = stored(retrieval.cell_index(t.vectors(), centres), "cells")
+    return retrieval.top_k_cells(placed, centres, t.centroids(), probes=2)
+
+
+def vector_text() -> Column:
+    """A sparse vector as text: bucket:weight in millionths, by bucket."""
+    pairs = F.arrays_zip("buckets", "weights")
+    return F.array_join(
+        F.transform(
+            pairs,
+            lambda p: F.concat(
+                p["buckets"], F.lit(":"), F.round(p["weights"] * 1e6).cast("bigint").cast("string")
+            ),
+        ),
+        " ",
+    )
+
+
+_INDEX_PATHS: dict[tuple[str, str], str] = {}
 
 
 def text_index(t: Tables) -> DataFrame:
-    """Index of all documents with their permalinks, written once and read back."""
-    linked = lookups.with_permalinks(t.documents().drop("permalink"), t.links())
-    return stored(ingest.index_documents(linked), "index")
+    """Index of all documents with permalinks and vectors: built once per application and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _INDEX_PATHS:
+        path = fresh_path(t.spark, "index")
+        linked = lookups.with_permalinks(t.documents().drop("permalink"), t.links())
+        index.append(ingest.index_documents(linked), path, 1)
+        _INDEX_PATHS[key] = path
+    return index.current(t.spark, _INDEX_PATHS[key])
 
 
 def text_hits(t: Tables) -> DataFrame:
@@ -393,7 +420,7 @@ def index_reset_count(t: Tables) -> DataFrame:
     index.append(ingest.index_documents(t.documents()), path, 1)
     before = index.read_log(t.spark, path).agg(F.count("*").alias("rows_before")).first()[0]
     index.reset(t.spark, path)
-    after = index.size(index.latest(index.read_log(t.spark, path)))
+    after = index.size(index.current(t.spark, path))
     return after.select(F.lit(before).cast("bigint").alias("rows_before"), F.col("chunks").alias("rows_after"))
 
 
@@ -409,7 +436,30 @@ def indexed_channels(t: Tables) -> DataFrame:
 
 @query
 def index_documents(t: Tables) -> DataFrame:
-    return ingest.index_documents(t.documents())
+    """Chunks with their vectors, as the index holds them."""
+    made = index.with_vectors(ingest.index_documents(t.documents()))
+    return made.select(*index.DATA, "text_hash", vector_text().alias("vector"))
+
+
+@query
+def index_job(t: Tables) -> DataFrame:
+    """Metrics of a second job over all documents, of which the English ones are indexed."""
+    path = fresh_path(t.spark, "index")
+    docs = t.documents()
+    ingest.run_index(docs.filter(F.col("user") == "en"), path, 1)
+    return ingest.run_index(docs, path, 2)
+
+
+@query
+def index_compacted(t: Tables) -> DataFrame:
+    """A compacted log and one more write on top."""
+    path = fresh_path(t.spark, "index")
+    docs = t.documents()
+    index.append(ingest.index_documents(docs), path, 1)
+    index.append(ingest.index_documents(docs.filter(F.col("user") == "fr"), overlap=0), path, 2)
+    index.compact(t.spark, path)
+    index.append(ingest.index_documents(docs.filter(F.col("user") == "en"), overlap=0), path, 3)
+    return index.current(t.spark, path).select("id", "text", "channel", "user")
 
 
 @query
@@ -422,8 +472,9 @@ def index_messages(t: Tables) -> DataFrame:
 
 @query
 def ingest_summary(t: Tables) -> DataFrame:
-    docs = t.documents()
-    return reports.ingest_summary(docs, ingest.index_documents(docs))
+    """A job over the English documents into an index that holds all."""
+    docs = t.documents().filter(F.col("user") == "en")
+    return reports.ingest_summary(docs, ingest.index_documents(docs), text_index(t))
 
 
 @query
@@ -462,8 +513,14 @@ def catchup_summary(t: Tables) -> DataFrame:
     roster = _event_roster(t)
     found = ingest.catchup_messages(t.events(), roster, t.events_cutoff(), time_column="event_time")
     found = stored(found, "recent")
+    path = fresh_path(t.spark, "index")
+    index.append(ingest.index_documents(t.documents()), path, 1)
+    ingest.run_index(found, path, 2)
     return reports.catchup_summary(
-        roster_scan(roster, only_joined=True), found, ingest.index_documents(found)
+        roster_scan(roster, only_joined=True),
+        found,
+        ingest.index_documents(found),
+        index.current(t.spark, path),
     )
 
 
@@ -472,16 +529,21 @@ def catchup_summary(t: Tables) -> DataFrame:
 
 @query
 def catchup_index(t: Tables) -> DataFrame:
+    """The index that a catch-up job wrote."""
+    path = fresh_path(t.spark, "index")
     found = ingest.catchup_messages(
         t.events(), _event_roster(t), t.events_cutoff(), time_column="event_time"
     )
-    return ingest.index_documents(found)
+    ingest.run_index(found, path, 1)
+    return index.current(t.spark, path).select(*index.DATA)
 
 
 @query
 def backfill_index(t: Tables) -> DataFrame:
-    found = ingest.backfill_messages(t.posts(), t.roster(), t.known_posts())
-    return ingest.index_documents(found)
+    """The index that a backfill job wrote."""
+    path = fresh_path(t.spark, "index")
+    ingest.run_index(ingest.backfill_messages(t.posts(), t.roster(), t.known_posts()), path, 1)
+    return index.current(t.spark, path).select(*index.DATA)
 
 
 @query
@@ -490,19 +552,67 @@ def stream_index(t: Tables) -> DataFrame:
     feed = conversation_messages(t.feed("conversations"))
     running = jobs.stream_index(feed, path, fresh_path(t.spark, "state"), 1, available_now=True)
     running.awaitTermination()
-    return index.latest(index.read_log(t.spark, path))
+    return index.current(t.spark, path).select(*index.DATA)
+
+
+def _run_live(t: Tables, feed: DataFrame, path: str, state: str, seq: int = 1, writer: str = "live") -> None:
+    jobs.stream_index(feed, path, state, seq, available_now=True, writer=writer).awaitTermination()
+
+
+def _edited(t: Tables, feed: DataFrame) -> DataFrame:
+    """Turns of a feed as they read after an edit: even ones sort before the old text, odd ones after."""
+    said = F.concat(F.when(F.col("turn") % 2 == 0, "  !edited ").otherwise("zzz edited "), F.col("text"))
+    return conversation_messages(feed.withColumn("text", said))
+
+
+@query
+def stream_edit(t: Tables) -> DataFrame:
+    """A stream that first brings all turns and then, in a later batch, an edit of each."""
+    path, feed, state = (fresh_path(t.spark, n) for n in ("log", "feed", "state"))
+    turns = t.table("conversations")
+    for rows in (conversation_messages(turns), _edited(t, turns)):
+        rows.select(*RAW_MESSAGE.fieldNames()).write.mode("append").parquet(feed)
+        _run_live(t, stream_messages(t.spark, feed), path, state)
+    return index.current(t.spark, path).select(*index.DATA)
+
+
+@query
+def stream_and_batch(t: Tables) -> DataFrame:
+    """Two streams and a batch job write one index."""
+    path = fresh_path(t.spark, "log")
+    _run_live(t, conversation_messages(t.feed("conversations")), path, fresh_path(t.spark, "state"))
+    index.append(ingest.index_documents(t.documents()), path, 2)
+    history = history_scan(t.posts(), roster_scan(t.roster()))
+    jobs.stream_backfill(
+        membership_events(t.feed("nation")), history, BOT_USER, path, fresh_path(t.spark, "state"), 3,
+        available_now=True,
+    ).awaitTermination()
+    return index.current(t.spark, path).select("id", "text", "channel")
+
+
+@query
+def reset_then_stream(t: Tables) -> DataFrame:
+    """A stream goes on after a reset; what it wrote before is gone."""
+    path, feed, state = (fresh_path(t.spark, n) for n in ("log", "feed", "state"))
+    rows = conversation_messages(t.table("conversations")).select(*RAW_MESSAGE.fieldNames())
+    for n, kept in enumerate((F.col("ts") == "0", F.col("ts") != "0")):
+        rows.filter(kept).write.mode("append").parquet(feed)
+        if n:
+            index.reset(t.spark, path)
+        _run_live(t, stream_messages(t.spark, feed), path, state)
+    return index.current(t.spark, path).select(*index.DATA)
 
 
 @query
 def stream_backfill(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "log")
     events = membership_events(t.feed("nation"))
-    history = history_scan(t.posts(), roster_scan(t.roster()), limit=None)
+    history = history_scan(t.posts(), roster_scan(t.roster()))
     running = jobs.stream_backfill(
         events, history, BOT_USER, path, fresh_path(t.spark, "state"), 1, available_now=True
     )
     running.awaitTermination()
-    return index.latest(index.read_log(t.spark, path))
+    return index.current(t.spark, path).select(*index.DATA)
 
 
 @query
@@ -511,7 +621,23 @@ def stream_questions(t: Tables) -> DataFrame:
     feed = conversation_messages(t.feed("conversations"))
     running = jobs.stream_questions(feed, path, fresh_path(t.spark, "state"), available_now=True)
     running.awaitTermination()
-    return jobs.answer_landed(t.spark, path, text_index(t), min_similarity=0.4)
+    answers = fresh_path(t.spark, "answers")
+    for run in (1, 2):  # the second run finds every question answered
+        made = jobs.write_answers(t.spark, path, answers, text_index(t), run, min_similarity=0.4)
+    return made.drop("run")
+
+
+@query
+def stream_mentions(t: Tables) -> DataFrame:
+    """Mentions of the bot as questions; a bare mention is landed as empty and not answered."""
+    path = fresh_path(t.spark, "questions")
+    feed = mention_messages(t.feed("conversations"))
+    running = jobs.stream_questions(
+        feed, path, fresh_path(t.spark, "state"), mentions=True, available_now=True
+    )
+    running.awaitTermination()
+    made = jobs.write_answers(t.spark, path, fresh_path(t.spark, "answers"), text_index(t), 1, min_similarity=0.4)
+    return made.drop("run")
 
 
 # a few queries share a name with the operator they call

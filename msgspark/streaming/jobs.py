@@ -1,15 +1,16 @@
 """Structured Streaming jobs: live indexing, backfill on join, questions.
 
-All sinks are the native append sink. The index is merged when read, so a stream
-needs no state, no watermark and no callback into the driver; recovery is the
-checkpoint of the query.
+A stream of index rows writes each micro-batch into the folder of its writer and batch
+number, so several streams, batch jobs and edits share one index and a replayed batch
+overwrites itself. The index is merged when read, so a stream needs no state and no
+watermark; recovery is the checkpoint of the query. Questions land in the native sink.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions.chunks import CHUNK_SIZE
 from ..operators.answers import MIN_SIMILARITY, answer_route
@@ -20,17 +21,14 @@ from ..operators.filters import (
     is_direct,
     self_joined,
 )
-from ..operators.index import as_log
+from ..operators.index import append
 from ..operators.normalize import clean_questions
 from ..operators.retrieval import TOP_K, top_k_text, with_chunk_fields
 from ..plans.ingest import INDEX_OVERLAP, index_documents, index_messages
 
 
-def _start(
-    df: DataFrame, path: str, checkpoint: str, available_now: bool, interval: str | None
-) -> StreamingQuery:
-    writer = df.writeStream.format("parquet").outputMode("append")
-    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
+def _started(writer: DataStreamWriter, checkpoint: str, available_now: bool, interval: str | None) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif interval:
@@ -38,6 +36,16 @@ def _start(
     return writer.start()
 
 
+def _index_batches(
+    rows: DataFrame, path: str, checkpoint: str, seq: int, writer: str, available_now: bool,
+    interval: str | None,
+) -> StreamingQuery:
+    def write(batch: DataFrame, number: int) -> None:
+        append(batch, path, seq, writer, number)
+
+    return _started(rows.writeStream.foreachBatch(write), checkpoint, available_now, interval)
+
+
 def live_chunks(
     feed: DataFrame,
     roster: DataFrame | None = None,
@@ -61,19 +69,22 @@ def stream_index(
     allowed: str | DataFrame = "",
     available_now: bool = False,
     interval: str | None = None,
+    writer: str = "live",
 ) -> StreamingQuery:
-    """Append every live message to the index log as it arrives."""
-    rows = as_log(live_chunks(feed, roster, links, allowed), seq)
-    return _start(rows, path, checkpoint, available_now, interval)
+    """Append every live message to the index log as it arrives; each stream is a writer of its own."""
+    rows = live_chunks(feed, roster, links, allowed)
+    return _index_batches(rows, path, checkpoint, seq, writer, available_now, interval)
 
 
 def joined_history(events: DataFrame, history: DataFrame, bot_user: str) -> DataFrame:
     """Index rows of the history of every channel the bot joins (stream-static join).
 
-    ``history`` holds normalised messages. A channel joined twice is written
-    twice with the same ids, which the merge on read absorbs.
+    ``history`` holds normalised messages. A channel joined several times in one
+    frame is read once; joined again later, it is written again with the same ids.
     """
     joined = self_joined(events, bot_user).select(F.col("channel").alias("_joined"))
+    if not events.isStreaming:
+        joined = joined.distinct()
     wanted = joined.join(history, joined["_joined"] == history["channel"]).drop("_joined")
     return index_documents(wanted)
 
@@ -87,10 +98,14 @@ def stream_backfill(
     seq: int,
     available_now: bool = False,
     interval: str | None = None,
+    writer: str = "backfill",
 ) -> StreamingQuery:
     """Append the history of a channel to the index log when the bot joins it."""
-    rows = as_log(joined_history(events, history, bot_user), seq)
-    return _start(rows, path, checkpoint, available_now, interval)
+
+    def write(batch: DataFrame, number: int) -> None:
+        append(joined_history(batch, history, bot_user), path, seq, writer, number)
+
+    return _started(events.writeStream.foreachBatch(write), checkpoint, available_now, interval)
 
 
 def live_questions(feed: DataFrame, mentions: bool = False) -> DataFrame:
@@ -123,7 +138,8 @@ def stream_questions(
     Ranking hits needs the whole index per question, which an append stream
     cannot do; landing first keeps the stream native and the answers batched.
     """
-    return _start(live_questions(feed, mentions), path, checkpoint, available_now, interval)
+    sink = live_questions(feed, mentions).writeStream.format("parquet").outputMode("append")
+    return _started(sink.option("path", path), checkpoint, available_now, interval)
 
 
 def answer_landed(
@@ -142,3 +158,25 @@ def answer_landed(
     hits = with_chunk_fields(top_k_text(chunks, todo, k), chunks)
     routed = answer_route(todo, hits, min_similarity)
     return routed.join(todo.select("query_id", "reply_to"), "query_id")
+
+
+def write_answers(
+    spark: SparkSession,
+    path: str,
+    answers_path: str,
+    chunks: DataFrame,
+    run: int,
+    k: int = TOP_K,
+    min_similarity: float = MIN_SIMILARITY,
+) -> DataFrame:
+    """Answer the landed questions that no earlier run answered and keep the answers.
+
+    Run ``n`` writes the folder ``run=n`` and reads the runs before it, so a repeated
+    run replaces its own answers. Returns all answers so far.
+    """
+    schema = "query_id string, status string, top_score double, message string, reply_to string, run int"
+    spark.createDataFrame([], schema).drop("run").write.mode("ignore").parquet(f"{answers_path}/run=0")
+    answers = spark.read.schema(schema).parquet(answers_path)
+    new = answer_landed(spark, path, chunks, answers.filter(F.col("run") < run), k, min_similarity)
+    new.write.mode("overwrite").parquet(f"{answers_path}/run={run}")
+    return spark.read.schema(schema).parquet(answers_path)
