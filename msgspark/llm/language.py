@@ -8,13 +8,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, mix, packed, ragged, slices
 
-#: Documents per language that a fit reads at most, those with the least hash of their id.
-MOST_PER_LANGUAGE = 800
+#: Documents per language that a fit reads, give or take what a random draw of this size varies.
+MOST_PER_LANGUAGE = 1000
+_SHARES = 10**12
 #: Languages that a fit learns at most, the most frequent ones.
 MOST_LANGUAGES = 200
 BUCKETS = 1 << 16
@@ -230,33 +231,34 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
 def fit(docs: DataFrame, *, most: int = MOST_PER_LANGUAGE) -> LanguageModel:
     """Learn letter-gram scores from the text and lang of ``docs``.
 
-    Rows of a null lang or text are ignored. At most ``most`` documents of each of the
-    ``MOST_LANGUAGES`` most frequent languages are read. Counts are added up in the
+    Rows of a null lang or text are ignored. About ``most`` documents of each of the
+    ``MOST_LANGUAGES`` most frequent languages are read, chosen by a hash of the row
+    against the share that ``most`` is of all. Counts are added up in the
     tasks and by Spark; the driver gets one number per language and used bucket.
     """
     named = docs.where("lang is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("id"), "text", "lang"
     )
     common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(r.lang for r in common.collect())
+    counts = {r.lang: r["count"] for r in common.collect()}
+    languages = sorted(counts)
     if not languages:
         return LanguageModel((), np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0), dtype=bool))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = (
-        named.where(F.col("lang").isin(languages)).select("id", "lang")
-        .withColumn("rank", rank).where(F.col("rank") <= most)
-        .select("id", F.col("lang").alias("as")).distinct()
-    )
-    sample = named.join(
-        F.broadcast(chosen), named["id"].eqNullSafe(chosen["id"]) & (F.col("lang") == F.col("as"))
+    limits = F.create_map(*[
+        x
+        for k in languages
+        for x in (F.lit(k), F.lit(min(_SHARES, _SHARES * most // counts[k])).cast("long"))
+    ])
+    sample = named.where(F.col("lang").isin(languages)).where(
+        F.pmod(F.xxhash64("id", "text"), F.lit(_SHARES).cast("long")) < limits[F.col("lang")]
     ).select("text", "lang")
     sums = (
         sample.mapInArrow(_count(languages), "language int, bucket int, n long")
         .groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
     )
-    counts = np.zeros((len(languages), BUCKETS + len(NAMES)))
-    counts[sums["language"], sums["bucket"]] = sums["n"]
-    grams, scripts = counts[:, :BUCKETS], counts[:, BUCKETS:]
+    found = np.zeros((len(languages), BUCKETS + len(NAMES)))
+    found[sums["language"], sums["bucket"]] = sums["n"]
+    grams, scripts = found[:, :BUCKETS], found[:, BUCKETS:]
     chance = (grams + SMOOTHING) / (grams.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS)
     share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
     return LanguageModel(
