@@ -27,7 +27,7 @@ PERCENT = 85
 BANDS, ROWS = 26, 5
 #: A pair at the similarity limit agrees in fewer coordinates with a probability below 2e-7.
 SLACK = 0.20
-BLOCK_ROWS = 1500
+BLOCK_ROWS = 400
 BLOCK_BYTES = 12 << 20
 _PAIR = "a binary, b binary"
 
