@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-@lru_cache(maxsize=None)
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="run-")
+# For a running session without that setting, which Spark takes at the start only.
+SHARED_DIR = "msgspark.shared.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by the session.
-
-    Only a session without one (a local test) gets a fresh temporary folder.
-    """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    """Folder every executor can reach, as named by the session."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(SHARED_DIR, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        folder = _local_folder(spark.sparkContext.applicationId)
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
     return folder.rstrip("/")
 
 
@@ -38,7 +28,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage at a table that survives lost executors, so work that is
-    used more than once is done once.
+    used more than once is done once. The folder belongs to the caller, who
+    clears it after the job.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)

@@ -1,8 +1,8 @@
 import datetime as dt
-import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from msgspark.operators import index, normalize
 from msgspark.plans import ingest
@@ -31,19 +31,76 @@ def test_last_write_wins_and_replay_is_a_no_op(spark):
     assert [r[1] for r in once] == ["new", "two"]  # a stale chunk stays
     index.append(second, path, 2)
     index.append(first, path, 1)
-    assert rows(index.latest(index.read_log(spark, path))) == once
-    assert rows(index.upsert(first, second)) == once
+    assert rows(index.current(spark, path)) == once
+    assert index.read_log(spark, path).count() == 3  # a replayed batch replaces itself
+    data = [r[:8] for r in once]
+    assert rows(index.upsert(first, second)) == data
+    assert rows(index.upsert(first, second.unionByName(second))) == data
     whole = index.upsert(first, second, replace_document=True)
     assert [r[1] for r in rows(whole)] == ["new"]
-    packed = fresh_path(spark, "packed")
-    index.compact(index.read_log(spark, path), packed)
-    assert rows(index.latest(index.read_log(spark, packed))) == once
+    index.compact(spark, path)
+    assert rows(index.current(spark, path)) == once and index.read_log(spark, path).count() == 2
+    index.append(spark.createDataFrame([chunk("a-chunk-1", "late")], CHUNK), path, 3)
+    assert [r[1] for r in rows(index.current(spark, path))] == ["new", "late"]
+    index.vacuum(spark, path)
+    assert [r[1] for r in rows(index.current(spark, path))] == ["new", "late"]
+
+
+def test_newest_version_wins_over_later_jobs(spark):
+    path = fresh_path(spark, "log")
+    version = lambda text, v: spark.createDataFrame([chunk("a", text)], CHUNK).withColumn("version", F.lit(v))
+    index.append(version("edited", "9.5"), path, 1, writer="live")
+    index.append(version("history", "1.0"), path, 7)
+    assert [r.text for r in index.current(spark, path).collect()] == ["edited"]
+    index.append(version("same time", "9.5"), path, 7, writer="other")
+    assert [r.text for r in index.current(spark, path).collect()] == ["same time"]
+
+
+def test_latest_neither_sorts_nor_shuffles_texts(spark):
+    path = fresh_path(spark, "log")
+    base = spark.range(300).selectExpr(
+        "concat('m', id) AS id", "repeat('text ', 50) AS text", "'c' AS channel", "'c' AS channel_name",
+        "'u' AS user", "'1' AS ts", "'' AS permalink", "0 AS chunk_index",
+    )
+    index.append(base, path, 1)
+    index.append(base.limit(5).withColumn("text", F.lit("new")), path, 2)
+    made = index.current(spark, path)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort " not in plan
+    assert made.filter("text = 'new'").count() == 5 and made.count() == 300
+
+
+def test_job_embeds_only_what_is_missing(spark):
+    path = fresh_path(spark, "log")
+    said = [("C1", f"{n}.0", "U1", f"message number {n}", None, None, None) for n in range(20)]
+    raw = spark.createDataFrame(said, RAW_MESSAGE)
+    first = ingest.run_index(normalize.normalize_messages(raw.filter("cast(ts as double) < 8")), path, 1)
+    assert {r.metric: r.value for r in first.collect()} == {"messages": 8, "chunks": 8, "embedded": 8, "index_chunks": 8}
+    again = ingest.run_index(normalize.normalize_messages(raw), path, 2)
+    assert {r.metric: r.value for r in again.collect()} == {"messages": 20, "chunks": 20, "embedded": 12, "index_chunks": 20}
+    fresh = index.with_vectors(ingest.index_documents(normalize.normalize_messages(raw))).drop("reused")
+    assert rows(index.current(spark, path).select(fresh.columns)) == rows(fresh)
+
+
+def test_a_long_channel_reaches_the_index_whole(spark):
+    path = fresh_path(spark, "log")
+    raw = spark.range(1500).selectExpr(
+        "'C1' AS channel", "concat(id, '.0') AS ts", "'U' AS user", "concat('line ', id) AS text",
+        "cast(null as string) AS bot_id", "cast(null as string) AS subtype", "cast(null as string) AS thread_ts",
+    )
+    roster = spark.createDataFrame([("C1", "one", True, 3, False)], "id string, name string, is_member boolean, num_members int, is_archived boolean")
+    none = spark.createDataFrame([], CHUNK)
+    ingest.run_index(ingest.backfill_messages(raw, roster, none), path, 1)
+    assert index.current(spark, path).count() == 1500
+    found = ingest.catchup_messages(raw, roster, dt.datetime(1970, 1, 1))
+    assert found.count() == 1500
 
 
 def test_known_permalink_can_be_kept(spark):
-    first = index.as_log(spark.createDataFrame([chunk("a", url="https://x"), chunk("b")], CHUNK), 1)
-    second = index.as_log(spark.createDataFrame([chunk("a"), chunk("b")], CHUNK), 2)
-    log = first.unionByName(second)
+    path = fresh_path(spark, "log")
+    index.append(spark.createDataFrame([chunk("a", url="https://x"), chunk("b")], CHUNK), path, 1)
+    index.append(spark.createDataFrame([chunk("a"), chunk("b")], CHUNK), path, 2)
+    log = index.read_log(spark, path)
     assert [r[6] for r in rows(index.latest(log))] == ["", ""]
     assert [r[6] for r in rows(index.latest(log, keep_known_permalink=True))] == ["https://x", ""]
 
@@ -70,10 +127,9 @@ def test_shared_folder_without_a_setting():
         context = SimpleNamespace(master=master, applicationId="app-test")
         return SimpleNamespace(conf=conf, sparkContext=context)
 
-    local = shared_folder(session("local[2]"))
-    assert os.path.isdir(local) and shared_folder(session("local[2]")) == local
-    with pytest.raises(ValueError):
-        shared_folder(session("spark://host:7077"))
+    for master in ("local[2]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
@@ -87,7 +143,7 @@ def test_live_index_equals_batch_for_any_split(spark, sf_dir, tmp_path, parts):
     log = index.read_log(spark, path)
     want = rows(jobs.live_chunks(raw))
     assert log.count() == len(want)
-    assert rows(index.latest(log)) == want
+    assert rows(index.latest(log).select(*index.DATA)) == want
 
 
 def test_live_index_takes_late_files(spark, tmp_path):
@@ -116,7 +172,8 @@ def test_backfill_on_join_equals_batch(spark, sf_dir, tmp_path):
     got = index.latest(index.read_log(spark, path))
     wanted = events.filter(f"user = '{BOT_USER}'").select("channel")
     batch = ingest.index_documents(history.join(wanted, "channel", "left_semi"))
-    assert rows(got) == rows(batch) and got.count() > 0
+    assert rows(got.select(*index.DATA)) == rows(batch) and got.count() > 0
+    assert index.read_log(spark, path).count() == batch.count()  # a channel joined twice is read once
 
 
 def test_questions_are_landed_then_answered_once(spark, tmp_path):
@@ -133,8 +190,46 @@ def test_questions_are_landed_then_answered_once(spark, tmp_path):
     chunks = spark.createDataFrame([chunk("k", "the red apple is here", "https://x")], CHUNK)
     answered = jobs.answer_landed(spark, path, chunks)
     got = {r.query_id: (r.status, r.reply_to) for r in answered.collect()}
-    assert got == {"D1-1.0": ("answerable", "1.0"), "D1-3.0": ("no_hits", "1.0")}
+    assert got == {"D1-1.0": ("answerable", "1.0"), "D1-3.0": ("low_confidence", "1.0")}
     assert jobs.answer_landed(spark, path, chunks, answered).count() == 0
+    none = jobs.answer_landed(spark, path, chunks.limit(0))
+    assert {r.status for r in none.collect()} == {"no_hits"}
+    answers = str(tmp_path / "answers")
+    for run in (1, 2, 2):
+        kept = jobs.write_answers(spark, path, answers, chunks, run)
+    assert sorted((r.query_id, r.run) for r in kept.collect()) == [("D1-1.0", 1), ("D1-3.0", 1)]
+
+
+@pytest.mark.parametrize("texts", [("zzz old", "aaa new"), ("aaa old", "zzz new")])
+def test_an_edit_in_a_later_batch_wins(spark, tmp_path, texts):
+    feed_dir, path, state = (str(tmp_path / n) for n in ("feed", "log", "state"))
+    for text in texts:
+        row = ("C1", "1.0", "U1", text, None, None, None)
+        spark.createDataFrame([row], RAW_MESSAGE).write.mode("append").parquet(feed_dir)
+        jobs.stream_index(stream_messages(spark, feed_dir), path, state, 1, available_now=True).awaitTermination()
+    assert [r.text for r in index.current(spark, path).collect()] == [texts[1]]
+
+
+def test_streams_and_batches_share_an_index_and_go_on_after_a_reset(spark, tmp_path):
+    path = str(tmp_path / "log")
+
+    def say(name, number):
+        feed_dir, state = str(tmp_path / f"feed-{name}"), str(tmp_path / f"state-{name}")
+        row = ("C1", f"{number}.0", "U1", f"{name} {number}", None, None, None)
+        spark.createDataFrame([row], RAW_MESSAGE).write.mode("append").parquet(feed_dir)
+        feed = stream_messages(spark, feed_dir)
+        jobs.stream_index(feed, path, state, 1, available_now=True, writer=name).awaitTermination()
+
+    held = lambda: sorted(r.text for r in index.current(spark, path).collect())
+    say("one", 1)
+    say("two", 2)
+    index.append(spark.createDataFrame([chunk("x", "batch")], CHUNK), path, 5)
+    say("one", 3)
+    assert held() == ["batch", "one 1", "one 3", "two 2"]
+    index.reset(spark, path)
+    assert held() == []
+    say("two", 4)
+    assert held() == ["two 4"]
 
 
 def test_mentions_without_text_are_kept_as_empty(spark):
@@ -146,8 +241,6 @@ def test_mentions_without_text_are_kept_as_empty(spark):
 
 
 def test_message_time_is_exact(spark):
-    from pyspark.sql import functions as F
-
     from msgspark.functions.text import message_time
 
     row = spark.range(1).select(message_time(F.lit("1712345678.901201")).alias("t")).first()

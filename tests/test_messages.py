@@ -135,7 +135,9 @@ def test_recent_cutoff_reaches_the_scan(spark, sf_dir):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts,2024-01-29" in text
     assert "value" not in text.split("ReadSchema")[1]
-    assert "WindowGroupLimit" in text
+    assert "Window" not in text  # no cap unless asked for
+    capped = recent_scan(events, dt.datetime(2024, 1, 29), limit=5, time_column="event_time")
+    assert "WindowGroupLimit" in capped._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
@@ -191,7 +193,7 @@ def test_reports(spark, raw, roster):
     failed = spark.createDataFrame([("C4",)], "channel string")
     outcome = {r.channel: r.outcome for r in reports.channel_outcomes(roster, said, chunks, failed).collect()}
     assert outcome == {"C1": "indexed", "C2": "no messages", "C3": "no messages", "C4": "failed"}
-    total = [r for r in reports.ingest_summary(said, chunks).collect() if r.channel is None]
+    total = [r for r in reports.ingest_summary(said, chunks, chunks.union(chunks)).collect() if r.channel is None]
     assert [(r.channels, r.messages, r.chunks) for r in total] == [(2, 4, 4)]
     lines = {r.id: r.line for r in reports.dry_run_listing(roster_scan(roster)).collect()}
     assert lines["C3"] == "#quiet (C3) - 0 members [not joined]"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from msgspark.functions.vectors import cosine, score, term_vector
 from msgspark.operators import embedding, retrieval
+from msgspark.plans.bindings import Tables
 
 rng = np.random.default_rng(3)
 VECTORS = rng.normal(size=(900, 16)).astype(np.float32)
@@ -41,12 +42,15 @@ def test_shipped_questions_are_exact(corpus, asked):
     assert hits(retrieval.top_k(corpus, asked)) == brute(5)
 
 
-def test_grid_is_exact(corpus, asked):
-    got = retrieval.top_k(corpus, asked, max_question_bytes=0, split_rows=200, block_questions=5)
-    assert hits(got) == brute(5)
-    # questions above the byte bound take the same way
-    small = retrieval.top_k(corpus, asked, max_question_bytes=16 * 8 * 4, split_rows=200, block_questions=5)
-    assert hits(small) == brute(5)
+@pytest.mark.parametrize("most", [1, 4, 5])
+def test_blocks_of_questions_are_exact(corpus, asked, most):
+    assert hits(retrieval.top_k(corpus, asked, block_bytes=16 * 8 * most)) == brute(5)
+
+
+def test_nothing_is_shuffled_below_the_winners(corpus, asked):
+    plan = retrieval.top_k(corpus, asked)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "hashpartitioning" not in below and "Generate" not in plan and "Join" not in plan
 
 
 def test_no_questions(corpus, asked):
@@ -58,15 +62,18 @@ def test_fewer_rows_than_k(corpus, asked):
     assert retrieval.top_k(few, asked).count() == 2 * len(QUERIES)
 
 
-def test_cells_recall(spark, sf_dir):
-    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    corpus = rows.select(F.col("vec_id").cast("string").alias("id"), "embedding")
-    asked = rows.select(F.col("vec_id").alias("query_id"), "embedding")
+def test_cells_recall(spark):
+    t = Tables(spark, "/root/testdata/sf0.01")
+    corpus, asked = t.vectors(), t.centroids()
+    centres = asked.select(F.col("query_id").cast("string").alias("id"), "embedding")
+    placed = retrieval.cell_index(corpus, centres)
     exact = {(r.query_id, r.id) for r in retrieval.top_k(corpus, asked).collect()}
-    near = {(r.query_id, r.id) for r in retrieval.top_k_cells(corpus, asked, cells=16, probes=10).collect()}
+    near = {(r.query_id, r.id) for r in retrieval.top_k_cells(placed, centres, asked, probes=2).collect()}
     assert len(exact & near) / len(exact) >= 0.9
-    full = {(r.query_id, r.id) for r in retrieval.top_k_cells(corpus, asked, cells=4, probes=4).collect()}
-    assert full == exact  # all cells probed: nothing is lost
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert sum(sorted(sizes)[-2:]) <= 0.3 * sum(sizes)  # what a question searches
+    full = hits(retrieval.top_k_cells(placed, centres, asked, probes=len(sizes)))
+    assert {(q, i) for q, _, i, _ in full} == exact  # all cells probed: nothing is lost
 
 
 def test_hits_are_joined_without_shuffling_the_chunks(spark, tmp_path):
@@ -77,7 +84,7 @@ def test_hits_are_joined_without_shuffling_the_chunks(spark, tmp_path):
     chunks = spark.read.parquet(path)
     asked = spark.createDataFrame([("q1", "w7 w8")], "query_id string, text string")
     full = retrieval.with_chunk_fields(retrieval.top_k_text(chunks, asked), chunks)
-    assert sorted(r.text for r in full.collect()) == ["w7", "w8"]
+    assert sorted(r.text for r in full.collect() if r.score > 0) == ["w7", "w8"]
     plan = full._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
@@ -108,11 +115,12 @@ def test_term_vector(spark):
     assert len(rows[2].buckets) == 3
 
 
-def test_text_hits_need_a_shared_term(spark):
+def test_text_hits_are_the_nearest_whatever_their_score(spark):
     chunks = spark.createDataFrame([("1", "red apple"), ("2", "green pear"), ("3", "red red")], "id string, text string")
     asked = spark.createDataFrame([("q1", "red"), ("q2", "plum"), ("q3", "?")], "query_id string, text string")
     got = [tuple(r) for r in retrieval.top_k_text(chunks, asked).orderBy("rank").collect()]
-    assert got == [("q1", 1, "3", 1.0), ("q1", 2, "1", 0.707107)]
+    assert [g for g in got if g[0] == "q1"] == [("q1", 1, "3", 1.0), ("q1", 2, "1", 0.707107), ("q1", 3, "2", 0.0)]
+    assert [g for g in got if g[0] != "q1" and g[1] == 1] == [("q2", 1, "1", 0.0), ("q3", 1, "1", 0.0)]
 
 
 def test_embed_batches_calls_the_model_in_order(spark):
