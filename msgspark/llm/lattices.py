@@ -17,36 +17,48 @@ _BASE = U(0x9E3779B97F4A7C15)
 
 
 class PieceTable:
-    """Finds pieces by a fingerprint of their characters."""
+    """Finds pieces, and strings that pieces begin with, by a fingerprint of their characters."""
 
     def __init__(self, vocabulary: Vocabulary):
-        ids = sorted(vocabulary.normal, key=lambda i: len(vocabulary.pieces[i]))
-        self.longest = max((len(vocabulary.pieces[i]) for i in ids), default=0)
-        prints = [self.fingerprint(vocabulary.pieces[i]) for i in ids]
-        order = np.argsort(np.array(prints, dtype=U))
-        self.prints = np.array(prints, dtype=U)[order]
-        self.ids = np.array(ids, dtype=np.int32)[order]
-        self.scores = np.array([vocabulary.scores[i] for i in ids], dtype=np.float64)[order]
-        self.maybe = np.zeros(1 << 20, dtype=bool)  # most strings are ruled out here
-        self.maybe[(self.prints >> U(44)).astype(np.int64)] = True
+        ids = sorted(vocabulary.normal)
+        pieces = [vocabulary.pieces[i] for i in ids]
+        known: dict[str, int] = {}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                known.setdefault(p[:k], -1)
+        known |= {p: k for k, p in enumerate(pieces)}
+        prints = self.fingerprints(list(known))
+        own = np.array(list(known.values()), dtype=np.int64)
+        order = np.argsort(prints)
+        self.prints, own = np.append(prints[order], U(0)), own[order]  # a stop after the last
+        self.piece = own >= 0
+        self.ids = np.where(self.piece, np.array([*ids, -1], dtype=np.int32)[own], -1).astype(np.int32)
+        self.scores = np.array([*(vocabulary.scores[i] for i in ids), -np.inf])[own]
+        top = (self.prints[:-1] >> U(44)).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange((1 << 20) + 1)).astype(np.int32)
+        self.depth = int(np.diff(self.first).max(initial=0))
 
     @staticmethod
     def step(before: np.ndarray, points: np.ndarray) -> np.ndarray:
         return mix(before * _BASE + points.astype(U))
 
-    def fingerprint(self, piece: str) -> int:
-        out = np.zeros(1, dtype=U)
-        for c in piece:
-            out = self.step(out, np.array([ord(c)]))
-        return int(out[0])
+    def fingerprints(self, strings: list[str]) -> np.ndarray:
+        out = np.zeros(len(strings), dtype=U)
+        live = np.arange(len(strings))
+        for k in range(max(map(len, strings), default=0)):
+            live = live[[len(strings[i]) > k for i in live.tolist()]]
+            out[live] = self.step(out[live], np.array([ord(strings[i][k]) for i in live.tolist()]))
+        return out
 
     def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the strings are pieces, and their places in the table."""
-        at = np.flatnonzero(self.maybe[(prints >> U(44)).astype(np.int64)])
-        if not len(at) or not len(self.prints):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        place = np.minimum(np.searchsorted(self.prints, prints[at]), len(self.prints) - 1)
-        hit = self.prints[place] == prints[at]
+        """Which of the strings begin a piece, and their places in the table."""
+        top = (prints >> U(44)).astype(np.int64)
+        place, stop = self.first[top], self.first[top + 1]
+        at = np.flatnonzero(place < stop)  # most strings are ruled out here
+        place, stop, prints = place[at], stop[at], prints[at]
+        for _ in range(self.depth - 1):
+            place = place + ((self.prints[place] < prints) & (place + 1 < stop))
+        hit = self.prints[place] == prints
         return at[hit], place[hit]
 
 
@@ -96,20 +108,25 @@ class Segments:
         # by their end: (start, which parts, score, id), pieces and then unknown characters
         ends: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
         for s in range(n):
-            prints = np.zeros(u, dtype=U)
-            for e in range(s + 1, min(s + table.longest, n) + 1):
-                prints = table.step(prints, points[e - 1])
+            live, prints = np.arange(u), np.zeros(u, dtype=U)
+            for e in range(s + 1, n + 1):
+                prints = table.step(prints, points[e - 1, live])
                 at, place = table.find(prints)
+                live, prints = live[at], prints[at]
+                whole = table.piece[place]
+                at, place = live[whole], place[whole]
+                score, ids = table.scores[place], table.ids[place]
                 if e == s + 1 and len(at) < u:
                     lonely = np.ones(u, dtype=bool)
                     lonely[at] = False
                     none = np.flatnonzero(lonely)
                     at = np.concatenate([at, none])
-                    score = np.concatenate([table.scores[place], np.full(len(none), vocabulary.unknown)])
-                    ids = np.concatenate([table.ids[place], np.full(len(none), -1, dtype=np.int32)])
+                    score = np.concatenate([score, np.full(len(none), vocabulary.unknown)])
+                    ids = np.concatenate([ids, np.full(len(none), -1, dtype=np.int32)])
+                if len(at):
                     ends[e].append((s, at, score, ids))
-                elif len(at):
-                    ends[e].append((s, at, table.scores[place], table.ids[place]))
+                if not len(live):
+                    break
         ahead = np.full((n + 1, u), -np.inf)
         ahead[0] = 0
         came = np.zeros((n + 1, u), dtype=np.int32)

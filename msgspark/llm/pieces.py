@@ -139,37 +139,60 @@ def encode_texts(
     return ids, at[cuts], scores, alternatives
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, most: int = N_BEST) -> DataFrame:
-    """All columns of ``docs`` and the pieces of each whole text.
+def encode(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    *,
+    most: int = N_BEST,
+    keep: list[str] | None = None,
+    verify: bool = False,
+) -> DataFrame:
+    """All columns of ``docs`` (or those to ``keep``) and the pieces of each whole text.
 
     ids is the best segmentation and score its score; alternatives are the next best
     of the whole text in order, each given by what it has in place of ``size`` ids
-    from ``at`` on. A null or empty text has no ids and score 0. Input columns of
-    these names are replaced. Nothing is shuffled.
+    from ``at`` on. With ``verify``, round_trip tells whether decoding the ids gives the
+    text back. A null or empty text has no ids and score 0. Input columns of these
+    names are replaced. Nothing is shuffled.
     """
-    docs = docs.drop(*_COLUMNS)
+    docs = docs.drop(*_COLUMNS, "round_trip")
+    names = docs.columns if keep is None else keep
     schema = T.StructType(
-        [*docs.schema.fields, *(T.StructField(k, kind) for k, (kind, _) in _COLUMNS.items())]
+        [
+            *(docs.schema[c] for c in names),
+            *(T.StructField(k, kind) for k, (kind, _) in _COLUMNS.items()),
+            *([T.StructField("round_trip", T.BooleanType())] if verify else []),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(vocabulary, most > 1)
+        table = spelling(vocabulary) if verify else []
         for part, _, _ in slices(packed(batches, "text", SLICE), "text", SLICE):
             texts = part.column(part.schema.get_field_index("text")).to_pylist()
             ids, bounds, scores, alternatives = encode_texts(lexicon, texts, most)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *part.columns,
-                    pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids)),
-                    pa.array(scores),
-                    pa.array(alternatives, pa.list_(_ALTERNATIVE)),
-                ],
-                names=[*part.schema.names, *_COLUMNS],
-            )
+            columns = [
+                *(part.column(part.schema.get_field_index(c)) for c in names),
+                pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids)),
+                pa.array(scores),
+                pa.array(alternatives, pa.list_(_ALTERNATIVE)),
+            ]
+            if verify:
+                cuts = zip(bounds[:-1].tolist(), bounds[1:].tolist(), texts, strict=True)
+                columns.append(pa.array([decode_ids(table, ids[a:b]) == (t or "") for a, b, t in cuts]))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def spelling(vocabulary: Vocabulary) -> list[bytes]:
+    """The bytes of every id; special ids have none."""
+    table = [p.encode() if i in vocabulary.normal else b"" for i, p in enumerate(vocabulary.pieces)]
+    for b, i in enumerate(vocabulary.byte_ids):
+        table[i] = bytes([b])
+    return table
+
+
 def decode_ids(table: list[bytes], ids: np.ndarray) -> str:
     """The text of a piece sequence; the mark in front of the text goes, others are spaces.
 
@@ -185,11 +208,7 @@ def decode(frame: DataFrame, vocabulary: Vocabulary, *, name: str = "decoded") -
     schema = T.StructType([*frame.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [
-            p.encode() if i in vocabulary.normal else b"" for i, p in enumerate(vocabulary.pieces)
-        ]
-        for b, i in enumerate(vocabulary.byte_ids):
-            table[i] = bytes([b])
+        table = spelling(vocabulary)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
             flat = np.asarray(ids.values)

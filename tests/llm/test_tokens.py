@@ -107,6 +107,9 @@ def test_round_trip_and_odd_rows(spark):
     for r in got:
         assert r.decoded == (" " if r.text == "▁" else r.text or "")
         assert r.score <= 0 and (bool(r.ids) == bool(r.text))
+    checked = encode(docs(spark, ROWS), vocabulary, most=1, keep=["doc_id"], verify=True)
+    assert checked.columns == ["doc_id", "ids", "score", "alternatives", "round_trip"]
+    assert sum(not r.round_trip for r in checked.collect()) == 1  # the mark itself reads as a space
     counts = token_counts(docs(spark, ROWS), vocabulary).collect()
     sizes = sorted((repr(r.doc_id), len(r.ids)) for r in got)
     assert sorted((repr(r.doc_id), r.n_tokens) for r in counts) == sizes
