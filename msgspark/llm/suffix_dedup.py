@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .arrays import U, gram_hashes, mix, packed, ragged, slices, span_hashes
 from .scratch import Scratch
 
-WINDOW, GRAM, DIGIT = 100, 16, 25
+WINDOW, GRAM, DIGIT = 100, 12, 25
 PIECE = 2 << 20
 FLUSH = 24 << 20
 BUCKETS_PER_PARTITION = 16
@@ -36,7 +36,7 @@ _META = [("none", np.uint8), ("id", np.int64), ("tag", np.uint32), ("start", np.
 
 
 def _press(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=4).compress(data)
 
 
 def _open(data: bytes) -> bytes:
@@ -45,10 +45,12 @@ def _open(data: bytes) -> bytes:
 
 def _pack(columns: list[np.ndarray]) -> bytes:
     """Columns of the fixed kinds above, differences first so that they compress well."""
-    parts = []
+    parts = [len(columns[0]).to_bytes(8, "little")]
     for (_, kind), column in zip(_META, columns, strict=True):
-        parts.append(np.diff(column, prepend=column.dtype.type(0)).astype(kind).tobytes())
-    return _press(len(columns[0]).to_bytes(8, "little") + b"".join(parts))
+        step = np.array(column, dtype=kind)
+        step[1:] -= step[:-1].copy()
+        parts.append(step.tobytes())
+    return _press(b"".join(parts))
 
 
 def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
@@ -221,6 +223,10 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         key = np.zeros(len(index), dtype=U)
         for d in range(len(digit)):
             key = mix(key * U(0x2545F4914F6CDD1D) + digit[d, alive])
+            # counting by a part of the key first leaves most suffixes that are alone out of the sort
+            slot = (key >> U(64 - max(10, int(4 * len(key)).bit_length()))).astype(np.int64)
+            busy = np.flatnonzero(np.bincount(slot)[slot] > 1)
+            alive, key = alive[busy], key[busy]
             order = np.argsort(key)
             alone = key[order]
             equal = alone[1:] == alone[:-1]
@@ -278,7 +284,8 @@ def _sort(finals: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, metas, bodies = None, [], []
         for batch in batches:
-            for part, meta, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for row in range(batch.num_rows):
+                part, meta, body = (batch.column(k)[row].as_py() for k in range(3))
                 if part < 0:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([part], pa.int32()), pa.array([meta]), pa.array([None], pa.binary())],
@@ -298,35 +305,44 @@ def _sort(finals: int):
 
 
 def _texts(finals: int):
-    """Every document as one compressed row of its part."""
+    """The documents of a slice by their part, compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches, "text"):
-            keys = _keys(part, data, offsets)
-            raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(_final(keys[1], finals), pa.int32()),
-                    pa.array([
-                        _pack([k[i : i + 1] for k in keys] + [np.zeros(1, np.int64)] * 2)
-                        for i in range(part.num_rows)
-                    ]),
-                    pa.array([
-                        _press(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)
-                    ], pa.binary()),
-                ],
-                schema=_ROW,
-            )
+        for batch, data, offsets in slices(packed(batches, "text", 4 << 20), "text"):
+            keys = _keys(batch, data, offsets)
+            sizes = np.diff(offsets)
+            part = _final(keys[1], finals)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+            rows = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = order[a:b]
+                meta = [*(k[own] for k in keys), np.zeros(len(own), np.int64), sizes[own]]
+                body = data[ragged(offsets[:-1][own], sizes[own])].tobytes()
+                rows.append({"part": int(part[own[0]]), "meta": _pack(meta), "body": _press(body)})
+            yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
     return run
 
 
+def _joined(ranges: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[int, int]]:
+    """Maximal runs of the given starts (ascending) and sizes."""
+    if ranges is None:
+        return []
+    starts, sizes = ranges
+    reach = np.maximum.accumulate(starts + sizes)
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] > reach[:-1]]))
+    last = np.append(first[1:], len(starts)) - 1
+    return list(zip(starts[first].tolist(), reach[last].tolist(), strict=True))
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a part come ranges first, then documents, one after the other."""
     now, ranges, index = None, [], {}
+    out, size_out = [], 0
     for batch in batches:
-        out = []
-        for part, meta, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for row in range(batch.num_rows):
+            part, meta, body = (batch.column(k)[row].as_py() for k in range(3))
             if part != now:
                 now, ranges, index = part, [], {}
             if body is None:
@@ -343,28 +359,27 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True)
                 }
                 ranges = []
-            none, doc_id, tag, _, _ = (int(c[0]) for c in _unpack([meta]))
-            text = _open(body)
-            spans = []
-            if (none, doc_id, tag) in index:
-                starts, sizes = index[none, doc_id, tag]
-                reach = np.maximum.accumulate(starts + sizes)
-                opens = np.concatenate([[True], starts[1:] > reach[:-1]])
-                first = np.flatnonzero(opens)
-                spans = list(zip(starts[first].tolist(), reach[np.append(first[1:], len(starts)) - 1].tolist(), strict=True))
-            kept, at = [], 0
-            for a, b in spans:
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            out.append({
-                "doc_id": None if none else doc_id,
-                "n_bytes": len(text),
-                "spans": [{"start": a, "stop": b} for a, b in spans],
-                "kept": b"".join(kept),
-            })
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_OUT)
+            found, texts, begin = _unpack([meta]), _open(body), 0
+            for none, doc_id, tag, _, size in zip(*(c.tolist() for c in found), strict=True):
+                text, begin = texts[begin : begin + size], begin + size
+                spans = _joined(index.get((none, doc_id, tag)))
+                kept, at = [], 0
+                for x, y in spans:
+                    kept.append(text[at:x])
+                    at = y
+                kept.append(text[at:])
+                out.append({
+                    "doc_id": None if none else doc_id,
+                    "n_bytes": len(text),
+                    "spans": [{"start": x, "stop": y} for x, y in spans],
+                    "kept": b"".join(kept),
+                })
+                size_out += size
+            if size_out > PIECE:
+                yield pa.RecordBatch.from_pylist(out, schema=_OUT)
+                out, size_out = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
@@ -385,7 +400,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, finals = BUCKETS_PER_PARTITION * partitions, 4 * partitions
+    buckets, finals = BUCKETS_PER_PARTITION * partitions, partitions
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "part int, meta binary, body binary"
     stretches = source.mapInArrow(_scatter(buckets, finals), kind)
