@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .folds import Push, empty_array, fold_emit, let, walk_emit
-from .spans import SPAN, protected_spans
+from .spans import protected_spans
 from .text import cjk_count, cjk_share, strip
 
 PIECE = "struct<s:int,e:int,text:string>"

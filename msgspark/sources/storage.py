@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def give_local_folder(spark: SparkSession) -> None:
+    """For tests and trials: a local session that names no folder gets one of its own.
+
+    It goes when the process ends. A session on a cluster has to name one.
+    """
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(SHARED_DIR, None)
+    if not named and spark.sparkContext.master.split("[")[0] == "local":
+        own = tempfile.mkdtemp(prefix="run-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.conf.set(SHARED_DIR, own)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, never used before."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
