@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.storage import fresh_path
+from ..sources.storage import fresh_path, give_local_folder
 
 
 class Scratch:
@@ -14,6 +14,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        give_local_folder(spark)
         self.spark = spark
         self.paths: dict[int, str] = {}
 
