@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from .arrays import U, gram_hashes, mix, packed, ragged, slices, span_hashes
 from .scratch import Scratch
 
-WINDOW, GRAM, DIGIT = 100, 12, 25
+WINDOW, GRAM, DIGIT = 100, 24, 25
 PIECE = 2 << 20
 FLUSH = 24 << 20
+SETTLE = 32 << 20
 BUCKETS_PER_PARTITION = 16
 #: Windows that one pass over a bucket holds; a larger bucket is sorted class by class.
 MOST_WINDOWS = 3_000_000
@@ -250,16 +251,63 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return gone
 
 
-def _sort_bucket(metas: list[bytes], bodies: list[bytes], finals: int) -> Iterator[pa.RecordBatch]:
-    meta = _unpack(metas)
-    text = np.frombuffer(b"".join(map(_open, bodies)), dtype=np.uint8)
-    at = np.concatenate([[0], np.cumsum(meta[4])[:-1]])
+def _settle(
+    meta: list[np.ndarray], text: np.ndarray, finals: int
+) -> tuple[list[np.ndarray], np.ndarray, list[pa.RecordBatch]]:
+    """Stretches in the order of their places, each text once, and the ranges of the rest.
+
+    All windows of a later copy of a stretch stand earlier too, so it goes as a whole.
+    """
+    at = np.concatenate([[0], np.cumsum(meta[4])[:-1]]).astype(np.int64)
     order = np.lexsort(meta[3::-1])
     same = np.zeros(len(order), dtype=bool)  # repeated rows bring the same stretch again
     same[1:] = np.all([m[order[1:]] == m[order[:-1]] for m in meta[:4]], axis=0)
     order = order[~same]
-    text = text[ragged(at[order], meta[4][order])]
-    meta = [m[order] for m in meta]
+    prints = span_hashes(text, at, at + meta[4])[order]
+    _, first, inverse = np.unique(prints, return_index=True, return_inverse=True)
+    lead = first[inverse]
+    copy = np.flatnonzero(lead != np.arange(len(lead)))
+    if len(copy):
+        mine, other = order[copy], order[lead[copy]]
+        equal = meta[4][mine] == meta[4][other]
+        for k in range(0, len(copy), 1 << 16):  # the bytes decide, not the fingerprint
+            i = slice(k, k + (1 << 16))
+            size = np.where(equal[i], meta[4][mine[i]], 0)
+            differ = text[ragged(at[mine[i]], size)] != text[ragged(at[other[i]], size)]
+            owner = np.repeat(np.arange(len(size)), size)
+            equal[i] &= np.bincount(owner[differ], minlength=len(size)) == 0
+        copy = copy[equal]
+    gone = list(_ranges([m[order[copy]] for m in meta], finals))
+    keep = np.ones(len(order), dtype=bool)
+    keep[copy] = False
+    order = order[keep]
+    return [m[order] for m in meta], text[ragged(at[order], meta[4][order])], gone
+
+
+class _Bucket:
+    """The stretches of one bucket; copies leave whenever ``SETTLE`` bytes have come in."""
+
+    def __init__(self, finals: int):
+        self.finals, self.meta, self.text, self.new = finals, [], [], 0
+
+    def add(self, meta: bytes, body: bytes) -> list[pa.RecordBatch]:
+        self.meta.append(_unpack([meta]))
+        self.text.append(np.frombuffer(_open(body), dtype=np.uint8))
+        self.new += len(self.text[-1])
+        return self.settle() if self.new > SETTLE else []
+
+    def settle(self) -> list[pa.RecordBatch]:
+        meta = [np.concatenate(m) for m in zip(*self.meta, strict=True)]
+        meta, text, gone = _settle(meta, np.concatenate(self.text), self.finals)
+        self.meta, self.text, self.new = [meta], [text], 0
+        return gone
+
+    def sorted(self) -> Iterator[pa.RecordBatch]:
+        yield from self.settle()
+        yield from _sort_bucket(self.meta[0], self.text[0], self.finals)
+
+
+def _sort_bucket(meta: list[np.ndarray], text: np.ndarray, finals: int) -> Iterator[pa.RecordBatch]:
     at = np.concatenate([[0], np.cumsum(meta[4])[:-1]])
     counts = meta[4] - WINDOW + 1
     starts = ragged(at, counts)
@@ -282,7 +330,7 @@ def _sort(finals: int):
     """Sorts bucket after bucket of a partition; only one is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, metas, bodies = None, [], []
+        now, bucket = None, None
         for batch in batches:
             for row in range(batch.num_rows):
                 part, meta, body = (batch.column(k)[row].as_py() for k in range(3))
@@ -292,14 +340,13 @@ def _sort(finals: int):
                         schema=_ROW,
                     )
                     continue
-                if part != now and metas:
-                    yield from _sort_bucket(metas, bodies, finals)
-                    metas, bodies = [], []
-                now = part
-                metas.append(meta)
-                bodies.append(body)
-        if metas:
-            yield from _sort_bucket(metas, bodies, finals)
+                if part != now:
+                    if bucket:
+                        yield from bucket.sorted()
+                    now, bucket = part, _Bucket(finals)
+                yield from bucket.add(meta, body)
+        if bucket:
+            yield from bucket.sorted()
 
     return run
 

@@ -85,3 +85,19 @@ def test_a_large_bucket_is_sorted_by_classes(monkeypatch):
     whole = repeated_windows(text, starts)
     monkeypatch.setattr(suffix_dedup, "MOST_WINDOWS", 97)
     assert whole.any() and (repeated_windows(text, starts) == whole).all()
+
+
+def test_a_bucket_settles_copies_on_the_way(spark, monkeypatch):
+    finals = 3
+    passage = np.frombuffer(prose(1, 60).encode(), dtype=np.uint8)
+    bucket = suffix_dedup._Bucket(finals)
+    monkeypatch.setattr(suffix_dedup, "SETTLE", 5 * len(passage))
+    out = []
+    for k in (7, 3, 9, 1, 3, 8, 2, 5, 4, 6, 11, 12):  # id 3 comes twice
+        meta = [np.array([v], dtype=t) for v, (_, t) in zip((0, k, 0, 0, len(passage)), suffix_dedup._META)]
+        out += bucket.add(suffix_dedup._pack(meta), suffix_dedup._press(passage.tobytes()))
+    assert sum(len(t) for t in bucket.text) <= 6 * len(passage)
+    out += list(bucket.sorted())
+    found = suffix_dedup._unpack([m for b in out for m in b.column(1).to_pylist()])
+    assert sorted(found[1].tolist()) == [2, 3, 4, 5, 6, 7, 8, 9, 11, 12]
+    assert set(found[4].tolist()) == {len(passage)}
