@@ -35,7 +35,7 @@ class _Form:
         self.columns = ["embedding"] if dim is None else ["buckets", "weights"]
 
     def matrix(self, batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in self.columns]
+        columns = [batch.column(c) for c in self.columns]
         columns = [
             c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns
         ]
@@ -46,14 +46,6 @@ class _Form:
         )
         return kernel.unit(rows)
 
-    def matrix_of_rows(self, rows: list) -> np.ndarray:
-        if self.dim is None:
-            return kernel.unit(np.array([r["embedding"] for r in rows], dtype=np.float64))
-        out = np.zeros((len(rows), self.dim))
-        for n, r in enumerate(rows):
-            out[n, r["buckets"]] = r["weights"]
-        return kernel.unit(out)
-
 
 def _hit_schema(queries: DataFrame) -> T.StructType:
     return T.StructType(
@@ -86,16 +78,16 @@ def _feed(best: kernel.Best, form: _Form, batch: pa.RecordBatch | pa.Table) -> N
 
 
 def _scan(
-    corpus: DataFrame, queries: DataFrame, rows: list, form: _Form, k: int, cells: bool = False
+    corpus: DataFrame, queries: DataFrame, block: pa.Table, form: _Form, k: int, cells: bool = False
 ) -> DataFrame:
     """Local winners of every task against one block of questions.
 
     With ``cells`` a question (``cells``) meets only the rows of its cells (``cell``).
     """
     questions = (
-        [r["query_id"] for r in rows],
-        form.matrix_of_rows(rows) if rows else np.zeros((0, 1)),
-        [frozenset(r["cells"]) for r in rows] if cells else None,
+        block.column("query_id").to_pylist(),
+        form.matrix(block) if block.num_rows else np.zeros((0, 1)),
+        [frozenset(c) for c in block.column("cells").to_pylist()] if cells else None,
     )
     shared = corpus.sparkSession.sparkContext.broadcast(questions)
     schema = _arrow(queries)
@@ -122,7 +114,7 @@ def _search(
     found = []
     for n in range(blocks):
         own = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        hits = _scan(corpus, questions, own.collect(), form, k, cells)
+        hits = _scan(corpus, questions, own.toArrow(), form, k, cells)
         found.append(hits if blocks == 1 else stored(hits, "winners"))
     out = found[0]
     for more in found[1:]:
