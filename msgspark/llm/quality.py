@@ -47,13 +47,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(n), sizes)
     count = np.bincount(owner * KINDS + _KIND[data], minlength=n * KINDS).reshape(n, KINDS)
-    accented = np.zeros(len(data), dtype=bool)  # capitals of Latin-1: two fixed bytes
-    if len(data) > 1:
-        accented[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
-    capitals = count[:, _UPPER] + np.bincount(owner[accented], minlength=n)
+    capital = _KIND[data] == _UPPER
+    if len(data) > 1:  # capitals of Latin-1: two fixed bytes
+        capital[:-1] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
+    capital[1:] &= np.isin(_KIND[data[:-1]], (_LOWER, _UPPER, _TAIL))  # not the first of a word
+    capital[:1] = False
+    capitals = np.bincount(owner[capital], minlength=n)
     chars = np.maximum(sizes - count[:, _TAIL], 1)
     letters = count[:, _LOWER] + count[:, _UPPER] + count[:, _HIGH]
-    share = lambda x, of: x / np.maximum(of, 1)
+    # shares of few characters or words say little and are drawn to 0
+    share = lambda x, of, few=2: x / (of + few)
 
     starts, ends = word_spans(data, offsets, _WORD)
     hashes = span_hashes(data, starts, ends)
@@ -69,9 +72,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lines = np.bincount(of_line, minlength=n)
     distinct_lines = _distinct(span_hashes(data, starts, ends), of_line, n)
     columns = [
-        share(capitals, letters),
-        share(count[:, _LOWER], chars),
-        *(share(count[:, k], chars) for k in (_DIGIT, _SHOUT, _BAR, _SIGN)),
+        share(capitals, letters, 10),
+        share(count[:, _LOWER], chars, 10),
+        *(share(count[:, k], chars, 30) for k in (_DIGIT, _SHOUT, _BAR, _SIGN)),
         share(count[:, _DOT], words),
         share(count[:, _COMMA], words),
         share(count[:, _OTHER], chars),
@@ -149,8 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, seed:
     ignored, of several labels the greater counts. At most ``most`` labelled
     documents are read, those with the least hash of their id: the sample is the
     only thing that reaches the driver, as one row of measures each. The threshold is
-    the quantile of the training scores at the share of worse documents, in the
-    middle of the two scores beside it. Without both labels the model is BLANK.
+    a quantile of the training scores (``quantile_threshold``). Without both labels
+    the model is BLANK.
     """
     sample = (
         labels.where("doc_id is not null and quality is not null")
@@ -179,9 +182,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, seed:
     better = draw.choice(np.flatnonzero(good), PAIRS)
     worse = draw.choice(np.flatnonzero(~good), PAIRS)
     weights = bradley_terry(z[better], z[worse])
-    ranked = np.sort(z @ weights)
-    cut = int((~good).sum())
-    return QualityModel(mean, scale, weights, float(ranked[cut - 1] + ranked[cut]) / 2)
+    return QualityModel(mean, scale, weights, quantile_threshold(z @ weights, good))
+
+
+def quantile_threshold(scores: np.ndarray, good: np.ndarray) -> float:
+    """The middle of two neighbouring scores: the quantile that mislabels fewest documents.
+
+    Of equal quantiles the one in the widest gap between scores is taken.
+    """
+    order = np.argsort(scores, kind="stable")
+    ranked, good = scores[order], good[order]
+    below = np.cumsum(good)[:-1]  # better documents at or below each place
+    wrong = below + (~good).sum() - (np.arange(1, len(good)) - below)
+    gap = np.where(wrong == wrong.min(), np.diff(ranked), -1.0)
+    cut = int(gap.argmax())
+    return float(ranked[cut] + ranked[cut + 1]) / 2
 
 
 def with_quality(docs: DataFrame, model: QualityModel, *, name: str = "score") -> DataFrame:
