@@ -37,7 +37,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
+    """One document of each group of near copies stays, that with the smallest id.
+
+    Rows that share an id (also null) are told apart by no column here: they stay together.
+    """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
