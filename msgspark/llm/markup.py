@@ -35,6 +35,13 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Ids that name the comments of an article; its other ids are anchors of its sections.
+_COMMENT_IDS = frozenset("comment comments commentlist respond disqus".split())
+#: How an element is marked as furniture: not, by a part of a name, by a whole name, by a name
+#: of comments (part, whole), by its kind. A mark is handed down, the strongest one wins.
+_NONE, _PART, _COMMENT_PART, _WHOLE, _COMMENT, _KIND = range(6)
+#: Furniture unless the page has no other article.
+_HELD = 6
 
 
 @dataclass(frozen=True)
@@ -45,24 +52,50 @@ class Line:
     furniture: bool  # inside navigation, adverts, comments and the like
 
 
-def _judge(name: str, rest: str, in_main: bool) -> tuple[bool, bool]:
-    """(starts the main element, is furniture) for an opened element."""
+def _judge(name: str, rest: str, in_main: bool) -> tuple[bool, int]:
+    """(is a main element, its mark of furniture) for an opened element.
+
+    Inside the article only whole names count, and of ids only those of comments.
+    """
     words: set[str] = set()
+    whole: set[str] = set()
     role = ""
     for kind, *values in _NAMED.findall(rest):
         value = next((v for v in values if v), "")
         if kind.lower() == "role":
             role = value.strip().lower()
-        else:
-            words.update(w.lower() for w in _WORD.findall(value))
-    main = name in ("article", "main") or role in ("main", "article")
+            continue
+        words.update(w.lower() for w in _WORD.findall(value))
+        names = set(value.lower().split())
+        whole |= names & _COMMENT_IDS if in_main and kind.lower() == "id" else names
     if name in ("html", "body"):
-        return False, False
-    if main:
-        return not words & _COMMENTS, bool(words & _COMMENTS)
-    if name == "header" or "header" in words:
-        return False, not in_main
-    return False, name in _FURNITURE or role in _ROLES or bool(words & _NAMES)
+        return False, _NONE
+    if name in ("article", "main") or role in ("main", "article"):
+        return True, _COMMENT if whole & _COMMENTS else _NONE
+    if name == "header" or "header" in (whole if in_main else words):
+        return False, _NONE if in_main else _KIND
+    if name in _FURNITURE or role in _ROLES:
+        return False, _KIND
+    if whole & _COMMENTS:
+        return False, _COMMENT
+    if whole & _NAMES:
+        return False, _WHOLE
+    if in_main or not words & _NAMES:
+        return False, _NONE
+    return False, _COMMENT_PART if words & _COMMENTS else _PART
+
+
+def _settled(found: list[tuple[Line, int]]) -> list[Line]:
+    """Lines whose marks depend on the rest of the page.
+
+    An article inside an element that is named like furniture is the article where the
+    page has no other. Where nothing else is left, parts of names mark no furniture.
+    """
+    if not any(line.main and not mark for line, mark in found):
+        found = [(line, _NONE if mark == _HELD else mark) for line, mark in found]
+    if all(found_mark for _, found_mark in found):
+        found = [(line, _NONE if mark in (_PART, _COMMENT_PART) else mark) for line, mark in found]
+    return [Line(line.text, line.main, line.prose, mark != _NONE) for line, mark in found]
 
 
 def lines(html: str | None) -> list[Line]:
@@ -72,8 +105,8 @@ def lines(html: str | None) -> list[Line]:
     put up with: an end tag closes down to its element or is ignored, a block ends an
     open paragraph, a list item the one before.
     """
-    out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, main, furniture, both inherited
+    out: list[tuple[Line, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # name, main, mark of furniture, both inherited
     words: list[str] = []
     at = 0
     html = html or ""
@@ -82,9 +115,9 @@ def lines(html: str | None) -> list[Line]:
         text = " ".join(unescape("".join(words)).split())
         words.clear()
         if text:
-            _, main, furniture = stack[-1] if stack else ("", False, False)
+            _, main, mark = stack[-1] if stack else ("", False, _NONE)
             block = next((n for n, _, _ in reversed(stack) if n in _BLOCK), "")
-            out.append(Line(text, main, block in _PROSE, furniture))
+            out.append((Line(text, main, block in _PROSE, False), mark))
 
     for tag in _TOKEN.finditer(html):
         if tag.start() > at:
@@ -116,9 +149,15 @@ def lines(html: str | None) -> list[Line]:
                     break
                 if stack[k][0] in _BLOCK:
                     break
-        _, main, furniture = stack[-1] if stack else ("", False, False)
-        starts, removes = _judge(name, tag["rest"], main)
-        stack.append((name, main or starts, furniture or removes))
+        _, main, mark = stack[-1] if stack else ("", False, _NONE)
+        starts, own = _judge(name, tag["rest"], main)
+        if starts and own == _NONE and not main:
+            # a name says what surrounds an article only where the page has another one
+            if mark == _PART or (mark and mark < _KIND and name == "main"):
+                mark = _NONE
+            elif mark in (_COMMENT_PART, _WHOLE):
+                mark = _HELD
+        stack.append((name, main or (starts and own == _NONE), max(mark, own)))
     words.append(html[at:])
     flush()
-    return out
+    return _settled(out)

@@ -88,3 +88,37 @@ def test_urls_and_blocks():
     assert host_and_path("nothing") == ("", "nothing")
     got = lines("<ul><li>a<li>b</ul><p class='x cookieBanner'>c</p>d<td>e")
     assert [(x.text, x.furniture) for x in got] == [("a", False), ("b", False), ("c", True), ("d", False), ("e", False)]
+
+
+def test_an_article_in_a_wrapper_with_a_furniture_name_stays(spark):
+    wrappers = [
+        "class='site-content no-sidebar'", "class='with-sidebar'", "id='page' class='hasBanner'", "class='sidebar'",
+        "class='comments-open'", "class='menu-left social'",
+    ]
+    rows = [(k, f"http://h{k}/", page(f"<div {w}><article><p>Own {k}</p></article></div>")) for k, w in enumerate(wrappers)]
+    rows += [(10 + k, f"http://m{k}/", page(f"<div {w}><div><main><p>Own {k}</p></main></div></div>")) for k, w in enumerate(wrappers)]
+    rows += [(20, "http://c/", page("<article class='post comments-open reply-allowed'><p>Own</p></article>"))]
+    rows += [(21, "http://d/", page("<div class='content no-sidebar'><p>Own</p></div>"))]
+    got = texts(spark, rows)
+    assert all(got[k] == got[10 + k] == f"Own {k}" for k in range(len(wrappers)))
+    assert got[20] == got[21] == "Own"
+
+
+def test_sections_of_an_article_are_no_furniture(spark):
+    body = (
+        "<article><p>Start.</p><section id='discussion'><h2 id='related-work'>Related</h2><p>Said.</p></section>"
+        "<div class='social-history'><p>History.</p></div><h2 id='recommendations'>Advice</h2>"
+        "<div class='ad'><p>Buy</p></div><div id='comments'><p>First!</p></div></article>"
+    )
+    got = texts(spark, [(1, "http://h/1", page(body))])
+    assert got[1] == "Start.\nRelated\nSaid.\nHistory.\nAdvice"
+
+
+def test_articles_of_sidebars_and_comments_go(spark):
+    after = (
+        "<div class='sidebar'><article><p>Teaser</p></article></div><aside><article><p>Other</p></article></aside>"
+        "<div class='comments-area'><article><p>Me too</p></article></div>"
+        "<ol class='commentlist'><li><article class='comment-body'><p>First!</p></article></li></ol>"
+    )
+    got = texts(spark, [(1, "http://h/1", page("<article><p>Own.</p></article>", after=after))])
+    assert got[1] == "Own."
