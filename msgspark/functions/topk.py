@@ -42,7 +42,7 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 class Best:
     """Best ``k`` rows per question: higher rounded score first, then smaller id.
 
-    ``wanted`` names the cells of each question; rows of other cells are no hits.
+    ``wanted`` names the cells of each question; rows without any of them are no hits.
     """
 
     def __init__(self, questions: np.ndarray, k: int, wanted: list[frozenset[str]] | None = None):
@@ -57,19 +57,31 @@ class Best:
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray | None = None) -> None:
         if self.by_cell is not None and cells is not None:
-            for cell in np.unique(cells):
-                if cell in self.by_cell:
-                    own = cells == cell
-                    self._add(ids[own], vectors[own], np.flatnonzero(self.by_cell[cell]))
+            cells = cells.reshape(len(ids), -1)  # one column for each set of cells
+            nobody = np.zeros(len(self.questions), dtype=bool)
+            for n in range(cells.shape[1]):
+                for cell in np.unique(cells[:, n]):
+                    if cell in self.by_cell:
+                        own = cells[:, n] == cell
+                        asked = np.flatnonzero(self.by_cell[cell])
+                        met = np.zeros((int(own.sum()), len(asked)), dtype=bool)
+                        for before in cells[own, :n].T:
+                            met |= np.stack([self.by_cell.get(c, nobody)[asked] for c in before])
+                        self._add(ids[own], vectors[own], asked, met)
             return
         self._add(ids, vectors, np.arange(len(self.questions)))
 
-    def _add(self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray) -> None:
+    def _add(
+        self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, met: np.ndarray | None = None
+    ) -> None:
+        """``met`` marks the pairs of rows and questions that an earlier set of cells brought."""
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         for first in range(0, len(asked), QUESTIONS):
             own = asked[first : first + QUESTIONS]
             scores = np.round(vectors @ self.questions[own].T, DIGITS) + 0.0
+            if met is not None:
+                scores[met[order, first : first + QUESTIONS]] = -np.inf
             # after a few batches most questions have nothing to gain from a batch
             for j in np.flatnonzero(scores.max(axis=0) >= self.floor[own]):
                 self._merge(own[j], ids, scores[:, j])

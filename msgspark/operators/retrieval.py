@@ -205,15 +205,30 @@ def place_in_cells(rows: DataFrame, centres: DataFrame, n: int = 1) -> DataFrame
     return rows.mapInArrow(run, schema)
 
 
-def cell_index(corpus: DataFrame, centres: DataFrame) -> DataFrame:
-    """Corpus rows ``id, embedding`` with the ``cell`` they belong to."""
-    placed = place_in_cells(corpus.select("id", "embedding"), centres)
-    return placed.select("id", "embedding", F.col("cells")[0].alias("cell"))
+def _in_sets(rows: DataFrame, centres: DataFrame | list[DataFrame], n: int) -> DataFrame:
+    """Add ``cells`` as above; of several sets of centres the cells of each, one set after the other."""
+    if isinstance(centres, DataFrame):
+        return place_in_cells(rows, centres, n)
+    names = rows.columns
+    for k, own in enumerate(centres):
+        named = own.select(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")).alias("id"), "embedding")
+        rows = place_in_cells(rows, named, n).withColumnRenamed("cells", f"cells{k}")
+    return rows.select(*names, F.concat(*(f"cells{k}" for k in range(len(centres)))).alias("cells"))
+
+
+def cell_index(corpus: DataFrame, centres: DataFrame | list[DataFrame]) -> DataFrame:
+    """Corpus rows ``id, embedding`` with the ``cell`` they belong to.
+
+    With a list of sets of centres ``cell`` is an array: each row has a cell in every set.
+    """
+    placed = _in_sets(corpus.select("id", "embedding"), centres, 1)
+    cell = F.col("cells")[0] if isinstance(centres, DataFrame) else F.col("cells")
+    return placed.select("id", "embedding", cell.alias("cell"))
 
 
 def top_k_cells(
     index: DataFrame,
-    centres: DataFrame,
+    centres: DataFrame | list[DataFrame],
     queries: DataFrame,
     k: int = TOP_K,
     probes: int = 2,
@@ -221,9 +236,11 @@ def top_k_cells(
 ) -> DataFrame:
     """Approximate nearest rows: a question meets only the ``probes`` cells nearest to it.
 
-    ``index`` is what ``cell_index`` made. Within those cells the search is exact; a
-    question whose cells hold fewer than k rows gets fewer. The centres are given, so
-    no training and no sample of the corpus is needed.
+    ``index`` is what ``cell_index`` made of the same centres. Within those cells the
+    search is exact; a question whose cells hold fewer than k rows gets fewer. The
+    centres are given, so no training and no sample of the corpus is needed. Of several
+    independent sets of centres a question meets ``probes`` cells each: a near row that
+    one set parts from it stands beside it in another.
     """
-    asked = place_in_cells(queries.select("query_id", "embedding"), centres, probes)
+    asked = _in_sets(queries.select("query_id", "embedding"), centres, probes)
     return _search(index, asked, _Form(None), k, _width(queries), block_bytes, cells=True)

@@ -156,6 +156,20 @@ class Tables:
             F.col("label").cast("bigint").alias("query_id"), F.col("_m.mean").alias("embedding")
         )
 
+    def row_questions(self) -> DataFrame:
+        """Every row whose id is divisible by 50 as a question."""
+        return self.table("embeddings").where("vec_id % 50 = 0").select(
+            F.col("vec_id").cast("bigint").alias("query_id"), "embedding"
+        )
+
+    def row_centres(self) -> list[DataFrame]:
+        """Six sets of 49 rows that are no questions, as centres of cells."""
+        rows = self.table("embeddings").where("vec_id % 50 <> 0")
+        return [
+            rows.where(F.floor(F.col("vec_id") / 50) == n).select(F.col("vec_id").cast("string").alias("id"), "embedding")
+            for n in range(6)
+        ]
+
     def questions(self) -> DataFrame:
         return self.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
 

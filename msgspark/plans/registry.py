@@ -301,6 +301,20 @@ def topk_approx(t: Tables) -> DataFrame:
     return retrieval.top_k_cells(placed, centres, t.centroids(), probes=2)
 
 
+@query
+def topk_dense_rows(t: Tables) -> DataFrame:
+    """The questions of the recall figures: every row whose id is divisible by 50."""
+    return retrieval.top_k(t.vectors(), t.row_questions())
+
+
+@query
+def topk_approx_rows(t: Tables) -> DataFrame:
+    """The same questions over six independent sets of cells, five of 49 each."""
+    centres = [stored(c, "centres") for c in t.row_centres()]
+    placed = stored(retrieval.cell_index(t.vectors(), centres), "cells")
+    return retrieval.top_k_cells(placed, centres, t.row_questions(), probes=5)
+
+
 def vector_text() -> Column:
     """A sparse vector as text: bucket:weight in millionths, by bucket."""
     pairs = F.arrays_zip("buckets", "weights")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from msgspark.functions.vectors import cosine, score, term_vector
 from msgspark.operators import embedding, retrieval
 from msgspark.plans.bindings import Tables
+from msgspark.plans.registry import topk_approx_rows, topk_dense_rows
 
 rng = np.random.default_rng(3)
 VECTORS = rng.normal(size=(900, 16)).astype(np.float32)
@@ -76,6 +77,25 @@ def test_cells_recall(spark):
     assert {(q, i) for q, _, i, _ in full} == exact  # all cells probed: nothing is lost
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_every_fiftieth_row(spark, sf):
+    t = Tables(spark, f"/root/testdata/{sf}")
+    asked, corpus = t.row_questions(), t.vectors()
+    assert asked.count() == corpus.where("cast(id as bigint) % 50 = 0").count() > 0
+    exact = {(r.query_id, r.id) for r in topk_dense_rows(t).collect()}
+    got = [(r.query_id, r.id) for r in topk_approx_rows(t).collect()]
+    assert len(got) == len(set(got)) == len(exact) == 5 * asked.count()
+    assert len(exact & set(got)) / len(exact) >= 0.9
+    others = {(q, i) for q, i in exact if str(q) != i}  # without the row itself
+    recall = len(others & set(got)) / len(others)
+    centres = t.row_centres()
+    cells = {r.id: set(r.cell) for r in retrieval.cell_index(corpus, centres).collect()}
+    wide = retrieval._in_sets(asked, centres, 5).collect()
+    share = sum(bool(cells[i] & set(r.cells)) for r in wide for i in cells) / len(wide) / len(cells)
+    print(sf, "recall", len(exact & set(got)) / len(exact), "without itself", recall, "share", share)
+    assert recall >= 0.9 and share < 0.6
+
+
 def test_hits_are_joined_without_shuffling_the_chunks(spark, tmp_path):
     path = str(tmp_path / "index")
     spark.range(500).selectExpr(
