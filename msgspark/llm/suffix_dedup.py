@@ -4,7 +4,9 @@ Every position of a text starts a suffix; only its first ``WINDOW`` bytes matter
 Suffixes whose windows are equal must meet, so a window is sent to the bucket of the
 least hashed gram inside it: equal windows choose equal grams. Neighbouring windows
 mostly share that gram and travel as one stretch of text, so the shuffle moves a few
-bytes per suffix. Inside a bucket the suffixes are ordered by most-significant-digit
+bytes per suffix. A gram that very many places have (a licence line, a byline) would
+fill one bucket with texts that all differ around it; grams are counted first and the
+frequent ones chosen by no window that has another. Inside a bucket the suffixes are ordered by most-significant-digit
 passes, a digit being the fingerprint of ``DIGIT`` bytes; a suffix alone in its group
 leaves after the pass, and the sort ends at the window's depth. The groups that remain
 are the repeated windows; their bytes are compared before any is removed.
@@ -29,9 +31,15 @@ PIECE = 2 << 20
 FLUSH = 24 << 20
 SETTLE = 32 << 20
 BUCKETS_PER_PARTITION = 16
+#: Windows whose grams are all frequent go by their least gram of this size.
+LONG_GRAM = 64
+#: Grams are counted by slots; those of a slot with more places than this, and than eight times the median, are frequent.
+SLOTS, MOST_PLACES = 1 << 20, 200_000
+_SLOT_RANGE = 1 << 14
 #: Windows that one pass over a bucket holds; a larger bucket is sorted class by class.
 MOST_WINDOWS = 3_000_000
 _LOW = U((1 << 24) - 1)
+_NO_GRAM = U((1 << 64) - 1)
 _ROW = pa.schema([("part", pa.int32()), ("meta", pa.binary()), ("body", pa.binary())])
 _META = [("none", np.uint8), ("id", np.int64), ("tag", np.uint32), ("start", np.int64), ("size", np.int64)]
 
@@ -84,20 +92,77 @@ def _sliding_least(values: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return ((grams >> U(24)) & U(SLOTS - 1)).astype(np.int64)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many places of the texts of a partition have a gram of each slot."""
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for _, data, _ in slices(packed(batches, "text", PIECE), "text", PIECE):
+        for at in range(0, max(1, len(data) - GRAM + 1), 2 * PIECE):  # one long text
+            grams = mix(gram_hashes(data[at : at + 2 * PIECE + GRAM - 1], GRAM))
+            counts += np.bincount(_slots(grams), minlength=SLOTS)
+    rows = [
+        {"part": a // _SLOT_RANGE, "body": _press(counts[a : a + _SLOT_RANGE].tobytes())}
+        for a in range(0, SLOTS, _SLOT_RANGE)
+        if counts[a : a + _SLOT_RANGE].any()
+    ]
+    yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("body", pa.binary())]))
+
+
+def _most(places: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slots of a partition with more than ``places`` and eight times the median of their range."""
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = np.frombuffer(_open(body), dtype=np.int64)
+                sums[part] = sums[part] + counts if part in sums else counts
+        found = [
+            part * _SLOT_RANGE + np.flatnonzero(counts > max(places, 8 * np.median(counts)))
+            for part, counts in sums.items()
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64())], names=["slot"]
+        )
+
+    return run
+
+
+def frequent_slots(source: DataFrame, partitions: int) -> np.ndarray:
+    """Slots of the grams that very many places have: at most one in ``MOST_PLACES`` bytes."""
+    counted = source.mapInArrow(_places, "part int, body binary").repartition(partitions, "part")
+    rows = counted.mapInArrow(_most(MOST_PLACES), "slot long").toArrow()
+    return np.sort(rows.column("slot").to_numpy())
+
+
+def _least(data: np.ndarray, size: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The least gram of every window that is not frequent, with its place; all ones if there is none."""
+    grams = mix(gram_hashes(data, size))
+    place = np.arange(len(grams), dtype=U)
+    value = (grams & ~_LOW) | (_LOW - place)
+    if frequent is not None:
+        value[frequent[_slots(grams)]] = _NO_GRAM
+    return _sliding_least(value, WINDOW - size + 1)
+
+
 def _stretches(
-    data: np.ndarray, ends: np.ndarray
+    data: np.ndarray, ends: np.ndarray, frequent: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and sizes of the runs of windows that choose the same gram, and its hash.
 
-    ``ends`` holds for every byte where its document ends. Of equal grams the last one
-    in the window is chosen, which depends on the window's bytes alone.
+    ``ends`` holds for every byte where its document ends, ``frequent`` for every slot
+    whether its grams are avoided. Of equal grams the last one in the window is chosen,
+    which depends on the window's bytes alone.
     """
     n = len(data) - WINDOW + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U)
-    grams = mix(gram_hashes(data, GRAM))
-    place = np.arange(len(grams), dtype=U)
-    least = _sliding_least((grams & ~_LOW) | (_LOW - place), WINDOW - GRAM + 1)
+    least = _least(data, GRAM, frequent)
+    none = least == _NO_GRAM
+    if none.any():
+        least = np.where(none, _least(data, LONG_GRAM), least)
     valid = np.arange(n) + WINDOW <= ends[:n]
     same = np.zeros(n + 1, dtype=bool)  # same[i]: window i continues the run of window i - 1
     same[1:n] = (least[1:] == least[:-1]) & valid[:-1] & valid[1:]
@@ -106,7 +171,7 @@ def _stretches(
     return starts, last - starts + WINDOW, mix(least[starts] >> U(24))
 
 
-def _scatter(buckets: int, finals: int):
+def _scatter(buckets: int, finals: int, slots: np.ndarray):
     """Stretches of every document by bucket; copies inside a slice are settled at once."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +199,10 @@ def _scatter(buckets: int, finals: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        frequent = None
+        if len(slots):
+            frequent = np.zeros(SLOTS, dtype=bool)
+            frequent[slots] = True
         for part, data, offsets in slices(packed(batches, "text", PIECE), "text", PIECE):
             keys = _keys(part, data, offsets)
             rank = np.empty(part.num_rows, dtype=np.int64)
@@ -141,7 +210,7 @@ def _scatter(buckets: int, finals: int):
             for at in range(0, max(1, len(data) - WINDOW + 1), 2 * PIECE):  # one long text
                 piece = data[at : at + 2 * PIECE + WINDOW - 1]
                 ends = np.repeat(offsets[1:], np.diff(offsets))[at : at + len(piece)] - at
-                starts, sizes, grams = _stretches(piece, ends)
+                starts, sizes, grams = _stretches(piece, ends, frequent)
                 if not len(starts):
                     continue
                 doc = np.searchsorted(offsets, starts + at, "right") - 1
@@ -193,29 +262,35 @@ def _ranges(meta: list[np.ndarray], finals: int) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Marks the windows of ``text`` at ``starts`` (ascending) whose bytes also start earlier.
+    """Marks the windows of ``text`` at ``starts`` (ascending) whose bytes also start earlier."""
+    valid = np.zeros(len(text), dtype=bool)
+    valid[starts] = True
+    return _repeated(text, valid)[starts]
+
+
+def _repeated(text: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Marks the places of ``valid`` windows whose bytes also start at an earlier one.
 
     Radix passes from the most significant digit: a pass refines the groups of the one
-    before by the next digit and drops suffixes that are alone in theirs.
+    before by the next digit and drops suffixes that are alone in theirs. Only the
+    places are kept for all windows, the rest is made for one class of them at a time.
     """
-    gone = np.zeros(len(starts), dtype=bool)
-    classes = len(starts) // MOST_WINDOWS + 1
+    gone = np.zeros(len(text), dtype=bool)
+    classes = int(np.count_nonzero(valid)) // MOST_WINDOWS + 1
+    if len(text) < WINDOW:
+        return gone
     views = np.lib.stride_tricks.sliding_window_view(text, WINDOW)
     step = 8 << 20
     for turn in range(classes):
         which, digits = [], []
-        for a in range(0, max(len(text), 1), step):  # fingerprints of a part of the text at a time
-            lo, hi = np.searchsorted(starts, [a, a + step])
-            if hi == lo:
+        for a in range(0, len(text), step):  # fingerprints of a part of the text at a time
+            at = np.flatnonzero(valid[a : a + step])
+            if not len(at):
                 continue
             prints = mix(gram_hashes(text[a : a + step + WINDOW], DIGIT))
-            at = starts[lo:hi] - a
             if classes > 1:
-                mine = prints[at] % U(classes) == turn
-                which.append(np.flatnonzero(mine) + lo)
-                at = at[mine]
-            else:
-                which.append(np.arange(lo, hi))
+                at = at[prints[at] % U(classes) == turn]
+            which.append(at + a)
             digits.append(np.stack([prints[at + k] for k in range(0, WINDOW, DIGIT)]))
         if not which:
             continue
@@ -244,7 +319,7 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
             for a in range(0, len(alive), 1 << 16):
                 own = slice(a, a + (1 << 16))
                 equal[own] = (
-                    views[starts[index[alive[own]]]] == views[starts[index[lead[own]]]]
+                    views[index[alive[own]]] == views[index[lead[own]]]
                 ).all(axis=1)
             gone[index[alive[equal & (alive != lead)]]] = True
             alive, key = alive[~equal], key[~equal]  # none, but for a fingerprint's collision
@@ -309,19 +384,21 @@ class _Bucket:
 
 def _sort_bucket(meta: list[np.ndarray], text: np.ndarray, finals: int) -> Iterator[pa.RecordBatch]:
     at = np.concatenate([[0], np.cumsum(meta[4])[:-1]])
-    counts = meta[4] - WINDOW + 1
-    starts = ragged(at, counts)
-    owner = np.repeat(np.arange(len(at)), counts)
-    gone = repeated_windows(text, starts)
+    if not len(meta[4]):
+        return
+    valid = np.ones(len(text), dtype=bool)  # a stretch ends with WINDOW - 1 places that start no window
+    for k in range(1, WINDOW):
+        valid[at + meta[4] - k] = False
+    gone = _repeated(text, valid)
     opens = gone.copy()
-    opens[1:] &= ~(gone[:-1] & (owner[1:] == owner[:-1]))
+    opens[1:] &= ~gone[:-1]
     closes = gone.copy()
-    closes[:-1] &= ~(gone[1:] & (owner[1:] == owner[:-1]))
+    closes[:-1] &= ~gone[1:]
     first, last = np.flatnonzero(opens), np.flatnonzero(closes)
-    own = owner[first]
-    size = starts[last] - starts[first] + WINDOW
+    own = np.searchsorted(at, first, "right") - 1
+    size = last - first + WINDOW
     yield from _ranges(
-        [meta[0][own], meta[1][own], meta[2][own], meta[3][own] + starts[first] - at[own], size],
+        [meta[0][own], meta[1][own], meta[2][own], meta[3][own] + first - at[own], size],
         finals,
     )
 
@@ -450,7 +527,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets, finals = BUCKETS_PER_PARTITION * partitions, partitions
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "part int, meta binary, body binary"
-    stretches = source.mapInArrow(_scatter(buckets, finals), kind)
+    slots = frequent_slots(source, partitions)
+    stretches = source.mapInArrow(_scatter(buckets, finals, slots), kind)
     ranges = (
         stretches.repartition(partitions, "part").sortWithinPartitions("part")
         .mapInArrow(_sort(finals), kind)

@@ -101,3 +101,26 @@ def test_a_bucket_settles_copies_on_the_way(spark, monkeypatch):
     found = suffix_dedup._unpack([m for b in out for m in b.column(1).to_pylist()])
     assert sorted(found[1].tolist()) == [2, 3, 4, 5, 6, 7, 8, 9, 11, 12]
     assert set(found[4].tolist()) == {len(passage)}
+
+
+def shares(rows, slots):
+    """Share of the stretches' bytes that the fullest bucket of many gets."""
+    data = np.frombuffer("".join(t for _, t in rows).encode(), dtype=np.uint8)
+    sizes = [len(t.encode()) for _, t in rows]
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    frequent = np.zeros(suffix_dedup.SLOTS, dtype=bool)
+    frequent[slots] = True
+    _, size, grams = suffix_dedup._stretches(data, ends, frequent)
+    load = np.bincount((grams % np.uint64(97)).astype(int), weights=size, minlength=97)
+    return load.max() / load.sum()
+
+
+def test_a_phrase_of_many_documents_fills_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_PLACES", 100)  # read by the driver only
+    for length in (60, 90):
+        phrase = ("Licensed under the terms that the file named LICENCE gives; no warranty of any kind, none at all." * 2)[:length]
+        rows = [(i, f"{prose(i, 12, 9999)} {phrase} {prose(i + 9000, 12, 9999)}") for i in range(400)]
+        slots = suffix_dedup.frequent_slots(docs(spark, rows), 2)
+        assert len(slots) >= length - 24
+        assert shares(rows, []) > 0.15 and shares(rows, slots) < 0.05
+        same(spark, rows[:80] + [(1000 + i, rows[i][1]) for i in range(120)] + [(2000, phrase * 3), (2001, "ab" + phrase * 4)])
