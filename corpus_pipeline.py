@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from msgspark.llm.decontaminate import contamination
 from msgspark.llm.line_dedup import dedup_lines
-from msgspark.llm.near_dedup import near_duplicates
+from msgspark.llm.near_dedup import PERCENT, near_duplicates
 from msgspark.llm.pieces import encode
 from msgspark.llm.quality import fit, with_quality
 from msgspark.llm.queries import VOCABULARY_PATH, quality_labels, table
@@ -36,12 +36,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*docs.columns)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest id.
 
+    Near copies share ``percent`` of their five-word shingles. Below 85, 32 bands of 4 are
+    used, which miss a pair at 80 with a probability of 5e-8.
     Rows that share an id (also null) are told apart by no column here: they stay together.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    wider = {"bands": 32, "rows": 4} if percent < PERCENT else {}
+    found = near_duplicates(docs, percent=percent, **wider)
+    kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 

@@ -46,3 +46,15 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, sf_dir):
     last = corpus_pipeline.STAGES[-1][1](spark, both, sf_dir)
     assert last.count() == both.count()
     assert hashlib and F
+
+
+def test_near_copies_at_a_limit_of_80_percent(spark):
+    base = [f"w{k}" for k in range(204)]  # 200 shingles; a new word takes 5 of them
+    rows = [(1, " ".join(base))]
+    for doc_id, changes in ((2, 4), (3, 5)):  # 180 / 220 = 0.82 and 175 / 225 = 0.78
+        own = list(base)
+        for k in range(changes):
+            own[20 + 30 * k] = f"x{doc_id}y{k}"
+        rows.append((doc_id, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "", percent=80).collect()) == [1, 3]
