@@ -16,8 +16,8 @@ from .arrays import U, mix, packed, ragged, slices
 #: Documents per language that a fit reads, give or take what a random draw of this size varies.
 MOST_PER_LANGUAGE = 1000
 _SHARES = 10**12
-#: Languages that a fit learns at most, the most frequent ones.
-MOST_LANGUAGES = 200
+#: Scores of words times languages that identify holds at once, as bytes of text times languages.
+SLICE_WORK = 64 << 20
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
@@ -139,25 +139,26 @@ def _count(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {name: k for k, name in enumerate(languages)}
         width = BUCKETS + len(NAMES)
-        counts = np.zeros((len(languages), width))
+        counts: dict[int, np.ndarray] = {}  # only of the languages that occur here
         for part, data, offsets in slices(packed(batches, "text", 1 << 20), "text"):
             lang = np.array([index[x] for x in part.column(1).to_pylist()])
             words = words_of(data, offsets)
             points, bounds, _ = words.distinct
             buckets, owner = gram_buckets(points, bounds)
             of = lang[words.owner]
-            for k in np.unique(of):
+            for k in np.unique(of).tolist():
+                own = counts.setdefault(k, np.zeros(width))
                 seen = np.bincount(words.kind[of == k], minlength=len(bounds) - 1)
-                counts[k, :BUCKETS] += np.bincount(buckets, weights=seen[owner], minlength=BUCKETS)
+                own[:BUCKETS] += np.bincount(buckets, weights=seen[owner], minlength=BUCKETS)
                 script = np.bincount(words.script[of == k], weights=words.sizes[of == k], minlength=len(NAMES))
-                counts[k, BUCKETS:] += script
-        for k in np.flatnonzero(counts.sum(axis=1)):
+                own[BUCKETS:] += script
+        for k in sorted(counts):
             at = np.flatnonzero(counts[k])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(at), k, dtype=np.int32)),
                     pa.array(at.astype(np.int32)),
-                    pa.array(counts[k, at].astype(np.int64)),
+                    pa.array(counts[k][at].astype(np.int64)),
                 ],
                 names=["language", "bucket", "n"],
             )
@@ -199,7 +200,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
     first, sizes = bounds[:-1][order], sizes[order]
     if not len(sizes) or not sizes[0]:
         return path
-    came = np.zeros((n, labels), dtype=np.uint8)
+    came = np.zeros((n, labels), dtype=np.min_scalar_type(max(labels - 1, 0)))
     active = int((sizes > 0).sum())
     state = scores[first[:active]].copy()
     final = np.zeros(len(sizes), dtype=np.int64)
@@ -229,18 +230,17 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
 
 
 def fit(docs: DataFrame, *, most: int = MOST_PER_LANGUAGE) -> LanguageModel:
-    """Learn letter-gram scores from the text and lang of ``docs``.
+    """Learn letter-gram scores of every lang of ``docs`` from its texts.
 
-    Rows of a null lang or text are ignored. About ``most`` documents of each of the
-    ``MOST_LANGUAGES`` most frequent languages are read, chosen by a hash of the row
+    Rows of a null lang or text are ignored. About ``most`` documents of each
+    language are read, chosen by a hash of the row
     against the share that ``most`` is of all. Counts are added up in the
     tasks and by Spark; the driver gets one number per language and used bucket.
     """
     named = docs.where("lang is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("id"), "text", "lang"
     )
-    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    counts = {r.lang: r["count"] for r in common.collect()}
+    counts = {r.lang: r["count"] for r in named.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel((), np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0), dtype=bool))
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, *, most: int = MOST_PER_LANGUAGE) -> LanguageModel:
         for k in languages
         for x in (F.lit(k), F.lit(min(_SHARES, _SHARES * most // counts[k])).cast("long"))
     ])
-    sample = named.where(F.col("lang").isin(languages)).where(
+    sample = named.where(
         F.pmod(F.xxhash64("id", "text"), F.lit(_SHARES).cast("long")) < limits[F.col("lang")]
     ).select("text", "lang")
     sums = (
@@ -283,7 +283,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, switch: float = SWITCH) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(model.languages)
-        for part, data, offsets in slices(packed(batches, "text", 4 << 20), "text"):
+        size = max(1 << 16, min(4 << 20, SLICE_WORK // max(1, len(names))))
+        for part, data, offsets in slices(packed(batches, "text", size), "text", size):
             n, labels = part.num_rows, len(names)
             words = words_of(data, offsets)
             if not labels or not len(words.starts):

@@ -120,3 +120,15 @@ def test_held_out_accuracy(spark, sf_dir, name, column, table, least):
     found = got.columns[-1] if column == "quality" else "lang_pred"
     rows = got.join(truth, "doc_id").select((F.col(found) == F.col(column)).cast("int").alias("hit")).collect()
     assert len(rows) > 50 and np.mean([r.hit for r in rows]) >= least
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    rows = [
+        (1000 * k + n, " ".join(f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)}{chr(0x4E02 + 3 * k)}" for _ in range(12)), f"l{k:03}")
+        for k in range(300) for n in range(1 + (k < 200))
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(frame)
+    assert len(model.languages) == 300
+    got = {r.doc_id: r.lang for r in language.identify(frame, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
