@@ -24,8 +24,9 @@ PART_BYTES = 1 << 20
 WORD = np.zeros(256, dtype=bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 _SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+_HIT = pa.struct([("at", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])  # a word and its bytes
 _FOUND = pa.schema([
-    ("__tag", pa.int64()), ("n_words", pa.int64()), ("__hits", pa.list_(pa.int32())),
+    ("__tag", pa.int64()), ("n_words", pa.int64()), ("__hits", pa.list_(_HIT)),
     ("items", pa.list_(pa.int64())), ("spans", pa.list_(_SPAN)),
 ])
 _OUT = ("n_words", "n_hit", "items", "spans", "contaminated")
@@ -169,6 +170,19 @@ def _part(items: tuple[tuple[int, str], ...], window: int) -> Part:
     return Part(list(items), window)
 
 
+def _runs(hits: list[dict]) -> list[dict]:
+    """Byte ranges of the runs of neighbouring words."""
+    out: list[dict] = []
+    last = None
+    for hit in hits:
+        if last is not None and hit["at"] == last + 1:
+            out[-1]["stop"] = hit["stop"]
+        else:
+            out.append({"start": hit["start"], "stop": hit["stop"]})
+        last = hit["at"]
+    return out
+
+
 def _scan(items: tuple[tuple[int, str], ...], window: int, everything: bool):
     """Adds hit words and items to every document, or only to those that have some."""
 
@@ -196,21 +210,21 @@ def _scan(items: tuple[tuple[int, str], ...], window: int, everything: bool):
             for i in chosen:
                 a, b = bounds[i], bounds[i + 1]
                 own = np.flatnonzero(marked[a:b]) if i in found else np.empty(0, np.int64)
-                opens = own[np.diff(own, prepend=-2) > 1]
-                closes = own[np.diff(own, append=b - a + 1) > 1]
+                hits = [
+                    {"at": w, "start": x, "stop": y}
+                    for w, x, y in zip(
+                        own.tolist(),
+                        (starts[a + own] - offsets[i]).tolist(),
+                        (ends[a + own] - offsets[i]).tolist(),
+                        strict=True,
+                    )
+                ]
                 rows.append({
                     "__tag": zlib.crc32(raw[offsets[i] : offsets[i + 1]]),
                     "n_words": int(b - a),
-                    "__hits": own.tolist(),
+                    "__hits": hits,
                     "items": sorted(found.get(i, ())),
-                    "spans": [
-                        {"start": x, "stop": y}
-                        for x, y in zip(
-                            (starts[a + opens] - offsets[i]).tolist(),
-                            (ends[a + closes] - offsets[i]).tolist(),
-                            strict=True,
-                        )
-                    ],
+                    "spans": _runs(hits),
                 })
             if rows:
                 kept = batch if everything else batch.take(pa.array(chosen))
@@ -234,8 +248,7 @@ def contamination(
 
     n_words and n_hit are the numbers of words and of words inside an occurrence of an
     item's window, items the item_ids with occurring windows, spans the byte ranges of
-    the hit words (runs joined; null when the items were read in several parts) and
-    contaminated means n_hit > 0 and ``one_in`` * n_hit >= n_words. Input columns of
+    the hit words (runs joined) and contaminated means n_hit > 0 and ``one_in`` * n_hit >= n_words. Input columns of
     these names are replaced.
 
     A window is ``window`` consecutive words of an item, or the whole of an item that
@@ -282,9 +295,69 @@ def _joined(found: list[DataFrame]) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__tag") == F.col("__as")),
         "left",
     )
-    union = lambda a, b: F.array_union(a, F.coalesce(b, F.array().cast("array<long>")))
-    return both.withColumns({
-        "__hits": union(F.col("__hits").cast("array<long>"), F.col("__more").cast("array<long>")),
-        "items": F.array_sort(union(F.col("items"), F.col("__others"))),
-        "spans": F.lit(None).cast("array<struct<start:long,stop:long>>"),
-    })
+    kind = T.StructType(both.schema.fields)
+    return both.mapInArrow(_united, kind)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits, items and spans of all parts in the columns of the first."""
+    for batch in batches:
+        names = batch.schema.names
+        columns = list(batch.columns)
+        hits, more, items, others, spans = (
+            columns[names.index(n)].to_pylist() for n in ("__hits", "__more", "items", "__others", "spans")
+        )
+        for i, further in enumerate(more):
+            if further:
+                all_hits = {h["at"]: h for h in [*hits[i], *further]}
+                hits[i] = [all_hits[w] for w in sorted(all_hits)]
+                items[i] = sorted({*items[i], *others[i]})
+                spans[i] = _runs(hits[i])
+        for name, values in (("__hits", hits), ("items", items), ("spans", spans)):
+            at = names.index(name)
+            columns[at] = pa.array(values, _FOUND.field(name).type)
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def without_spans(
+    found: DataFrame, *, longest: int | None = WINDOW, one_in: int | None = ONE_IN
+) -> DataFrame:
+    """What ``contamination`` returned, with the spans over a limit cut out of text.
+
+    A span of ``longest`` words or more goes (a word is what ``contamination`` counts); all
+    spans of a document go when its hit words are at least one in ``one_in``. None is no
+    limit. The text on both sides is joined as it stands; removed holds the byte ranges,
+    the other columns are those of the input text. A null text stays null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            columns = list(batch.columns)
+            texts, spans, n_words, n_hit = (
+                columns[names.index(n)].to_pylist() for n in ("text", "spans", "n_words", "n_hit")
+            )
+            out, removed = [], []
+            for text, own, words, hits in zip(texts, spans, n_words, n_hit, strict=True):
+                raw = (text or "").encode()
+                if one_in is None or not hits or one_in * hits < words:
+                    own = [s for s in own or () if longest is not None and _count(raw, s) >= longest]
+                kept, at = [], 0
+                for s in own:
+                    kept.append(raw[at : s["start"]])
+                    at = s["stop"]
+                out.append(text if text is None else b"".join([*kept, raw[at:]]).decode())
+                removed.append(own)
+            columns[names.index("text")] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(removed, pa.list_(_SPAN))], names=[*names, "removed"]
+            )
+
+    found = found.drop("removed")
+    kind = T.StructType([*found.schema.fields, *from_arrow_schema(pa.schema([("removed", pa.list_(_SPAN))])).fields])
+    return found.mapInArrow(run, kind)
+
+
+def _count(raw: bytes, span: dict) -> int:
+    data = np.frombuffer(raw[span["start"] : span["stop"]], dtype=np.uint8)
+    return len(_tokens(data, np.array([0, len(data)]))[0])

@@ -4,7 +4,7 @@ import re
 from frames import ODD, docs, prose, words
 from pyspark.sql import functions as F
 
-from msgspark.llm.decontaminate import Automaton, contamination
+from msgspark.llm.decontaminate import Automaton, contamination, without_spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -82,6 +82,29 @@ def test_spans_are_the_bytes_of_the_hit_words(spark):
     assert [text.encode()[s.start : s.stop].decode() for s in row.spans] == [passage(1, 0, 13)]
 
 
+def test_spans_are_the_same_in_several_parts(spark):
+    def spans(**parts):
+        found = contamination(docs(spark, ROWS), items(spark, ITEMS), **parts)
+        return sorted(repr((r.doc_id, r.text, r.spans)) for r in found.collect())
+
+    whole = spans()
+    assert spans(part_bytes=200) == spans(part_bytes=60) == whole
+    assert any("start" in x for x in whole)
+
+
+def test_spans_over_a_limit_are_removed(spark):
+    long = prose(70, 900, 4000)
+    text = f"é {long} {passage(0, 5, 30)}, and {passage(2, 0, 5)}; end"
+    rows = [(1, text), (2, passage(1, 0, 13) + " é"), (3, None), (4, "nothing here")]
+    for size in (1 << 20, 100):
+        found = contamination(docs(spark, rows), items(spark, [(1, ITEMS[0][1]), *ITEMS[1:3]]), part_bytes=size)
+        got = {r.doc_id: r for r in without_spans(found).collect()}
+        assert got[1].text == f"é {long} , and {passage(2, 0, 5)}; end" and len(got[1].spans) == 2
+        assert (got[2].text, got[3].text, got[4].text) == (" é", None, "nothing here")
+        kept = {r.doc_id: r.text for r in without_spans(found, longest=None).collect()}
+        assert kept[1] == text and kept[2] == " é"
+
+
 def test_empty_tables(spark):
     assert contamination(docs(spark, []), items(spark, ITEMS)).collect() == []
     row = contamination(docs(spark, [(1, "a b")]), items(spark, [(1, None)])).first()
