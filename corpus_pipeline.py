@@ -56,9 +56,9 @@ def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, their number, and whether decoding gives the text back."""
+    """The ids of every text, their score and number, the next best ones, and whether decoding gives the text back."""
     vocabulary = Vocabulary.load(VOCABULARY_PATH)
-    encoded = encode(docs, vocabulary, most=1, verify=True).drop("score", "alternatives")
+    encoded = encode(docs, vocabulary, verify=True)
     return encoded.withColumn("n_pieces", F.size("ids").cast("long"))
 
 

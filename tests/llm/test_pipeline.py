@@ -58,3 +58,10 @@ def test_near_copies_at_a_limit_of_80_percent(spark):
         rows.append((doc_id, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "", percent=80).collect()) == [1, 3]
+
+
+def test_the_last_stage_keeps_the_next_best_pieces(spark):
+    docs = spark.createDataFrame([(1, "some words of a text, and others"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.pieces(spark, docs, "").collect()}
+    assert got[1].alternatives and all(a.score <= got[1].score for a in got[1].alternatives) and got[1].score < 0
+    assert got[1].round_trip and got[1].n_pieces == len(got[1].ids)
