@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import language
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .filter_audit import filter_audit
+from .lexical_search import ranked_search
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .page_text import main_text
@@ -17,6 +19,7 @@ from .pieces import encode
 from .quality import fit, with_quality
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
+from .vector_forest import nearest
 from .vocabulary import Vocabulary
 
 #: The vocabulary of the token queries; any model file of that library will do.
@@ -136,3 +139,19 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
