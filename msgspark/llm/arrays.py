@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 U = np.uint64
 SLICE_BYTES = 4 << 20
 BASE = U(0x9E3779B97F4A7C15)
+_INVERSE = pow(int(BASE), -1, 1 << 64)
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(
     1, 1 << 63, 256, dtype=np.uint64
 )
@@ -81,20 +82,24 @@ def packed(frames: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+_STEP = 1 << 16
+#: Bytes that are fingerprinted at once; what spans there give does not depend on it.
+HASHED = 1 << 20
+
+
 @lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = U(pow(int(BASE), -1, 1 << 64))
-    out = []
-    for base in (BASE, inverse):
-        steps = np.full(size, base, dtype=U)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+def _first_powers(base: int) -> np.ndarray:
+    """Powers 0 .. _STEP - 1 modulo 2**64."""
+    out = np.full(_STEP, base, dtype=U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``size`` of each."""
-    return _powers(1 << max(16, int(size).bit_length()))
+def powers(base: int, at: np.ndarray) -> np.ndarray:
+    """Powers of an odd number modulo 2**64, put together from those of two short tables."""
+    far = np.full(int(at.max(initial=0)) // _STEP + 1, pow(base, _STEP, 1 << 64), dtype=U)
+    far[0] = 1
+    return _first_powers(base)[at % _STEP] * np.multiply.accumulate(far)[at // _STEP]
 
 
 def word_spans(
@@ -118,11 +123,27 @@ def word_spans(
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprint of every span of bytes, equal spans anywhere being equal."""
-    power, inverse = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_TABLE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
+    """64-bit fingerprint of every span of bytes, equal spans anywhere being equal.
+
+    Spans in order (of starts and of ends) are read block by block, so little is held
+    besides the result.
+    """
+    out = np.empty(len(starts), dtype=U)
+    ordered = len(starts) < 2 or bool((np.diff(starts) >= 0).all() and (np.diff(ends) >= 0).all())
+    a = 0
+    while a < len(starts):
+        b = len(starts)
+        if ordered:
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + HASHED, "right")))
+        first, last = int(starts[a:b].min()), int(ends[a:b].max())
+        sums = np.zeros(last - first + 1, dtype=U)
+        weighted = _TABLE[data[first:last]]
+        weighted *= powers(int(BASE), np.arange(last - first))
+        np.cumsum(weighted, out=sums[1:])
+        begin, end = starts[a:b] - first, ends[a:b] - first
+        out[a:b] = mix((sums[end] - sums[begin]) * powers(_INVERSE, begin) + (end - begin).astype(U))
+        a = b
+    return out
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:

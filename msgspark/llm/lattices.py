@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 
 from .arrays import U, mix, ragged
-from .vocabulary import MOST_REMEMBERED, Vocabulary
+from .vocabulary import MOST_REMEMBERED, MOST_REMEMBERED_CHARACTERS, Vocabulary
 
 #: Parts of one length that are scored together.
 GROUP = 20_000
@@ -62,9 +61,16 @@ class PieceTable:
         return at[hit], place[hit]
 
 
-@lru_cache(maxsize=2)
+_LAST: dict[bytes, PieceTable] = {}
+
+
 def _table(vocabulary: Vocabulary) -> PieceTable:
-    return PieceTable(vocabulary)
+    """The table of the vocabulary, known by its content: every task gets a copy of its own
+    of the vocabulary, and a worker keeps one table for all of them."""
+    if vocabulary.digest not in _LAST:
+        _LAST.clear()
+        _LAST[vocabulary.digest] = PieceTable(vocabulary)
+    return _LAST[vocabulary.digest]
 
 
 class Segments:
@@ -172,7 +178,7 @@ class Segments:
 
 
 class Lexicon:
-    """Remembers the segmentations of the parts met so far, up to a bound."""
+    """Remembers the segmentations of the parts met so far, up to a number of parts and of characters."""
 
     def __init__(self, vocabulary: Vocabulary, second: bool):
         self.vocabulary, self.second = vocabulary, second
@@ -180,19 +186,22 @@ class Lexicon:
 
     def clear(self) -> None:
         self.index: dict[str, int] = defaultdict(count().__next__)  # numbered as they come
+        self.characters = 0
         self.known: dict[int, object] = {}
         self.score, self.loss, self.flat = np.empty(0), np.empty(0), np.empty(0, np.int32)
         self.bounds = np.zeros(1, dtype=np.int64)
 
     def read(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Numbers of the parts of every text; new parts are scored together."""
-        if len(self.index) > MOST_REMEMBERED:
+        if len(self.index) > MOST_REMEMBERED or self.characters > MOST_REMEMBERED_CHARACTERS:
             self.clear()
         index, old = self.index, len(self.index)
         number = index.__getitem__
         codes = [np.fromiter(map(number, parts), dtype=np.int64, count=len(parts)) for parts in texts]
         if len(index) > old:
-            new = Segments(self.vocabulary, list(index)[old:], self.second)
+            parts = list(islice(index, old, None))
+            self.characters += sum(map(len, parts))
+            new = Segments(self.vocabulary, parts, self.second)
             self.score = np.concatenate([self.score, new.score])
             self.loss = np.concatenate([self.loss, new.loss])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + new.bounds[1:]])

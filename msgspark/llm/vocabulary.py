@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct parts that a task remembers before it starts afresh.
 MOST_REMEMBERED = 300_000
+MOST_REMEMBERED_CHARACTERS = 4 << 20
 
 
 @dataclass(frozen=True, eq=False)
@@ -65,6 +67,11 @@ class Vocabulary:
         out.make_automaton()
         return out
 
+    @cached_property
+    def digest(self) -> bytes:
+        """What tells vocabularies apart, whichever copy it is."""
+        return hashlib.sha256(repr((self.pieces, self.scores, sorted(self.normal), self.byte_ids)).encode()).digest()
+
     @cached_property
     def unknown(self) -> float:
         return min(self.scores[i] for i in self.normal) - UNKNOWN_PENALTY
