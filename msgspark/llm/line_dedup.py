@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -19,7 +19,9 @@ def dedup_lines(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     id comes last, and texts that share an id are ordered by a hash of the text.
     Rows that repeat both id and text count as one document. Windows overlap: their
     lines are merged, so a run of repeated windows goes as one span. A document of
-    fewer lines than a window has none and stays as it is; a null text stays null.
+    fewer lines than a window has none and stays as it is; a null text stays null, an
+    empty text is one empty line and an empty table gives no rows. The work for a very
+    long text grows with its lines.
 
     Returns all columns of ``docs``, the text without removed lines, and n_lines,
     n_removed, n_spans, which replace input columns of these names.
@@ -78,19 +80,22 @@ def dedup_lines(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
         "left",
     )
     gone = F.coalesce("__covered", F.array().cast("array<int>"))
-    total = F.size(F.split(text, "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), total - 1), gone)
     parts = F.split(text, "\n")
+
+    def joined(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    # an array of one element binds the lines to a variable: they are split once, not once a line
+    kept = F.get(F.transform(F.array(parts), joined), F.lit(0))
     return met.select(
         *[
-            F.when(F.size(gone) == 0, F.col("text"))
-            .otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-            .alias("text")
+            F.when(F.size(gone) == 0, F.col("text")).otherwise(kept).alias("text")
             if c == "text"
             else F.col(c)
             for c in docs.columns
         ],
-        total.cast("long").alias("n_lines"),
+        F.size(parts).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
         F.size(F.array_except(gone, F.transform(gone, lambda c: c + 1))).cast("long").alias("n_spans"),
     )

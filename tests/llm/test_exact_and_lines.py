@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from frames import ODD, docs, prose
 from pyspark.sql import functions as F
@@ -98,6 +99,17 @@ def test_lines(spark):
     assert key(found) == key(brute_lines(rows))
 
 
+def test_lines_of_a_very_long_text(spark):
+    """Seconds, not hours: 200,000 lines, a shared passage at either end."""
+    shared = "\n".join(["alpha", "beta", "gamma"])
+    rows = [(k, shared + "\n" + "\n".join(f"line {k} {i}" for i in range(200_000)) + "\n" + shared) for k in (1, 2)]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in dedup_lines(docs(spark, rows)).collect()}
+    assert time.monotonic() - began < 60
+    assert [got[k].n_removed for k in (1, 2)] == [3, 6] and [got[k].n_spans for k in (1, 2)] == [1, 2]
+    assert got[2].text == rows[1][1][len(shared) + 1 : -len(shared) - 1]
+
+
 def test_lines_of_one_id_and_of_an_empty_table(spark):
     text = "a\nb\nc\nd"
     got = dedup_lines(docs(spark, [(1, text), (1, text + "\ne")])).collect()
