@@ -1,124 +1,277 @@
-"""The chunk index: a log of chunk rows with their vectors, merged when read.
+"""The chunk index: committed batches over a bucketed base, merged when read.
 
-Layout: ``path/generation=G/writer=W/batch=B``. Every writer has folders of its own, a
-batch is written whole and a replay overwrites it, so batch jobs and any number of
-streams share one index. A reset or a compaction starts the next generation and never
-touches the files that readers may hold.
+A write is a folder of rows that becomes visible with its commit (``sources.commits``);
+batch jobs, any number of streams and compactions share one index and never wait for each
+other. A reader opens the state of the last commit and keeps it.
+
+``data/batch=…`` holds the rows of one write as they came, ``data/base=…/bucket=…`` those
+of a compaction by a hash of the message id, one row an id. A compaction rewrites only
+the buckets that the batches it merges have rows of.
 
 The newest row of an id wins: by the version of its message (its time, or that of its
-edit), then the sequence number of the job, then the batch. None is read from a clock.
+edit), then by the number of the commit, whoever wrote it. None is read from a clock. A
+replay of a writer's batch takes the place of the first, with its number.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import CHUNK, INDEX_LOG, INDEX_ROW
-from ..sources.storage import stored
-from .embedding import embed_missing, hashed_embeddings
+from ..functions.vectors import DIM, term_vector
+from ..schemas import CHUNK, INDEX_ROW
+from ..sources import commits
+from ..sources.commits import State
 
 DATA = [f.name for f in CHUNK.fields]
 VECTOR = ["text_hash", "buckets", "weights"]
 FIELDS = [f.name for f in INDEX_ROW.fields]
-PLACE = ["version", "seq", "batch", "writer"]
+PLACE = ["version", "commit", "late"]
+#: Buckets of a new index; a batch of few messages reads and rewrites few of them.
+BUCKETS = 64
+#: Keys of this many rows, some 100 bytes each, may travel to every task.
+MOST_SENT = 200_000
 
 
 def _place() -> Column:
     return F.struct(*PLACE)
 
 
-def with_vectors(chunks: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def message_id() -> Column:
+    return F.regexp_replace("id", "-chunk-[0-9]+$", "")
+
+
+def bucket_of(count: int) -> Column:
+    return F.pmod(F.xxhash64(message_id()), F.lit(count)).cast("int")
+
+
+def with_vectors(chunks: DataFrame, existing: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Add ``text_hash``, ``buckets``, ``weights`` and ``reused``.
 
-    ``existing`` index rows lend their vector to the same id and text; only the rest is embedded.
+    ``existing`` index rows (one an id) lend their vector to the same id and text; only the
+    rest is embedded. ``few`` says that the ids of ``chunks`` may travel to every task:
+    of the index then only their rows are moved.
     """
+    rows = chunks.withColumn("text_hash", F.md5("text"))
+    made = term_vector(F.col("text"), DIM)
     if existing is None:
-        made = hashed_embeddings(chunks.withColumn("text_hash", F.md5("text")))
-        return made.withColumn("reused", F.lit(False))
-    kept = existing.select("id", *VECTOR).dropDuplicates(["id"])
-    made = embed_missing(chunks, kept, hashed_embeddings, ["buckets", "weights"])
-    return made.withColumn("text_hash", F.md5("text"))
+        return rows.withColumn("_v", made).select(
+            *rows.columns, F.col("_v.buckets"), F.col("_v.weights"), F.lit(False).alias("reused")
+        )
+    known = existing.select(
+        F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.struct("buckets", "weights").alias("_known")
+    )
+    if few:
+        ids = F.broadcast(chunks.select(F.col("id").alias("_id")).distinct())
+        known = known.join(ids, "_id", "left_semi")
+    joined = rows.join(known, (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    reused = F.col("_known").isNotNull()
+    return joined.withColumn("reused", reused).withColumn("_v", F.when(reused, F.col("_known")).otherwise(made)).select(
+        *rows.columns, F.col("_v.buckets"), F.col("_v.weights"), "reused"
+    )
 
 
-def as_log(chunks: DataFrame, seq: int) -> DataFrame:
-    """Index rows of one write: one per id, stamped with version and sequence number.
+def as_log(chunks: DataFrame) -> DataFrame:
+    """Index rows of one write, with their version; nothing is moved or sorted.
 
     ``version`` is a column of ``chunks`` or else the message time; text without one
-    counts as older than all.
+    counts as older than all. The commit is known when the rows are read.
     """
     if "buckets" not in chunks.columns:
         chunks = with_vectors(chunks)
     version = F.col("version") if "version" in chunks.columns else F.col("ts")
-    rows = chunks.withColumn(
-        "version", F.coalesce(version.try_cast("decimal(16,6)"), F.lit(-1).cast("decimal(16,6)"))
-    ).withColumn("seq", F.lit(seq).cast("bigint"))
+    return chunks.withColumns({
+        "version": F.coalesce(version.try_cast("decimal(16,6)"), F.lit(-1).cast("decimal(16,6)")),
+        "commit": F.lit(None).cast("bigint"),
+    }).select(*FIELDS)
+
+
+def _one_per_id(rows: DataFrame) -> DataFrame:
+    """Of several rows of an id in one write the newest version, then the least text."""
     rest = [F.col(c).asc_nulls_last() for c in DATA if c != "id"]
     newest = Window.partitionBy("id").orderBy(F.col("version").desc(), *rest)
-    rows = rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1)
-    return rows.select(*FIELDS)
+    return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select(*FIELDS)
 
 
-def _generations(spark: SparkSession, path: str) -> list[int]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in system.listStatus(folder)]
-    return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"generation=(\d+)", n)))
+def state(spark: SparkSession, path: str) -> State:
+    """What the last commit says: buckets, base, late batches, merged batches, folders out of use."""
+    last = commits.newest(spark, path)
+    return last[1] if last else {}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    return bool(_generations(spark, path))
+    return commits.newest(spark, path) is not None
+
+
+def _begun(now: State) -> State:
+    return {"buckets": BUCKETS, "base": {}, "late": [], "merged": {}, "unused": [], **now}
 
 
-def _write(rows: DataFrame, path: str, generation: int, writer: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/generation={generation}/writer={writer}/batch={batch}")
+def _folders(now: State) -> list[str]:
+    base = [f"{b['folder']}/bucket={k}" for k, b in now["base"].items()]
+    return base + [b["folder"] for b in now["late"]]
 
 
-def append(chunks: DataFrame, path: str, seq: int, writer: str = "batch", batch: int | None = None) -> None:
-    """Write chunk rows into the current generation; the same writer and batch replays.
+def _is_merged(now: State, writer: str, batch: int) -> bool:
+    return any(low <= batch <= high for low, high in now.get("merged", {}).get(writer, []))
 
-    A batch job has its sequence number for the batch.
+
+def _with_merged(merged: dict, batches: list[dict]) -> dict:
+    """Merged batch numbers of every writer as ranges, which are few for numbers in a row."""
+    out = dict(merged)
+    for writer in {b["writer"] for b in batches}:
+        spans = sorted(out.get(writer, []) + [[b["batch"], b["batch"]] for b in batches if b["writer"] == writer])
+        joined = [spans[0]]
+        for low, high in spans[1:]:
+            if low <= joined[-1][1] + 1:
+                joined[-1] = [joined[-1][0], max(high, joined[-1][1])]
+            else:
+                joined.append([low, high])
+        out[writer] = joined
+    return out
+
+
+def append(
+    chunks: DataFrame, path: str, seq: int, writer: str = "batch", batch: int | None = None
+) -> dict[str, int] | None:
+    """Commit chunk rows as one batch of a writer; a batch job has its ``seq`` for the batch number.
+
+    The same writer and batch again take the place of the first, also in the order of
+    writers; one that a compaction has merged already is left out. Rows are written as
+    they come; only if an id repeats within the batch, they are moved to keep one each.
+    Returns the counts of the batch, taken while it was written: messages, chunks, and of
+    those the embedded ones (all, unless ``chunks`` have a column reused). None if it was
+    merged before.
     """
     spark = chunks.sparkSession
-    generation = max(_generations(spark, path), default=0)
-    _write(as_log(chunks, seq), path, generation, writer, seq if batch is None else batch)
+    batch = seq if batch is None else batch
+    now = _begun(state(spark, path))
+    if _is_merged(now, writer, batch):
+        return None
+    if "buckets" not in chunks.columns:
+        chunks = with_vectors(chunks)
+    fresh = ~F.col("reused") if "reused" in chunks.columns else F.lit(True)
+    seen = Observation()
+    folder = f"data/batch={uuid.uuid4().hex}"
+    rows = chunks.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("chunk_index") == 0).alias("messages"),
+        F.count_if(fresh).alias("embedded"),
+        F.collect_set(bucket_of(now["buckets"])).alias("touched"),
+    )
+    as_log(rows).write.parquet(f"{path}/{folder}")
+    facts = dict(seen.get)
+    written = spark.read.schema(INDEX_ROW).parquet(f"{path}/{folder}")
+    spare = []
+    if not written.groupBy("id").count().filter("count > 1").isEmpty():
+        spare, folder = [folder], f"data/batch={uuid.uuid4().hex}"
+        once = Observation()
+        kept = _one_per_id(written).observe(once, F.count(F.lit(1)).alias("rows"))
+        kept.write.parquet(f"{path}/{folder}")
+        facts["rows"] = once.get["rows"]
+    facts["touched"] = sorted(facts["touched"])
+
+    def change(now: State, number: int) -> State | None:
+        now = _begun(now)
+        if _is_merged(now, writer, batch):
+            return {**now, "unused": now["unused"] + [*spare, folder]}
+        same = [b for b in now["late"] if (b["writer"], b["batch"]) == (writer, batch)]
+        place = same[0]["commit"] if same else number
+        entry = {"folder": folder, "writer": writer, "batch": batch, "commit": place, **facts}
+        return {
+            **now,
+            "late": [b for b in now["late"] if b not in same] + [entry],
+            "unused": now["unused"] + spare + [b["folder"] for b in same],
+        }
+
+    commits.commit(spark, path, change)
+    return {"messages": facts["messages"], "chunks": facts["rows"], "embedded": facts["embedded"]}
+
+
+def _late(spark: SparkSession, path: str, batches: list[dict]) -> DataFrame:
+    """Rows of committed batches with the number of their commit."""
+    kind = T.StructType([*INDEX_ROW.fields, T.StructField("batch", T.StringType())])
+    if not batches:
+        return spark.createDataFrame([], INDEX_ROW).withColumn("late", F.lit(1))
+    rows = spark.read.schema(kind).option("basePath", f"{path}/data").parquet(*(f"{path}/{b['folder']}" for b in batches))
+    numbers = spark.createDataFrame(
+        [(b["folder"].rpartition("=")[2], b["commit"]) for b in batches], "batch string, _commit bigint"
+    )
+    numbered = rows.join(F.broadcast(numbers), "batch").withColumn("commit", F.col("_commit"))
+    return numbered.select(*FIELDS, F.lit(1).alias("late"))
+
+
+def _base(spark: SparkSession, path: str, base: dict) -> DataFrame | None:
+    if not base:
+        return None
+    folders = sorted(_folders({"base": base, "late": []}))
+    return spark.read.schema(INDEX_ROW).parquet(*(f"{path}/{f}" for f in folders)).withColumn("late", F.lit(0))
+
+
+def _merged_rows(base: DataFrame | None, late: DataFrame, few: bool) -> DataFrame:
+    """Newest row of every id. Winners among the late rows, and the base rows that they
+    meet, are found on ids and places alone; while those are few, no text is moved."""
+    send = F.broadcast if few else (lambda df: df)
+    keys = late.select("id", *PLACE)
+    if base is not None:
+        ids = send(late.select("id").distinct())
+        keys = keys.unionByName(base.select("id", *PLACE).join(ids, "id", "left_semi"))
+    best = keys.groupBy("id").agg(F.max(_place()).alias("_best"))
+    won = late.join(send(best), "id").filter(_place() == F.col("_best")).drop("_best")
+    if base is None:
+        return won
+    kept = base.join(send(best), "id", "left").filter(F.col("_best").isNull() | (_place() == F.col("_best")))
+    return kept.drop("_best").unionByName(won)
+
+
+def _opened(spark: SparkSession, path: str, now: State, buckets: list[int] | None = None) -> DataFrame:
+    now = _begun(now)
+    wanted = None if buckets is None else set(buckets)
+    base = {k: b for k, b in now["base"].items() if wanted is None or int(k) in wanted}
+    batches = [b for b in now["late"] if wanted is None or wanted & set(b["touched"])]
+    if not batches and base:
+        return _base(spark, path, base)
+    few = sum(b["rows"] for b in batches) <= MOST_SENT
+    rows = _merged_rows(_base(spark, path, base), _late(spark, path, batches), few)
+    return rows if wanted is None else rows.filter(bucket_of(now["buckets"]).isin(*wanted))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all writers of the current generation."""
-    generation = max(_generations(spark, path), default=0)
-    reader = spark.read.schema(INDEX_LOG).option("basePath", f"{path}/generation={generation}")
-    return reader.parquet(f"{path}/generation={generation}")
+    """All rows of the last state, also those that a later write replaces."""
+    now = _begun(state(spark, path))
+    late, base = _late(spark, path, now["late"]), _base(spark, path, now["base"])
+    return late if base is None else base.unionByName(late)
 
 
 def latest(log: DataFrame, keep_known_permalink: bool = False) -> DataFrame:
-    """Newest row per chunk id, with its vector.
+    """Newest row per chunk id of a log, with its vector.
 
-    Winners are found on ids and places alone. The rows that lost are written first, so
-    their size is known: while they are few they are broadcast and the log with its
-    texts is only scanned. ``keep_known_permalink`` carries an older permalink over a
-    newer empty one.
+    ``keep_known_permalink`` carries an older permalink over a newer empty one.
     """
-    keys = log.select("id", *PLACE)
-    best = keys.groupBy("id").agg(F.count("*").alias("_n"), F.max(_place()).alias("_best"))
-    lost = keys.join(best.filter("_n > 1"), "id").filter(_place() < F.col("_best"))
-    top = log.join(stored(lost.select("id", *PLACE), "lost"), ["id", *PLACE], "left_anti")
-    if not keep_known_permalink:
-        return top.select(*DATA, *VECTOR)
+    rows = _merged_rows(None, log, False)
+    return (_known_permalinks(rows, log) if keep_known_permalink else rows).select(*DATA, *VECTOR)
+
+
+def _known_permalinks(rows: DataFrame, log: DataFrame) -> DataFrame:
     known = log.filter(F.col("permalink") != "").groupBy(F.col("id").alias("_kid")).agg(
         F.max_by("permalink", _place()).alias("_url")
     )
-    joined = top.join(known, top["id"] == known["_kid"], "left")
+    joined = rows.join(known, rows["id"] == known["_kid"], "left")
     url = F.when(F.col("permalink") == "", F.coalesce("_url", F.lit(""))).otherwise(F.col("permalink"))
-    return joined.withColumn("permalink", url).select(*DATA, *VECTOR)
+    return joined.withColumn("permalink", url)
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    return latest(read_log(spark, path))
+def current(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """The index as the last commit left it: one row an id, with its vector.
+
+    With ``buckets`` only messages of those, which reads their files of the base alone.
+    What the late batches do not touch is only scanned. Nothing is written.
+    """
+    return _opened(spark, path, state(spark, path), buckets).select(*DATA, *VECTOR)
 
 
 def upsert(index: DataFrame, updates: DataFrame, replace_document: bool = False) -> DataFrame:
@@ -133,38 +286,104 @@ def upsert(index: DataFrame, updates: DataFrame, replace_document: bool = False)
     one = Window.partitionBy("id").orderBy(*rest)
     updates = updates.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
     if replace_document:
-        doc = F.regexp_replace("id", "-chunk-[0-9]+$", "")
-        changed = updates.select(doc.alias("_doc")).distinct()
-        kept = index.join(changed, doc == changed["_doc"], "left_anti")
+        changed = updates.select(message_id().alias("_doc")).distinct()
+        kept = index.join(changed, message_id() == changed["_doc"], "left_anti")
     else:
         kept = index.join(updates.select("id"), "id", "left_anti")
     return kept.select(*DATA).unionByName(updates.select(*DATA))
 
 
-def compact(spark: SparkSession, path: str) -> None:
-    """Start a generation that holds the merged log as one base; writers pause meanwhile."""
-    generations = _generations(spark, path)
-    log = read_log(spark, path)
-    keys = log.select("id", *PLACE)
-    best = keys.groupBy("id").agg(F.max(_place()).alias("_best"))
-    won = best.select("id", *(F.col(f"_best.{c}").alias(c) for c in PLACE))
-    rows = log.join(won, ["id", *PLACE], "left_semi").select(*FIELDS)
-    _write(rows, path, max(generations) + 1, "base", 0)
+def compact(spark: SparkSession, path: str) -> bool:
+    """Merge the late batches into the base, bucket by bucket, while readers and writers go on.
+
+    Rewrites the buckets that the batches have rows of and nothing else; batches that are
+    committed meanwhile stay late. If another compaction or a reset came first, nothing
+    changes and the answer is False.
+    """
+    now = _begun(state(spark, path))
+    batches = now["late"]
+    touched = {str(k) for b in batches for k in b["touched"]}
+    if not batches:
+        return True
+    old = {k: b for k, b in now["base"].items() if k in touched}
+    folder = f"data/base={uuid.uuid4().hex}"
+    few = sum(b["rows"] for b in batches) <= MOST_SENT
+    rows = _merged_rows(_base(spark, path, old), _late(spark, path, batches), few).select(*FIELDS)
+    bucketed = rows.withColumn("bucket", bucket_of(now["buckets"])).hint("rebalance", "bucket")
+    bucketed.write.partitionBy("bucket").parquet(f"{path}/{folder}")
+    made = {}
+    if touched:
+        counts = spark.read.option("basePath", f"{path}/{folder}").parquet(f"{path}/{folder}").groupBy("bucket").count()
+        made = {str(r.bucket): {"folder": folder, "rows": r["count"]} for r in counts.collect()}
+    own = {b["folder"] for b in batches}
+
+    def change(then: State, number: int) -> State | None:
+        then = _begun(then)
+        names = {(b["writer"], b["batch"]) for b in then["late"]}
+        if any((b["writer"], b["batch"]) not in names for b in batches):
+            return None
+        if {k: b for k, b in then["base"].items() if k in touched} != old:
+            return None
+        return {
+            **then,
+            "base": {**then["base"], **made},
+            "late": [b for b in then["late"] if b["folder"] not in own],
+            "merged": _with_merged(then["merged"], batches),
+            "unused": then["unused"] + _folders({"base": old, "late": [b for b in then["late"] if b["folder"] in own]}),
+        }
+
+    return commits.commit(spark, path, change) is not None
 
 
 def reset(spark: SparkSession, path: str) -> None:
-    """Start an empty generation."""
-    generation = max(_generations(spark, path), default=0) + 1
-    _write(spark.createDataFrame([], INDEX_ROW), path, generation, "none", 0)
+    """Empty the index with one commit; every writer may begin anew."""
+
+    def change(now: State, number: int) -> State:
+        now = _begun(now)
+        return {**now, "base": {}, "late": [], "merged": {}, "unused": now["unused"] + _folders(now)}
+
+    commits.commit(spark, path, change)
 
 
 def vacuum(spark: SparkSession, path: str) -> None:
-    """Remove the generations before the current one, once no reader holds them."""
-    for generation in _generations(spark, path)[:-1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={generation}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """Remove what no state names any more, once no reader holds an earlier one."""
+    gone: list[str] = []
+
+    def change(now: State, number: int) -> State:
+        now = _begun(now)
+        gone[:] = sorted(set(now["unused"]) - set(_folders(now)))
+        return {**now, "unused": []}
+
+    commits.commit(spark, path, change)
+    for folder in gone:
+        commits.remove(spark, f"{path}/{folder}")
+    commits.trim(spark, path)
+
+
+def batches(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of the batches that no compaction has merged yet, as their writers took them."""
+    rows = [tuple(b[c] for c in _BATCH) for b in _begun(state(spark, path))["late"]]
+    kinds = ", ".join(f"{c} {'string' if c == 'writer' else 'bigint'}" for c in _BATCH)
+    return spark.createDataFrame(rows, kinds)
+
+
+_BATCH = ("writer", "batch", "commit", "messages", "rows", "embedded")
 
 
 def size(chunks: DataFrame) -> DataFrame:
     """Number of chunks in the index as ``chunks``."""
     return chunks.agg(F.count("*").alias("chunks"))
+
+
+def count(spark: SparkSession, path: str) -> int:
+    """Number of chunks in the index: the base's own count and the ids that late batches add to it."""
+    now = _begun(state(spark, path))
+    held = sum(b["rows"] for b in now["base"].values())
+    if not now["late"]:
+        return held
+    touched = {k for b in now["late"] for k in b["touched"]}
+    base = _base(spark, path, {k: b for k, b in now["base"].items() if int(k) in touched})
+    new = _late(spark, path, now["late"]).select("id").distinct()
+    if base is not None:
+        new = new.join(base.select("id"), "id", "left_anti")
+    return held + new.count()

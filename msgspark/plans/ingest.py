@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.chunks import CHUNK_SIZE, default_tokens
@@ -14,7 +14,8 @@ from ..operators.chunking import chunk_documents
 from ..operators.lookups import messages_of, unindexed_channels
 from ..operators.normalize import normalize_messages
 from ..sources.messages import history_scan, recent_scan, roster_scan
-from ..sources.storage import stored
+from ..sources.commits import remove
+from ..sources.storage import fresh_path
 
 # Fixed value: overlap of the index jobs; the chunker itself defaults to none.
 INDEX_OVERLAP = 100
@@ -65,6 +66,31 @@ def backfill_messages(
     return history_scan(messages_of(raw, new), roster, links, limit)
 
 
+def write_chunks(
+    rows: DataFrame, path: str, seq: int, writer: str = "batch", batch: int | None = None
+) -> dict[str, int] | None:
+    """Embed those chunks that the index lacks and commit all of them as one batch.
+
+    The chunks are cut once and written aside; the buckets they fall into, noted on the
+    way, are all that is read of the index. Returns what ``index.append`` counts.
+    """
+    spark = rows.sparkSession
+    now = index.state(spark, path)
+    if not now:
+        return index.append(rows, path, seq, writer, batch)
+    seen = Observation()
+    touched = F.collect_set(index.bucket_of(now["buckets"]))
+    aside = fresh_path(spark, "cut")
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), touched.alias("touched")).write.parquet(aside)
+    try:
+        cut = spark.read.schema(rows.schema).parquet(aside)
+        known = index.current(spark, path, buckets=seen.get["touched"])
+        made = index.with_vectors(cut, known, few=seen.get["rows"] <= index.MOST_SENT)
+        return index.append(made, path, seq, writer, batch)
+    finally:
+        remove(spark, aside)
+
+
 def run_index(
     messages: DataFrame,
     path: str,
@@ -73,30 +99,17 @@ def run_index(
     chunk_size: int = CHUNK_SIZE,
     overlap: int = INDEX_OVERLAP,
 ) -> DataFrame:
-    """Cut, embed and append normalised messages to the index at ``path``.
+    """Cut, embed and commit normalised messages to the index at ``path``.
 
     Only chunks whose id and text the index does not hold yet are embedded. Returns
     the metrics of the job: messages, chunks written, how many of them were embedded,
-    and the chunks of the whole index afterwards.
+    and the chunks of the whole index afterwards. All but the last are counted while the
+    job runs, the last reads ids of the buckets that are not merged yet.
     """
     spark = messages.sparkSession
-    known = index.current(spark, path) if index.exists(spark, path) else None
-    rows = index_documents(messages, chunk_size, overlap)
-    made = stored(index.with_vectors(rows, known), "made")
-    index.append(made, path, seq, writer)
-    return ingest_metrics(messages, made, index.current(spark, path))
-
-
-def ingest_metrics(messages: DataFrame, written: DataFrame, whole: DataFrame) -> DataFrame:
-    """Counts of one index job and of the index after it: ``metric, value``."""
-    parts = [
-        messages.agg(F.count("*").alias("value")).select(F.lit("messages").alias("metric"), "value"),
-        written.agg(F.count("*").alias("value")).select(F.lit("chunks").alias("metric"), "value"),
-        written.filter("not reused").agg(F.count("*").alias("value"))
-        .select(F.lit("embedded").alias("metric"), "value"),
-        whole.agg(F.count("*").alias("value")).select(F.lit("index_chunks").alias("metric"), "value"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    seen = Observation()
+    counted = messages.observe(seen, F.count(F.lit(1)).alias("messages"))
+    made = write_chunks(index_documents(counted, chunk_size, overlap), path, seq, writer)
+    facts = {"messages": 0, "chunks": 0, "embedded": 0} if made is None else {**made, **seen.get}
+    facts["index_chunks"] = index.count(spark, path)
+    return spark.createDataFrame(list(facts.items()), "metric string, value bigint")

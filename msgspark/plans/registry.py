@@ -15,7 +15,7 @@ from ..operators import answers, chunking, embedding, filters, index, limits, lo
 from ..operators import normalize, reports, retrieval
 from ..schemas import RAW_MESSAGE
 from ..sources.messages import history_scan, recent_scan, roster_scan, stream_messages
-from ..sources.storage import fresh_path, stored
+from ..sources.storage import fingerprint, fresh_path, stored
 from ..streaming import jobs
 from . import ingest
 from .bindings import (
@@ -329,12 +329,13 @@ def vector_text() -> Column:
     )
 
 
-_INDEX_PATHS: dict[tuple[str, str], str] = {}
+_INDEX_PATHS: dict[tuple, str] = {}
 
 
 def text_index(t: Tables) -> DataFrame:
-    """Index of all documents with permalinks and vectors: built once per application and folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """Index of all documents with permalinks and vectors: built once an application, for the files as they are."""
+    files = [fingerprint(t.spark, f"{t.folder}/{name}.parquet") for name in ("documents", "pages")]
+    key = (t.spark.sparkContext.applicationId, t.folder, *files)
     if key not in _INDEX_PATHS:
         path = fresh_path(t.spark, "index")
         linked = lookups.with_permalinks(t.documents().drop("permalink"), t.links())
@@ -395,19 +396,19 @@ def score_listing(t: Tables) -> DataFrame:
 # index
 
 
-def _updated_log(t: Tables) -> DataFrame:
-    """Log of two writes: all documents, then the English ones cut without overlap."""
+def _updated(t: Tables) -> DataFrame:
+    """Index of two writes: all documents, then the English ones cut without overlap."""
     path = fresh_path(t.spark, "log")
     docs = t.documents()
     index.append(ingest.index_documents(docs), path, 1)
     english = docs.filter(F.col("user") == "en")
     index.append(ingest.index_documents(english, overlap=0), path, 2)
-    return index.read_log(t.spark, path)
+    return index.current(t.spark, path)
 
 
 @query
 def index_upsert(t: Tables) -> DataFrame:
-    return index.latest(_updated_log(t)).select("id", "text", "channel", "user")
+    return _updated(t).select("id", "text", "channel", "user")
 
 
 @query
@@ -440,7 +441,7 @@ def index_reset_count(t: Tables) -> DataFrame:
 
 @query
 def index_count(t: Tables) -> DataFrame:
-    return index.size(index.latest(_updated_log(t)))
+    return index.size(_updated(t))
 
 
 @query
@@ -476,6 +477,28 @@ def index_compacted(t: Tables) -> DataFrame:
     return index.current(t.spark, path).select("id", "text", "channel", "user")
 
 
+@query
+def index_during_compaction(t: Tables) -> DataFrame:
+    """What readers see while a compaction has written files but not committed, and a replay as well.
+
+    The index has a base, a batch over it and a batch that came while the base was made.
+    """
+    path = fresh_path(t.spark, "index")
+    docs = t.documents()
+    index.append(ingest.index_documents(docs), path, 1)
+    index.compact(t.spark, path)
+    index.append(ingest.index_documents(docs.filter(F.col("user") == "fr"), overlap=0), path, 2)
+    opened = index.current(t.spark, path)
+    left = index.current(t.spark, path).limit(10)
+    for folder in ("base=unfinished/_temporary/0", "base=unfinished/bucket=0", "batch=unfinished"):
+        left.write.parquet(f"{path}/data/{folder}")
+    index.compact(t.spark, path)  # a reader that opened the index before goes on
+    opened = opened.filter(F.col("user") != "en")
+    index.append(ingest.index_documents(docs.filter(F.col("user") == "en"), overlap=0), path, 3)
+    later = index.current(t.spark, path).filter(F.col("user") == "en")
+    return opened.unionByName(later).select("id", "text", "channel", "user")
+
+
 @query
 def index_messages(t: Tables) -> DataFrame:
     return ingest.index_messages(t.conversations())
@@ -590,6 +613,31 @@ def stream_edit(t: Tables) -> DataFrame:
     return index.current(t.spark, path).select(*index.DATA)
 
 
+@query
+def stream_edit_after_batch(t: Tables) -> DataFrame:
+    """A stream, then a batch job over the same turns, then their edits on the stream: the last write wins."""
+    path, feed, state = (fresh_path(t.spark, n) for n in ("log", "feed", "state"))
+    turns = t.table("conversations")
+    for n, rows in enumerate((conversation_messages(turns), _edited(t, turns))):
+        rows.select(*RAW_MESSAGE.fieldNames()).write.mode("append").parquet(feed)
+        if n:
+            index.append(jobs.live_chunks(conversation_messages(turns)), path, 2)
+        _run_live(t, stream_messages(t.spark, feed), path, state)
+    return index.current(t.spark, path).select(*index.DATA)
+
+
+@query
+def stream_replayed(t: Tables) -> DataFrame:
+    """Counts of two streams over the same feed: the second embeds nothing and adds nothing."""
+    path = fresh_path(t.spark, "log")
+    feed = t.feed("conversations")
+    for writer in ("first", "second"):
+        _run_live(t, conversation_messages(feed), path, fresh_path(t.spark, "state"), writer=writer)
+    held = index.size(index.current(t.spark, path)).select(F.col("chunks").alias("index_chunks"))
+    done = index.batches(t.spark, path).select("writer", "messages", F.col("rows").alias("chunks"), "embedded")
+    return done.join(F.broadcast(held))
+
+
 @query
 def stream_and_batch(t: Tables) -> DataFrame:
     """Two streams and a batch job write one index."""

@@ -29,7 +29,8 @@ CHUNK = T.StructType(
     _strings("id", "text", "channel", "channel_name", "user", "ts", "permalink")
     + [T.StructField("chunk_index", T.IntegerType(), True)]
 )
-# A chunk in the index log also carries its vector, its message's version and the job it came from.
+# A chunk in the index also carries its vector, its message's version and the number of the
+# commit that it came with, which a batch learns when it is read.
 INDEX_ROW = T.StructType(
     CHUNK.fields
     + [
@@ -37,11 +38,7 @@ INDEX_ROW = T.StructType(
         T.StructField("buckets", T.ArrayType(T.IntegerType()), True),
         T.StructField("weights", T.ArrayType(T.DoubleType()), True),
         T.StructField("version", T.DecimalType(16, 6), True),
-        T.StructField("seq", T.LongType(), True),
+        T.StructField("commit", T.LongType(), True),
     ]
 )
-# The folders of the log add who wrote a row, and in which batch.
-INDEX_LOG = T.StructType(
-    INDEX_ROW.fields + [T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())]
-)
 QUESTION = T.StructType(_strings("query_id", "text"))

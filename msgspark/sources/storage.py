@@ -50,3 +50,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, path: str) -> int:
+    """Changes when files below a path do: their names, sizes and times."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, files = [], system.listFiles(place, True)
+    while files.hasNext():
+        one = files.next()
+        found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return hash(tuple(sorted(found)))

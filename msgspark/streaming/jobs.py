@@ -1,8 +1,9 @@
 """Structured Streaming jobs: live indexing, backfill on join, questions.
 
-A stream of index rows writes each micro-batch into the folder of its writer and batch
-number, so several streams, batch jobs and edits share one index and a replayed batch
-overwrites itself. The index is merged when read, so a stream needs no state and no
+A stream of index rows commits each micro-batch under its writer and batch number, so
+several streams, batch jobs and edits share one index, the last commit wins whoever made
+it, and a replayed batch takes its own place again. Chunks that the index holds already
+are not embedded anew. The index is merged when read, so a stream needs no state and no
 watermark; recovery is the checkpoint of the query. Questions land in the native sink.
 """
 
@@ -21,10 +22,9 @@ from ..operators.filters import (
     is_direct,
     self_joined,
 )
-from ..operators.index import append
 from ..operators.normalize import clean_questions
 from ..operators.retrieval import TOP_K, top_k_text, with_chunk_fields
-from ..plans.ingest import INDEX_OVERLAP, index_documents, index_messages
+from ..plans.ingest import INDEX_OVERLAP, index_documents, index_messages, write_chunks
 
 
 def _started(writer: DataStreamWriter, checkpoint: str, available_now: bool, interval: str | None) -> StreamingQuery:
@@ -41,7 +41,7 @@ def _index_batches(
     interval: str | None,
 ) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
-        append(batch, path, seq, writer, number)
+        write_chunks(batch, path, seq, writer, number)
 
     return _started(rows.writeStream.foreachBatch(write), checkpoint, available_now, interval)
 
@@ -103,7 +103,7 @@ def stream_backfill(
     """Append the history of a channel to the index log when the bot joins it."""
 
     def write(batch: DataFrame, number: int) -> None:
-        append(joined_history(batch, history, bot_user), path, seq, writer, number)
+        write_chunks(joined_history(batch, history, bot_user), path, seq, writer, number)
 
     return _started(events.writeStream.foreachBatch(write), checkpoint, available_now, interval)
 

@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -8,6 +10,7 @@ from msgspark.operators import index, normalize
 from msgspark.plans import ingest
 from msgspark.plans.bindings import BOT_USER, conversation_messages, membership_events
 from msgspark.schemas import CHUNK, MEMBERSHIP_EVENT, RAW_MESSAGE
+from msgspark.sources import commits
 from msgspark.sources.messages import stream_messages
 from msgspark.sources.storage import fresh_path, shared_folder, stored
 from msgspark.streaming import jobs
@@ -56,18 +59,161 @@ def test_newest_version_wins_over_later_jobs(spark):
     assert [r.text for r in index.current(spark, path).collect()] == ["same time"]
 
 
-def test_latest_neither_sorts_nor_shuffles_texts(spark):
-    path = fresh_path(spark, "log")
-    base = spark.range(300).selectExpr(
-        "concat('m', id) AS id", "repeat('text ', 50) AS text", "'c' AS channel", "'c' AS channel_name",
+def base_rows(spark, n=300):
+    return spark.range(n).selectExpr(
+        "concat('c-', id, '-chunk-0') AS id", "repeat('text ', 50) AS text", "'c' AS channel", "'c' AS channel_name",
         "'u' AS user", "'1' AS ts", "'' AS permalink", "0 AS chunk_index",
     )
+
+
+def moved(df):
+    """Columns of every shuffle of the plan that is run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(node.plan())
+            continue
+        if name == "Exchange":
+            found.append(node.output().mkString(" "))
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_reads_move_no_texts_and_a_compacted_index_is_only_scanned(spark):
+    path = fresh_path(spark, "log")
+    base = base_rows(spark)
     index.append(base, path, 1)
     index.append(base.limit(5).withColumn("text", F.lit("new")), path, 2)
     made = index.current(spark, path)
-    plan = made._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort " not in plan
     assert made.filter("text = 'new'").count() == 5 and made.count() == 300
+    assert moved(made) and not [x for x in moved(made) if "text#" in x or "weights" in x]
+    assert index.compact(spark, path)
+    there = sorted(os.listdir(shared_folder(spark)))
+    made = index.current(spark, path)
+    assert moved(made) == [] and made.count() == 300
+    index.append(base.limit(2).withColumn("text", F.lit("newer")), path, 3)
+    made = index.current(spark, path)
+    assert not [x for x in moved(made) if "text#" in x] and made.filter("text = 'newer'").count() == 2
+    assert sorted(os.listdir(shared_folder(spark))) == there  # nothing is written to read
+
+
+def test_a_write_moves_no_texts_unless_ids_repeat(spark):
+    path = fresh_path(spark, "log")
+    assert moved(index.as_log(base_rows(spark))) == []
+    twice = spark.createDataFrame([chunk("a", "two"), chunk("a", "one"), chunk("b")], CHUNK)
+    assert index.append(twice, path, 1) == {"messages": 3, "chunks": 2, "embedded": 3}
+    assert [r[1] for r in rows(index.current(spark, path))] == ["one", "t"]
+
+
+def test_readers_see_no_unfinished_work(spark):
+    path = fresh_path(spark, "log")
+    index.append(base_rows(spark), path, 1)
+    before = rows(index.current(spark, path))
+    half = base_rows(spark, 50).withColumn("text", F.lit("half")).withColumn("version", F.lit("9"))
+    for folder in ("base=dead/_temporary/0", "base=dead/bucket=3", "batch=dead"):  # jobs that died or still run
+        index.as_log(half).write.parquet(f"{path}/data/{folder}")
+    (tmp, system) = commits._hadoop(spark, f"{path}/_commits/.half")
+    system.create(tmp, True).close()
+    assert rows(index.current(spark, path)) == before
+    assert index.compact(spark, path) and rows(index.current(spark, path)) == before
+    index.vacuum(spark, path)
+    assert rows(index.current(spark, path)) == before
+
+
+def test_a_write_during_a_compaction_survives(spark, monkeypatch):
+    path = fresh_path(spark, "log")
+    index.append(base_rows(spark), path, 1)
+    index.append(base_rows(spark, 10).withColumn("text", F.lit("late")), path, 2)
+    ready, go = threading.Event(), threading.Event()
+    put = commits.commit
+
+    def slow(*args):
+        if threading.current_thread() is not threading.main_thread():
+            ready.set()
+            assert go.wait(60)
+        return put(*args)
+
+    monkeypatch.setattr(commits, "commit", slow)
+    done = []
+    other = threading.Thread(target=lambda: done.append(index.compact(spark, path)))
+    other.start()
+    assert ready.wait(60)  # its files are written, its commit waits
+    opened = index.current(spark, path)
+    index.append(base_rows(spark, 3).withColumn("text", F.lit("meanwhile")), path, 3)
+    index.append(base_rows(spark, 5).withColumn("text", F.lit("replayed")), path, 2)
+    go.set()
+    other.join()
+    assert done == [True]
+    texts = [r.text for r in index.current(spark, path).orderBy("id").collect()]
+    assert texts.count("meanwhile") == 3 and texts.count("replayed") == 2 and texts.count("late") == 5
+    assert opened.filter("text = 'late'").count() == 10  # an open reader keeps its state
+    kept = rows(index.current(spark, path))
+    assert index.compact(spark, path) and rows(index.current(spark, path)) == kept
+
+
+def test_writers_that_commit_at_once_all_succeed(spark):
+    path = fresh_path(spark, "log")
+    index.append(spark.createDataFrame([chunk("z")], CHUNK), path, 0)
+    write = lambda k: index.append(spark.createDataFrame([chunk(f"m{k}")], CHUNK), path, 1, writer=f"w{k}")
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert [r[0] for r in rows(index.current(spark, path))] == ["m0", "m1", "m2", "m3", "z"]
+    assert len({b.commit for b in index.batches(spark, path).collect()}) == 5
+
+
+def test_a_compaction_that_comes_second_changes_nothing(spark, monkeypatch):
+    path = fresh_path(spark, "log")
+    index.append(base_rows(spark), path, 1)
+    put, raced = commits.commit, []
+
+    def race(*args):
+        if not raced:
+            raced.append(True)
+            assert index.compact(spark, path)
+        return put(*args)
+
+    monkeypatch.setattr(commits, "commit", race)
+    assert index.compact(spark, path) is False
+    assert index.current(spark, path).count() == 300
+
+
+def test_a_compaction_rewrites_the_touched_buckets_only(spark):
+    path = fresh_path(spark, "log")
+    index.append(base_rows(spark), path, 1)
+    index.compact(spark, path)
+    before = index.state(spark, path)["base"]
+    index.append(spark.createDataFrame([chunk("c-7-chunk-0", "new"), chunk("c-7-chunk-1", "more")], CHUNK), path, 2)
+    (touched,) = index.state(spark, path)["late"][0]["touched"]
+    index.compact(spark, path)
+    after = index.state(spark, path)["base"]
+    assert {k for k in after if after[k] != before[k]} == {str(touched)}
+    assert index.current(spark, path).count() == index.count(spark, path) == 301
+    index.append(spark.createDataFrame([chunk("c-7-chunk-0", "newer"), chunk("d", "d")], CHUNK), path, 3)
+    assert index.count(spark, path) == 302 == index.current(spark, path).count()
+    one = index.current(spark, path, buckets=[touched])
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in one.inputFiles() if "/base=" in f}
+    assert read == {f"bucket={touched}"}
+    assert {r.id for r in one.collect()} >= {"c-7-chunk-0", "c-7-chunk-1"}
+    index.append(spark.createDataFrame([chunk("c-7-chunk-0", "gone")], CHUNK), path, 2)  # merged: left out
+    assert [r.text for r in index.current(spark, path).filter("id = 'c-7-chunk-0'").collect()] == ["newer"]
+
+
+def test_merged_batches_are_ranges():
+    batch = lambda w, n: {"writer": w, "batch": n}
+    merged = index._with_merged({}, [batch("a", n) for n in (3, 1, 2, 7)] + [batch("b", 0)])
+    assert merged == {"a": [[1, 3], [7, 7]], "b": [[0, 0]]}
+    assert index._with_merged(merged, [batch("a", n) for n in (4, 5, 6)])["a"] == [[1, 7]]
 
 
 def test_job_embeds_only_what_is_missing(spark):
@@ -146,6 +292,35 @@ def test_live_index_equals_batch_for_any_split(spark, sf_dir, tmp_path, parts):
     assert rows(index.latest(log).select(*index.DATA)) == want
 
 
+@pytest.mark.parametrize("texts", [("zzz old", "aaa new"), ("aaa old", "zzz new")])
+def test_the_last_write_wins_over_stream_and_batch(spark, tmp_path, texts):
+    feed_dir, path, state = (str(tmp_path / n) for n in ("feed", "log", "state"))
+    for n, text in enumerate((texts[0], texts[1])):
+        row = ("C1", "1.0", "U1", text, None, None, None)
+        spark.createDataFrame([row], RAW_MESSAGE).write.mode("append").parquet(feed_dir)
+        if n:
+            said = spark.createDataFrame([("C1-1.0-chunk-0", "batch old", "C1", "C1", "U1", "1.0", "", 0)], CHUNK)
+            index.append(said, path, 2)
+            assert [r.text for r in index.current(spark, path).collect()] == ["batch old"]
+        jobs.stream_index(stream_messages(spark, feed_dir), path, state, 1, available_now=True).awaitTermination()
+    assert [r.text for r in index.current(spark, path).collect()] == [texts[1]]
+    index.compact(spark, path)
+    assert [r.text for r in index.current(spark, path).collect()] == [texts[1]]
+
+
+def test_a_replayed_feed_is_not_embedded_again(spark, tmp_path):
+    feed_dir, path = (str(tmp_path / n) for n in ("feed", "log"))
+    said = [("C1", f"{n}.0", "U1", f"message {n}", None, None, None) for n in range(6)]
+    spark.createDataFrame(said, RAW_MESSAGE).write.parquet(feed_dir)
+    for n in range(2):
+        feed = stream_messages(spark, feed_dir)
+        jobs.stream_index(feed, path, str(tmp_path / f"state-{n}"), 1, available_now=True, writer=f"w{n}").awaitTermination()
+    assert {r.writer: (r.messages, r.rows, r.embedded) for r in index.batches(spark, path).collect()} == {
+        "w0": (6, 6, 6), "w1": (6, 6, 0),
+    }
+    assert index.count(spark, path) == 6
+
+
 def test_live_index_takes_late_files(spark, tmp_path):
     feed_dir, path, state = (str(tmp_path / n) for n in ("feed", "log", "state"))
     message = ("C1", "1.0", "U1", "hello there", None, None, None)
