@@ -55,21 +55,26 @@ class Best:
         self.rows: list[list[tuple[float, str]]] = [[] for _ in questions]
         self.floor = np.full(len(questions), -np.inf)  # score of the k-th row so far
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray | None = None) -> None:
-        if self.by_cell is not None and cells is not None:
-            cells = cells.reshape(len(ids), -1)  # one column for each set of cells
-            nobody = np.zeros(len(self.questions), dtype=bool)
-            for n in range(cells.shape[1]):
-                for cell in np.unique(cells[:, n]):
-                    if cell in self.by_cell:
-                        own = cells[:, n] == cell
-                        asked = np.flatnonzero(self.by_cell[cell])
-                        met = np.zeros((int(own.sum()), len(asked)), dtype=bool)
-                        for before in cells[own, :n].T:
-                            met |= np.stack([self.by_cell.get(c, nobody)[asked] for c in before])
-                        self._add(ids[own], vectors[own], asked, met)
+    def add(
+        self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray | None = None, sets: np.ndarray | None = None
+    ) -> None:
+        """``cells`` are those of the rows, one column for each set of cells; with ``sets`` a
+        row is there for the cell of that set only, and comes again for its others."""
+        if self.by_cell is None or cells is None:
+            self._add(ids, vectors, np.arange(len(self.questions)))
             return
-        self._add(ids, vectors, np.arange(len(self.questions)))
+        cells = np.array([c if isinstance(c, list) else [c] for c in cells], dtype=object).reshape(len(ids), -1)
+        nobody = np.zeros(len(self.questions), dtype=bool)
+        for n in range(cells.shape[1]):
+            there = np.ones(len(ids), dtype=bool) if sets is None else sets == n
+            for cell in np.unique(cells[there, n]):
+                if cell in self.by_cell:
+                    own = there & (cells[:, n] == cell)
+                    asked = np.flatnonzero(self.by_cell[cell])
+                    met = np.zeros((int(own.sum()), len(asked)), dtype=bool)
+                    for before in cells[own, :n].T:
+                        met |= np.stack([self.by_cell.get(c, nobody)[asked] for c in before])
+                    self._add(ids[own], vectors[own], asked, met)
 
     def _add(
         self, ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, met: np.ndarray | None = None

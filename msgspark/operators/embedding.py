@@ -57,6 +57,52 @@ def embed_batches(
     return df.mapInPandas(run, schema)
 
 
+def embed_or_reject(
+    df: DataFrame,
+    model: Callable[[list[str]], np.ndarray],
+    batch_size: int = BATCH,
+    text: str = "text",
+) -> DataFrame:
+    """Add ``embedding`` and ``reason``: texts that the model fails for do not stop the others.
+
+    A batch that fails is tried again text by text; a text that fails alone gets no
+    embedding and the failure as its reason, all others have none. Write the result
+    before it is split with ``embedded`` and ``rejected``, so the model is called once.
+    """
+
+    def attempt(texts: list[str]) -> tuple[list, list]:
+        try:
+            vectors = np.asarray(model(texts), dtype=np.float32)
+            if len(vectors) != len(texts):
+                raise ValueError("the model must return one vector per text")
+            return list(vectors), [None] * len(texts)
+        except Exception as failed:  # whatever a user's model raises
+            if len(texts) == 1:
+                return [None], [f"{type(failed).__name__}: {failed}"]
+        tried = [attempt([t]) for t in texts]
+        return [v for own, _ in tried for v in own], [r for _, own in tried for r in own]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for first in range(0, len(frame), batch_size):
+                part = frame.iloc[first : first + batch_size]
+                vectors, reasons = attempt(part[text].tolist())
+                yield part.assign(embedding=vectors, reason=reasons)
+
+    added = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("reason", T.StringType())]
+    return df.mapInPandas(run, T.StructType(df.schema.fields + added))
+
+
+def embedded(tried: DataFrame) -> DataFrame:
+    """Rows of ``embed_or_reject`` with an embedding."""
+    return tried.filter("reason is null").drop("reason")
+
+
+def rejected(tried: DataFrame) -> DataFrame:
+    """Rows of ``embed_or_reject`` that failed, with the reason."""
+    return tried.filter("reason is not null").drop("embedding")
+
+
 def embed_missing(
     df: DataFrame,
     existing: DataFrame,

@@ -37,7 +37,10 @@ def ingest_summary(messages: DataFrame, chunks: DataFrame, index: DataFrame) ->
 def channel_outcomes(
     roster: DataFrame, messages: DataFrame, chunks: DataFrame, failed: DataFrame | None = None
 ) -> DataFrame:
-    """Outcome of every channel: indexed, no messages or failed; one failure stops no other."""
+    """Outcome of every channel: indexed, no messages or failed; one failure stops no other.
+
+    ``failed`` are rows with a channel that a job rejected, ``chunks`` those it indexed.
+    """
     said = messages.groupBy(F.col("channel").alias("_m")).agg(F.count("*").alias("messages"))
     cut = chunks.groupBy(F.col("channel").alias("_k")).agg(F.count("*").alias("chunks"))
     rows = roster.join(said, roster["id"] == said["_m"], "left")

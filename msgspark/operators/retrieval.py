@@ -1,9 +1,10 @@
 """Top-k retrieval by cosine for a table of questions.
 
-One plan for every size: the questions are dealt into blocks of bounded size, and for
-each block the corpus is scanned once where it lies. A task keeps the best k rows per
-question of the block; only those winners are shuffled and ranked. Nothing of the
-corpus is replicated or shuffled, and the driver passes on one block at a time.
+One plan for every size: the questions are written once to the shared folder, in files of
+bounded size, and the corpus is scanned once where it lies. A task holds a bounded run of
+its rows and walks the question files; per file it keeps the best k rows of every question.
+Only those winners are shuffled and ranked. Nothing of the corpus is replicated or
+shuffled, and no question passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import topk as kernel
 from ..functions.vectors import DIM
-from ..sources.storage import stored
+from ..sources.storage import files_of, fresh_path, read_file, stored
 from .embedding import hashed_embeddings
 from .limits import top_n_per_key
 
 TOP_K = 5
-# Bytes of question vectors (as float64) that one block holds.
+# Bytes of question vectors (as float64) that one file holds, and of corpus rows that a task holds.
 BLOCK_BYTES = 32 << 20
+HELD_BYTES = 64 << 20
 
 
 class _Form:
@@ -58,68 +61,63 @@ def _hit_schema(queries: DataFrame) -> T.StructType:
 
 
 def _arrow(queries: DataFrame) -> pa.Schema:
-    wide = isinstance(queries.schema["query_id"].dataType, T.LongType)
-    return pa.schema(
-        [
-            ("query_id", pa.int64() if wide else pa.string()),
-            ("id", pa.string()),
-            ("score", pa.float64()),
-        ]
-    )
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+    return pa.schema([("query_id", kind), ("id", pa.string()), ("score", pa.float64())])
 
 
 def _feed(best: kernel.Best, form: _Form, batch: pa.RecordBatch | pa.Table) -> None:
     for first in range(0, batch.num_rows, kernel.ROWS):
         part = batch.slice(first, kernel.ROWS)
-        ids = part.column(part.schema.get_field_index("id")).to_pylist()
-        at = part.schema.get_field_index("cell")
-        cells = np.array(part.column(at).to_pylist(), dtype=object) if at >= 0 else None
-        best.add(np.array(ids, dtype=object), form.matrix(part), cells)
+        column = {c: part.column(c).to_pylist() for c in ("id", "cell", "set") if c in part.schema.names}
+        cells = np.array(column["cell"], dtype=object) if "cell" in column else None
+        sets = np.array(column["set"]) if "set" in column else None
+        best.add(np.array(column["id"], dtype=object), form.matrix(part), cells, sets)
 
 
-def _scan(
-    corpus: DataFrame, queries: DataFrame, block: pa.Table, form: _Form, k: int, cells: bool = False
-) -> DataFrame:
-    """Local winners of every task against one block of questions.
+def _scan(corpus: DataFrame, queries: DataFrame, files: list[str], form: _Form, k: int) -> DataFrame:
+    """Winners of every run of rows against all question files.
 
-    With ``cells`` a question (``cells``) meets only the rows of its cells (``cell``).
+    With a column ``cells`` a question meets only the rows of its cells (``cell``).
     """
-    questions = (
-        block.column("query_id").to_pylist(),
-        form.matrix(block) if block.num_rows else np.zeros((0, 1)),
-        [frozenset(c) for c in block.column("cells").to_pylist()] if cells else None,
-    )
-    shared = corpus.sparkSession.sparkContext.broadcast(questions)
     schema = _arrow(queries)
 
+    def questions() -> Iterator[tuple[list, np.ndarray, list | None]]:
+        for file in files:
+            block = read_file(file)
+            if block.num_rows:
+                wanted = block.column("cells").to_pylist() if "cells" in block.schema.names else None
+                yield block.column("query_id").to_pylist(), form.matrix(block), wanted and list(map(frozenset, wanted))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix, wanted = shared.value
-        best = kernel.Best(matrix, k, wanted)
+        known = list(questions()) if len(files) == 1 else None
+        held, size = [], 0
         for batch in batches:
-            if len(query_ids):
-                _feed(best, form, batch)
-        yield best.table(query_ids, schema)
-
-    columns = ["id", *form.columns, *(["cell"] if cells else [])]
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from meet(held, known)
+                held, size = [], 0
+        yield from meet(held, known)
+
+    def meet(held: list[pa.RecordBatch], known: list | None) -> Iterator[pa.RecordBatch]:
+        if any(b.num_rows for b in held):
+            for query_ids, matrix, wanted in questions() if known is None else known:
+                best = kernel.Best(matrix, k, wanted)
+                for batch in held:
+                    _feed(best, form, batch)
+                yield best.table(query_ids, schema)
+
+    columns = [c for c in ("id", *form.columns, "cell", "set") if c in corpus.columns]
     return corpus.select(*columns).mapInArrow(run, _hit_schema(queries))
 
 
-def _search(
-    corpus: DataFrame, questions: DataFrame, form: _Form, k: int, width: int, block_bytes: int,
-    cells: bool = False,
-) -> DataFrame:
-    """Winners of all blocks of questions; a block's winners are kept before the next starts."""
+def _search(corpus: DataFrame, questions: DataFrame, form: _Form, k: int, width: int, block_bytes: int) -> DataFrame:
+    """The questions written in files of at most ``block_bytes`` of vectors, the corpus scanned once."""
+    spark = questions.sparkSession
     most = max(1, block_bytes // (8 * max(1, width)))
-    blocks = -(-questions.count() // most) or 1
-    found = []
-    for n in range(blocks):
-        own = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        hits = _scan(corpus, questions, own.toArrow(), form, k, cells)
-        found.append(hits if blocks == 1 else stored(hits, "winners"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return _rank(out, k)
+    path = fresh_path(spark, "questions")
+    questions.hint("rebalance").write.option("maxRecordsPerFile", most).parquet(path)
+    return _rank(_scan(corpus, questions, files_of(spark, path), form, k), k)
 
 
 def _rank(hits: DataFrame, k: int) -> DataFrame:
@@ -243,4 +241,35 @@ def top_k_cells(
     one set parts from it stands beside it in another.
     """
     asked = _in_sets(queries.select("query_id", "embedding"), centres, probes)
-    return _search(index, asked, _Form(None), k, _width(queries), block_bytes, cells=True)
+    return _search(index, asked, _Form(None), k, _width(queries), block_bytes)
+
+
+def write_cells(corpus: DataFrame, centres: list[DataFrame], path: str) -> None:
+    """Corpus rows ``id, embedding`` as files by set of centres and cell, for ``top_k_cell_files``.
+
+    Every row is stored once for each set, beside the rows of its cell, with all its cells.
+    """
+    placed = cell_index(corpus, centres).withColumnRenamed("cell", "_cells")
+    rows = placed.select("id", "embedding", F.col("_cells").alias("cell"), F.posexplode("_cells").alias("set", "at"))
+    named = rows.withColumn("at", F.substring_index("at", ":", -1))
+    named.hint("rebalance", "set", "at").write.partitionBy("set", "at").parquet(path)
+
+
+def top_k_cell_files(
+    path: str,
+    centres: list[DataFrame],
+    queries: DataFrame,
+    k: int = TOP_K,
+    probes: int = 2,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """What ``top_k_cells`` finds, from the files of ``write_cells``: only those of cells that
+    some question probes are read. A row that a question meets in several sets counts once.
+    """
+    spark = queries.sparkSession
+    asked = stored(_in_sets(queries.select("query_id", "embedding"), centres, probes), "asked")
+    probed = asked.select(F.explode("cells").alias("cell")).distinct().collect()  # no more than centres
+    kind = asked.schema["embedding"].dataType.simpleString()
+    rows = spark.read.schema(f"id string, embedding {kind}, cell array<string>, set int, at string").parquet(path)
+    near = rows.where(F.concat_ws(":", "set", "at").isin(*(r.cell for r in probed))).drop("at")
+    return _search(near, asked, _Form(None), k, _width(queries), block_bytes)

@@ -14,7 +14,7 @@ from ..functions.text import strip_mentions
 from ..operators import answers, chunking, embedding, filters, index, limits, lookups
 from ..operators import normalize, reports, retrieval
 from ..schemas import RAW_MESSAGE
-from ..sources.messages import history_scan, recent_scan, roster_scan, stream_messages
+from ..sources.messages import history_scan, land_messages, recent_scan, roster_scan, stream_messages
 from ..sources.storage import fingerprint, fresh_path, stored
 from ..streaming import jobs
 from . import ingest
@@ -54,6 +54,15 @@ def recent_scan_query(t: Tables) -> DataFrame:
     return recent_scan(t.events(), t.events_cutoff(), time_column="event_time").drop("thread_ts")
 
 
+@query
+def recent_landed(t: Tables) -> DataFrame:
+    """The recent window over events landed by day: days before it are not read."""
+    path = fresh_path(t.spark, "landed")
+    land_messages(t.events(), path, "event_time")
+    landed = t.spark.read.parquet(path)
+    return recent_scan(landed, t.events_cutoff(), time_column="event_time").drop("thread_ts")
+
+
 @query
 def roster_scan_query(t: Tables) -> DataFrame:
     return roster_scan(t.roster(), only_joined=True)
@@ -281,35 +290,53 @@ def embed_missing(t: Tables) -> DataFrame:
     return rows.select("id", "reused", vector_text().alias("vector"))
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def _built(t: Tables, name: str, tables: tuple[str, ...], build: Callable[[str], None]) -> str:
+    """Where an index over tables of the folder is: built once an application, for the files as they are."""
+    files = [fingerprint(t.spark, f"{t.folder}/{table}.parquet") for table in tables]
+    key = (t.spark.sparkContext.applicationId, name, t.folder, *files)
+    if key not in _BUILT:
+        path = fresh_path(t.spark, name)
+        build(path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
 @query
 def topk_dense(t: Tables) -> DataFrame:
-    return retrieval.top_k(t.vectors(), t.centroids())
+    """The questions are every row whose id is divisible by 50, here and below."""
+    return retrieval.top_k(t.vectors(), t.row_questions())
 
 
 @query
 def topk_dense_blocks(t: Tables) -> DataFrame:
-    """Four questions to a block, so that the corpus is scanned several times."""
-    return retrieval.top_k(t.vectors(), t.centroids(), block_bytes=4 * 64 * 8)
+    """Four questions to a file, so that a task walks several files."""
+    return retrieval.top_k(t.vectors(), t.row_questions(), block_bytes=4 * 64 * 8)
+
+
+@query
+def topk_dense_labels(t: Tables) -> DataFrame:
+    """One question per label: the mean of its vectors."""
+    return retrieval.top_k(t.vectors(), t.centroids())
 
 
 @query
 def topk_approx(t: Tables) -> DataFrame:
-    """Cells around the label means; a question searches the two nearest of them."""
-    centres = t.centroids().select(F.col("query_id").cast("string").alias("id"), "embedding")
-    centres = stored(centres, "centres")
-    placed = stored(retrieval.cell_index(t.vectors(), centres), "cells")
-    return retrieval.top_k_cells(placed, centres, t.centroids(), probes=2)
+    """Six independent sets of cells as files by cell; a question probes five cells of each."""
+    path = _built(t, "cells", ("embeddings",), lambda path: retrieval.write_cells(t.vectors(), t.row_centres(), path))
+    return retrieval.top_k_cell_files(path, t.row_centres(), t.row_questions(), probes=5)
 
 
 @query
 def topk_dense_rows(t: Tables) -> DataFrame:
-    """The questions of the recall figures: every row whose id is divisible by 50."""
     return retrieval.top_k(t.vectors(), t.row_questions())
 
 
 @query
 def topk_approx_rows(t: Tables) -> DataFrame:
-    """The same questions over six independent sets of cells, five of 49 each."""
+    """The same cells and probes over rows that carry their cells, all of which are read."""
     centres = [stored(c, "centres") for c in t.row_centres()]
     placed = stored(retrieval.cell_index(t.vectors(), centres), "cells")
     return retrieval.top_k_cells(placed, centres, t.row_questions(), probes=5)
@@ -329,19 +356,18 @@ def vector_text() -> Column:
     )
 
 
-_INDEX_PATHS: dict[tuple, str] = {}
+def text_index_path(t: Tables) -> str:
+    """Index of all documents with permalinks and vectors."""
 
-
-def text_index(t: Tables) -> DataFrame:
-    """Index of all documents with permalinks and vectors: built once an application, for the files as they are."""
-    files = [fingerprint(t.spark, f"{t.folder}/{name}.parquet") for name in ("documents", "pages")]
-    key = (t.spark.sparkContext.applicationId, t.folder, *files)
-    if key not in _INDEX_PATHS:
-        path = fresh_path(t.spark, "index")
+    def build(path: str) -> None:
         linked = lookups.with_permalinks(t.documents().drop("permalink"), t.links())
         index.append(ingest.index_documents(linked), path, 1)
-        _INDEX_PATHS[key] = path
-    return index.current(t.spark, _INDEX_PATHS[key])
+
+    return _built(t, "index", ("documents", "pages"), build)
+
+
+def text_index(t: Tables) -> DataFrame:
+    return index.current(t.spark, text_index_path(t))
 
 
 def text_hits(t: Tables) -> DataFrame:
@@ -509,18 +535,41 @@ def index_messages(t: Tables) -> DataFrame:
 
 @query
 def ingest_summary(t: Tables) -> DataFrame:
-    """A job over the English documents into an index that holds all."""
-    docs = t.documents().filter(F.col("user") == "en")
+    """A job over all documents, into an index that holds them."""
+    docs = t.documents()
     return reports.ingest_summary(docs, ingest.index_documents(docs), text_index(t))
 
 
+def strict_model(texts: list[str]) -> np.ndarray:
+    """A user-supplied model that refuses some texts: fixed marks that the SQL knows as well."""
+    if any(len(x) > MOST_CHARACTERS for x in texts):
+        raise ValueError("text too long")
+    if any(REFUSED in x for x in texts):
+        raise ValueError("text refused")
+    return hash_model(texts)
+
+
+MOST_CHARACTERS = 590
+REFUSED = "7 BUILDING"
+
+
+@query
+def embed_rejects(t: Tables) -> DataFrame:
+    """Chunks of all documents that a model fails for; the others are embedded."""
+    chunks = ingest.index_documents(t.documents()).select("id", "channel", "text")
+    tried = stored(embedding.embed_or_reject(chunks, strict_model), "tried")
+    failed = embedding.rejected(tried).select("id", "channel", "reason")
+    made = embedding.embedded(tried).select("id", "channel", F.lit("embedded").alias("reason"))
+    return failed.unionByName(made)
+
+
 @query
 def channel_outcomes(t: Tables) -> DataFrame:
-    """Archived channels are reported as failed; the posts of all channels are indexed."""
+    """All posts embedded by a model that fails for some: their channels failed, the others go on."""
     roster = t.roster()
-    failed = roster.filter("is_archived").select(F.col("id").alias("channel"))
     posts = normalize.normalize_messages(t.posts(), roster)
-    return reports.channel_outcomes(roster, posts, ingest.index_documents(posts), failed)
+    tried = stored(embedding.embed_or_reject(ingest.index_documents(posts), strict_model), "tried")
+    return reports.channel_outcomes(roster, posts, embedding.embedded(tried), embedding.rejected(tried))
 
 
 @query
@@ -689,6 +738,19 @@ def stream_questions(t: Tables) -> DataFrame:
     return made.drop("run")
 
 
+@query
+def stream_answers(t: Tables) -> DataFrame:
+    """The same questions answered on the stream; a second start adds nothing."""
+    path, state = fresh_path(t.spark, "answers"), fresh_path(t.spark, "state")
+    for _ in range(2):
+        feed = conversation_messages(t.feed("conversations"))
+        running = jobs.stream_answers(
+            feed, text_index_path(t), path, state, min_similarity=0.4, available_now=True
+        )
+        running.awaitTermination()
+    return jobs.read_answers(t.spark, path).drop("batch")
+
+
 @query
 def stream_mentions(t: Tables) -> DataFrame:
     """Mentions of the bot as questions; a bare mention is landed as empty and not answered."""

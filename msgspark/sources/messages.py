@@ -14,6 +14,9 @@ from ..operators.limits import cap_per_channel
 from ..operators.normalize import normalize_messages
 from ..schemas import LINK, RAW_MESSAGE, ROSTER
 
+#: Partition column of landed messages.
+DAY = "landed_day"
+
 
 def read_table(
     spark: SparkSession,
@@ -67,6 +70,18 @@ def stream_messages(
     return reader.load(path)
 
 
+def land_messages(raw: DataFrame, path: str, time_column: str | None = None) -> None:
+    """Write raw messages by the UTC day of their time, for scans of recent days.
+
+    The days of ``raw`` replace those that are there, other days stay. The time is that of
+    ``time_column``, else of ``ts``; messages without one stand in a day of their own. Only
+    few rows of a day are needed to write it in one file: Spark splits a large day.
+    """
+    day = F.to_date(message_time(F.col("ts")) if time_column is None else F.col(time_column))
+    days = raw.withColumn(DAY, day).hint("rebalance", DAY)
+    days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+
+
 def history_scan(
     raw: DataFrame,
     roster: DataFrame | None = None,
@@ -90,11 +105,16 @@ def recent_scan(
 
     ``limit`` caps the raw rows of every channel first, so dropped rows count too.
 
+    Of messages landed by day only the days since the cutoff are read.
+
     With ``time_column`` the cutoff is a plain comparison that reaches the file
     scan; otherwise the time is taken from ``ts``. No permalink is looked up. A
     cutoff without time zone is UTC.
     """
     page = raw.filter(_since(raw, cutoff, time_column))
+    if DAY in raw.columns:
+        first = cutoff.astimezone(dt.timezone.utc) if cutoff.tzinfo else cutoff
+        page = page.filter(F.col(DAY) >= F.lit(first.date())).drop(DAY)
     if limit:
         page = cap_per_channel(page, limit, "ts")
     return normalize_messages(drop_blank(drop_bots(page)), roster)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -52,6 +56,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """Addresses of the Parquet files of a folder, for ``read_file`` in a task."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return sorted(s.getPath().toString() for s in listed if s.getPath().getName().endswith(".parquet"))
+
+
+def read_file(address: str) -> pa.Table:
+    """One file of the shared folder as a task reads it, from a disk, HDFS or an object store."""
+    system, path = pa_fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", address))
+    return pq.read_table(path, filesystem=system)
+
+
 def fingerprint(spark: SparkSession, path: str) -> int:
     """Changes when files below a path do: their names, sizes and times."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

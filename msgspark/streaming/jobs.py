@@ -1,10 +1,11 @@
-"""Structured Streaming jobs: live indexing, backfill on join, questions.
+"""Structured Streaming jobs: live indexing, backfill on join, questions and their answers.
 
 A stream of index rows commits each micro-batch under its writer and batch number, so
 several streams, batch jobs and edits share one index, the last commit wins whoever made
 it, and a replayed batch takes its own place again. Chunks that the index holds already
 are not embedded anew. The index is merged when read, so a stream needs no state and no
-watermark; recovery is the checkpoint of the query. Questions land in the native sink.
+watermark; recovery is the checkpoint of the query. Questions are
+answered batch by batch, or land in the native sink to be answered in bulk.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from ..operators.filters import (
     is_direct,
     self_joined,
 )
+from ..operators.index import current
 from ..operators.normalize import clean_questions
 from ..operators.retrieval import TOP_K, top_k_text, with_chunk_fields
 from ..plans.ingest import INDEX_OVERLAP, index_documents, index_messages, write_chunks
+from ..sources.commits import remove
+from ..sources.storage import fresh_path
 
 
 def _started(writer: DataStreamWriter, checkpoint: str, available_now: bool, interval: str | None) -> StreamingQuery:
@@ -142,6 +146,12 @@ def stream_questions(
     return _started(sink.option("path", path), checkpoint, available_now, interval)
 
 
+def _answers(asked: DataFrame, chunks: DataFrame, k: int, min_similarity: float) -> DataFrame:
+    hits = with_chunk_fields(top_k_text(chunks, asked, k), chunks)
+    routed = answer_route(asked, hits, min_similarity)
+    return routed.join(asked.select("query_id", "reply_to"), "query_id")
+
+
 def answer_landed(
     spark: SparkSession,
     path: str,
@@ -155,9 +165,49 @@ def answer_landed(
     todo = landed.filter(F.col("kind") == "question").dropDuplicates(["query_id"])
     if answered is not None:
         todo = todo.join(answered.select("query_id"), "query_id", "left_anti")
-    hits = with_chunk_fields(top_k_text(chunks, todo, k), chunks)
-    routed = answer_route(todo, hits, min_similarity)
-    return routed.join(todo.select("query_id", "reply_to"), "query_id")
+    return _answers(todo, chunks, k, min_similarity)
+
+
+_ANSWER = "query_id string, status string, top_score double, message string, reply_to string, batch bigint"
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """What ``stream_answers`` has answered so far, with the batch of each answer."""
+    spark.createDataFrame([], _ANSWER).drop("batch").write.mode("ignore").parquet(f"{path}/batch=-1")
+    return spark.read.schema(_ANSWER).parquet(path)
+
+
+def stream_answers(
+    feed: DataFrame,
+    index_path: str,
+    path: str,
+    checkpoint: str,
+    mentions: bool = False,
+    k: int = TOP_K,
+    min_similarity: float = MIN_SIMILARITY,
+    available_now: bool = False,
+    interval: str | None = None,
+) -> StreamingQuery:
+    """Answer the questions of a feed as they come, against the index of that moment.
+
+    Every micro-batch opens the last commit of the index, so what is indexed meanwhile
+    reaches later batches. Its answers are the folder of its number: a batch that is run
+    again replaces its own, and a question that an earlier batch answered is left out.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        aside = fresh_path(spark, "asked")
+        asked = batch.filter(F.col("kind") == "question").dropDuplicates(["query_id"])
+        earlier = read_answers(spark, path).filter(F.col("batch") < number).select("query_id")
+        asked.join(earlier, "query_id", "left_anti").write.parquet(aside)
+        todo = spark.read.schema(asked.schema).parquet(aside)
+        made = _answers(todo, current(spark, index_path), k, min_similarity)
+        made.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        remove(spark, aside)
+
+    asked = live_questions(feed, mentions).writeStream.foreachBatch(write)
+    return _started(asked, checkpoint, available_now, interval)
 
 
 def write_answers(

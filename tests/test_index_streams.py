@@ -407,6 +407,29 @@ def test_streams_and_batches_share_an_index_and_go_on_after_a_reset(spark, tmp_p
     assert held() == ["two 4"]
 
 
+def test_questions_are_answered_as_they_come(spark, tmp_path):
+    feed_dir, path, answers, state = (str(tmp_path / n) for n in ("feed", "log", "answers", "state"))
+    index.append(spark.createDataFrame([chunk("k", "the red apple is here", "https://x")], CHUNK), path, 1)
+
+    def ask(*said):
+        rows = [("D1", ts, "U1", text, None, None, None) for ts, text in said]
+        spark.createDataFrame(rows, RAW_MESSAGE).write.mode("append").parquet(feed_dir)
+
+    def run():
+        jobs.stream_answers(stream_messages(spark, feed_dir), path, answers, state, available_now=True).awaitTermination()
+        return {r.query_id: (r.status, r.batch) for r in jobs.read_answers(spark, answers).collect()}
+
+    ask(("1.0", "where is the red apple"), ("2.0", "blue pear"), ("3.0", " "))
+    first = {"D1-1.0": ("answerable", 0), "D1-2.0": ("low_confidence", 0)}
+    assert run() == first and run() == first  # a restart adds nothing
+    index.append(spark.createDataFrame([chunk("p", "a blue pear", "https://y")], CHUNK), path, 2)
+    ask(("4.0", "blue pear"), ("1.0", "where is the red apple"))  # one was asked before
+    assert run() == {**first, "D1-4.0": ("answerable", 1)}
+    index.reset(spark, path)
+    ask(("5.0", "blue pear"))
+    assert run()["D1-5.0"] == ("no_hits", 2)
+
+
 def test_mentions_without_text_are_kept_as_empty(spark):
     said = [("C1", "1.0", "U1", "<@U9> ", None, None, None), ("C1", "2.0", "U1", "<@U9> hi", None, None, None)]
     asked = jobs.live_questions(spark.createDataFrame(said, RAW_MESSAGE), mentions=True)

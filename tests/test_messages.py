@@ -7,6 +7,7 @@ from msgspark.plans import ingest
 from msgspark.schemas import LINK, RAW_MESSAGE, ROSTER
 from msgspark.sources.messages import (
     history_scan,
+    land_messages,
     read_messages,
     recent_scan,
     roster_scan,
@@ -205,3 +206,20 @@ def test_sources_in_every_format(spark, raw, tmp_path, fmt):
     flat = raw.filter("text is not null and text not like '%\n%'")
     flat.write.format(fmt).save(path)
     assert read_messages(spark, path, fmt).count() == flat.count()
+
+
+def test_recent_scan_reads_only_landed_days_since_the_cutoff(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    day = 86400
+    said = [("C1", f"{n * day + 3600}.5", "U1", f"day {n}", None, None, None) for n in range(10)]
+    raw = spark.createDataFrame(said + [("C1", None, "U1", "no time", None, None, None)], RAW_MESSAGE)
+    land_messages(raw, path)
+    again = [("C1", f"{8 * day + 7200}.0", "U1", "day 8 anew", None, None, None)]
+    land_messages(spark.createDataFrame(again, RAW_MESSAGE), path)  # replaces its day alone
+    landed = spark.read.parquet(path)
+    assert landed.count() == 11
+    recent = recent_scan(landed, dt.datetime(1970, 1, 8, 0, 30))
+    assert sorted(r.text for r in recent.collect()) == ["day 7", "day 8 anew", "day 9"]
+    assert "landed_day" not in recent.columns
+    scan = next(x for x in recent._jdf.queryExecution().executedPlan().toString().split("\n") if "Scan parquet" in x)
+    assert "1970-01-08" in scan.split("PartitionFilters")[1].split("]")[0]

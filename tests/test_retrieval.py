@@ -96,6 +96,72 @@ def test_recall_of_every_fiftieth_row(spark, sf):
     assert recall >= 0.9 and share < 0.6
 
 
+def partitions_read(node):
+    """Partitions that the scans of an executed plan have read."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return partitions_read(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return partitions_read(node.plan())
+    if name.startswith("Scan parquet"):
+        return node.metrics().get("numPartitions").get().value()
+    children = node.children()
+    return sum(partitions_read(children.apply(k)) for k in range(children.size()))
+
+
+def test_only_files_of_probed_cells_are_read(spark, tmp_path):
+    t, path = Tables(spark, "/root/testdata/sf0.01"), str(tmp_path / "cells")
+    centres = t.row_centres()[:3]
+    retrieval.write_cells(t.vectors(), centres, path)
+    placed = retrieval.cell_index(t.vectors(), centres)
+    asked = t.row_questions()
+    for probes, some in ((1, asked.limit(2)), (4, asked)):
+        found = retrieval.top_k_cell_files(path, centres, some, probes=probes)
+        assert hits(found) == hits(retrieval.top_k_cells(placed, centres, some, probes=probes))
+    few = retrieval.top_k_cell_files(path, centres, asked.limit(2), probes=1)
+    few.collect()
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "Scan parquet" in x and "cell" in x)
+    assert "concat_ws(:" in scan.split("PartitionFilters")[1].split("]")[0]
+    everything = {f.rpartition("/")[0] for f in spark.read.parquet(path).inputFiles()}
+    assert 0 < partitions_read(few._jdf.queryExecution().executedPlan()) <= 6 < len(everything)
+
+
+def test_one_scan_of_the_corpus_whatever_the_number_of_questions(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    rng = np.random.default_rng(1)
+    rows = [(str(i), rng.normal(size=8).tolist()) for i in range(400)]
+    spark.createDataFrame(rows, "id string, embedding array<double>").write.parquet(path)
+    corpus = spark.read.parquet(path)
+    asked = spark.createDataFrame([(i, rows[i][1]) for i in range(200)], "query_id int, embedding array<double>")
+    whole = retrieval.top_k(corpus, asked)
+    many = retrieval.top_k(corpus, asked, block_bytes=8 * 8 * 7)  # 29 files of questions at least
+    assert many.schema["query_id"].dataType.simpleString() == "int" and hits(many) == hits(whole)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_rows_are_held_in_bounded_runs(corpus, asked, monkeypatch):
+    monkeypatch.setattr(retrieval, "HELD_BYTES", 1)
+    assert hits(retrieval.top_k(corpus, asked, block_bytes=16 * 8 * 3)) == brute(5)
+
+
+def test_a_failing_text_stops_no_other(spark):
+    def model(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no such text")
+        return np.array([[len(t)] for t in texts], dtype=float)
+
+    df = spark.range(40).selectExpr("id", "if(id % 9 = 4, concat('bad ', id), repeat('x', cast(id as int))) AS text")
+    tried = embedding.embed_or_reject(df.repartition(2), model, batch_size=6).cache()
+    assert {r.id: r.reason for r in embedding.rejected(tried).collect()} == {
+        k: "RuntimeError: no such text" for k in range(4, 40, 9)
+    }
+    assert all(r.embedding[0] == r.id for r in embedding.embedded(tried).collect())
+    assert embedding.embedded(tried).count() == 35
+    short = embedding.embed_or_reject(df.limit(3), lambda texts: np.zeros((0, 1)))
+    assert {r.reason for r in short.collect()} == {"ValueError: the model must return one vector per text"}
+
+
 def test_hits_are_joined_without_shuffling_the_chunks(spark, tmp_path):
     path = str(tmp_path / "index")
     spark.range(500).selectExpr(
