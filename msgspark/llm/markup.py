@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from html import unescape
 
 #: Fixed values of HTML: elements without text of their own, without an end, and blocks.
-_RAW = "script style noscript template svg math iframe object textarea select option canvas audio video head".split()
+_RAW = "script style noscript template svg iframe object textarea select option canvas audio video head".split()
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset "
@@ -25,6 +25,13 @@ _NAMES = frozenset(
     "footer masthead toolbar comment comments commentlist respond reply replies discussion disqus share "
     "sharing social related recommended recommendations widget login search form".split()
 )
+#: Of these, names and elements that a part of an article may have as well: there they only
+#: say that a line may go if the nearest page has it too.
+_LOOSE = frozenset(
+    "social related recommended recommendations widget search login discussion banner notice notices alert promo "
+    "promotion sponsor sponsored notification overlay modal menu toolbar".split()
+)
+_LOOSE_KINDS = frozenset("aside dialog search menu fieldset".split())
 _COMMENTS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -50,12 +57,14 @@ class Line:
     main: bool  # inside the element that holds the article
     prose: bool  # in an element for running text
     furniture: bool  # inside navigation, adverts, comments and the like
+    loose: bool = False  # inside a part of the article that is named like furniture
 
 
-def _judge(name: str, rest: str, in_main: bool) -> tuple[bool, int]:
-    """(is a main element, its mark of furniture) for an opened element.
+def _judge(name: str, rest: str, in_main: bool) -> tuple[bool, int, bool]:
+    """(is a main element, its mark of furniture, is loose) for an opened element.
 
-    Inside the article only whole names count, and of ids only those of comments.
+    Inside the article only whole names count, and of ids only those of comments; what
+    may as well be a part of the article is loose and no furniture.
     """
     words: set[str] = set()
     whole: set[str] = set()
@@ -69,20 +78,24 @@ def _judge(name: str, rest: str, in_main: bool) -> tuple[bool, int]:
         names = set(value.lower().split())
         whole |= names & _COMMENT_IDS if in_main and kind.lower() == "id" else names
     if name in ("html", "body"):
-        return False, _NONE
+        return False, _NONE, False
     if name in ("article", "main") or role in ("main", "article"):
-        return True, _COMMENT if whole & _COMMENTS else _NONE
+        return True, _COMMENT if whole & _COMMENTS else _NONE, False
     if name == "header" or "header" in (whole if in_main else words):
-        return False, _NONE if in_main else _KIND
-    if name in _FURNITURE or role in _ROLES:
-        return False, _KIND
-    if whole & _COMMENTS:
-        return False, _COMMENT
-    if whole & _NAMES:
-        return False, _WHOLE
-    if in_main or not words & _NAMES:
-        return False, _NONE
-    return False, _COMMENT_PART if words & _COMMENTS else _PART
+        return False, _NONE if in_main else _KIND, False
+    if in_main and name in _LOOSE_KINDS:
+        return False, _COMMENT if whole & _COMMENTS else _WHOLE if whole & (_NAMES - _LOOSE) else _NONE, True
+    if name in _FURNITURE or (role in _ROLES and not (in_main and role == "complementary")):
+        return False, _KIND, False
+    if whole & (_COMMENTS - _LOOSE if in_main else _COMMENTS):
+        return False, _COMMENT, False
+    if whole & (_NAMES - _LOOSE if in_main else _NAMES):
+        return False, _WHOLE, False
+    if in_main:
+        return False, _NONE, bool(whole & _LOOSE)
+    if not words & _NAMES:
+        return False, _NONE, False
+    return False, _COMMENT_PART if words & _COMMENTS else _PART, False
 
 
 def _settled(found: list[tuple[Line, int]]) -> list[Line]:
@@ -95,7 +108,7 @@ def _settled(found: list[tuple[Line, int]]) -> list[Line]:
         found = [(line, _NONE if mark == _HELD else mark) for line, mark in found]
     if all(found_mark for _, found_mark in found):
         found = [(line, _NONE if mark in (_PART, _COMMENT_PART) else mark) for line, mark in found]
-    return [Line(line.text, line.main, line.prose, mark != _NONE) for line, mark in found]
+    return [Line(line.text, line.main, line.prose, mark != _NONE, line.loose) for line, mark in found]
 
 
 def lines(html: str | None) -> list[Line]:
@@ -106,7 +119,7 @@ def lines(html: str | None) -> list[Line]:
     open paragraph, a list item the one before.
     """
     out: list[tuple[Line, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, main, mark of furniture, both inherited
+    stack: list[tuple[str, bool, int, bool]] = []  # name, main, mark of furniture, loose, all inherited
     words: list[str] = []
     at = 0
     html = html or ""
@@ -115,9 +128,9 @@ def lines(html: str | None) -> list[Line]:
         text = " ".join(unescape("".join(words)).split())
         words.clear()
         if text:
-            _, main, mark = stack[-1] if stack else ("", False, _NONE)
-            block = next((n for n, _, _ in reversed(stack) if n in _BLOCK), "")
-            out.append((Line(text, main, block in _PROSE, False), mark))
+            _, main, mark, loose = stack[-1] if stack else ("", False, _NONE, False)
+            block = next((n for n, *_ in reversed(stack) if n in _BLOCK), "")
+            out.append((Line(text, main, block in _PROSE, False, loose), mark))
 
     for tag in _TOKEN.finditer(html):
         if tag.start() > at:
@@ -149,15 +162,15 @@ def lines(html: str | None) -> list[Line]:
                     break
                 if stack[k][0] in _BLOCK:
                     break
-        _, main, mark = stack[-1] if stack else ("", False, _NONE)
-        starts, own = _judge(name, tag["rest"], main)
+        _, main, mark, loose = stack[-1] if stack else ("", False, _NONE, False)
+        starts, own, slack = _judge(name, tag["rest"], main)
         if starts and own == _NONE and not main:
             # a name says what surrounds an article only where the page has another one
             if mark == _PART or (mark and mark < _KIND and name == "main"):
                 mark = _NONE
             elif mark in (_COMMENT_PART, _WHOLE):
                 mark = _HELD
-        stack.append((name, main or (starts and own == _NONE), max(mark, own)))
+        stack.append((name, main or (starts and own == _NONE), max(mark, own), loose or slack))
     words.append(html[at:])
     flush()
     return _settled(out)

@@ -74,8 +74,8 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def _open(line: Line) -> bool:
-    """Whether differencing may delete the line: all but running text of the article."""
-    return line.furniture or not (line.main and line.prose)
+    """Whether differencing may delete the line: all but running text of the article proper."""
+    return line.furniture or line.loose or not (line.main and line.prose)
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +178,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     are aligned by a longest common subsequence, and shared lines are deleted. A
     neighbour that shares over ``COPY_SHARE`` of the text is a version of the same
     page and says nothing; then the other one is asked. Running text inside an element
-    that the page itself marks as its article is not deleted for being shared. Lines
-    in navigation, adverts, forms, comments and the like always go, and where an
-    article element has lines left, only those stay.
+    that the page itself marks as its article is not deleted for being shared; inside it,
+    an aside or a part named like furniture (social, widget, notice, ...) goes where it is
+    shared and stays where it is not. Lines in navigation, adverts, forms, comments and the
+    like always go, and where an article element has lines left, only those stay.
 
     A null html gives an empty text; pages without a readable URL are neighbours of
     each other under an empty host. Repeated rows (same id, url and html) count as one

@@ -1,5 +1,7 @@
 import itertools
+import os
 import random
+from html import escape
 
 from msgspark.llm.markup import lines
 from msgspark.llm.page_text import common_lines, host_and_path, main_text
@@ -114,6 +116,74 @@ def test_sections_of_an_article_are_no_furniture(spark):
     assert got[1] == "Start.\nRelated\nSaid.\nHistory.\nAdvice"
 
 
+def test_parts_named_like_furniture_go_only_where_the_nearest_page_has_them(spark):
+    def body(k):
+        return (
+            f"<article><p>We know <math><mi>x</mi><mo>=</mo><mn>{k}</mn></math> holds.</p><aside><p>Quote {k}.</p></aside>"
+            f"<aside><p>Also read this.</p></aside><section class='social'><p>Society {k}.</p></section>"
+            f"<div class='widget'><p>Follow us</p></div><div class='widget'><p>Part {k}</p></div>"
+            f"<div class='ad'><p>Buy {k}</p></div><p>End {k}.</p></article>"
+        )
+
+    rows = [(k, f"http://h/{k}", page(body(k))) for k in range(4)] + [(9, "http://alone/", page(body(9)))]
+    got = texts(spark, rows)
+    for k in range(4):
+        assert got[k] == f"We know x={k} holds.\nQuote {k}.\nSociety {k}.\nPart {k}\nEnd {k}."
+    assert got[9] == "We know x=9 holds.\nQuote 9.\nAlso read this.\nSociety 9.\nFollow us\nPart 9\nEnd 9."
+
+
+def plain_text(rows):
+    """The same by quadratic tables over whole lines, page by page."""
+    own = {}
+    order = sorted({(host_and_path(u), i, u, h) for i, u, h in rows})
+    for n, ((host, path), i, u, h) in enumerate(order):
+        mine = lines(h)
+        near = [order[k] for k in (n - 1, n + 1) if 0 <= k < len(order) and order[k][0][0] == host]
+        common = lambda other: len(os.path.commonprefix([path, other[0][1]]))
+        gone = set()
+        for other in sorted(near, key=lambda x: -common(x)):
+            a, b = [x.text for x in mine], [x.text for x in lines(other[3])]
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for x in range(len(a) - 1, -1, -1):
+                for y in range(len(b) - 1, -1, -1):
+                    best[x][y] = 1 + best[x + 1][y + 1] if a[x] == b[y] else max(best[x + 1][y], best[x][y + 1])
+            x = y = 0
+            both = set()
+            while x < len(a) and y < len(b):
+                if a[x] == b[y]:
+                    both.add(x)
+                    x, y = x + 1, y + 1
+                elif best[x + 1][y] >= best[x][y + 1]:
+                    x += 1
+                else:
+                    y += 1
+            if sum(len(a[k]) for k in both) <= 0.8 * sum(map(len, a)):
+                gone = both
+                break
+        kept = [
+            x for k, x in enumerate(mine)
+            if not x.furniture and not (k in gone and (x.loose or not (x.main and x.prose)))
+        ]
+        kept = [x for x in kept if x.main] or kept
+        own[i, u, h] = "\n".join(x.text for x in kept)
+    return {i: own[i, u, h] for i, u, h in rows}
+
+
+def test_given_pages_against_quadratic_alignment(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").limit(100)
+    rows = [tuple(r) for r in pages.collect()]
+    assert texts(spark, rows) == plain_text(rows)
+    # the same texts without what marks the article, beside lines that the pages of a host share
+    bare = []
+    for i, u, h in rows:
+        story = "".join(f"<div>{escape(x.text)} {i}</div>" for x in lines(h) if x.main)
+        bare.append((i, u, page(f"<div>Front</div><div>Topics</div>{story}<div>Imprint</div>")))
+    got = texts(spark, bare)
+    assert got == plain_text(bare)
+    deleted = sum(3 - sum(t in got[i].split("\n") for t in ("Front", "Topics", "Imprint")) for i, _, _ in bare)
+    assert deleted > 0
+
+
 def test_articles_of_sidebars_and_comments_go(spark):
     after = (
         "<div class='sidebar'><article><p>Teaser</p></article></div><aside><article><p>Other</p></article></aside>"
