@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import topk as kernel
 from ..functions.vectors import DIM
-from ..sources.storage import files_of, fresh_path, read_file, stored
+from ..sources.storage import files_of, fresh_path, read_file, stored, temporary
 from .embedding import hashed_embeddings
 from .limits import top_n_per_key
 
@@ -117,6 +117,7 @@ def _search(corpus: DataFrame, questions: DataFrame, form: _Form, k: int, width:
     most = max(1, block_bytes // (8 * max(1, width)))
     path = fresh_path(spark, "questions")
     questions.hint("rebalance").write.option("maxRecordsPerFile", most).parquet(path)
+    temporary(spark, path)
     return _rank(_scan(corpus, questions, files_of(spark, path), form, k), k)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -21,7 +22,9 @@ def ship(spark: SparkSession) -> None:
     if application in _SHIPPED:
         return
     package = Path(__file__).parent
-    base = Path(tempfile.mkdtemp(prefix="package-")) / package.name
+    folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = Path(folder) / package.name
     shutil.copytree(package, base / package.name, ignore=shutil.ignore_patterns("__pycache__"))
     archive = shutil.make_archive(str(base), "zip", root_dir=base, base_dir=package.name)
     spark.sparkContext.addPyFile(archive)

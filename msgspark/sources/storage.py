@@ -43,16 +43,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """Have a written folder removed when the driver ends in good order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage at a table that survives lost executors, so work that is
-    used more than once is done once. The folder belongs to the caller, who
-    clears it after the job.
+    used more than once is done once. The table goes when the application ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
