@@ -209,7 +209,7 @@ def _scatter(buckets: int, finals: int, slots: np.ndarray):
             rank[np.lexsort(keys[::-1])] = np.arange(part.num_rows)
             for at in range(0, max(1, len(data) - WINDOW + 1), 2 * PIECE):  # one long text
                 piece = data[at : at + 2 * PIECE + WINDOW - 1]
-                ends = np.repeat(offsets[1:], np.diff(offsets))[at : at + len(piece)] - at
+                ends = np.repeat(offsets[1:], np.diff(np.clip(offsets, at, at + len(piece)))) - at
                 starts, sizes, grams = _stretches(piece, ends, frequent)
                 if not len(starts):
                     continue
@@ -221,6 +221,7 @@ def _scatter(buckets: int, finals: int, slots: np.ndarray):
                 _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
                 lead = first[inverse]
                 copy = lead != np.arange(len(lead))
+                copy[copy] = _same_bytes(piece, starts, sizes, np.flatnonzero(copy), lead[copy])
                 itself = np.all([m[copy] == m[lead[copy]] for m in meta[:4]], axis=0)
                 gone = np.flatnonzero(copy)[~itself]
                 yield from _ranges([m[gone] for m in meta], finals)
@@ -237,6 +238,18 @@ def _scatter(buckets: int, finals: int, slots: np.ndarray):
     return run
 
 
+def _same_bytes(
+    text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray
+) -> np.ndarray:
+    """Whether the stretches of each pair are equal, byte by byte."""
+    same = sizes[left] == sizes[right]
+    left, right = left[same], right[same]
+    if len(left):
+        equal = text[ragged(starts[left], sizes[left])] == text[ragged(starts[right], sizes[left])]
+        same[same] = np.logical_and.reduceat(equal, np.cumsum(sizes[left]) - sizes[left])
+    return same
+
+
 def _final(ids: np.ndarray, finals: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U)) % U(finals)).astype(np.int64)
 

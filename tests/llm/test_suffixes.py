@@ -124,3 +124,11 @@ def test_a_phrase_of_many_documents_fills_no_bucket(spark, monkeypatch):
         assert len(slots) >= length - 24
         assert shares(rows, []) > 0.15 and shares(rows, slots) < 0.05
         same(spark, rows[:80] + [(1000 + i, rows[i][1]) for i in range(120)] + [(2000, phrase * 3), (2001, "ab" + phrase * 4)])
+
+
+def test_stretches_of_one_fingerprint_are_compared_byte_by_byte():
+    text = np.frombuffer(b"abcabcabdabc", dtype=np.uint8)
+    starts, sizes = np.array([0, 3, 6, 9, 9]), np.array([3, 3, 3, 3, 2])
+    left, right = np.array([1, 2, 3, 4]), np.array([0, 0, 0, 0])
+    assert suffix_dedup._same_bytes(text, starts, sizes, left, right).tolist() == [True, False, True, False]
+    assert suffix_dedup._same_bytes(text, starts, sizes, left[:0], right[:0]).tolist() == []
