@@ -254,7 +254,8 @@ def contamination(
     A window is ``window`` consecutive words of an item, or the whole of an item that
     has fewer; an item or text that is null or has no words has no windows and no hits.
     Repeated items add nothing, repeated documents get a row each; rows of a null
-    item_id are ignored.
+    item_id are ignored. A text of any length is read whole, an empty table of documents
+    gives no rows, one of items no hits.
 
     The items travel to the tasks; their size is checked and parts of ``part_bytes``
     are read one after the other, so a task never holds more than one part. Documents

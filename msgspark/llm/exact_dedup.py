@@ -25,7 +25,9 @@ def exact_duplicates(
     Texts are equal when identical after deleting the characters of ``SPACE``; null
     counts as empty. Of equal texts the row with the most code points in the original
     text stays, then the smallest doc_id; a null id comes after all others. Rows that
-    repeat the survivor's id and length count as that row. Other columns are ignored.
+    repeat the survivor's id and length count as that row. Texts of any length are read
+    whole, an empty table gives no rows. Other columns are ignored, also those that are
+    named as the results.
 
     The least and the greatest text of a hash group are kept while it is aggregated,
     before the shuffle already, so copies meet as one row per task and the bytes of

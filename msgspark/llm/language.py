@@ -232,7 +232,8 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float) -> np.ndarray
 def fit(docs: DataFrame, *, most: int = MOST_PER_LANGUAGE) -> LanguageModel:
     """Learn letter-gram scores of every lang of ``docs`` from its texts.
 
-    Rows of a null lang or text are ignored. About ``most`` documents of each
+    Rows of a null lang or text are ignored, repeated rows count each; a table without
+    any other row gives a model without languages. About ``most`` documents of each
     language are read, chosen by a hash of the row
     against the share that ``most`` is of all. Counts are added up in the
     tasks and by Spark; the driver gets one number per language and used bucket.
@@ -277,8 +278,10 @@ def identify(docs: DataFrame, model: LanguageModel, *, switch: float = SWITCH) -
     language with most letters (of equals the first by name), score its share of the
     letters, spans the runs of one language as character ranges from the first word's
     start to the last word's end. A text that is null or has no letter, and every text
-    when no language was learned, is ``und`` with score 0 and no spans. Only the text
-    is read; nothing is shuffled.
+    when no language was learned, is ``und`` with score 0 and no spans. Repeated rows get
+    equal answers, an empty table gives none. A very long text is labelled whole, in one
+    task, with some tens of bytes for each of its own. Only doc_id and text are read, other
+    columns may have any name; nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

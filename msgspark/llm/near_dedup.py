@@ -194,7 +194,8 @@ def near_duplicates(
     similarity of ``percent`` / 100 or more. A null, empty or white text has an
     empty set, links with nothing and is kept. Repeated rows, also under one id, are
     copies. A null id counts as larger than any other and a component without any
-    id has component_id null and is kept.
+    id has component_id null and is kept. A text of any length is compared whole; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

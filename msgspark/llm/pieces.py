@@ -152,8 +152,9 @@ def encode(
     ids is the best segmentation and score its score; alternatives are the next best
     of the whole text in order, each given by what it has in place of ``size`` ids
     from ``at`` on. With ``verify``, round_trip tells whether decoding the ids gives the
-    text back. A null or empty text has no ids and score 0. Input columns of these
-    names are replaced. Nothing is shuffled.
+    text back. A null or empty text has no ids and score 0, repeated rows are encoded
+    alike and an empty table gives no rows. A text of any length is encoded whole. Input
+    columns of these names are replaced. Nothing is shuffled.
     """
     docs = docs.drop(*_COLUMNS, "round_trip")
     names = docs.columns if keep is None else keep

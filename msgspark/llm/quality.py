@@ -145,7 +145,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), values], names=["doc_id", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, seed: int = 8) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, pairs: int = PAIRS, seed: int = 8) -> QualityModel:
     """Learn document scores from pairs of one better and one worse labelled document.
 
     ``labels`` has doc_id and quality (1 better, 0 worse); rows without either are
@@ -153,7 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, seed:
     documents are read, those with the least hash of their id: the sample is the
     only thing that reaches the driver, as one row of measures each. The threshold is
     a quantile of the training scores (``quantile_threshold``). Without both labels
-    the model is BLANK.
+    the model is BLANK, as it is for empty tables. Of documents that share an id one
+    counts, by its measures; a null text is measured as an empty one. ``pairs`` pairs of a
+    better and a worse one are drawn. Other columns are ignored.
     """
     sample = (
         labels.where("doc_id is not null and quality is not null")
@@ -179,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, seed:
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = (x - mean) / scale
     draw = np.random.Generator(np.random.PCG64(seed))
-    better = draw.choice(np.flatnonzero(good), PAIRS)
-    worse = draw.choice(np.flatnonzero(~good), PAIRS)
+    better = draw.choice(np.flatnonzero(good), pairs)
+    worse = draw.choice(np.flatnonzero(~good), pairs)
     weights = bradley_terry(z[better], z[worse])
     return QualityModel(mean, scale, weights, quantile_threshold(z @ weights, good))
 
@@ -203,7 +205,8 @@ def with_quality(docs: DataFrame, model: QualityModel, *, name: str = "score") -
     """All columns of ``docs`` and the score between 0 and 1 of the whole text.
 
     0.5 is the model's threshold. Null and empty texts are scored as texts without
-    words. An input column called like the score is replaced.
+    words, repeated rows alike, and an empty table gives no rows. A text of any length is
+    measured whole. An input column called like the score is replaced.
     """
     docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])

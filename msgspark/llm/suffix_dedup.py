@@ -533,7 +533,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     documents and are judged on the input. spans are the maximal removed byte ranges,
     kept is what remains. A null text is empty; a null id comes last. Texts that share
     an id are ordered by a hash; rows that repeat both count as one document and each
-    gets its result. Other columns are ignored.
+    gets its result. A very long text is read in pieces; an empty table gives no rows.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

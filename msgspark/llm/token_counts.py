@@ -45,7 +45,9 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     The counts are those of the best unigram segmentation under the tie rules of
     ``Vocabulary``. A null or empty text has no tokens and score 0. Rows are
-    independent: nothing is shuffled, repeated rows repeat. Other columns are ignored.
+    independent: nothing is shuffled, repeated rows repeat and an empty table gives no
+    rows. Texts of any length are read whole, with the memory of a small multiple of the
+    longest. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
