@@ -20,7 +20,11 @@ from msgspark.llm.vocabulary import Vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the quality threshold go; the model learns from the labelled ones."""
+    """Documents below the quality threshold go; the model learns from the labelled ones.
+
+    Null and empty texts are scored as texts without words; where no two labels can be
+    compared all documents stay. Repeated rows go or stay alike; no rows give no rows.
+    """
     model = fit(docs, quality_labels(spark, sf_dir))
     return with_quality(docs, model, name="__score").where("__score >= 0.5").select(*docs.columns)
 
@@ -28,7 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated windows of three lines go; so do documents of which no line is left.
 
-    n_chars is that of the remaining text.
+    n_chars is that of the remaining text. A null or empty text has one line and stays. Rows
+    that repeat id and text count as one document; a null id comes last. No rows give no rows.
     """
     left = dedup_lines(docs).where("n_removed < n_lines")
     if "n_chars" in docs.columns:
@@ -42,6 +47,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int
     Near copies share ``percent`` of their five-word shingles. Below 85, 32 bands of 4 are
     used, which miss a pair at 80 with a probability of 5e-8.
     Rows that share an id (also null) are told apart by no column here: they stay together.
+    Texts without words link with nothing and stay. No rows give no rows.
     """
     wider = {"bands": 32, "rows": 4} if percent < PERCENT else {}
     found = near_duplicates(docs, percent=percent, **wider)
@@ -50,13 +56,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int
 
 
 def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; fewer hit words than the limit leave a document as it is."""
+    """Contaminated documents go; fewer hit words than the limit leave a document as it is.
+
+    Null and empty texts have no words and stay, repeated rows go or stay alike.
+    """
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where("not contaminated").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, their score and number, the next best ones, and whether decoding gives the text back."""
+    """The ids of every text, their score and number, the next best ones, and whether decoding gives the text back.
+
+    A null or empty text has no pieces. Columns of documents with names of the results are replaced.
+    """
     vocabulary = Vocabulary.load(VOCABULARY_PATH)
     encoded = encode(docs, vocabulary, verify=True)
     return encoded.withColumn("n_pieces", F.size("ids").cast("long"))
