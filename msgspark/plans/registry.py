@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_mentions
 from ..operators import answers, chunking, embedding, filters, index, limits, lookups
-from ..operators import normalize, reports, retrieval
+from ..operators import normalize, postings, reports, retrieval
 from ..schemas import RAW_MESSAGE
 from ..sources.messages import history_scan, land_messages, recent_scan, roster_scan, stream_messages
 from ..sources.storage import fingerprint, fresh_path, stored
@@ -380,6 +380,13 @@ def topk_text(t: Tables) -> DataFrame:
     return retrieval.top_k_text(text_index(t), t.questions())
 
 
+@query
+def topk_text_postings(t: Tables) -> DataFrame:
+    """The same from posting lists of the index."""
+    path = _built(t, "postings", ("documents", "pages"), lambda path: postings.write_postings(text_index(t), path))
+    return postings.top_k_text_postings(path, t.questions())
+
+
 # answers
 
 
