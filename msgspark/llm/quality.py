@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import packed, slices, span_hashes, word_spans
+from .arrays import HASHED, packed, slices, span_hashes, spans_by_block
 
 #: Labelled documents that a fit reads at most, chosen by a hash of their id.
 MOST_LABELLED = 20_000
 PAIRS = 60_000
 RIDGE = 1e-3
+#: Bytes that are counted at once; the measures of a document do not depend on it.
+BLOCK = 1 << 18
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LINE = np.ones(256, dtype=bool)
@@ -45,21 +48,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of bounded style measures per document, all read from its whole text."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(n), sizes)
-    count = np.bincount(owner * KINDS + _KIND[data], minlength=n * KINDS).reshape(n, KINDS)
-    capital = _KIND[data] == _UPPER
-    if len(data) > 1:  # capitals of Latin-1: two fixed bytes
-        capital[:-1] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
-    capital[1:] &= np.isin(_KIND[data[:-1]], (_LOWER, _UPPER, _TAIL))  # not the first of a word
-    capital[:1] = False
-    capitals = np.bincount(owner[capital], minlength=n)
+    count, capitals = np.zeros((n, KINDS), dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for a in range(0, len(data), BLOCK):
+        _count_block(data, offsets, a, min(a + BLOCK, len(data)), count, capitals)
     chars = np.maximum(sizes - count[:, _TAIL], 1)
     letters = count[:, _LOWER] + count[:, _UPPER] + count[:, _HIGH]
     # shares of few characters or words say little and are drawn to 0
     share = lambda x, of, few=2: x / (of + few)
 
-    starts, ends = word_spans(data, offsets, _WORD)
-    hashes = span_hashes(data, starts, ends)
+    starts, ends = spans_by_block(data, offsets, _WORD, BLOCK)
+    hashes = _hashes(data, starts, ends)
     of = np.searchsorted(offsets, starts, "right") - 1
     words = np.bincount(of, minlength=n)
     again = np.zeros(len(hashes), dtype=bool)
@@ -67,10 +65,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     repeated = np.bincount(of[again], minlength=n)
     long_words = np.bincount(of[ends - starts > 30], minlength=n)
     distinct = _distinct(hashes, of, n)
-    starts, ends = word_spans(data, offsets, _LINE)
+    starts, ends = spans_by_block(data, offsets, _LINE, BLOCK)
     of_line = np.searchsorted(offsets, starts, "right") - 1
     lines = np.bincount(of_line, minlength=n)
-    distinct_lines = _distinct(span_hashes(data, starts, ends), of_line, n)
+    distinct_lines = _distinct(_hashes(data, starts, ends), of_line, n)
     columns = [
         share(capitals, letters, 10),
         share(count[:, _LOWER], chars, 10),
@@ -91,6 +89,41 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def _count_block(
+    data: np.ndarray, offsets: np.ndarray, a: int, b: int, count: np.ndarray, capitals: np.ndarray
+) -> None:
+    """Add the kinds of the bytes from ``a`` to ``b``, and the capitals inside words, to their documents'."""
+    first, last = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b, "left"))
+    bounds = np.clip(offsets[first : last + 1], a, b)
+    owner = np.repeat(np.arange(last - first), np.diff(bounds))
+    # one byte more at both sides, so that a block reads like the whole
+    around = np.zeros(b - a + 2, dtype=np.uint8)
+    low, high = max(a - 1, 0), min(b + 1, len(data))
+    around[low - a + 1 : high - a + 1] = data[low:high]
+    kind = _KIND[around]
+    count[first:last] += np.bincount(owner * KINDS + kind[1:-1], minlength=(last - first) * KINDS).reshape(-1, KINDS)
+    capital = kind[1:-1] == _UPPER
+    # capitals of Latin-1: two fixed bytes
+    capital |= (around[1:-1] == 0xC3) & (around[2:] >= 0x80) & (around[2:] <= 0x9E)
+    capital &= np.isin(kind[:-2], (_LOWER, _UPPER, _TAIL))  # not the first of a word
+    begin = offsets[first:last]
+    capital[begin[begin >= a] - a] = False  # nor of a document
+    capitals[first:last] += np.bincount(owner[capital], minlength=last - first)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of spans; one that is longer than a block is read as it lies."""
+    long = ends - starts > HASHED
+    if not long.any():
+        return span_hashes(data, starts, ends)
+    out = np.empty(len(starts), dtype=np.uint64)
+    out[~long] = span_hashes(data, starts[~long], ends[~long])
+    for k in np.flatnonzero(long).tolist():
+        digest = hashlib.blake2b(np.ascontiguousarray(data[starts[k] : ends[k]]), digest_size=8).digest()
+        out[k] = int.from_bytes(digest, "little")
+    return out
+
+
 def _distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     bounds = np.searchsorted(owner, np.arange(n + 1))
     return np.array(
