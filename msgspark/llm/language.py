@@ -19,6 +19,8 @@ _SHARES = 10**12
 #: Scores of words times languages that identify holds at once, as bytes of text times languages.
 SLICE_WORK = 64 << 20
 BUCKETS = 1 << 16
+#: Letters whose words are fingerprinted at once (or one word).
+LETTERS = 1 << 18
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
 #: What a change of language between two words costs, in natural logarithms.
@@ -46,16 +48,17 @@ NAMES = tuple(sorted({name for _, name in SCRIPTS}))
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every code point: is it a letter, its lower case, its script."""
-    top = 0x30000
-    letter = np.fromiter((chr(c).isalpha() for c in range(top)), dtype=bool, count=top)
-    lower = np.arange(top, dtype=np.uint32)
+    top, every = 0x30000, 0x110000  # what lies beyond counts as no letter
+    letter = np.zeros(every, dtype=bool)
+    letter[:top] = np.fromiter((chr(c).isalpha() for c in range(top)), dtype=bool, count=top)
+    lower = np.arange(every, dtype=np.uint32)
     for c in np.flatnonzero(letter).tolist():
         low = chr(c).lower()
         if len(low) == 1:
             lower[c] = ord(low)
     starts = np.array([s for s, _ in SCRIPTS])
     names = np.array([NAMES.index(n) for _, n in SCRIPTS])
-    script = names[np.searchsorted(starts, np.arange(top), "right") - 1]
+    script = names.astype(np.int8)[np.searchsorted(starts, np.arange(every), "right") - 1]
     return letter, lower, script
 
 
@@ -72,30 +75,41 @@ class Words:
     offsets: np.ndarray
 
 
+def _word_prints(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprint of every word: the sum of mixed (letter, place in the word), block by block."""
+    power = np.uint64(0x9E3779B97F4A7C15)
+    out = np.empty(len(starts), dtype=U)
+    stops = np.cumsum(sizes)  # in letters, words end to end
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(stops, stops[a] - sizes[a] + LETTERS, "right")))
+        at = ragged(starts[a:b], sizes[a:b])
+        place = (at - np.repeat(starts[a:b], sizes[a:b])).astype(U)
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(low[at].astype(U) * power + place))])
+        ends = np.cumsum(sizes[a:b])
+        out[a:b] = sums[ends] - sums[ends - sizes[a:b]]
+        a = b
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     letter, lower, script = _tables()
     lead = (data & 0xC0) != 0x80
-    before = np.concatenate([[0], np.cumsum(lead)])
-    offsets = before[offsets]
+    sizes = [np.count_nonzero(lead[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    del lead
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype=np.uint32)
-    points = np.where(points < len(lower), points, 0)
     inside = letter[points]
-    of = np.where(inside, script[points], -1)
+    of = np.where(inside, script[points], np.int8(-1))
     same = np.zeros(len(points) + 1, dtype=bool)
     same[1:-1] = of[1:] == of[:-1]
     same[offsets] = False
     starts = np.flatnonzero(inside & ~same[:-1])
-    stops = np.flatnonzero(inside & ~same[1:]) + 1
+    sizes = np.flatnonzero(inside & ~same[1:]) + 1 - starts
+    del inside, same
     low = lower[points]
-    power = np.uint64(0x9E3779B97F4A7C15)
-    # fingerprint of a word: sum of mixed (letter, place in the word)
-    sizes = stops - starts
-    at = ragged(starts, sizes)
-    place = (at - np.repeat(starts, sizes)).astype(U)
-    value = mix(low[at].astype(U) * power + place)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(value)])
-    ends = np.cumsum(sizes)
-    print_ = sums[ends] - sums[ends - sizes] if len(sizes) else np.empty(0, U)
+    del points
+    print_ = _word_prints(low, starts, sizes)
     _, first, kind = np.unique(print_, return_index=True, return_inverse=True)
     own = ragged(starts[first], sizes[first])
     return Words(

@@ -193,6 +193,31 @@ def test_language_query_against_plain_code(spark, sf_dir):
         assert r.score == pytest.approx(share[k] / sum(share.values()))
 
 
+@pytest.mark.parametrize("letters", [1, 10, 1 << 18])
+def test_words_by_block(monkeypatch, letters):
+    monkeypatch.setattr(language, "LETTERS", letters)
+    texts = [*TEXTS, "ab ab abc", "", "Σαν σαν 漢字かな漢字 x\U00020000\U00031350\U0010FFFF", "ab"]
+    got = language.words_of(*arrow(texts))
+    points, bounds, scripts = got.distinct
+    names = ["".join(map(chr, points[a:b])) for a, b in zip(bounds, bounds[1:])]
+    for k, text in enumerate(texts):
+        own = np.flatnonzero(got.owner == k)
+        assert [(names[w], language.NAMES[s]) for w, s in zip(got.kind[own], got.script[own])] == plain_words(text)
+        assert [text[a : a + n].lower() for a, n in zip(got.starts[own] - got.offsets[k], got.sizes[own])] == [w for w, _ in plain_words(text)]
+
+
+def test_a_long_text_is_read_in_blocks():
+    import tracemalloc
+
+    data, offsets = arrow([" ".join(prose(k, 1000) for k in range(100)).replace("w", "wörtlich")])
+    language.words_of(*arrow(TEXTS))
+    tracemalloc.start()
+    language.words_of(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 1 << 20 and peak < 30 * len(data)
+
+
 def test_a_long_text_is_measured_in_blocks(spark):
     import tracemalloc
 
