@@ -6,10 +6,10 @@ least hashed gram inside it: equal windows choose equal grams. Neighbouring wind
 mostly share that gram and travel as one stretch of text, so the shuffle moves a few
 bytes per suffix. A gram that very many places have (a licence line, a byline) would
 fill one bucket with texts that all differ around it; grams are counted first and the
-frequent ones chosen by no window that has another. Inside a bucket the suffixes are ordered by most-significant-digit
-passes, a digit being the fingerprint of ``DIGIT`` bytes; a suffix alone in its group
-leaves after the pass, and the sort ends at the window's depth. The groups that remain
-are the repeated windows; their bytes are compared before any is removed.
+frequent ones chosen by no window that has another. Inside a bucket the suffixes are
+ordered by most-significant-digit passes, a digit being the next ``DIGIT`` bytes; a
+suffix alone in its group leaves after the pass, and the sort ends at the window's
+depth. The groups that remain are exactly the repeated windows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 from .arrays import U, gram_hashes, mix, packed, ragged, slices, span_hashes
 from .scratch import Scratch
 
-WINDOW, GRAM, DIGIT = 100, 24, 25
+WINDOW, GRAM, DIGIT = 100, 24, 8
+#: Where the digits of a window begin; the last one ends with it.
+_DIGITS = (*range(0, WINDOW - DIGIT, DIGIT), WINDOW - DIGIT)
+#: First bytes of a window by which those without a partner are left out of the sort.
+COUNTED = 25
 PIECE = 2 << 20
 FLUSH = 24 << 20
 SETTLE = 32 << 20
@@ -284,61 +288,67 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _repeated(text: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """Marks the places of ``valid`` windows whose bytes also start at an earlier one.
 
-    Radix passes from the most significant digit: a pass refines the groups of the one
-    before by the next digit and drops suffixes that are alone in theirs. Only the
-    places are kept for all windows, the rest is made for one class of them at a time.
+    Radix passes from the most significant digit: a pass orders the suffixes of every
+    group by their next bytes, cuts the groups where these differ and drops suffixes
+    that are alone. Only the places are kept for all windows, the rest is made for one
+    class of them at a time.
     """
     gone = np.zeros(len(text), dtype=bool)
     classes = int(np.count_nonzero(valid)) // MOST_WINDOWS + 1
     if len(text) < WINDOW:
         return gone
-    views = np.lib.stride_tricks.sliding_window_view(text, WINDOW)
-    step = 8 << 20
+    text = np.ascontiguousarray(text)
+    words = np.ndarray(len(text) - DIGIT + 1, dtype=">u8", buffer=text, strides=(1,))
     for turn in range(classes):
-        which, digits = [], []
-        for a in range(0, len(text), step):  # fingerprints of a part of the text at a time
-            at = np.flatnonzero(valid[a : a + step])
-            if not len(at):
-                continue
-            prints = mix(gram_hashes(text[a : a + step + WINDOW], DIGIT))
-            if classes > 1:
-                at = at[prints[at] % U(classes) == turn]
-            which.append(at + a)
-            digits.append(np.stack([prints[at + k] for k in range(0, WINDOW, DIGIT)]))
-        if not which:
-            continue
-        index, digit = np.concatenate(which), np.concatenate(digits, axis=1)
-        alive = np.arange(len(index))
-        key = np.zeros(len(index), dtype=U)
-        for d in range(len(digit)):
-            key = mix(key * U(0x2545F4914F6CDD1D) + digit[d, alive])
-            # counting by a part of the key first leaves most suffixes that are alone out of the sort
-            slot = (key >> U(64 - max(10, int(4 * len(key)).bit_length()))).astype(np.int64)
-            busy = np.flatnonzero(np.bincount(slot)[slot] > 1)
-            alive, key = alive[busy], key[busy]
-            order = np.argsort(key)
-            alone = key[order]
-            equal = alone[1:] == alone[:-1]
-            shared = np.zeros(len(order), dtype=bool)
-            shared[1:] |= equal
-            shared[:-1] |= equal
-            order = order[shared]
-            alive, key = alive[order], key[order]
-        while len(alive):
-            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            lead = np.minimum.reduceat(alive, heads)
-            lead = np.repeat(lead, np.diff(np.append(heads, len(alive))))
-            equal = np.ones(len(alive), dtype=bool)
-            for a in range(0, len(alive), 1 << 16):
-                own = slice(a, a + (1 << 16))
-                equal[own] = (
-                    views[index[alive[own]]] == views[index[lead[own]]]
-                ).all(axis=1)
-            gone[index[alive[equal & (alive != lead)]]] = True
-            alive, key = alive[~equal], key[~equal]  # none, but for a fingerprint's collision
+        index = _not_alone(text, valid, classes, turn)
+        rank = np.zeros(len(index), dtype=np.int64)  # of the group; index is in its order
+        for at in _DIGITS:
+            digit = words[index + at].astype(U)
+            differ = (digit[1:] != digit[:-1]) & (rank[1:] == rank[:-1])
+            cut = np.zeros(int(rank.max(initial=-1)) + 1, dtype=bool)
+            cut[rank[1:][differ]] = True
+            own = np.flatnonzero(cut[rank])  # groups of equal digits are in order as they are
+            order = own[np.lexsort((digit[own], rank[own]))]
+            index[own], digit[own] = index[order], digit[order]
+            head = _heads(rank) | _heads(digit)
+            shared = ~(head & np.append(head[1:], True))
+            index, rank = index[shared], np.cumsum(head[shared]) - 1
+        gone[index[~_heads(rank)]] = True
     return gone
 
 
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]])
+
+
+def _not_alone(text: np.ndarray, valid: np.ndarray, classes: int, turn: int) -> np.ndarray:
+    """Places of the windows of a class, but for most of those whose first bytes no other has.
+
+    Counting by slots of a fingerprint leaves these out of the sort.
+    """
+    which, prints, step = [], [], 8 << 20
+    for a in range(0, len(text), step):  # fingerprints of a part of the text at a time
+        at = np.flatnonzero(valid[a : a + step])
+        if not len(at):
+            continue
+        own = mix(gram_hashes(text[a : a + step + WINDOW], COUNTED))[at]
+        if classes > 1:
+            mine = own % U(classes) == turn
+            at, own = at[mine], own[mine]
+        which.append(at + a)
+        prints.append(own)
+    if not which:
+        return np.empty(0, dtype=np.int64)
+    index, key = np.concatenate(which), np.concatenate(prints)
+    for shift in (0, 24):
+        bits = max(10, int(4 * len(key)).bit_length())
+        slot = ((key << U(shift)) >> U(64 - bits)).astype(np.int64)
+        busy = np.flatnonzero(np.bincount(slot)[slot] > 1)
+        index, key = index[busy], key[busy]
+    return index
+
+
 def _settle(
     meta: list[np.ndarray], text: np.ndarray, finals: int
 ) -> tuple[list[np.ndarray], np.ndarray, list[pa.RecordBatch]]:

@@ -87,6 +87,27 @@ def test_a_large_bucket_is_sorted_by_classes(monkeypatch):
     assert whole.any() and (repeated_windows(text, starts) == whole).all()
 
 
+def test_passes_against_every_window_looked_up(monkeypatch):
+    draw = random.Random(11)
+    morse = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    flipped = morse.translate(str.maketrans("ab", "ba"))  # as polynomials modulo 2^64 the same
+    cases = [morse + flipped, "a" * 350, "ab" * 50, "a" * 99, ""]
+    for letters in ("ab", "abcdefgh", "\x00\xff"):
+        parts = ["".join(draw.choice(letters) for _ in range(n)) for n in (92, 96, 99, 100, 101, 108, 150)]
+        cases.append("".join(draw.choice(parts) for _ in range(60)))
+    for most in (suffix_dedup.MOST_WINDOWS, 300):
+        monkeypatch.setattr(suffix_dedup, "MOST_WINDOWS", most)
+        for case in cases:
+            data = case.encode("latin-1")
+            starts = [p for p in range(len(data) - 99) if p % 7]
+            seen, want = set(), []
+            for p in starts:
+                want.append(data[p : p + 100] in seen)
+                seen.add(data[p : p + 100])
+            got = repeated_windows(np.frombuffer(data, dtype=np.uint8), np.array(starts, dtype=np.int64))
+            assert got.tolist() == want
+
+
 def test_a_bucket_settles_copies_on_the_way(spark, monkeypatch):
     finals = 3
     passage = np.frombuffer(prose(1, 60).encode(), dtype=np.uint8)
