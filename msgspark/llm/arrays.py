@@ -166,7 +166,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Polynomial fingerprint of every run of ``size`` bytes, by doubling."""
-    have = _TABLE[data]
+    have = np.take(_TABLE, data)
     out, done, span = None, 0, 1
     while True:
         if size & span:
@@ -174,12 +174,15 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
                 out = have
             else:
                 n = len(data) - done - span + 1
-                out = out[:n] * U(pow(int(BASE), span, 1 << 64)) + have[done : done + n]
+                out = out[:n] * U(pow(int(BASE), span, 1 << 64))
+                out += have[done : done + n]
             done += span
         if done == size:
             return out
         n = len(data) - 2 * span + 1
-        have = have[:n] * U(pow(int(BASE), span, 1 << 64)) + have[span : span + n]
+        wider = have[:n] * U(pow(int(BASE), span, 1 << 64))
+        wider += have[span : span + n]
+        have = wider
         span *= 2
 
 

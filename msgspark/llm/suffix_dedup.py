@@ -29,8 +29,8 @@ from .scratch import Scratch
 WINDOW, GRAM, DIGIT = 100, 24, 8
 #: Where the digits of a window begin; the last one ends with it.
 _DIGITS = (*range(0, WINDOW - DIGIT, DIGIT), WINDOW - DIGIT)
-#: First bytes of a window by which those without a partner are left out of the sort.
-COUNTED = 25
+#: Any odd numbers; they join the first three digits of a window to a fingerprint.
+_FACTORS = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 PIECE = 2 << 20
 FLUSH = 24 << 20
 SETTLE = 32 << 20
@@ -300,7 +300,7 @@ def _repeated(text: np.ndarray, valid: np.ndarray) -> np.ndarray:
     text = np.ascontiguousarray(text)
     words = np.ndarray(len(text) - DIGIT + 1, dtype=">u8", buffer=text, strides=(1,))
     for turn in range(classes):
-        index = _not_alone(text, valid, classes, turn)
+        index = _not_alone(words, valid, classes, turn)
         rank = np.zeros(len(index), dtype=np.int64)  # of the group; index is in its order
         for at in _DIGITS:
             digit = words[index + at].astype(U)
@@ -322,17 +322,19 @@ def _heads(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]])
 
 
-def _not_alone(text: np.ndarray, valid: np.ndarray, classes: int, turn: int) -> np.ndarray:
-    """Places of the windows of a class, but for most of those whose first bytes no other has.
+def _not_alone(words: np.ndarray, valid: np.ndarray, classes: int, turn: int) -> np.ndarray:
+    """Places of the windows of a class, but for most of those whose first three digits no other has.
 
     Counting by slots of a fingerprint leaves these out of the sort.
     """
     which, prints, step = [], [], 8 << 20
-    for a in range(0, len(text), step):  # fingerprints of a part of the text at a time
+    for a in range(0, len(valid), step):  # a part of the text at a time
         at = np.flatnonzero(valid[a : a + step])
         if not len(at):
             continue
-        own = mix(gram_hashes(text[a : a + step + WINDOW], COUNTED))[at]
+        digits = words[a : a + step + 2 * DIGIT].astype(U)
+        own = digits[at] * _FACTORS[0] + digits[at + DIGIT] * _FACTORS[1] + digits[at + 2 * DIGIT]
+        own = mix(own)
         if classes > 1:
             mine = own % U(classes) == turn
             at, own = at[mine], own[mine]
