@@ -6,7 +6,8 @@ other. A reader opens the state of the last commit and keeps it.
 
 ``data/batch=…`` holds the rows of one write as they came, ``data/base=…/bucket=…`` those
 of a compaction by a hash of the message id, one row an id. A compaction rewrites only
-the buckets that the batches it merges have rows of.
+the buckets that the batches it merges have rows of; when the index has outgrown its
+buckets it rewrites all of it into more, so a bucket does not grow with the index.
 
 The newest row of an id wins: by the version of its message (its time, or that of its
 edit), then by the number of the commit, whoever wrote it. None is read from a clock. A
@@ -32,6 +33,8 @@ FIELDS = [f.name for f in INDEX_ROW.fields]
 PLACE = ["version", "commit", "late"]
 #: Buckets of a new index; a batch of few messages reads and rewrites few of them.
 BUCKETS = 64
+#: Rows that a bucket may hold on average; an index that outgrew it gets twice the buckets.
+BUCKET_ROWS = 4_000_000
 #: Keys of this many rows, some 100 bytes each, may travel to every task.
 MOST_SENT = 200_000
 
@@ -149,6 +152,7 @@ def append(
     spark = chunks.sparkSession
     batch = seq if batch is None else batch
     now = _begun(state(spark, path))
+    buckets = now["buckets"]
     if _is_merged(now, writer, batch):
         return None
     if "buckets" not in chunks.columns:
@@ -161,7 +165,7 @@ def append(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("chunk_index") == 0).alias("messages"),
         F.count_if(fresh).alias("embedded"),
-        F.collect_set(bucket_of(now["buckets"])).alias("touched"),
+        F.collect_set(bucket_of(buckets)).alias("touched"),
     )
     as_log(rows).write.parquet(f"{path}/{folder}")
     facts = dict(seen.get)
@@ -182,6 +186,8 @@ def append(
         same = [b for b in now["late"] if (b["writer"], b["batch"]) == (writer, batch)]
         place = same[0]["commit"] if same else number
         entry = {"folder": folder, "writer": writer, "batch": batch, "commit": place, **facts}
+        if now["buckets"] != buckets:
+            entry["touched"] = list(range(now["buckets"]))
         return {
             **now,
             "late": [b for b in now["late"] if b not in same] + [entry],
@@ -265,13 +271,19 @@ def _known_permalinks(rows: DataFrame, log: DataFrame) -> DataFrame:
     return joined.withColumn("permalink", url)
 
 
-def current(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+def current(
+    spark: SparkSession, path: str, buckets: list[int] | None = None, count: int | None = None
+) -> DataFrame:
     """The index as the last commit left it: one row an id, with its vector.
 
-    With ``buckets`` only messages of those, which reads their files of the base alone.
+    With ``buckets`` only messages of those, which reads their files of the base alone;
+    if the index meanwhile has another ``count`` of them than they were taken from, all.
     What the late batches do not touch is only scanned. Nothing is written.
     """
-    return _opened(spark, path, state(spark, path), buckets).select(*DATA, *VECTOR)
+    now = _begun(state(spark, path))
+    if count not in (None, now["buckets"]):
+        buckets = None
+    return _opened(spark, path, now, buckets).select(*DATA, *VECTOR)
 
 
 def upsert(index: DataFrame, updates: DataFrame, replace_document: bool = False) -> DataFrame:
@@ -293,26 +305,38 @@ def upsert(index: DataFrame, updates: DataFrame, replace_document: bool = False)
     return kept.select(*DATA).unionByName(updates.select(*DATA))
 
 
-def compact(spark: SparkSession, path: str) -> bool:
+def _fitting(now: State) -> int:
+    """Buckets the index needs; they only ever double, so rewriting all is rare."""
+    rows = sum(b["rows"] for b in [*now["base"].values(), *now["late"]])
+    count = now["buckets"]
+    while rows > count * BUCKET_ROWS:
+        count *= 2
+    return count
+
+
+def compact(spark: SparkSession, path: str, buckets: int | None = None) -> bool:
     """Merge the late batches into the base, bucket by bucket, while readers and writers go on.
 
     Rewrites the buckets that the batches have rows of and nothing else; batches that are
-    committed meanwhile stay late. If another compaction or a reset came first, nothing
-    changes and the answer is False.
+    committed meanwhile stay late. With another number of ``buckets`` than the index has,
+    or when it has outgrown those it has, the whole base is rewritten into the new ones.
+    If another compaction or a reset came first, nothing changes and the answer is False.
     """
     now = _begun(state(spark, path))
     batches = now["late"]
-    touched = {str(k) for b in batches for k in b["touched"]}
-    if not batches:
+    count = buckets or _fitting(now)
+    anew = count != now["buckets"]
+    if not batches and not anew:
         return True
-    old = {k: b for k, b in now["base"].items() if k in touched}
+    touched = {str(k) for b in batches for k in b["touched"]}
+    old = {k: b for k, b in now["base"].items() if anew or k in touched}
     folder = f"data/base={uuid.uuid4().hex}"
     few = sum(b["rows"] for b in batches) <= MOST_SENT
     rows = _merged_rows(_base(spark, path, old), _late(spark, path, batches), few).select(*FIELDS)
-    bucketed = rows.withColumn("bucket", bucket_of(now["buckets"])).hint("rebalance", "bucket")
+    bucketed = rows.withColumn("bucket", bucket_of(count)).hint("rebalance", "bucket")
     bucketed.write.partitionBy("bucket").parquet(f"{path}/{folder}")
     made = {}
-    if touched:
+    if touched or old:
         counts = spark.read.option("basePath", f"{path}/{folder}").parquet(f"{path}/{folder}").groupBy("bucket").count()
         made = {str(r.bucket): {"folder": folder, "rows": r["count"]} for r in counts.collect()}
     own = {b["folder"] for b in batches}
@@ -320,14 +344,18 @@ def compact(spark: SparkSession, path: str) -> bool:
     def change(then: State, number: int) -> State | None:
         then = _begun(then)
         names = {(b["writer"], b["batch"]) for b in then["late"]}
-        if any((b["writer"], b["batch"]) not in names for b in batches):
+        if then["buckets"] != now["buckets"] or any((b["writer"], b["batch"]) not in names for b in batches):
             return None
-        if {k: b for k, b in then["base"].items() if k in touched} != old:
+        if {k: b for k, b in then["base"].items() if anew or k in touched} != old:
             return None
+        late = [b for b in then["late"] if b["folder"] not in own]
+        if anew:  # where their rows fall now is not known
+            late = [{**b, "touched": list(range(count))} for b in late]
         return {
             **then,
-            "base": {**then["base"], **made},
-            "late": [b for b in then["late"] if b["folder"] not in own],
+            "buckets": count,
+            "base": made if anew else {**then["base"], **made},
+            "late": late,
             "merged": _with_merged(then["merged"], batches),
             "unused": then["unused"] + _folders({"base": old, "late": [b for b in then["late"] if b["folder"] in own]}),
         }

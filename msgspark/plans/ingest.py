@@ -84,7 +84,7 @@ def write_chunks(
     rows.observe(seen, F.count(F.lit(1)).alias("rows"), touched.alias("touched")).write.parquet(aside)
     try:
         cut = spark.read.schema(rows.schema).parquet(aside)
-        known = index.current(spark, path, buckets=seen.get["touched"])
+        known = index.current(spark, path, buckets=seen.get["touched"], count=now["buckets"])
         made = index.with_vectors(cut, known, few=seen.get["rows"] <= index.MOST_SENT)
         return index.append(made, path, seq, writer, batch)
     finally:

@@ -209,6 +209,76 @@ def test_a_compaction_rewrites_the_touched_buckets_only(spark):
     assert [r.text for r in index.current(spark, path).filter("id = 'c-7-chunk-0'").collect()] == ["newer"]
 
 
+def by_bucket(spark, path):
+    """Every message of the index is found by its bucket alone; the texts by id."""
+    count = index.state(spark, path)["buckets"]
+    whole = {r.id: r.text for r in index.current(spark, path).collect()}
+    placed = index.current(spark, path).select("id", index.bucket_of(count).alias("b")).collect()
+    for b in sorted({r.b for r in placed})[:3]:
+        found = {r.id for r in index.current(spark, path, buckets=[b], count=count).collect()}
+        assert found == {r.id for r in placed if r.b == b}
+    assert index.count(spark, path) == len(whole)
+    return whole
+
+
+def test_an_index_that_grows_gets_more_buckets(spark, monkeypatch):
+    path = fresh_path(spark, "log")
+    monkeypatch.setattr(index, "BUCKET_ROWS", 2)
+    index.append(base_rows(spark, 100), path, 1)
+    assert index.compact(spark, path) and index.state(spark, path)["buckets"] == 64
+    index.append(base_rows(spark), path, 2)
+    assert index.compact(spark, path) and index.state(spark, path)["buckets"] == 256
+    assert len(by_bucket(spark, path)) == 300
+    before = index.state(spark, path)["base"]
+    index.append(spark.createDataFrame([chunk("c-7-chunk-0", "new")], CHUNK), path, 3)
+    (touched,) = index.state(spark, path)["late"][0]["touched"]
+    assert index.compact(spark, path)
+    after = index.state(spark, path)["base"]
+    assert {k for k in after if after[k] != before.get(k)} == {str(touched)}
+    assert by_bucket(spark, path)["c-7-chunk-0"] == "new"
+    assert index.compact(spark, path, buckets=8) and set(index.state(spark, path)["base"]) <= set(map(str, range(8)))
+    assert len(by_bucket(spark, path)) == 300
+    index.vacuum(spark, path)
+    assert len(by_bucket(spark, path)) == 300
+
+
+@pytest.mark.parametrize("first", ["write", "growth"])
+def test_a_write_beside_a_change_of_buckets_is_found_in_the_new_ones(spark, monkeypatch, first):
+    path = fresh_path(spark, "log")
+    index.append(base_rows(spark), path, 1)
+    put, raced = commits.commit, []
+    write = lambda: index.append(spark.createDataFrame([chunk("c-7-chunk-0", "new"), chunk("z")], CHUNK), path, 2)
+    grow = lambda: index.compact(spark, path, buckets=24)
+    inner, outer = (write, grow) if first == "write" else (grow, write)
+
+    def race(*args):
+        if not raced:
+            raced.append(True)
+            assert inner()
+        return put(*args)
+
+    monkeypatch.setattr(commits, "commit", race)
+    assert outer()
+    assert index.state(spark, path)["buckets"] == 24
+    assert index.state(spark, path)["late"][0]["touched"] == list(range(24))
+    found = by_bucket(spark, path)
+    assert len(found) == 301 and found["c-7-chunk-0"] == "new"
+    stale = index.current(spark, path, buckets=[1], count=64)  # numbers of before say nothing now
+    assert stale.count() == 301
+    assert index.compact(spark, path) and by_bucket(spark, path) == found
+
+
+def test_jobs_without_messages_change_nothing(spark):
+    path = fresh_path(spark, "log")
+    none = spark.createDataFrame([], CHUNK)
+    for seq in (1, 2):
+        assert index.append(none, path, 2 * seq) == {"messages": 0, "chunks": 0, "embedded": 0}
+        assert ingest.write_chunks(none, path, 2 * seq + 1) == {"messages": 0, "chunks": 0, "embedded": 0}
+        assert index.compact(spark, path) and index.current(spark, path).count() == index.count(spark, path)
+        index.append(base_rows(spark, 4), path, 10 + seq)
+    assert index.current(spark, path).count() == 4
+
+
 def test_merged_batches_are_ranges():
     batch = lambda w, n: {"writer": w, "batch": n}
     merged = index._with_merged({}, [batch("a", n) for n in (3, 1, 2, 7)] + [batch("b", 0)])
