@@ -59,6 +59,15 @@ def test_same_pieces_as_the_library(spark, library, sf_dir):
         assert counts[i].score == pytest.approx(made[i].score)
 
 
+def test_whole_texts_have_the_pieces_of_the_library(spark, library, sf_dir):
+    model, vocabulary = library
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    counts = {r.doc_id: r.n_tokens for r in token_counts(whole, vocabulary).collect()}
+    for r in encode(whole, vocabulary, most=1).collect():
+        want = model.encode(r.text)
+        assert r.ids == want and counts[r.doc_id] == len(want), r.doc_id
+
+
 def test_next_best_scores_are_those_of_the_library(library):
     model, vocabulary = library
     for text in ("hello world", "Déjà vu 123", "the rapid", "a", "internationalisation of things"):
