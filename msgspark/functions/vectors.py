@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .folds import let
-
 DIM = 1536
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 CJK = r"[぀-ヿ㐀-\u9fff]"
 CJK_SPLIT = rf"{WORD_SPLIT}|(?<={CJK})|(?={CJK})"
 SPARSE = "struct<buckets:array<int>,weights:array<double>>"
+#: Words that are counted at a time (one text may have more).
+WORDS = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,13 +36,17 @@ def score(distance: Column) -> Column:
     return 1 - distance
 
 
-def terms(text: Column) -> Column:
-    """Lower-case words and single CJK characters, in order."""
+def _words(text: Column) -> Column:
+    """Terms of a text as the split leaves them, with the empty ones around separators."""
     lower = F.lower(text)
-    words = F.when(text.rlike(CJK), F.split(lower, CJK_SPLIT, -1)).otherwise(
+    return F.when(text.rlike(CJK), F.split(lower, CJK_SPLIT, -1)).otherwise(
         F.split(lower, WORD_SPLIT, -1)
     )
-    return F.filter(words, lambda w: w != "")
+
+
+def terms(text: Column) -> Column:
+    """Lower-case words and single CJK characters, in order."""
+    return F.filter(_words(text), lambda w: w != "")
 
 
 def term_bucket(term: Column, dim: int = DIM) -> Column:
@@ -44,37 +54,47 @@ def term_bucket(term: Column, dim: int = DIM) -> Column:
     return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
 
 
+@lru_cache(maxsize=1 << 16)
+def _bucket(word: str, dim: int) -> int:
+    """``term_bucket`` of a word, -1 for the empty one."""
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dim if word else -1
+
+
+def weighed(words: pa.ListArray, dim: int) -> pa.StructArray:
+    """Sparse vectors of rows of words, a bounded number of words at a time."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    parts, first = [], 0
+    while first < len(words):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + WORDS, "right")))
+        parts.append(_weighed(words.slice(first, last - first), dim))
+        first = last
+    return pa.concat_arrays(parts) if parts else _weighed(words, dim)
+
+
+def _weighed(words: pa.ListArray, dim: int) -> pa.StructArray:
+    coded = words.flatten().dictionary_encode()
+    bucket = np.array([_bucket(w, dim) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    own = bucket[coded.indices.to_numpy()]
+    rows = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    found, counts = np.unique((rows * dim + own)[own >= 0], return_counts=True)
+    rows, own = np.divmod(found, dim)
+    norms = np.sqrt(np.bincount(rows, counts * counts, len(words)))
+    bounds = pa.array(np.searchsorted(rows, np.arange(len(words) + 1)).astype(np.int32))
+    buckets = pa.ListArray.from_arrays(bounds, pa.array(own.astype(np.int32)))
+    weights = pa.ListArray.from_arrays(bounds, pa.array(counts / norms[rows]))
+    return pa.StructArray.from_arrays([buckets, weights], ["buckets", "weights"])
+
+
 def term_vector(text: Column, dim: int = DIM) -> Column:
     """Hashed term frequencies of a text, L2-normalised, as a sparse struct.
 
-    Built inside the row by sorting the buckets and reading run lengths, so no
-    term of the corpus is ever shuffled.
+    Spark cuts the text into its terms; a task counts those of its rows batch by batch
+    and hashes the different words of a batch. No term of the corpus is shuffled.
+    A null text has an empty vector.
     """
 
-    def runs(b: Column) -> Column:
-        size = F.size(b)
-        last = F.filter(
-            F.sequence(F.lit(1), size),
-            lambda i: (i == size) | (F.get(b, i) != F.get(b, i - 1)),
-        )
-        return F.when(size > 0, let(last, lambda e: weigh(b, e)))
-
-    def weigh(b: Column, ends: Column) -> Column:
-        buckets = F.transform(ends, lambda e: F.get(b, e - 1))
-        counts = F.transform(
-            ends, lambda e, i: (e - F.coalesce(F.get(ends, i - 1), F.lit(0))).cast("double")
-        )
-        return let(
-            counts,
-            lambda c: let(
-                F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)),
-                lambda norm: F.struct(
-                    buckets.alias("buckets"),
-                    F.transform(c, lambda x: x / norm).alias("weights"),
-                ),
-            ),
-        )
-
-    hashed = F.transform(terms(text), lambda w: term_bucket(w, dim))
-    empty = F.expr(f"cast(named_struct('buckets', array(), 'weights', array()) as {SPARSE})")
-    return F.coalesce(let(F.sort_array(hashed), runs), empty)
+    def run(words: pa.Array) -> pa.Array:
+        return weighed(words, dim)
+
+    return F.arrow_udf(run, SPARSE)(_words(text))
