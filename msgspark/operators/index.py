@@ -59,9 +59,8 @@ def with_vectors(chunks: DataFrame, existing: DataFrame | None = None, few: bool
     of the index then only their rows are moved.
     """
     rows = chunks.withColumn("text_hash", F.md5("text"))
-    made = term_vector(F.col("text"), DIM)
     if existing is None:
-        return rows.withColumn("_v", made).select(
+        return rows.withColumn("_v", term_vector(F.col("text"), DIM)).select(
             *rows.columns, F.col("_v.buckets"), F.col("_v.weights"), F.lit(False).alias("reused")
         )
     known = existing.select(
@@ -72,7 +71,8 @@ def with_vectors(chunks: DataFrame, existing: DataFrame | None = None, few: bool
         known = known.join(ids, "_id", "left_semi")
     joined = rows.join(known, (F.col("id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     reused = F.col("_known").isNotNull()
-    return joined.withColumn("reused", reused).withColumn("_v", F.when(reused, F.col("_known")).otherwise(made)).select(
+    made = joined.withColumn("reused", reused).withColumn("_v", term_vector(F.when(~reused, F.col("text")), DIM))
+    return made.withColumn("_v", F.when(F.col("reused"), F.col("_known")).otherwise(F.col("_v"))).select(
         *rows.columns, F.col("_v.buckets"), F.col("_v.weights"), "reused"
     )
 
@@ -241,8 +241,12 @@ def _opened(spark: SparkSession, path: str, now: State, buckets: list[int] | Non
     batches = [b for b in now["late"] if wanted is None or wanted & set(b["touched"])]
     if not batches and base:
         return _base(spark, path, base)
-    few = sum(b["rows"] for b in batches) <= MOST_SENT
-    rows = _merged_rows(_base(spark, path, base), _late(spark, path, batches), few)
+    if len(batches) == 1 and not base:
+        # nothing to merge: a write holds every id once
+        rows = _late(spark, path, batches).filter(F.col("id").isNotNull())
+    else:
+        few = sum(b["rows"] for b in batches) <= MOST_SENT
+        rows = _merged_rows(_base(spark, path, base), _late(spark, path, batches), few)
     return rows if wanted is None else rows.filter(bucket_of(now["buckets"]).isin(*wanted))
 
 
