@@ -35,23 +35,36 @@ def sparse_rows(buckets: pa.Array, weights: pa.Array, dim: int) -> np.ndarray:
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    """Rows divided by their length, in place; rows without one are zero."""
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    flat = ~(norms > 0)
+    norms[flat] = 1
+    matrix /= norms[:, None]
+    matrix[flat] = 0
+    return matrix
+
+
+def by_cell(cells: pa.ListArray) -> dict[str, np.ndarray]:
+    """For every cell which rows name it; a byte each, however many cells a row has."""
+    rows = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+    coded = cells.flatten().dictionary_encode()
+    at = coded.indices.to_numpy()
+    out = {name: np.zeros(len(cells), dtype=bool) for name in coded.dictionary.to_pylist()}
+    for k, asked in enumerate(out.values()):
+        asked[rows[at == k]] = True
+    return out
 
 
 class Best:
     """Best ``k`` rows per question: higher rounded score first, then smaller id.
 
-    ``wanted`` names the cells of each question; rows without any of them are no hits.
+    ``wanted`` marks the questions of each cell; rows without any of them are no hits.
     """
 
-    def __init__(self, questions: np.ndarray, k: int, wanted: list[frozenset[str]] | None = None):
+    def __init__(self, questions: np.ndarray, k: int, wanted: dict[str, np.ndarray] | None = None):
         self.questions = questions
         self.k = k
-        self.by_cell: dict[str, np.ndarray] | None = None
-        if wanted is not None:
-            names = sorted(set().union(*wanted))
-            self.by_cell = {c: np.array([c in w for w in wanted]) for c in names}
+        self.by_cell = wanted
         self.rows: list[list[tuple[float, str]]] = [[] for _ in questions]
         self.floor = np.full(len(questions), -np.inf)  # score of the k-th row so far
 

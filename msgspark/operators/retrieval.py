@@ -81,12 +81,12 @@ def _scan(corpus: DataFrame, queries: DataFrame, files: list[str], form: _Form,
     """
     schema = _arrow(queries)
 
-    def questions() -> Iterator[tuple[list, np.ndarray, list | None]]:
+    def questions() -> Iterator[tuple[list, np.ndarray, dict[str, np.ndarray] | None]]:
         for file in files:
             block = read_file(file)
             if block.num_rows:
-                wanted = block.column("cells").to_pylist() if "cells" in block.schema.names else None
-                yield block.column("query_id").to_pylist(), form.matrix(block), wanted and list(map(frozenset, wanted))
+                wanted = kernel.by_cell(block.column("cells").combine_chunks()) if "cells" in block.schema.names else None
+                yield block.column("query_id").to_pylist(), form.matrix(block), wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = list(questions()) if len(files) == 1 else None
@@ -186,16 +186,29 @@ def place_in_cells(rows: DataFrame, centres: DataFrame, n: int = 1) -> DataFrame
     ``centres`` (``id, embedding``) are few by design, one per topic or label say, and
     bound the size of what travels to the tasks. Done once when rows are indexed.
     """
-    found = centres.orderBy("id").collect()
-    names = np.array([r["id"] for r in found])
-    matrix = kernel.unit(np.array([r["embedding"] for r in found], dtype=np.float64))
+    return _placed(rows, [centres], n)
+
+
+def _placed(rows: DataFrame, sets: list[DataFrame], n: int) -> DataFrame:
+    """The cells of every set, one set after the other, in one pass: a task has one Python worker."""
+    known = []
+    for centres in sets:
+        found = centres.orderBy("id").collect()
+        matrix = kernel.unit(np.array([r["embedding"] for r in found], dtype=np.float64))
+        known.append((np.array([r["id"] for r in found]), matrix))
     form = _Form(None)
 
+    def near(vectors: np.ndarray) -> list[list[str]]:
+        cells = []
+        for names, matrix in known:
+            scores = np.round(vectors @ matrix.T, kernel.DIGITS)
+            cells.append(names[np.argsort(-scores, axis=1, kind="stable")[:, :n]])
+        return np.concatenate(cells, axis=1).tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.round(form.matrix(batch) @ matrix.T, kernel.DIGITS) if batch.num_rows else None
-            near = [] if scores is None else names[np.argsort(-scores, axis=1, kind="stable")[:, :n]]
-            cells = pa.array([list(r) for r in near], type=pa.list_(pa.string()))
+            found = near(form.matrix(batch)) if batch.num_rows else []
+            cells = pa.array(found, type=pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, cells], names=[*batch.schema.names, "cells"]
             )
@@ -208,11 +221,11 @@ def _in_sets(rows: DataFrame, centres: DataFrame | list[DataFrame], n: int) -> D
     """Add ``cells`` as above; of several sets of centres the cells of each, one set after the other."""
     if isinstance(centres, DataFrame):
         return place_in_cells(rows, centres, n)
-    names = rows.columns
-    for k, own in enumerate(centres):
-        named = own.select(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")).alias("id"), "embedding")
-        rows = place_in_cells(rows, named, n).withColumnRenamed("cells", f"cells{k}")
-    return rows.select(*names, F.concat(*(f"cells{k}" for k in range(len(centres)))).alias("cells"))
+    named = [
+        own.select(F.concat(F.lit(f"{k}:"), F.col("id").cast("string")).alias("id"), "embedding")
+        for k, own in enumerate(centres)
+    ]
+    return _placed(rows, named, n)
 
 
 def cell_index(corpus: DataFrame, centres: DataFrame | list[DataFrame]) -> DataFrame:
