@@ -18,7 +18,7 @@ from .spans import protected_spans
 from .text import cjk_count, cjk_share, strip
 
 PIECE = "struct<s:int,e:int,text:string>"
-BLOCK_BITS = 10
+BLOCK_BITS = 8
 TEXT_BLOCK = 1 << BLOCK_BITS
 
 # Default sizes of the data model.
@@ -73,7 +73,7 @@ def _slice(blocks: Column, start: Column, end: Column) -> Column:
     """Characters ``start .. end-1``; ``end`` may lie past the end of the text."""
     first = F.shiftright(start, BLOCK_BITS)
     last = F.shiftright(end - 1, BLOCK_BITS)
-    # a slice shorter than a block lies in one block or two neighbours
+    # blocks are short: few characters are passed over before the slice begins
     near = F.when(first == last, F.get(blocks, first)).otherwise(
         F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
     )
@@ -119,8 +119,8 @@ def _last(pattern: str, text: Column) -> Column:
     return F.length(F.regexp_extract(text, pattern, 0))
 
 
-def _pick(masked: Column, width: Column) -> Column:
-    """Boundary inside a masked window of ``width + 2`` characters.
+def _pick(tail: Column, masked: Column, width: Column) -> Column:
+    """Boundary inside a masked window of ``width + 2`` characters, ``tail`` being its last half.
 
     Strong breaks (paragraph, sentence) in the last half win, rightmost first;
     then a newline, a space, a CJK comma there; then any space; then the width.
@@ -128,24 +128,28 @@ def _pick(masked: Column, width: Column) -> Column:
     half = F.shiftright(width, 1)
 
     def strong(tail: Column) -> Column:
-        def kind(i: Column) -> Column:
-            ahead = F.substring(tail, i + 1, F.lit(2))
-            behind = F.substring(tail, i, F.lit(1))
+        def kind(i: Column, around: Column) -> Column:
+            ahead = F.substring(around, F.lit(2), F.lit(2))
+            behind = F.substring(around, F.lit(1), F.lit(1))
             return half + i + (
                 F.when(ahead == "\n\n", 2)
                 .when(behind.isin(".", "!", "?", _STOP) & (ahead.startswith(" ") | ahead.startswith("\n")), 1)
                 .otherwise(0)
             )
 
-        return let(_last(_HARD_BREAK, tail), lambda i: F.when(i > 0, kind(i)))
+        def found(i: Column) -> Column:
+            return F.when(i > 0, let(F.substring(tail, i, F.lit(3)), lambda around: kind(i, around)))
+
+        return let(_last(_HARD_BREAK, tail), found)
 
     def weak(tail: Column, pattern: str, extra: int) -> Column:
         return let(_last(pattern, tail), lambda i: F.when(i > 0, half + i + extra))
 
-    def any_space(_: Column) -> Column:
-        head = F.substring(masked, F.lit(2), width)
-        after = F.length(F.substring_index(head, " ", -1))
-        return F.when(head.contains(" "), width - after + 1)
+    def any_space() -> Column:
+        def after(head: Column) -> Column:
+            return F.when(head.contains(" "), width - F.length(F.substring_index(head, " ", -1)) + 1)
+
+        return let(F.substring(masked, F.lit(2), width), after)
 
     def choose(tail: Column) -> Column:
         return F.coalesce(
@@ -153,11 +157,11 @@ def _pick(masked: Column, width: Column) -> Column:
             weak(tail, _NEWLINE, 1),
             weak(tail, _SPACE, 1),
             weak(tail, _CJK_COMMA, 0),
-            any_space(tail),
+            any_space(),
             width,
         )
 
-    return let(F.substring(masked, half + 1, width + 2 - half), choose)
+    return let(tail, choose)
 
 
 def _boundary(src: Column, pos: Column, target: Column) -> Column:
@@ -170,12 +174,20 @@ def _boundary(src: Column, pos: Column, target: Column) -> Column:
         return F.when(hold["s"] <= pos, hold["e"]).otherwise(let(width, within))
 
     def within(width: Column) -> Column:
-        window = F.rpad(_slice(blocks, pos, pos + width + 2), width + 2, "x")
-        near = F.filter(spans, lambda x: (x["e"] > pos) & (x["s"] < pos + width + 2))
-        masked = F.when(src["plain"], window).otherwise(
-            let(window, lambda w: let(near, lambda n: _mask(w, pos, n)))
+        end = pos + width + 2
+        half = F.shiftright(width, 1)
+
+        def window(first: Column) -> Column:
+            part = _slice(blocks, first, end)
+            return F.when(end <= src["total"], part).otherwise(F.rpad(part, end - first, "x"))
+
+        near = F.filter(spans, lambda x: (x["e"] > pos) & (x["s"] < end))
+        masked = F.when(src["plain"], window(pos)).otherwise(
+            let(window(pos), lambda w: let(near, lambda n: _mask(w, pos, n)))
         )
-        return let(masked, lambda m: pos + _pick(m, width))
+        # a window without mask is not cut whole: mostly its last half is all that is read
+        tail = F.when(src["plain"], window(pos + half)).otherwise(F.substring(masked, half + 1, width + 2 - half))
+        return pos + _pick(tail, masked, width)
 
     return F.when(F.size(spans) == 0, let(target - pos, within)).otherwise(let(holding, cut))
 
@@ -186,8 +198,8 @@ def _restart(piece: Column, pos: Column, end: Column, overlap: int) -> Column:
         return end
     # the overlap region is the last ``overlap`` characters of the unstripped piece
     region = F.substring(piece, end - pos - overlap + 1, F.lit(overlap))
-    at = F.instr(region, " ")
-    return F.when((end - overlap > pos) & (at > 0), end - overlap + at).otherwise(end)
+    after = let(F.instr(region, " "), lambda at: F.when(at > 0, end - overlap + at).otherwise(end))
+    return F.when(end - overlap > pos, after).otherwise(end)
 
 
 @lru_cache(maxsize=32)
@@ -210,13 +222,15 @@ def chunk_pieces(
     shorter = int(size * RETRY_SIZE)
 
     def surely_fits(body: Column) -> Column:
-        # A CJK character takes three bytes, so the byte count bounds the default
-        # estimate; most texts pass here and skip the exact count.
+        # A CJK character takes three bytes and none more than four, so the byte count
+        # bounds the default estimate, more closely with the number of characters; most
+        # texts pass here and skip the exact count.
         if tokens is not default_tokens:
             return F.lit(False)
-        n = F.length(body)
-        most = F.ceil(n / 4 + 0.75 * (F.octet_length(body) - n) / 2)
-        return most <= int(size * TOKENS_PER_CHAR)
+        n, held = F.length(body), F.octet_length(body)
+        most = F.ceil(n / 4 + 0.75 * (held - n) / 2)
+        limit = int(size * TOKENS_PER_CHAR)
+        return (held * 11 <= limit * 32) | (most <= limit)
 
     def piece(s: Column, e: Column, body: Column) -> Column:
         return F.struct(s.alias("s"), e.alias("e"), body.alias("text"))
@@ -304,12 +318,14 @@ def merge_small(
 
     def step(cur: Column, i: Column, push: Push) -> Column:
         nxt = F.get(texts, i + 1)
-        small = F.least(F.length(cur), F.length(nxt)) < min_chunk
+        # a character has four bytes at most, so most chunks are told by their bytes
+        few = F.least(F.octet_length(cur), F.octet_length(nxt)) < 4 * min_chunk
+        small = few & (F.least(F.length(cur), F.length(nxt)) < min_chunk)
         joins = small & (F.length(cur) + F.length(nxt) + 1 <= limit)
-        return push(
-            F.when(joins, F.concat(cur, F.lit(" "), nxt)).otherwise(nxt),
-            F.when(joins, empty_array("string")).otherwise(F.array(cur)),
-        )
+        return let(joins, lambda joined: push(
+            F.when(joined, F.concat(cur, F.lit(" "), nxt)).otherwise(nxt),
+            F.when(joined, empty_array("string")).otherwise(F.array(cur)),
+        ))
 
     folded = fold_emit(F.size(texts) - 1, F.get(texts, F.lit(0)), "string", step)
     joined = let(folded, lambda r: F.concat(r["out"], F.array(r["st"])))
