@@ -27,6 +27,8 @@ SCHEMA = pa.schema(
 )
 # A bound has to miss the k-th score by more than what rounding can add.
 SLACK = 10.0**-DIGITS
+# Entries that are added up in the time that one is looked up.
+LOOKUP = 4
 
 
 def unit_entries(buckets: pa.ListArray, weights: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +112,8 @@ class BestOfLists(Best):
 
     Lists are added up from the one that can give most to the one that can give least.
     As soon as the lists that are left cannot lift a row without any entry so far to the
-    k-th score known, they are looked up for the rows alone that can still reach it; a
+    k-th score known, they are looked up for the rows alone that can still reach it, once
+    those are few beside the entries of a list: adding up an entry costs less; a
     part whose lists together cannot reach it is left out. ``met`` counts entries read,
     ``there`` those of all lists of the questions.
     """
@@ -131,8 +134,9 @@ class BestOfLists(Best):
             scores, rows = np.zeros(len(part.ids)), None
             for (at, own, _, w), more in zip(lists, left, strict=False):
                 if rows is None and more < floor:
-                    rows = np.flatnonzero(scores >= floor - more)
-                    scores = scores[rows]
+                    able = np.flatnonzero(scores >= floor - more)
+                    if len(able) * LOOKUP < len(at):
+                        rows, scores = able, scores[able]
                 if rows is None:
                     scores[at] += w * own
                     self.met += len(at)

@@ -85,6 +85,14 @@ def _near(buckets: list[int], most: int = RANGES) -> list[tuple[int, int]]:
     return list(zip(firsts, [*(found[k] for k in cuts), found[-1]], strict=True))
 
 
+def _worth(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges, or one over all of them: leaving out little costs a scan more than it saves."""
+    held = sum(last - first + 1 for first, last in ranges)
+    if not ranges or 2 * held <= ranges[-1][1] - ranges[0][0] + 1:
+        return ranges
+    return [(ranges[0][0], ranges[-1][1])]
+
+
 def read_postings(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
     """The lists of some buckets, and the ids of all parts.
 
@@ -92,7 +100,7 @@ def read_postings(spark: SparkSession, path: str, buckets: list[int]) -> DataFra
     and pages between them; single buckets are told apart after it.
     """
     wanted: Column = F.col("bucket") == lists.IDS
-    for first, last in _near(buckets):
+    for first, last in _worth(_near(buckets)):
         wanted |= F.col("bucket").between(first, last)
     rows = spark.read.schema(POSTING).parquet(path).where(wanted)
     return rows.where(F.col("bucket").isin(lists.IDS, *buckets))
