@@ -17,8 +17,9 @@ replay of a writer's batch takes the place of the first, with its number.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,17 +27,27 @@ from ..functions.vectors import DIM, term_vector
 from ..schemas import CHUNK, INDEX_ROW
 from ..sources import commits
 from ..sources.commits import State
+from ..sources.storage import tidy
 
 DATA = [f.name for f in CHUNK.fields]
 VECTOR = ["text_hash", "buckets", "weights"]
 FIELDS = [f.name for f in INDEX_ROW.fields]
 PLACE = ["version", "commit", "late"]
+ROW = ["_file", "_row"]
 #: Buckets of a new index; a batch of few messages reads and rewrites few of them.
 BUCKETS = 64
 #: Rows that a bucket may hold on average; an index that outgrew it gets twice the buckets.
 BUCKET_ROWS = 4_000_000
 #: Keys of this many rows, some 100 bytes each, may travel to every task.
 MOST_SENT = 200_000
+#: A bit for each of this many rows may travel to every task.
+MOST_MARKED = 1 << 29
+#: Rows that one bitmap of Spark's has bits for.
+MARKS = 1 << 15
+#: Buckets of a compaction of many rows are made in so many rounds, whose shuffle files go one after the other.
+ROUNDS = 4
+#: Parquet codec of the index: two thirds of the bytes of the default one.
+CODEC = "zstd"
 
 
 def _place() -> Column:
@@ -167,16 +178,17 @@ def append(
         F.count_if(fresh).alias("embedded"),
         F.collect_set(bucket_of(buckets)).alias("touched"),
     )
-    as_log(rows).write.parquet(f"{path}/{folder}")
-    facts = dict(seen.get)
-    written = spark.read.schema(INDEX_ROW).parquet(f"{path}/{folder}")
     spare = []
-    if not written.groupBy("id").count().filter("count > 1").isEmpty():
-        spare, folder = [folder], f"data/batch={uuid.uuid4().hex}"
-        once = Observation()
-        kept = _one_per_id(written).observe(once, F.count(F.lit(1)).alias("rows"))
-        kept.write.parquet(f"{path}/{folder}")
-        facts["rows"] = once.get["rows"]
+    with tidy(spark):
+        as_log(rows).write.option("compression", CODEC).parquet(f"{path}/{folder}")
+        facts = dict(seen.get)
+        written = spark.read.schema(INDEX_ROW).parquet(f"{path}/{folder}")
+        if not written.groupBy("id").count().filter("count > 1").isEmpty():
+            spare, folder = [folder], f"data/batch={uuid.uuid4().hex}"
+            once = Observation()
+            kept = _one_per_id(written).observe(once, F.count(F.lit(1)).alias("rows"))
+            kept.write.option("compression", CODEC).parquet(f"{path}/{folder}")
+            facts["rows"] = once.get["rows"]
     facts["touched"] = sorted(facts["touched"])
 
     def change(now: State, number: int) -> State | None:
@@ -198,24 +210,35 @@ def append(
     return {"messages": facts["messages"], "chunks": facts["rows"], "embedded": facts["embedded"]}
 
 
-def _late(spark: SparkSession, path: str, batches: list[dict]) -> DataFrame:
+def _read(reader: DataFrameReader, folders: list[str], placed: bool) -> DataFrame:
+    """Rows of folders; ``placed`` adds the file of a row and its number there."""
+    rows = reader.parquet(*folders)
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    return rows.select("*", *at) if placed else rows
+
+
+def _late(spark: SparkSession, path: str, batches: list[dict], placed: bool = False) -> DataFrame:
     """Rows of committed batches with the number of their commit."""
     kind = T.StructType([*INDEX_ROW.fields, T.StructField("batch", T.StringType())])
+    at = ROW if placed else []
     if not batches:
-        return spark.createDataFrame([], INDEX_ROW).withColumn("late", F.lit(1))
-    rows = spark.read.schema(kind).option("basePath", f"{path}/data").parquet(*(f"{path}/{b['folder']}" for b in batches))
+        none = spark.createDataFrame([], INDEX_ROW).withColumn("late", F.lit(1))
+        return none.withColumns({"_file": F.lit(""), "_row": F.lit(0).cast("bigint")}) if placed else none
+    reader = spark.read.schema(kind).option("basePath", f"{path}/data")
+    rows = _read(reader, [f"{path}/{b['folder']}" for b in batches], placed)
     numbers = spark.createDataFrame(
         [(b["folder"].rpartition("=")[2], b["commit"]) for b in batches], "batch string, _commit bigint"
     )
     numbered = rows.join(F.broadcast(numbers), "batch").withColumn("commit", F.col("_commit"))
-    return numbered.select(*FIELDS, F.lit(1).alias("late"))
+    return numbered.select(*FIELDS, F.lit(1).alias("late"), *at)
 
 
-def _base(spark: SparkSession, path: str, base: dict) -> DataFrame | None:
+def _base(spark: SparkSession, path: str, base: dict, placed: bool = False) -> DataFrame | None:
     if not base:
         return None
     folders = sorted(_folders({"base": base, "late": []}))
-    return spark.read.schema(INDEX_ROW).parquet(*(f"{path}/{f}" for f in folders)).withColumn("late", F.lit(0))
+    rows = _read(spark.read.schema(INDEX_ROW), [f"{path}/{f}" for f in folders], placed)
+    return rows.withColumn("late", F.lit(0))
 
 
 def _merged_rows(base: DataFrame | None, late: DataFrame, few: bool) -> DataFrame:
@@ -234,6 +257,42 @@ def _merged_rows(base: DataFrame | None, late: DataFrame, few: bool) -> DataFram
     return kept.drop("_best").unionByName(won)
 
 
+def _unmarked_rows(base: DataFrame | None, late: DataFrame) -> DataFrame:
+    """The same of rows with their places in files, whatever the number of the late ones.
+
+    Only ids and places are moved. They give a bit to every row, set for those that a newer
+    one replaces; the bits travel to the scans, which leave these rows out where they lie.
+    """
+    late = late.filter(F.col("id").isNotNull())
+    rows = late if base is None else base.unionByName(late)
+    newest = F.max(_place()).over(Window.partitionBy("id"))
+    keys = rows.filter(F.col("id").isNotNull()).select("id", *PLACE, *ROW)
+    old = keys.withColumn("_best", newest).filter(_place() < F.col("_best"))
+    marks = old.groupBy(F.col("_file").alias("_in"), F.expr(f"_row div {MARKS}").alias("_part")).agg(
+        F.bitmap_construct_agg(F.col("_row") % MARKS).alias("_marks")
+    )
+    on = (F.col("_file") == F.col("_in")) & (F.expr(f"_row div {MARKS}") == F.col("_part"))
+    held = F.expr(f"conv(hex(substring(_marks, cast(_row % {MARKS} div 8 as int) + 1, 1)), 16, 10)").cast("int")
+    marked = held.bitwiseAND(F.expr("shiftleft(1, cast(_row % 8 as int))")) != 0
+    joined = rows.join(F.broadcast(marks), on, "left").filter(F.col("_marks").isNull() | ~marked)
+    return joined.select(*FIELDS, "late")
+
+
+def _newest(
+    spark: SparkSession, path: str, base: dict, batches: list[dict], only: Column | None = None
+) -> DataFrame:
+    """Newest row of every id of buckets of the base and batches; of those that ``only`` holds for."""
+    late = sum(b["rows"] for b in batches)
+    few = late <= MOST_SENT
+    placed = not few and late + sum(b["rows"] for b in base.values()) <= MOST_MARKED
+    of = lambda rows: rows if rows is None or only is None else rows.filter(only)
+    if len(batches) == 1 and not base:
+        # nothing to merge: a write holds every id once
+        return of(_late(spark, path, batches)).filter(F.col("id").isNotNull())
+    old, new = of(_base(spark, path, base, placed)), of(_late(spark, path, batches, placed))
+    return _unmarked_rows(old, new) if placed else _merged_rows(old, new, few)
+
+
 def _opened(spark: SparkSession, path: str, now: State, buckets: list[int] | None = None) -> DataFrame:
     now = _begun(now)
     wanted = None if buckets is None else set(buckets)
@@ -241,12 +300,7 @@ def _opened(spark: SparkSession, path: str, now: State, buckets: list[int] | Non
     batches = [b for b in now["late"] if wanted is None or wanted & set(b["touched"])]
     if not batches and base:
         return _base(spark, path, base)
-    if len(batches) == 1 and not base:
-        # nothing to merge: a write holds every id once
-        rows = _late(spark, path, batches).filter(F.col("id").isNotNull())
-    else:
-        few = sum(b["rows"] for b in batches) <= MOST_SENT
-        rows = _merged_rows(_base(spark, path, base), _late(spark, path, batches), few)
+    rows = _newest(spark, path, base, batches)
     return rows if wanted is None else rows.filter(bucket_of(now["buckets"]).isin(*wanted))
 
 
@@ -318,6 +372,24 @@ def _fitting(now: State) -> int:
     return count
 
 
+def _rounds(wanted: Iterable[int], old: dict, batches: list[dict]) -> list[list[int]]:
+    """Buckets to make, those of a round together; a round moves its rows only."""
+    wanted = list(wanted)
+    rounds = ROUNDS if sum(b["rows"] for b in [*old.values(), *batches]) > MOST_SENT else 1
+    return [part for n in range(rounds) if (part := wanted[n::rounds])]
+
+
+def _made(spark: SparkSession, path: str, rows: DataFrame, count: int) -> dict:
+    """Write rows by bucket to a folder of the base; the buckets that there are with their rows."""
+    folder = f"data/base={uuid.uuid4().hex}"
+    bucketed = rows.select(*FIELDS).withColumn("bucket", bucket_of(count)).hint("rebalance", "bucket")
+    with tidy(spark):
+        bucketed.write.option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/{folder}")
+        kind = T.StructType([*INDEX_ROW.fields, T.StructField("bucket", T.IntegerType())])
+        counts = spark.read.schema(kind).parquet(f"{path}/{folder}").groupBy("bucket").count().collect()
+    return {str(r.bucket): {"folder": folder, "rows": r["count"]} for r in counts}
+
+
 def compact(spark: SparkSession, path: str, buckets: int | None = None) -> bool:
     """Merge the late batches into the base, bucket by bucket, while readers and writers go on.
 
@@ -334,15 +406,11 @@ def compact(spark: SparkSession, path: str, buckets: int | None = None) -> bool:
         return True
     touched = {str(k) for b in batches for k in b["touched"]}
     old = {k: b for k, b in now["base"].items() if anew or k in touched}
-    folder = f"data/base={uuid.uuid4().hex}"
-    few = sum(b["rows"] for b in batches) <= MOST_SENT
-    rows = _merged_rows(_base(spark, path, old), _late(spark, path, batches), few).select(*FIELDS)
-    bucketed = rows.withColumn("bucket", bucket_of(count)).hint("rebalance", "bucket")
-    bucketed.write.partitionBy("bucket").parquet(f"{path}/{folder}")
     made = {}
-    if touched or old:
-        counts = spark.read.option("basePath", f"{path}/{folder}").parquet(f"{path}/{folder}").groupBy("bucket").count()
-        made = {str(r.bucket): {"folder": folder, "rows": r["count"]} for r in counts.collect()}
+    for wanted in _rounds(range(count) if anew else sorted(map(int, touched)), old, batches):
+        part = old if anew else {str(k): old[str(k)] for k in wanted if str(k) in old}
+        late = [b for b in batches if anew or {*wanted} & {*b["touched"]}]
+        made |= _made(spark, path, _newest(spark, path, part, late, bucket_of(count).isin(*wanted)), count)
     own = {b["folder"] for b in batches}
 
     def change(then: State, number: int) -> State | None:

@@ -15,7 +15,7 @@ from ..operators import answers, chunking, embedding, filters, index, limits, lo
 from ..operators import normalize, postings, reports, retrieval
 from ..schemas import RAW_MESSAGE
 from ..sources.messages import history_scan, land_messages, recent_scan, roster_scan, stream_messages
-from ..sources.storage import fingerprint, fresh_path, stored
+from ..sources.storage import fingerprint, fresh_path, stored, tidy
 from ..streaming import jobs
 from . import ingest
 from .bindings import (
@@ -520,11 +520,13 @@ def index_during_compaction(t: Tables) -> DataFrame:
     docs = t.documents()
     index.append(ingest.index_documents(docs), path, 1)
     index.compact(t.spark, path)
+    index.vacuum(t.spark, path)  # nobody holds the batch that was merged
     index.append(ingest.index_documents(docs.filter(F.col("user") == "fr"), overlap=0), path, 2)
     opened = index.current(t.spark, path)
     left = index.current(t.spark, path).limit(10)
     for folder in ("base=unfinished/_temporary/0", "base=unfinished/bucket=0", "batch=unfinished"):
-        left.write.parquet(f"{path}/data/{folder}")
+        with tidy(t.spark):
+            left.write.parquet(f"{path}/data/{folder}")
     index.compact(t.spark, path)  # a reader that opened the index before goes on
     opened = opened.filter(F.col("user") != "en")
     index.append(ingest.index_documents(docs.filter(F.col("user") == "en"), overlap=0), path, 3)

@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pa_fs
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 # For a running session without that setting, which Spark takes at the start only.
 SHARED_DIR = "msgspark.shared.dir"
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +41,17 @@ def give_local_folder(spark: SparkSession) -> None:
         spark.conf.set(SHARED_DIR, own)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside go with each job, not when the driver collects its garbage."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, never used before."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
