@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import cuts
 from .folds import Push, empty_array, fold_emit, let, walk_emit
 from .spans import protected_spans
 from .text import cjk_count, cjk_share, strip
@@ -31,6 +33,8 @@ TOKENS_PER_CHAR = 0.35
 RETRY_SIZE = 0.7
 RETRY_MIN_SPAN = 200
 RETRY_MIN_KEPT = 100
+#: Bytes of texts that may go to a Python worker, which gets thousands at a time; longer ones are folded where they are.
+SENT_BYTES = 1 << 15
 
 # Stand-ins for protected characters inside a window. Only the position of a
 # boundary is read from a masked window, never its text, so any character that
@@ -310,6 +314,43 @@ def chunk_pieces(
     )
 
 
+def sent_spans(text: Column, chunk_size: int = CHUNK_SIZE) -> Column:
+    """Protected spans of a text that a Python worker cuts, else null: it is short enough for one chunk or too long."""
+    some = (F.length(text) > int(chunk_size)) & (F.octet_length(text) <= SENT_BYTES)
+    return F.when(some & F.is_valid_utf8(text), protected_spans(text))
+
+
+def _worked(text: Column, spans: Column, kind: str, one: Callable[[str, list], list]) -> Column:
+    def run(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return cuts.rows(texts, starts, ends, one, cuts.PIECES if PIECE in kind else cuts.TEXTS)
+
+    # two fields, so that Catalyst keeps the spans as a column: a fold among the arguments is not found again
+    return F.arrow_udf(run, kind)(F.when(spans.isNotNull(), text), spans["s"], spans["e"])
+
+
+def cut_pieces(text: Column, spans: Column, chunk_size: int, overlap: int, use_tokens: bool) -> Column:
+    """What ``chunk_pieces`` gives with the default tokens, for texts with ``sent_spans``."""
+    size = int(chunk_size)
+
+    def one(text: str, spans: list) -> list:
+        return [{"s": s, "e": e, "text": body} for s, e, body in cuts.pieces(text, spans, size, overlap, use_tokens)]
+
+    return _worked(text, spans, f"array<{PIECE}>", one)
+
+
+def cut_texts(
+    text: Column, spans: Column, chunk_size: int, overlap: int, use_tokens: bool, min_chunk: int
+) -> Column:
+    """Texts of ``cut_pieces`` with small ones merged."""
+    size = int(chunk_size)
+
+    def one(text: str, spans: list) -> list:
+        bodies = (body for _, _, body in cuts.pieces(text, spans, size, overlap, use_tokens))
+        return list(cuts.merged(bodies, chunk_size, min_chunk) if min_chunk > 0 else bodies)
+
+    return _worked(text, spans, "array<string>", one)
+
+
 def merge_small(
     texts: Column, chunk_size: int = CHUNK_SIZE, min_chunk: int = MIN_CHUNK
 ) -> Column:

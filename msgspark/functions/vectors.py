@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,7 @@ DIM = 1536
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 CJK = r"[぀-ヿ㐀-\u9fff]"
 CJK_SPLIT = rf"{WORD_SPLIT}|(?<={CJK})|(?={CJK})"
+NOT_LATIN = r"[^\x00-\u024f\u2000-\u206f]"
 SPARSE = "struct<buckets:array<int>,weights:array<double>>"
 #: Words that are counted at a time (one text may have more).
 WORDS = 1 << 20
@@ -44,6 +44,11 @@ def _words(text: Column) -> Column:
     )
 
 
+def _is_latin(text: Column) -> Column:
+    """Texts whose letters and digits Arrow's regular expressions tell as Java's do."""
+    return (F.octet_length(text) == F.length(text)) | ~text.rlike(NOT_LATIN)
+
+
 def terms(text: Column) -> Column:
     """Lower-case words and single CJK characters, in order."""
     return F.filter(_words(text), lambda w: w != "")
@@ -54,10 +59,13 @@ def term_bucket(term: Column, dim: int = DIM) -> Column:
     return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
 
 
-@lru_cache(maxsize=1 << 16)
-def _bucket(word: str, dim: int) -> int:
-    """``term_bucket`` of a word, -1 for the empty one."""
-    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dim if word else -1
+def _own(words: pa.Array, dim: int) -> np.ndarray:
+    """``term_bucket`` of words, -1 for the empty one."""
+    known = words.cast(pa.binary()).to_pylist()
+    firsts = np.frombuffer(b"".join([hashlib.md5(w).digest() for w in known]), dtype=">u4")[::4]
+    out = (firsts % dim).astype(np.int64)
+    out[[not w for w in known]] = -1
+    return out
 
 
 def weighed(words: pa.ListArray, dim: int) -> pa.StructArray:
@@ -74,8 +82,7 @@ def weighed(words: pa.ListArray, dim: int) -> pa.StructArray:
 
 def _weighed(words: pa.ListArray, dim: int) -> pa.StructArray:
     coded = words.flatten().dictionary_encode()
-    bucket = np.array([_bucket(w, dim) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-    own = bucket[coded.indices.to_numpy()]
+    own = _own(coded.dictionary, dim)[coded.indices.to_numpy()]
     rows = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
     found, counts = np.unique((rows * dim + own)[own >= 0], return_counts=True)
     rows, own = np.divmod(found, dim)
@@ -89,12 +96,15 @@ def _weighed(words: pa.ListArray, dim: int) -> pa.StructArray:
 def term_vector(text: Column, dim: int = DIM) -> Column:
     """Hashed term frequencies of a text, L2-normalised, as a sparse struct.
 
-    Spark cuts the text into its terms; a task counts those of its rows batch by batch
-    and hashes the different words of a batch. No term of the corpus is shuffled.
+    Arrow cuts a Latin text into its terms, Spark any other; a task counts those of its rows
+    batch by batch and hashes the different words of a batch. No term of the corpus is shuffled.
     A null text has an empty vector.
     """
 
-    def run(words: pa.Array) -> pa.Array:
-        return weighed(words, dim)
+    def run(lower: pa.Array, words: pa.Array) -> pa.Array:
+        cut = pc.split_pattern_regex(lower, pattern=WORD_SPLIT)
+        whole = words.null_count == len(words)
+        return weighed(cut if whole else pc.coalesce(cut, words.cast(cut.type)), dim)
 
-    return F.arrow_udf(run, SPARSE)(_words(text))
+    latin = _is_latin(text)
+    return F.arrow_udf(run, SPARSE)(F.when(latin, F.lower(text)), F.when(~latin, _words(text)))

@@ -1,7 +1,9 @@
 """Messages to chunk rows.
 
-The work per message is one native fold, so the job is a plain map over the
-scan: no shuffle, whatever the number of channels or the size of one channel.
+The work per message is one fold, so the job is a plain map over the scan: no
+shuffle, whatever the number of channels or the size of one channel. Python workers
+fold texts of ordinary length, longer ones and those with another token count are
+folded natively, with the same chunks.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from ..functions.chunks import (
     CHUNK_SIZE,
     MIN_CHUNK,
     chunk_pieces,
+    cut_pieces,
+    cut_texts,
     default_tokens,
     merge_small,
+    sent_spans,
     token_limit,
 )
 from ..functions.spans import find_spans, merge_spans, protected_spans
@@ -25,6 +30,25 @@ from ..functions.text import cjk_share, is_blank, strip
 CHUNK_FIELDS = ["channel", "channel_name", "user", "ts", "permalink"]
 
 
+_ASIDE = ("_clean", "_spans", "_folded")
+
+
+def _cleaned(
+    df: DataFrame, text: str, chunk_size: int, overlap: int, use_tokens: bool, tokens: Callable[[Column], Column]
+) -> tuple[DataFrame, Column]:
+    """Non-blank rows with their stripped text and its spans, those of texts that are sent to Python; how the others are folded."""
+    rows = df.filter(~is_blank(F.col(text))).withColumn("_clean", strip(F.col(text)))
+    folded = chunk_pieces("_clean", chunk_size, overlap, use_tokens, tokens)
+    if tokens is not default_tokens:
+        return rows, folded
+    rows = rows.withColumn("_spans", sent_spans(F.col("_clean"), chunk_size))
+    return rows, F.when(F.col("_spans").isNull(), folded)
+
+
+def _either(sent: Column, folded: Column) -> Column:
+    return F.when(F.col("_spans").isNotNull(), sent).otherwise(folded)
+
+
 def with_pieces(
     df: DataFrame,
     text: str = "text",
@@ -35,12 +59,9 @@ def with_pieces(
     tokens: Callable[[Column], Column] = default_tokens,
 ) -> DataFrame:
     """Add the unmerged chunk slices of every non-blank text; blank rows are left out."""
-    return (
-        df.filter(~is_blank(F.col(text)))
-        .withColumn("_clean", strip(F.col(text)))
-        .withColumn(out, chunk_pieces("_clean", chunk_size, overlap, use_tokens, tokens))
-        .drop("_clean")
-    )
+    sent = cut_pieces(F.col("_clean"), F.col("_spans"), chunk_size, overlap, use_tokens)
+    rows, folded = _cleaned(df, text, chunk_size, overlap, use_tokens, tokens)
+    return rows.withColumn(out, folded if tokens is not default_tokens else _either(sent, folded)).drop(*_ASIDE)
 
 
 def with_chunks(
@@ -54,11 +75,11 @@ def with_chunks(
     tokens: Callable[[Column], Column] = default_tokens,
 ) -> DataFrame:
     """Add the final chunk texts of every non-blank text as ``array<string>``."""
-    cut = with_pieces(df, text, "_pieces", chunk_size, overlap, use_tokens, tokens)
-    texts = cut.withColumn(out, F.transform("_pieces", lambda p: p["text"])).drop("_pieces")
-    if min_chunk > 0:
-        texts = texts.withColumn(out, merge_small(F.col(out), chunk_size, min_chunk))
-    return texts
+    sent = cut_texts(F.col("_clean"), F.col("_spans"), chunk_size, overlap, use_tokens, min_chunk)
+    rows, folded = _cleaned(df, text, chunk_size, overlap, use_tokens, tokens)
+    texts = rows.withColumn("_folded", F.transform(folded, lambda p: p["text"]))
+    folded = merge_small(F.col("_folded"), chunk_size, min_chunk) if min_chunk > 0 else F.col("_folded")
+    return texts.withColumn(out, folded if tokens is not default_tokens else _either(sent, folded)).drop(*_ASIDE)
 
 
 def chunk_documents(
