@@ -213,13 +213,15 @@ def chunk_pieces(
     overlap: int = 0,
     use_tokens: bool = True,
     tokens: Callable[[Column], Column] = default_tokens,
+    spans: str | None = None,
 ) -> Column:
     """Chunks of the stripped text in column ``text`` before small ones are merged.
 
     Returns ``array<struct<s,e,text>>``: offsets of the raw slice and its
     stripped text; blank slices are left out. ``tokens`` maps a text column to a
-    token count and must be a Spark expression. The expression is large, so it
-    is built once per set of arguments.
+    token count and must be a Spark expression. ``spans`` is a column with the
+    protected spans, if there is one. The expression is large, so it is built once
+    per set of arguments.
     """
     text = F.col(text)
     size = int(chunk_size)
@@ -310,36 +312,38 @@ def chunk_pieces(
         )
 
     return F.when(F.length(text) <= size, kept(F.lit(0), F.length(text), text)).otherwise(
-        let(let(protected_spans(text), with_plain), long_text)
+        let(let(F.col(spans) if spans else protected_spans(text), with_plain), long_text)
     )
 
 
-def sent_spans(text: Column, chunk_size: int = CHUNK_SIZE) -> Column:
-    """Protected spans of a text that a Python worker cuts, else null: it is short enough for one chunk or too long."""
+def is_sent(text: Column, chunk_size: int = CHUNK_SIZE) -> Column:
+    """True for texts that a Python worker cuts: more than one chunk, and not too long."""
     some = (F.length(text) > int(chunk_size)) & (F.octet_length(text) <= SENT_BYTES)
-    return F.when(some & F.is_valid_utf8(text), protected_spans(text))
+    return some & F.is_valid_utf8(text)
 
 
-def _worked(text: Column, spans: Column, kind: str, one: Callable[[str, list], list]) -> Column:
+def _worked(text: Column, spans: Column, sent: Column, kind: str, one: Callable[[str, list], list]) -> Column:
     def run(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         return cuts.rows(texts, starts, ends, one, cuts.PIECES if PIECE in kind else cuts.TEXTS)
 
     # two fields, so that Catalyst keeps the spans as a column: a fold among the arguments is not found again
-    return F.arrow_udf(run, kind)(F.when(spans.isNotNull(), text), spans["s"], spans["e"])
+    return F.arrow_udf(run, kind)(*[F.when(sent, x) for x in (text, spans["s"], spans["e"])])
 
 
-def cut_pieces(text: Column, spans: Column, chunk_size: int, overlap: int, use_tokens: bool) -> Column:
-    """What ``chunk_pieces`` gives with the default tokens, for texts with ``sent_spans``."""
+def cut_pieces(
+    text: Column, spans: Column, sent: Column, chunk_size: int, overlap: int, use_tokens: bool
+) -> Column:
+    """What ``chunk_pieces`` gives with the default tokens, for texts that are ``sent``."""
     size = int(chunk_size)
 
     def one(text: str, spans: list) -> list:
         return [{"s": s, "e": e, "text": body} for s, e, body in cuts.pieces(text, spans, size, overlap, use_tokens)]
 
-    return _worked(text, spans, f"array<{PIECE}>", one)
+    return _worked(text, spans, sent, f"array<{PIECE}>", one)
 
 
 def cut_texts(
-    text: Column, spans: Column, chunk_size: int, overlap: int, use_tokens: bool, min_chunk: int
+    text: Column, spans: Column, sent: Column, chunk_size: int, overlap: int, use_tokens: bool, min_chunk: int
 ) -> Column:
     """Texts of ``cut_pieces`` with small ones merged."""
     size = int(chunk_size)
@@ -348,7 +352,7 @@ def cut_texts(
         bodies = (body for _, _, body in cuts.pieces(text, spans, size, overlap, use_tokens))
         return list(cuts.merged(bodies, chunk_size, min_chunk) if min_chunk > 0 else bodies)
 
-    return _worked(text, spans, "array<string>", one)
+    return _worked(text, spans, sent, "array<string>", one)
 
 
 def merge_small(

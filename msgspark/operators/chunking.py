@@ -20,8 +20,8 @@ from ..functions.chunks import (
     cut_pieces,
     cut_texts,
     default_tokens,
+    is_sent,
     merge_small,
-    sent_spans,
     token_limit,
 )
 from ..functions.spans import find_spans, merge_spans, protected_spans
@@ -30,23 +30,25 @@ from ..functions.text import cjk_share, is_blank, strip
 CHUNK_FIELDS = ["channel", "channel_name", "user", "ts", "permalink"]
 
 
-_ASIDE = ("_clean", "_spans", "_folded")
+_ASIDE = ("_clean", "_spans", "_sent", "_folded")
 
 
 def _cleaned(
     df: DataFrame, text: str, chunk_size: int, overlap: int, use_tokens: bool, tokens: Callable[[Column], Column]
 ) -> tuple[DataFrame, Column]:
-    """Non-blank rows with their stripped text and its spans, those of texts that are sent to Python; how the others are folded."""
+    """Non-blank rows with their stripped text, and how it is folded; with the default tokens
+    also with the spans of long texts and whether a Python worker cuts it instead."""
     rows = df.filter(~is_blank(F.col(text))).withColumn("_clean", strip(F.col(text)))
-    folded = chunk_pieces("_clean", chunk_size, overlap, use_tokens, tokens)
+    clean = F.col("_clean")
     if tokens is not default_tokens:
-        return rows, folded
-    rows = rows.withColumn("_spans", sent_spans(F.col("_clean"), chunk_size))
-    return rows, F.when(F.col("_spans").isNull(), folded)
+        return rows, chunk_pieces("_clean", chunk_size, overlap, use_tokens, tokens)
+    long = F.length(clean) > int(chunk_size)
+    rows = rows.withColumns({"_spans": F.when(long, protected_spans(clean)), "_sent": is_sent(clean, chunk_size)})
+    return rows, F.when(~F.col("_sent"), chunk_pieces("_clean", chunk_size, overlap, use_tokens, tokens, "_spans"))
 
 
 def _either(sent: Column, folded: Column) -> Column:
-    return F.when(F.col("_spans").isNotNull(), sent).otherwise(folded)
+    return F.when(F.col("_sent"), sent).otherwise(folded)
 
 
 def with_pieces(
@@ -59,7 +61,7 @@ def with_pieces(
     tokens: Callable[[Column], Column] = default_tokens,
 ) -> DataFrame:
     """Add the unmerged chunk slices of every non-blank text; blank rows are left out."""
-    sent = cut_pieces(F.col("_clean"), F.col("_spans"), chunk_size, overlap, use_tokens)
+    sent = cut_pieces(F.col("_clean"), F.col("_spans"), F.col("_sent"), chunk_size, overlap, use_tokens)
     rows, folded = _cleaned(df, text, chunk_size, overlap, use_tokens, tokens)
     return rows.withColumn(out, folded if tokens is not default_tokens else _either(sent, folded)).drop(*_ASIDE)
 
@@ -75,7 +77,7 @@ def with_chunks(
     tokens: Callable[[Column], Column] = default_tokens,
 ) -> DataFrame:
     """Add the final chunk texts of every non-blank text as ``array<string>``."""
-    sent = cut_texts(F.col("_clean"), F.col("_spans"), chunk_size, overlap, use_tokens, min_chunk)
+    sent = cut_texts(F.col("_clean"), F.col("_spans"), F.col("_sent"), chunk_size, overlap, use_tokens, min_chunk)
     rows, folded = _cleaned(df, text, chunk_size, overlap, use_tokens, tokens)
     texts = rows.withColumn("_folded", F.transform(folded, lambda p: p["text"]))
     folded = merge_small(F.col("_folded"), chunk_size, min_chunk) if min_chunk > 0 else F.col("_folded")

@@ -42,9 +42,9 @@ def test_only_texts_of_more_than_one_chunk_and_bounded_bytes_are_sent(spark):
     words = ["w " * 300, "w " * 360, "w " * 20_000, "  ", None]
     made = spark.createDataFrame(list(enumerate(words)), "id int, text string")
     clean = made.withColumn("text", strip(F.col("text")))
-    assert [r.id for r in clean.filter(chunks.sent_spans(F.col("text")).isNotNull()).collect()] == [1]
+    assert [r.id for r in clean.filter(chunks.is_sent(F.col("text"))).collect()] == [1]
     bad = made.selectExpr("id", "cast(concat(cast(text as binary), X'80') as string) AS text").filter("id = 1")
-    assert bad.filter(chunks.sent_spans(F.col("text")).isNotNull()).count() == 0
+    assert bad.filter(chunks.is_sent(F.col("text"))).count() == 0
     found = chunking.with_chunks(made, "text", "cut").select("id", F.size("cut").alias("n")).collect()
     assert {r.id: r.n for r in found} == {0: 1, 1: 2, 2: 67}
     assert chunking.with_chunks(bad, "text", "cut").count() == 1
