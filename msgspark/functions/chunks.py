@@ -324,7 +324,8 @@ def is_sent(text: Column, chunk_size: int = CHUNK_SIZE) -> Column:
 
 def _worked(text: Column, spans: Column, sent: Column, kind: str, one: Callable[[str, list], list]) -> Column:
     def run(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        return cuts.rows(texts, starts, ends, one, cuts.PIECES if PIECE in kind else cuts.TEXTS)
+        made = cuts.rows(texts, starts, ends, one)
+        return made if PIECE in kind else pa.ListArray.from_arrays(made.offsets, made.values.field("text"))
 
     # two fields, so that Catalyst keeps the spans as a column: a fold among the arguments is not found again
     return F.arrow_udf(run, kind)(*[F.when(sent, x) for x in (text, spans["s"], spans["e"])])
@@ -337,7 +338,7 @@ def cut_pieces(
     size = int(chunk_size)
 
     def one(text: str, spans: list) -> list:
-        return [{"s": s, "e": e, "text": body} for s, e, body in cuts.pieces(text, spans, size, overlap, use_tokens)]
+        return list(cuts.pieces(text, spans, size, overlap, use_tokens))
 
     return _worked(text, spans, sent, f"array<{PIECE}>", one)
 
@@ -350,7 +351,7 @@ def cut_texts(
 
     def one(text: str, spans: list) -> list:
         bodies = (body for _, _, body in cuts.pieces(text, spans, size, overlap, use_tokens))
-        return list(cuts.merged(bodies, chunk_size, min_chunk) if min_chunk > 0 else bodies)
+        return [(0, 0, x) for x in (cuts.merged(bodies, chunk_size, min_chunk) if min_chunk > 0 else bodies)]
 
     return _worked(text, spans, sent, "array<string>", one)
 

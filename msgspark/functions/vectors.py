@@ -17,7 +17,7 @@ CJK_SPLIT = rf"{WORD_SPLIT}|(?<={CJK})|(?={CJK})"
 NOT_LATIN = r"[^\x00-\u024f\u2000-\u206f]"
 SPARSE = "struct<buckets:array<int>,weights:array<double>>"
 #: Words that are counted at a time (one text may have more).
-WORDS = 1 << 20
+WORDS = 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,16 +51,16 @@ def test_only_texts_of_more_than_one_chunk_and_bounded_bytes_are_sent(spark):
     assert chunking.with_chunks(bad, "text", "cut").count() == 1
 
 
-def test_rows_are_made_some_at_a_time(monkeypatch):
-    import pyarrow as pa
-
-    said = ["a" * 5, None, "b" * 7, "", "c"]
-    none = pa.array([[]] * len(said), pa.list_(pa.int32()))
-    one = lambda text, spans: list(text)
-    whole = cuts.rows(pa.array(said), none, none, one, cuts.TEXTS)
-    monkeypatch.setattr(cuts, "CHARACTERS", 3)
-    assert cuts.rows(pa.array(said), none, none, one, cuts.TEXTS).to_pylist() == whole.to_pylist()
-    assert cuts.rows(pa.array([], pa.string()), none[:0], none[:0], one, cuts.TEXTS).to_pylist() == []
+def test_pieces_of_a_batch_are_lists_of_its_rows():
+    said, none = ["ab", None, "éc", "", "漢"], [[]] * 5
+    one = lambda text, spans: [(k, k + len(spans), x) for k, x in enumerate(text)]
+    at = pa.array([[1], *none[1:]], pa.list_(pa.int32()))
+    made = cuts.rows(pa.array(said), at, at, one)
+    made.validate(full=True)
+    assert [[(x["s"], x["e"], x["text"]) for x in row] for row in made.to_pylist()] == [
+        [(0, 1, "a"), (1, 2, "b")], [], [(0, 0, "é"), (1, 1, "c")], [], [(0, 0, "漢")]
+    ]
+    assert cuts.rows(pa.array([], pa.string()), at[:0], at[:0], one).to_pylist() == []
 
 
 def test_the_fixed_values_are_those_of_the_native_fold():
